@@ -1,0 +1,21 @@
+"""Queries over the corpus tables, one for each operator, and the SQL that tells their rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .common import documents
+from .near_dedup import near_duplicates
+
+
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_duplicates": op1_near_duplicates,
+}
+
+ORACLES: dict[str, str] = {}
