@@ -6,16 +6,64 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing, quality_rules, url_filter
 from .common import documents
+from .decontaminate import contaminated
+from .html_text import extract_html
+from .licenses import license_scan
 from .near_dedup import near_duplicates
+from .pii import personal_data
+from .site_quality import site_quality
+from .tokens import count_tokens
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(documents(spark, sf_dir))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(documents(spark, sf_dir)).drop("clean_text")
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_html(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(documents(spark, sf_dir))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(documents(spark, sf_dir))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(documents(spark, sf_dir))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_near_duplicates": op1_near_duplicates,
-}
+    f.__name__: f
+    for f in (
+        op1_near_duplicates, op2_mix_sources, op3_quality_rules, op4_html_text, op5_url_filter,
+        op6_quality_classifier, op7_personal_data, op8_license_scan, op9_token_counts, op10_decontaminate,
+    )
+}
 
-ORACLES: dict[str, str] = {}
+#: The other operators train, iterate or align; tests hold them against plain Python.
+ORACLES: dict[str, str] = {"op2_mix_sources": mixing.ORACLE, "op3_quality_rules": quality_rules.ORACLE, "op5_url_filter": url_filter.ORACLE}
