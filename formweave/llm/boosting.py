@@ -73,16 +73,17 @@ def calibrated_threshold(trees: list[Tree], x: np.ndarray, y: np.ndarray, precis
     return max(0.0, best)
 
 
-def tree_column(trees: list[Tree], features: list[Column]) -> Column:
-    """The trees' sum as one expression."""
+def tree_sql(trees: list[Tree], features: list[str]) -> str:
+    """The trees' sum as one SQL expression over SQL operands."""
 
-    def node(tree: Tree) -> Column:
+    def node(tree: Tree) -> str:
         if not isinstance(tree, tuple):
-            return F.lit(float(tree))
+            return f"{float(tree)!r}D"
         feature, threshold, left, right = tree
-        return F.when(features[feature] <= threshold, node(left)).otherwise(node(right))
+        return f"CASE WHEN {features[feature]} <= {threshold!r}D THEN {node(left)} ELSE {node(right)} END"
 
-    total = node(trees[0])
-    for t in trees[1:]:
-        total = total + node(t)
-    return total
+    return "(" + " + ".join(map(node, trees)) + ")"
+
+
+def tree_column(trees: list[Tree], features: list[str]) -> Column:
+    return F.expr(tree_sql(trees, features))

@@ -7,6 +7,7 @@ compute, and return to the plan as nested CASE expressions.
 
 from __future__ import annotations
 
+import json
 import random
 import string
 from functools import lru_cache
@@ -14,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .boosting import boost, calibrated_threshold, tree_column
+from .boosting import boost, calibrated_threshold, tree_sql
 from .common import check_columns
 
 KINDS = ("email", "ip", "card", "phone", "key", "number")
@@ -125,28 +126,31 @@ def _blanked(text: Column, kind: str) -> Column:
     return F.when(text.rlike(SIGNS[kind]), joined).otherwise(text)
 
 
-def _features(kind: int, m: Column, before: Column) -> dict[str, Column]:
-    """Format and context of a candidate."""
-    count = lambda p: F.length(F.regexp_replace(m, p, ""))
-    mixed = F.regexp_count(m, F.lit("(?:[0-9][A-Za-z]|[A-Za-z][0-9])"))
-    shape = (
-        F.when(m.rlike(r"^\+?(?:1[\x20.-]?)?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}$"), 1)
-        .when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), 2)
-        .when(m.rlike(r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,}"), 3)
-        .when(m.rlike(r"^(?:AKIA|ASIA|ghp_|gho_|sk-|xox[bp]-|AIza)"), 4)
-        .when(m.rlike(r"^(?:19|20)[0-9]{2}[-./][0-9]{1,2}[-./][0-9]{1,2}$"), 5)
-        .otherwise(0)
+def _features(kind: int, m: str, before: str) -> dict[str, str]:
+    """Format and context of a candidate, as SQL over two SQL operands."""
+    count = lambda p: f"length(regexp_replace({m}, r'{p}', ''))"
+    shape = " ".join(
+        f"WHEN {m} RLIKE r'{p}' THEN {k}"
+        for k, p in (
+            (1, r"^\+?(?:1[\x20.-]?)?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}$"),
+            (2, r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"),
+            (3, r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,}"),
+            (4, r"^(?:AKIA|ASIA|ghp_|gho_|sk-|xox[bp]-|AIza)"),
+            (5, r"^(?:19|20)[0-9]{2}[-./][0-9]{1,2}[-./][0-9]{1,2}$"),
+        )
     )
-    cue = F.when(before.rlike(CUE), 1).when(before.rlike(CALL), 2).when(before.rlike(ACCOUNT), 3).when(before.rlike(MAIL), 4).otherwise(0)
-    return {
-        "kind": F.lit(kind), "length": F.length(m), "digits": count("[^0-9]+"), "letters": count("[^A-Za-z]+"), "upper": count("[^A-Z]+"), "mixed": mixed,
-        "groups": F.size(F.split(m, "[^A-Za-z0-9]+")), "shape": shape, "cue": cue, "hexadecimal": m.rlike("^[0-9a-f]+$").cast("int"),
+    cue = " ".join(f"WHEN {before} RLIKE r'{p}' THEN {k}" for k, p in ((1, CUE), (2, CALL), (3, ACCOUNT), (4, MAIL)))
+    found = {
+        "kind": str(kind), "length": f"length({m})", "digits": count("[^0-9]+"), "letters": count("[^A-Za-z]+"), "upper": count("[^A-Z]+"),
+        "mixed": f"regexp_count({m}, r'(?:[0-9][A-Za-z]|[A-Za-z][0-9])')", "groups": f"size(split({m}, r'[^A-Za-z0-9]+'))",
+        "shape": f"CASE {shape} ELSE 0 END", "cue": f"CASE {cue} ELSE 0 END", "hexadecimal": f"CASE WHEN {m} RLIKE r'^[0-9a-f]+$' THEN 1 ELSE 0 END",
     }
+    return {n: f"CAST({x} AS DOUBLE)" for n, x in found.items()}
 
 
-def _before(text: Column, x: Column) -> Column:
-    first = F.greatest(x["s"] - CONTEXT, F.lit(0))
-    return F.substring(text, first + 1, x["s"] - first)
+def _described(kind: int, m: str, before: str, *more: str) -> str:
+    """A struct of the features, after other fields."""
+    return f"named_struct({', '.join([*more, *[f"'{n}', {x}" for n, x in _features(kind, m, before).items()]])})"
 
 
 def labelled_table(seed: int = 7, each: int = 24) -> list[tuple[str, str, int]]:
@@ -191,33 +195,27 @@ def labelled_table(seed: int = 7, each: int = 24) -> list[tuple[str, str, int]]:
 @lru_cache(maxsize=1)
 def _trained(spark: SparkSession) -> tuple[list, dict[int, float]]:
     """Trees and each kind's threshold, from the labelled table; a small job of bounded size."""
-    rows = [F.struct(F.lit(a).alias("before"), F.lit(m).alias("m"), F.lit(y).alias("y"), F.lit(i).alias("i")) for i, (a, m, y) in enumerate(labelled_table())]
-    table = spark.range(1).select(F.inline(F.array(*rows)))
+    rows = json.dumps([{"i": i, "before": a, "m": m, "y": y} for i, (a, m, y) in enumerate(labelled_table())])
+    table = spark.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<i:int,before:string,m:string,y:int>>")))
     # a candidate counts for each generator that proposes exactly it
-    frames = [
-        table.where(F.col("m").rlike(f"^(?:{pattern})$".replace("(?i)", ""))).select("i", "y", *[c.alias(n) for n, c in _features(KINDS.index(kind), F.col("m"), F.col("before")).items()])
-        for kind, _, pattern in GENERATORS
-    ]
-    found = frames[0].unionByName(frames[1]).unionByName(frames[2]).unionByName(frames[3]).orderBy("i", "kind").collect()
+    proposed = ", ".join(
+        f"CASE WHEN m RLIKE r'^(?:{pattern.replace('(?i)', '')})$' THEN {_described(KINDS.index(kind), 'm', 'before')} END" for kind, _, pattern in GENERATORS
+    )
+    found = table.select("i", "y", F.expr(f"inline(filter(array({proposed}), f -> f IS NOT NULL))")).orderBy("i", "kind").collect()
     x, y = np.array([[r[n] for n in FEATURES] for r in found], float), np.array([r["y"] for r in found], float)
     fit = np.array([r["i"] // 25 % 2 == 0 for r in found])
     trees = boost(x[fit], y[fit], rounds=12, depth=3, rate=0.5)
     kinds = x[:, 0].astype(int)
-    return trees, {k: calibrated_threshold(trees, x[~fit & (kinds == k)], y[~fit & (kinds == k)]) for k in sorted(set(kinds))}
+    return trees, {k: calibrated_threshold(trees, x[~fit & (kinds == k)], y[~fit & (kinds == k)]) for k in sorted(set(kinds.tolist()))}
 
 
 def _judged(found: str, text: str, kind: str, trees: list, thresholds: dict[int, float]) -> Column:
     """Spans (s, k, e) of the candidates in a column that the trees accept."""
     k = KINDS.index(kind)
-
-    def described(x: Column) -> Column:
-        features = _features(k, x["m"], _before(F.col(text), x))
-        return F.struct(x["s"].alias("s"), x["e"].alias("e"), *[features[n].cast("double").alias(n) for n in FEATURES])
-
-    def accepted(x: Column) -> Column:
-        return tree_column(trees, [x[n] for n in FEATURES]) >= thresholds.get(k, 0.0)
-
-    return _spans(F.filter(F.transform(found, described), accepted), kind)
+    before = f"substring({text}, greatest(x.s - {CONTEXT}, 0) + 1, least(x.s, {CONTEXT}))"
+    described = f"transform({found}, x -> {_described(k, 'x.m', before, "'s', x.s", "'e', x.e")})"
+    accepted = f"filter({described}, f -> {tree_sql(trees, [f'f.{n}' for n in FEATURES])} >= {thresholds.get(k, 0.0)!r}D)"
+    return F.expr(f"transform({accepted}, f -> named_struct('s', f.s, 'k', {k}, 'e', f.e))")
 
 
 def _joined(spans: Column) -> Column:

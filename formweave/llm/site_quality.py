@@ -90,7 +90,7 @@ def site_quality(
     if not len(y) or y.min() == y.max():
         return rows.select(F.col("id").alias(id_col), *[F.lit(0.5).alias(c) for c in ("text_score", "site_prior", "score")], F.lit(True).alias("kept"))
     trees = boost(x, y, rounds=30, depth=3, least=max(4, len(y) // 200))
-    odds = tree_column(trees, [F.col(n) for n in FEATURES])
+    odds = tree_column(trees, list(FEATURES))
     scored = cut(rows.select("id", "host", "path", odds.alias("odds")).withColumn("p", 1 / (1 + F.exp(-F.col("odds")))))
 
     paths = cut(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")))
