@@ -2,40 +2,68 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from formweave.llm.common import documents, shared_folder
+from formweave.llm.common import cut, documents, shared_folder
+from formweave.llm.decontaminate import contaminated
+from formweave.llm.mixing import emit, mix_sources
 from formweave.llm.near_dedup import near_duplicates
+from formweave.llm.pii import redact
+from formweave.llm.site_quality import site_quality
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go; a null id has no verdict of its own and stays."""
+    rejected = site_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("not kept").select("doc_id").distinct()
+    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the least id."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One document of each group of near copies stays, the one with the least id; of rows that share an id, one."""
+    groups = cut(near_duplicates(docs).where("kept").select("doc_id"))
+    out = docs.join(groups.distinct(), "doc_id", "left_semi").select(docs.columns)
+    repeated = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return out.dropDuplicates(["doc_id"]) if repeated else out
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a copy of a benchmark item go."""
+    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts becomes the name of its kind; n_chars follows the text."""
+    return redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it."""
+    return emit(docs, mix_sources(docs))
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality),
     ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("personal_data", personal_data),
+    ("mix", mix),
 ]
 
-#: A step of the pipeline (training a classifier, graph components, alignment) has no SQL; tests hold it against plain Python.
+#: Training a classifier, graph components and alignment have no SQL; tests hold the stages against plain Python.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on documents, each written as Parquet and read again by the next."""
-    import uuid
-
     docs = documents(spark, sf_dir)
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k + 1 == len(STAGES):
-            return out
-        out.write.parquet(f"{folder}/{k}-{name}")
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
     return docs
