@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 from math import ceil, log2
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -75,30 +76,52 @@ def _library(spark: SparkSession) -> list[dict]:
     return [r.asDict() | {"window": window_of(len(r.words))} for r in table.orderBy("template").collect()]
 
 
+def _needed(library: list[dict]) -> list[str]:
+    """Words of which every text that holds enough of a template holds one.
+
+    Of each template, the longest words are taken until the shingles without them
+    are too few for CONTAINED.
+    """
+    taken: set[str] = set()
+    for t in sorted(library, key=lambda t: len(t["words"])):
+        words = t["words"]
+        runs = {tuple(words[i : i + WIDTH]) for i in range(len(words) - WIDTH + 1)}
+        order = sorted(set(words), key=lambda w: (-len(w), w))
+        while sum(not taken & set(r) for r in runs) >= ceil(CONTAINED * len(t["shingles"]) - 1e-9):
+            taken.add(next(w for w in order if w not in taken))
+    return sorted(taken)
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, licenses, n_notices) for every row: the licenses whose notices the text holds, joined by commas in order.
 
     A notice is found where overlapping windows share a MinHash band with a template
     and one of them holds CONTAINED of the template's shingles.  Windows without any
-    shingle of the library hold nothing of a template and are not formed.  A null or
+    shingle of the library hold nothing of a template and are not formed, nor are those
+    of texts without a word that each template's share needs.  A null or
     empty text has no license; repeated rows, null ids and other columns change nothing.
     """
     check_columns(docs, id_col, text_col)
     library = _library(docs.sparkSession)
     known = sorted({s for t in library for s in t["shingles"]})
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.select("id", _tokens(F.col("text")).alias("words"))
+    rows = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    worth = reduce(or_, [F.col("text").contains(w) for w in _needed(library)])
+    rows = rows.select("id", F.when(worth, _tokens(F.col("text"))).otherwise(F.array().cast("array<string>")).alias("words"))
     rows = rows.select("id", _shingles("words").alias("sh"))
-    hits = F.filter(F.transform("sh", lambda s, i: F.when(s.isin(known), i)), lambda i: i.isNotNull())
+    hits = F.expr(f"filter(transform(sh, (s, i) -> CASE WHEN s IN ({_longs(known)}) THEN i END), i -> i IS NOT NULL)")
     rows = rows.withColumn("hits", F.when(F.size("sh") > 0, hits).otherwise(F.array().cast("array<int>")))
     rows = rows.withColumn("sh", F.when(F.size("hits") > 0, F.col("sh")).otherwise(F.array().cast("array<long>")))
     found = F.array_distinct(F.concat(*[_found(w, [t for t in library if t["window"] == w]) for w in sorted({t["window"] for t in library})]))
     rows = rows.withColumn("found", F.when(F.size("hits") > 0, found).otherwise(F.array().cast("array<int>")))
-    names = F.array(*[F.lit(t["license"]) for t in library])
+    names = F.expr("array(" + ", ".join(f"'{t['license']}'" for t in library) + ")")
     licenses = F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda i: F.get(names, i)))), ",")
     return rows.select(F.col("id").alias(id_col), licenses.alias("licenses"), F.size("found").cast("long").alias("n_notices"))
 
 
+def _longs(values: list[int]) -> str:
+    return ", ".join(f"{v}L" for v in values)
+
+
 def _found(width: int, templates: list[dict]) -> Column:
     """Numbers of the templates of one window width that a text's windows hold."""
     stride, shingles = width // 4, F.col("sh")
@@ -115,7 +138,7 @@ def _found(width: int, templates: list[dict]) -> Column:
 
 def _holds(window: Column, template: dict) -> Column:
     """The template's number if the window (w, b) shares a band and then holds enough of it."""
-    shingles, bands = (F.array(*map(F.lit, template[k])) for k in ("shingles", "bands"))
+    shingles, bands = (F.expr(f"array({_longs(template[k])})") for k in ("shingles", "bands"))
     retrieved = F.exists(F.zip_with(window["b"], bands, lambda a, b: a == b), lambda x: x)
     enough = F.size(F.array_intersect(window["w"], shingles)) >= ceil(CONTAINED * len(template["shingles"]) - 1e-9)
     return F.when(retrieved & enough, F.lit(template["template"]))

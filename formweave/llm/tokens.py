@@ -12,7 +12,7 @@ from .common import check_columns
 
 SPACE = "▁"
 #: Words whose counts a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 600_000, 40
 #: The score of an unknown character lies this far below the least piece's.
 UNKNOWN = 10.0
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -45,42 +45,47 @@ class UnigramCounter:
             if piece:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.known = frozenset(piece for piece, _ in vocabulary if len(piece) == 1)
         #: no piece crosses a line end, so the best path never does either
         self.lines = not any("\n" in piece and piece != "\n" for piece, _ in vocabulary)
         self.line_end = self._word("\n")
         self.words = _Words(self)
 
     def _word(self, word: str) -> int:
+        """Tokens of a text that is segmented as a whole."""
         n = len(word)
-        best: list[float | None] = [None] * (n + 1)
-        count = [0] * (n + 1)
-        best[0], at = 0.0, 1
-        pending: list[tuple[int, float]] = []
-
-        def close(end: int) -> None:
-            top, pieces, single = None, 0, False
-            for length, value in pending:
-                single |= length == 1
-                total = best[end - length] + value
-                if top is None or total > top:
-                    top, pieces = total, count[end - length] + 1
-            if not single:
-                total = best[end - 1] + self.unknown
-                if top is None or total > top:
-                    top, pieces = total, count[end - 1] + len(word[end - 1].encode("utf-8", "replace"))
-            best[end], count[end] = top, pieces
-            pending.clear()
-
-        for last, found in self.automaton.iter(word):
-            while at < last + 1:
-                close(at)
-                at += 1
-            pending.append(found)
-        while at <= n:
-            close(at)
-            at += 1
+        best, count = [float("-inf")] * (n + 1), [0] * (n + 1)
+        best[0] = 0.0
+        if self.known.issuperset(word):  # each end is reached by a match before it is left
+            for last, (length, value) in self.automaton.iter(word):
+                total = best[last + 1 - length] + value
+                if total > best[last + 1]:
+                    best[last + 1], count[last + 1] = total, count[last + 1 - length] + 1
+            return count[n]
+        at, single = 0, True  # ends up to ``at`` are settled but for its unknown character
+
+        def settle(end: int) -> None:
+            nonlocal at, single
+            while at < end:
+                if at and not single:
+                    self._unknown(word, at, best, count)
+                at, single = at + 1, False
+
+        for last, (length, value) in self.automaton.iter(word):
+            settle(last + 1)
+            single = single or length == 1
+            total = best[last + 1 - length] + value
+            if total > best[last + 1]:
+                best[last + 1], count[last + 1] = total, count[last + 1 - length] + 1
+        settle(n + 1)
         return count[n]
 
+    def _unknown(self, word: str, end: int, best: list[float], count: list[int]) -> None:
+        """The path through an unknown last character, which starts last and so needs a higher score."""
+        total = best[end - 1] + self.unknown
+        if total > best[end]:
+            best[end], count[end] = total, count[end - 1] + len(word[end - 1].encode("utf-8", "replace"))
+
     def count(self, text: str | None) -> int:
         if not text:
             return 0
