@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from formweave.operators import extract as X, rows as R
+from formweave.api import Engine
+from formweave.functions import present as V
+from formweave.operators import edit as U, extract as X, fields as K, learn as L, phrases as P, rows as R
+from formweave.operators.oracle import RuleOracle, call_cost, metadata_strings as metadata_by_recurrence
+from formweave.plans import template as T
 from formweave.plans.render import DUCK_SOURCE, KV_FIELDS, PER_PAGE, TABLE_FIELDS, forms
 from formweave.plans.template import LEAF, Node
+from formweave.sources import artifacts as S
 
 FORM = (Node("kv", KV_FIELDS, 0), Node("table", TABLE_FIELDS, 1))
 NESTED = (Node("kv", KV_FIELDS, 0), Node("table", TABLE_FIELDS, 1, child=2), Node("table", ("Mode", "Flag"), 2, child=LEAF))
@@ -35,12 +40,6 @@ def source(rest: str) -> str:
     return "WITH " + DUCK_SOURCE.replace("ALL_LINE_COLUMNS", LINE_COLUMNS) + rest
 
 
-def metadata_rows(phrases: DataFrame) -> list[list[str]]:
-    """Registered rows: the page header of every page number up to the longest document's."""
-    pages = phrases.agg(F.max("page")).first()[0] or 0
-    return [["Order Report", f"Sheet {p}"] for p in range(1, pages + 1)]
-
-
 def _cells(spark: SparkSession, sf_dir: str, variant: str = "", template=FORM) -> DataFrame:
     phrases = forms(spark, sf_dir, variant)
     return X.extract_cells(phrases, template, METADATA, [["Order Report", f"Sheet {p}"] for p in range(1, 26)])
@@ -72,3 +71,340 @@ def form_extract_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
 def form_extract_shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells beside their header come back by the column bounds."""
     return _table(_cells(spark, sf_dir, "shifted"))
+
+
+@query()
+def form_extract_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An inner table between the rows of the outer one; all cells of both."""
+    return _cells(spark, sf_dir, "nested", NESTED).select("doc_id", "record_id", "block_id", "block_type", "row_no", "col_no", "key", F.coalesce("value", F.lit(X.MISSING)).alias("value"))
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = R.visual_rows(forms(spark, sf_dir))
+    return X.label_rows(X.records(rows, FORM), FORM, METADATA, [["Order Report", f"Sheet {p}"] for p in range(1, 26)])
+
+
+_COUNTS = source(""", r AS (SELECT doc_id, record_id, count(*) AS n FROM lines GROUP BY ALL), p AS (SELECT doc_id, count(*) AS records, sum(n) AS n, ceil(count(*) / 2) AS pages FROM r GROUP BY ALL)
+""")
+
+
+@query(_COUNTS + "SELECT doc_id, records::BIGINT AS records FROM p")
+def record_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.records(R.visual_rows(forms(spark, sf_dir)), FORM).groupBy("doc_id").agg(F.count_distinct("record_id").alias("records"))
+
+
+@query(
+    _COUNTS
+    + """, s AS (SELECT doc_id, record_id, 4 + n + CASE WHEN record_id % 2 = 0 THEN 1 ELSE 0 END AS rows FROM r),
+  t AS (SELECT doc_id, record_id, sum(rows) OVER (PARTITION BY doc_id ORDER BY record_id) - rows + CASE WHEN record_id % 2 = 0 THEN 1 ELSE 0 END AS a, sum(rows) OVER (PARTITION BY doc_id ORDER BY record_id) - 1 AS b, max(record_id) OVER (PARTITION BY doc_id) AS top FROM s)
+SELECT doc_id, record_id::INT AS record_id, CASE WHEN record_id = 0 THEN 0 ELSE a END::INT AS first_row, (b + CASE WHEN record_id % 2 = 1 AND record_id < top THEN 1 ELSE 0 END)::INT AS last_row FROM t"""
+)
+def record_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page header above a record belongs to the record before it."""
+    return X.records(R.visual_rows(forms(spark, sf_dir)), FORM).groupBy("doc_id", "record_id").agg(F.min("row_id").alias("first_row"), F.max("row_id").alias("last_row"))
+
+
+@query(_COUNTS + "SELECT doc_id, unnest([{'label': 'K', 'n': records}, {'label': 'KV', 'n': 3 * records}, {'label': 'M', 'n': pages::BIGINT}, {'label': 'V', 'n': n::BIGINT}], recursive := true) FROM p")
+def row_labels_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labelled(spark, sf_dir).groupBy("doc_id", "label").agg(F.count("*").alias("n"))
+
+
+@query(_COUNTS + "SELECT doc_id, pages::BIGINT AS metadata_rows FROM p")
+def metadata_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labelled(spark, sf_dir).where("label = 'M'").groupBy("doc_id").agg(F.count("*").alias("metadata_rows"))
+
+
+@query(_COUNTS + "SELECT doc_id, (4 * records + n + pages)::BIGINT AS n_rows FROM p")
+def rows_from_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.visual_rows(forms(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n_rows"))
+
+
+#: The rendered phrases themselves in DuckDB.
+_PHRASES = source(
+    f""", h AS (SELECT d, floor(rk / {PER_PAGE})::INT + 1 AS page, (rk % {PER_PAGE}) * 24 AS top, rk, o_orderkey FROM o),
+c AS (SELECT d, page, 0 AS r, unnest([{{'c': 0, 'text': 'Order Report'}}, {{'c': 1, 'text': 'Sheet ' || page}}], recursive := true) FROM h WHERE rk % {PER_PAGE} = 0
+  UNION ALL SELECT h.d, page, top + 1 + x // 4, x % 4, CASE WHEN x % 2 = 0 THEN [{', '.join(f"'{k}'" for k in KV_FIELDS)}][x // 2 + 1] ELSE [v0, v1, v2, v3, v4, v5][x // 2 + 1] END
+    FROM h JOIN heads ON heads.doc_id = 'forms_' || h.d AND heads.record_id = h.rk, (SELECT unnest(range(12)) AS x)
+  UNION ALL SELECT d, page, top + 4, x, [{', '.join(f"'{k}'" for k in TABLE_FIELDS)}][x + 1] FROM h, (SELECT unnest(range(7)) AS x)
+  UNION ALL SELECT h.d, page, top + 4 + row_no, x, [v0, v1, v2, v3, v4, v5, v6][x + 1] FROM h JOIN lines ON lines.doc_id = 'forms_' || h.d AND lines.record_id = h.rk, (SELECT unnest(range(7)) AS x)),
+f AS (SELECT 'forms_' || d AS doc_id, (row_number() OVER (PARTITION BY d ORDER BY page, r, c) - 1)::INT AS phrase_idx, page, text, 40.0::DOUBLE + 90 * c AS x0, 40.0::DOUBLE + 14 * r AS y0,
+  40.0::DOUBLE + 90 * c + least(80, 6 * length(text)) AS x1, 50.0::DOUBLE + 14 * r AS y1 FROM c WHERE text IS NOT NULL)
+"""
+)
+
+
+@query(_PHRASES + "SELECT doc_id, phrase_idx, page, text, x0, y0, x1, y1 FROM f")
+def rendered_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forms(spark, sf_dir)
+
+
+@query(_PHRASES + "SELECT doc_id, text, min(phrase_idx) AS first_idx, count(*) AS n, string_agg(x0::INT || ' ' || y0::INT || ' ' || page, ',' ORDER BY phrase_idx) AS boxes FROM f GROUP BY ALL")
+def phrase_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = P.phrase_boxes(forms(spark, sf_dir))
+    boxes = F.expr("array_join(transform(boxes, b -> concat_ws(' ', CAST(b.x0 AS INT), CAST(b.y0 AS INT), b.page)), ',')")
+    return found.select("doc_id", "text", "first_idx", F.size("boxes").cast("long").alias("n"), boxes.alias("boxes"))
+
+
+@query(_PHRASES + "SELECT doc_id, text AS phrase, string_agg(phrase_idx::VARCHAR, ',' ORDER BY phrase_idx) AS vec, min(phrase_idx) AS first_pos FROM f GROUP BY ALL")
+def position_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.position_vectors(forms(spark, sf_dir)).select("doc_id", "phrase", F.array_join("vec", ",").alias("vec"), "first_pos")
+
+
+@query(_PHRASES + "SELECT doc_id, text AS phrase, count(*) AS n FROM f GROUP BY ALL HAVING count(*) > 3")
+def frequent_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.frequent(K.position_vectors(forms(spark, sf_dir))).select("doc_id", "phrase", F.size("vec").cast("long").alias("n"))
+
+
+_VECTORS = _PHRASES + ", v AS (SELECT doc_id, text, list(phrase_idx ORDER BY phrase_idx) AS vec FROM f WHERE page <= 5 GROUP BY ALL HAVING count(*) > 3)\n"
+
+
+@query(
+    _VECTORS
+    + """SELECT a.doc_id, a.text AS p, b.text AS q FROM v a JOIN v b ON a.doc_id = b.doc_id AND len(a.vec) = len(b.vec) AND a.vec[1] < b.vec[1]
+WHERE len(list_filter(list_zip(a.vec, b.vec), lambda z: abs(abs(z[1] - z[2]) - abs(a.vec[1] - b.vec[1])) > 1)) = 0"""
+)
+def perfect_match_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.matching_pairs(K.frequent(K.position_vectors(forms(spark, sf_dir).where("page <= 5"))))
+
+
+@query()
+def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = K.leader_clusters(K.position_vectors(forms(spark, sf_dir).where("page <= 5")))
+    return found.select("doc_id", "phrase", "cluster_id", "leader")
+
+
+_T = ", ".join(f"({n}, {K_T!r})" for n, K_T in ((2, 12.706204736432095), (3, 4.302652729911275), (4, 3.182446305284263), (5, 2.7764451051977987), (6, 2.5705818366147395), (7, 2.4469118487916806)))
+
+
+@query(
+    f"""WITH t(n, q) AS (VALUES {_T}), g AS (SELECT l_orderkey, count(l_quantity) AS n, avg(l_quantity) AS mean, stddev_samp(l_quantity) AS sd FROM lineitem GROUP BY ALL)
+SELECT l_orderkey, g.n, round(mean, 9) AS mean, round(sd / sqrt(g.n) * q, 6) AS half FROM g JOIN t ON t.n = g.n"""
+)
+def cluster_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = K.confidence(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_orderkey"], "l_quantity")
+    return found.where("n BETWEEN 2 AND 7").select("l_orderkey", "n", F.round("mean", 9).alias("mean"), F.round("half", 6).alias("half"))
+
+
+@query()
+def predicted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of every document by positions and the rule oracle."""
+    return K.predict_field(forms(spark, sf_dir), RuleOracle())
+
+
+@query()
+def reclustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clusters = K.leader_clusters(K.position_vectors(forms(spark, sf_dir).where("page <= 5")))
+    return K.regrouped(clusters, K.accepted_clusters(clusters, RuleOracle()))
+
+
+@query(
+    """WITH w AS (SELECT list_filter(regexp_split_to_array(split_part(text, chr(10), 1), '\\s+'), lambda x: x <> '') AS t FROM documents WHERE len(regexp_split_to_array(split_part(text, chr(10), 1), '\\s+')) <= 60),
+i AS (SELECT t, unnest(range(1, len(t) + 1)) AS i FROM w), j AS (SELECT t, i, unnest(range(i, len(t) + 1)) AS j FROM i)
+SELECT DISTINCT array_to_string(t[i:j], ' ') AS sub FROM j"""
+)
+def subphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of tokens of first lines; ground phrases are short, so longer lines are none."""
+    first = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.expr("split(text, '\\n')[0]").alias("text"))
+    return P.subphrases(first.where("size(split(text, '\\\\s+')) <= 60"))
+
+
+_PAIRS = (
+    _PHRASES
+    + """, n AS (SELECT a.doc_id, a.page, a.phrase_idx AS a, b.phrase_idx AS b, a.text AS a_text, b.text AS b_text, CASE WHEN a.y1 < b.y0 THEN b.y0 - a.y1 WHEN b.y1 < a.y0 THEN a.y0 - b.y1 ELSE 0 END AS distance,
+  row_number() OVER (PARTITION BY a.doc_id, a.phrase_idx ORDER BY b.phrase_idx) AS k FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.page = b.page AND a.phrase_idx < b.phrase_idx
+  WHERE least(a.x1, b.x1) - greatest(a.x0, b.x0) > 0 AND least(a.x1, b.x1) - greatest(a.x0, b.x0) >= 0.2 * least(a.x1 - a.x0, b.x1 - b.x0))
+"""
+)
+
+
+@query(_PAIRS + "SELECT doc_id, page, a, b, a_text, b_text, distance FROM n WHERE k = 1")
+def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.next_overlaps(forms(spark, sf_dir))
+
+
+#: Texts that count as known phrases: 'Line 1' never occurs whole, so 'Line' over '1' is a wrapped cell.
+GROUND = ["Order Key", "Customer", "Line 1", "Status"]
+
+
+@query(
+    _PAIRS
+    + """, l AS (SELECT distance, NOT a_text IN ('Order Key', 'Customer', 'Line 1', 'Status') AND a_text || ' ' || b_text IN ('Order Key', 'Line 1') AS pos FROM n WHERE k = 1),
+e AS (SELECT max(distance) FILTER (pos) AS p, min(distance) FILTER (NOT pos) AS m FROM l)
+SELECT coalesce(p + m - m, -1) AS max_positive, CASE WHEN p IS NULL THEN -1 ELSE coalesce(m, -1) END AS min_negative, round(least(coalesce(m, -1) - 0.001, (coalesce(p, -1) + coalesce(m, -1)) / 2), 9) AS threshold FROM e"""
+)
+def distance_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = P.distance_threshold(P.labelled_pairs(forms(spark, sf_dir), GROUND))
+    return found.select("max_positive", "min_negative", F.round("threshold", 9).alias("threshold"))
+
+
+def _words(phrases: DataFrame) -> DataFrame:
+    """Every phrase cut into its words, one size of character apart, on a line of its own words."""
+    parts = phrases.select("*", F.posexplode(F.split("text", " ")).alias("k", "w"))
+    ahead = F.expr("length(array_join(slice(split(text, ' '), 1, k), ' ')) + CASE WHEN k > 0 THEN 1 ELSE 0 END")
+    unit = (F.col("x1") - F.col("x0")) / F.length("text")
+    parts = parts.withColumn("a", F.col("x0") + ahead * unit).withColumn("z", F.col("x0") + (ahead + F.length("w")) * unit)
+    order = Window.partitionBy("doc_id").orderBy("phrase_idx", "k")
+    return parts.select("doc_id", (F.row_number().over(order) - 1).alias("word_idx"), "page", F.col("w").alias("text"), F.col("a").alias("x0"), "y0", F.col("z").alias("x1"), "y1")
+
+
+@query(_PHRASES + "SELECT doc_id, phrase_idx, page, text, round(x0, 6) AS x0, y0, round(x1, 6) AS x1, y1 FROM f")
+def words_to_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases cut into words grow together again."""
+    found = P.words_to_phrases(_words(forms(spark, sf_dir)))
+    return found.select("doc_id", "phrase_idx", "page", "text", F.round("x0", 6).alias("x0"), "y0", F.round("x1", 6).alias("x1"), "y1")
+
+
+def _wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as cells of two lines: 'Customer' over the key, 40 to a page."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    lines = c.select("c_custkey", F.explode(F.expr("array(named_struct('k', 0, 't', 'Customer'), named_struct('k', 1, 't', concat('No ', c_custkey)))")).alias("x"))
+    y = 40 + (F.col("c_custkey") % 40) * 40 + F.col("x.k") * 12
+    page = F.floor(F.col("c_custkey") / 40).cast("int") + 1
+    order = Window.partitionBy("page").orderBy("c_custkey", "k")
+    rows = lines.select("c_custkey", F.col("x.k").alias("k"), page.alias("page"), F.col("x.t").alias("text"), F.lit(40.0).alias("x0"), y.cast("double").alias("y0"), F.lit(100.0).alias("x1"), (y + 10).cast("double").alias("y1"))
+    return rows.select(F.concat(F.lit("cards_"), F.col("page")).alias("doc_id"), (F.row_number().over(order) - 1).alias("phrase_idx"), "page", "text", "x0", "y0", "x1", "y1")
+
+
+_CARDS = "SELECT 'cards_' || (c_custkey // 40 + 1) AS doc_id, 'Customer No ' || c_custkey AS text, (40 + c_custkey % 40 * 40)::DOUBLE AS y0, (62 + c_custkey % 40 * 40)::DOUBLE AS y1 FROM customer"
+
+
+@query(_CARDS)
+def merge_lines_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.merge_by_distance(_wrapped(spark, sf_dir), 5.0).select("doc_id", "text", "y0", "y1")
+
+
+@query(_CARDS)
+def merge_lines_ground(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cards = _wrapped(spark, sf_dir)
+    n = spark.read.parquet(f"{sf_dir}/customer.parquet").agg(F.max("c_custkey")).first()[0]
+    return P.merge_by_ground(cards, [f"Customer No {k}" for k in range(n + 1)]).select("doc_id", "text", "y0", "y1")
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type ELSE event_type || ' | ' || user_id END AS parts, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 2 END AS n FROM events"""
+)
+def colon_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.expr("CASE WHEN event_id % 3 = 0 THEN event_type ELSE concat(event_type, ': ', user_id) END")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", P.split_colons(text).alias("p"))
+    return rows.select("event_id", F.array_join("p", " | ").alias("parts"), F.size("p").alias("n"))
+
+
+@query(
+    """WITH t AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN (event_id % 12 + 1) || ':' || lpad((event_id % 60)::VARCHAR, 2, '0') || 'AM' WHEN 1 THEN '13:30PM' WHEN 2 THEN value::VARCHAR ELSE props END AS text FROM events)
+SELECT event_id, coalesce(regexp_full_match(text, '(1[0-2]|0?[1-9]):[0-5][0-9](AM|PM|am|pm)'), false) AS is_time, try_cast(text AS DOUBLE) IS NOT NULL AS is_number FROM t"""
+)
+def valid_time_and_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.expr("CASE event_id % 4 WHEN 0 THEN concat(event_id % 12 + 1, ':', lpad(CAST(event_id % 60 AS STRING), 2, '0'), 'AM') WHEN 1 THEN '13:30PM' WHEN 2 THEN CAST(value AS STRING) ELSE props END")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", P.is_time(text).alias("is_time"), P.is_number(text).alias("is_number"))
+
+
+_FIELDS = ", ".join(f"'{f}'" for f in (*KV_FIELDS, *TABLE_FIELDS))
+
+
+@query(
+    _PHRASES
+    + f""", s AS (SELECT doc_id, text, phrase_idx, row_number() OVER (PARTITION BY doc_id, text ORDER BY phrase_idx) AS k FROM f WHERE text IN ({_FIELDS})),
+c AS (SELECT doc_id, max(phrase_idx) AS cut, count(*) AS n FROM s WHERE k = 2 GROUP BY ALL)
+SELECT f.doc_id, count(*) AS n FROM f LEFT JOIN (SELECT * FROM c WHERE n = 13) c ON f.doc_id = c.doc_id WHERE (cut IS NOT NULL AND phrase_idx <= cut + 31) OR (cut IS NULL AND page < 2) GROUP BY ALL"""
+)
+def learning_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.learning_prefix(forms(spark, sf_dir), [*KV_FIELDS, *TABLE_FIELDS]).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    _PHRASES
+    + f""", w AS (SELECT doc_id, page, y0, phrase_idx, text IN ({_FIELDS}) AS k, lead(text IN ({_FIELDS})) OVER (PARTITION BY doc_id, page, y0 ORDER BY phrase_idx) AS k2 FROM f),
+g AS (SELECT doc_id, page, y0, count(*) FILTER (k AND k2) AS kk, count(*) FILTER (k AND NOT k2) AS kv, count(*) FILTER (NOT k AND NOT k2) AS vv FROM w GROUP BY ALL)
+SELECT doc_id, page, y0, CASE WHEN kk + kv + vv = 0 THEN 0.001 ELSE round(kk / (kk + kv + vv) + 0.001, 9) END AS k, CASE WHEN kk + kv + vv = 0 THEN 0.001 ELSE round(vv / (kk + kv + vv) + 0.001, 9) END AS v,
+  CASE WHEN kk + kv + vv = 0 THEN 0.001 ELSE round(kv / (kk + kv + vv) + 0.001, 9) END AS kv FROM g"""
+)
+def pair_label_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = L.row_probabilities(R.visual_rows(forms(spark, sf_dir)), [*KV_FIELDS, *TABLE_FIELDS])
+    return rows.select("doc_id", "page", F.expr("cells[0].y0").alias("y0"), *[F.round(c, 9).cast("double").alias(c.lower()) for c in ("K", "V", "KV")])
+
+
+@query(_PHRASES + "SELECT doc_id, count(DISTINCT page) AS metadata_rows FROM f GROUP BY ALL")
+def header_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = [["Order Report", f"Sheet {p}"] for p in range(1, 26)]
+    rows = L.smooth_headers(L.row_probabilities(R.visual_rows(forms(spark, sf_dir)), [*KV_FIELDS, *TABLE_FIELDS], METADATA, pages))
+    return rows.where("M >= 1").groupBy("doc_id").agg(F.count("*").alias("metadata_rows"))
+
+
+@query(
+    source(
+        f""", x AS (SELECT doc_id, record_id, row_no, unnest([{', '.join(f"{{'c': {c}, 'v': v{c}}}" for c in range(7))}], recursive := true) FROM lines)
+SELECT doc_id, record_id::INT AS record_id, c::INT AS col_no, max(least(80, 6 * length(v)))::DOUBLE AS width FROM x WHERE v IS NOT NULL GROUP BY ALL"""
+    )
+)
+def column_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Widths of columns over the cells of a block."""
+    cells = _cells(spark, sf_dir).where("block_type = 'table' AND value IS NOT NULL")
+    return cells.groupBy("doc_id", "record_id", "col_no").agg(F.max(F.least(F.lit(80.0), 6.0 * F.length("value"))).alias("width"))
+
+
+@query(f"SELECT * FROM (VALUES (0, 'kv', '{'|'.join(KV_FIELDS)}', -1), (1, 'table', '{'|'.join(TABLE_FIELDS)}', -1)) t(node_id, type, fields, child)")
+def template_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields and template of the first document, learned from its phrases."""
+    phrases = forms(spark, sf_dir).where("doc_id = 'forms_0'")
+    engine = Engine(metadata=METADATA, metadata_rows=[["Order Report", f"Sheet {p}"] for p in range(1, 26)])
+    found = engine.predict_template(phrases, engine.predict_field(phrases))
+    return spark.createDataFrame([(n.node_id, n.type, "|".join(n.fields), n.child) for n in found], "node_id int, type string, fields string, child int")
+
+
+@query(_PHRASES + "SELECT DISTINCT doc_id, unnest(['Order Key', 'Customer', 'status']) AS field FROM f")
+def edit_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Add 'status' (a phrase in another case) and 'Nowhere' (no phrase), remove 'Quantity'."""
+    phrases = forms(spark, sf_dir)
+    docs = phrases.select("doc_id").distinct()
+    having = lambda *names: docs.select("doc_id", F.explode(F.array(*map(F.lit, names))).alias("field"))
+    return U.field_edits(having("Order Key", "Customer", "Quantity"), having("status", "Nowhere"), having("Quantity"), phrases)
+
+
+@query("SELECT * FROM (VALUES (0, 'table', 'A|B', -1), (2, 'kv', 'Mode|Flag', -1)) t(node_id, type, fields, child)")
+def edit_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = T.modify_node(T.remove_nodes(T.toggle_type(NESTED, 2), [1]), 0, "table", ["A", "B"])
+    return spark.createDataFrame([(n.node_id, n.type, "|".join(n.fields), n.child) for n in found], "node_id int, type string, fields string, child int")
+
+
+@query(
+    """SELECT conv_id, turn, round(CASE turn % 3 WHEN 0 THEN (length(text) * 5 + 100 * 20) / 1e6 WHEN 1 THEN (length(text) * 0.3 + 100 * 2.4) / 1e6 ELSE (2 * 1105 * 0.3 + 100 * 2.4) / 1e6 END, 12) AS cost FROM conversations"""
+)
+def llm_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    model = F.expr("CASE turn % 3 WHEN 0 THEN 'gpt-4o' WHEN 1 THEN 'gpt-4o-mini' ELSE 'gpt-4o-mini-vision' END")
+    return rows.select("conv_id", "turn", F.round(call_cost(model, F.length("text"), F.lit(100), F.lit(2)), 12).alias("cost"))
+
+
+@query(source("SELECT doc_id, record_id::INT AS record_id, row_no::INT AS row_no, " + ", ".join(f"coalesce(v{c}, 'missing') AS \"{k}\"" for c, k in enumerate(TABLE_FIELDS)) + " FROM lines"))
+def table_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table_pivot(_cells(spark, sf_dir), list(TABLE_FIELDS)).drop("block_id")
+
+
+@query(_KV.replace("0 AS block_id, x.c::INT AS col_no, ", "").replace("record_id::INT AS record_id", "record_id::INT AS id"))
+def kv_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs out of the nested records."""
+    return V.explode_pairs(X.nest(_cells(spark, sf_dir).where("block_type = 'kv'")))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'missing' WHEN page_id % 5 = 1 THEN 'undecoded' WHEN regexp_matches(url, '^https?://') THEN 'url' ELSE 'text' END AS class FROM pages")
+def render_value_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.expr("CASE page_id % 5 WHEN 0 THEN 'N/A' WHEN 1 THEN concat('(cid:', page_id, ')') ELSE url END")
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", V.value_class(value).alias("class"))
+
+
+@query()
+def page_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts between the tags of web pages."""
+    return S.html_words(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query(_COUNTS + "SELECT doc_id, count(*) AS strings FROM (SELECT doc_id, unnest(['Order Report', NULL]) AS s FROM p WHERE pages >= 3) WHERE s IS NOT NULL GROUP BY ALL")
+def metadata_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers found by recurrence, without a model."""
+    found = metadata_by_recurrence(R.visual_rows(forms(spark, sf_dir)))
+    return found.where("text = 'Order Report'").groupBy("doc_id").agg(F.count("*").alias("strings"))
+
+
+@query(_PHRASES + "SELECT 'merged' AS doc_id, count(*) AS phrases, (SELECT sum(p) FROM (SELECT max(page) AS p FROM f GROUP BY doc_id))::INT AS pages, (count(*) - 1)::INT AS last FROM f")
+def merged_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.merge_documents(forms(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("phrases"), F.count_distinct("page").cast("int").alias("pages"), F.max("phrase_idx").alias("last"))
