@@ -9,10 +9,10 @@
 3. Within a list, members meet the member with the most widely shared sketch (the
    hub), not each other.  The union sketch of a pair estimates its similarity and
    drops hopeless pairs; the full sets decide the rest.
-4. Lists that are still in several components are refined: the rarest shingles of
+4. Lists that their hub does not hold together are refined: the rarest shingles of
    the members' full sets, as many as an exact bound asks, make new lists.  Their
-   members meet further hubs while that saves work; at last each pair of a list that
-   is still in different components is compared.  No list is capped.
+   members are compared by their differences to the hub's set, again through lists
+   of the rarest differences.  No list is capped.
 """
 
 from __future__ import annotations
@@ -115,23 +115,48 @@ def _rarest(sets: DataFrame, values, size, allowed) -> DataFrame:
     )
 
 
-def _divided(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """The members (v, id, n, weight) of lists with more than one component, with their component,
-    the list's length c, its pairs ``apart`` and the next hub: the most widely shared member
-    outside the largest component."""
-    placed = members.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    group = placed.groupBy("v", "component").agg(F.count("*").alias("g"), F.max(F.struct("weight", -F.col("id"))).alias("best"))
-    lists = group.groupBy("v").agg(
-        F.sum("g").alias("c"), F.count("*").alias("parts"), ((F.sum("g") ** 2 - F.sum(F.col("g") ** 2)) / 2).alias("apart"), F.max(F.struct("g", "component")).alias("top")
+def _with_hubs(members: DataFrame) -> DataFrame:
+    """The members of lists of two or more, with the list's hub, its most widely shared member."""
+    lists = members.groupBy("v").agg(F.count("*").alias("c"), F.max(F.struct("weight", -F.col("id"))).alias("hub")).where("c > 1")
+    return members.join(lists, "v").select("v", "id", "n", (-F.col("hub.col2")).alias("hub"))
+
+
+def _around_hubs(around: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within the groups (hub, id, n): all but those between two members that the hub links.
+
+    A member is held as its symmetric difference d to the hub's set.  Members x and y
+    differ in |dx| + |dy| - 2 |dx and dy| shingles, which decides their link exactly,
+    and is at most t * (nx + ny) with t = (100 - percent) / (100 + percent).  So of two
+    linked members, of which one at least is not linked with the hub, both hold a
+    shared shingle among the rarest of their differences: |dx| - t * (nx + ny) shared
+    ones at least if x is not linked, more than (1 - t) / 2 * |dx| if it is.
+    """
+    t = (100 - percent) / (100 + percent)
+    near = lambda n, m, d: 100 * (n + m - d) >= percent * (n + m + d)
+    own, hubs = sets.select("id", "set"), sets.select(F.col("id").alias("hub"), F.col("set").alias("hub_set"))
+    d = F.concat(F.array_except("set", "hub_set"), F.array_except("hub_set", "set"))
+    held = around.join(own, "id").join(hubs, "hub").select("hub", "id", "n", F.size("hub_set").alias("m"), d.alias("d"))
+    held = cut(held.withColumn("size", F.size("d")).withColumn("linked", near(F.col("n"), F.col("m"), F.col("size"))))
+    with_hub = held.where("linked and id <> hub").select("id", "hub")
+    most = F.ceil(t * F.col("n") * (1 + 100 / percent)).cast("long") + 1
+    allowed = F.when(F.col("linked"), F.col("size") - F.floor((1 - t) / 2 * F.col("size"))).otherwise(F.least(F.col("size"), most))
+    values = held.where("size > 0").select("hub", "id", allowed.alias("allowed"), "size", F.explode("d").alias("v"))
+    common = values.groupBy("hub", "v").agg(F.count("*").alias("df")).where("df > 1")
+    each = Window.partitionBy("hub", "id")
+    prefix = values.join(common, ["hub", "v"]).withColumn("pos", F.row_number().over(each.orderBy("df", "v"))).withColumn("seen", F.count("*").over(each))
+    prefix = prefix.where("pos + size - seen <= allowed").select("hub", "id", "v")
+    rows = prefix.join(held, ["hub", "id"])
+    x, y = (rows.select("hub", "v", *[F.col(c).alias(c + e) for c in ("id", "n", "d", "size", "linked")]) for e in "xy")
+    apart = F.col("sizex") + F.col("sizey") - 2 * F.size(F.array_intersect("dx", "dy"))
+    pairs = x.where("not linkedx").join(y, ["hub", "v"]).where(
+        (F.col("linkedy") | (F.col("idx") < F.col("idy"))) & near(F.col("nx"), F.col("ny"), apart)
     )
-    lists = lists.where("parts > 1").select("v", "c", "apart", F.col("top.component").alias("largest"))
-    hubs = group.join(lists, "v").where("component <> largest").groupBy("v").agg(F.max("best").alias("hub"))
-    lists = lists.join(hubs, "v").select("v", "c", "apart", (-F.col("hub.col2")).alias("hub"))
-    return placed.join(lists, "v").select("v", "id", "n", "weight", "component", "c", "apart", "hub")
+    found = with_hub.union(pairs.select("idx", "idy")).toDF("x", "y")
+    return found.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, k: int = 48, rounds: int = 1, pairs_each: int = 8
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, k: int = 48
 ) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row of docs.
 
@@ -139,62 +164,39 @@ def near_duplicates(
     with fewer than ``width`` words has one shingle, the whole sequence.  Repeated
     rows and equal texts share a component; rows that share an id are one node.
     A row whose id is null gets a null component and is not kept.  Other columns
-    of docs are ignored.  Hubs are tried ``rounds`` times, or until the pairs of a
-    list that are left number ``pairs_each`` a member; then all of them are compared.
+    of docs are ignored.
     """
     check_columns(docs, id_col, text_col)
     need = required_overlap(k, k, percent)
     all_rows = cut(sketches(docs, id_col, text_col, width, k))
     rows = all_rows.where("id is not null and n > 0")
     many = rows.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
-    named = rows.select("id", "n", "s1", "s2").join(many, ["n", "s1", "s2"], "left").withColumn("rep", F.coalesce("rep", "id"))
-    same = cut(named.where("rep <> id").select("id", "rep"))
-    sketch = rows.join(same, "id", "left_anti").select("id", "n", "sketch").dropDuplicates(["id", "n"])
+    named = cut(rows.join(many, ["n", "s1", "s2"], "left").select("id", "n", "sketch", "rep"))
+    same = named.where("rep <> id").select("id", "rep").distinct()
+    sketch = named.where("rep is null").drop("rep").union(named.where("rep = id").drop("rep").dropDuplicates(["id"]))
 
     size = F.least("n", F.lit(k))
     bound = F.when(F.col("n") < k, F.ceil(F.col("n") * percent / 100)).otherwise(need)
-    prefix = cut(_rarest(sketch, F.explode("sketch"), size, size - bound + 1))
-    lists = prefix.groupBy("v").agg(F.count("*").alias("c"), F.max(F.struct("weight", -F.col("id"))).alias("hub")).where("c > 1")
-    members = cut(prefix.join(lists, "v").select("v", "id", "n", "weight", (-F.col("hub.col2")).alias("hub")))
+    members = cut(_rarest(sketch, F.explode("sketch"), size, size - bound + 1))
+    members = cut(_with_hubs(members))
     wanted = members.select("id").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = cut(texts.join(wanted, "id", "left_semi").mapInArrow(_setter(width), "id long, set array<long>").dropDuplicates(["id"]))
-    sketch = cut(sketch.join(wanted, "id", "left_semi"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).where("a <> b").distinct()
-        return _verified(pairs, sets, sketch, k, percent, need)
-
-    hubs = members.where("id <> hub").select(F.col("id").alias("x"), F.col("hub").alias("y"))
-    links = cut(verified(hubs))
-    parts = connected_components(links)
-
-    # lists that are not one component yet: the exact prefixes of their members' full sets
-    unsettled = _divided(members.drop("hub"), parts).select("id").distinct()
+    sets = cut(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_setter(width), "id long, set array<long>"))
+    pairs = members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    links = cut(_verified(pairs, sets, sketch.join(wanted, "id", "left_semi"), k, percent, need))
+
+    # lists that their hub does not hold together: the exact prefixes of their members' full sets
+    loose = members.join(links.select(F.col("a").alias("id"), F.col("b").alias("hub"), F.lit(True).alias("held")), ["id", "hub"], "left")
+    loose = loose.where("id <> hub and held is null").select("v").distinct()
+    unsettled = members.join(loose, "v", "left_semi").select("id").distinct()
     whole = sets.join(unsettled, "id", "left_semi").withColumn("n", F.size("set").cast("long"))
     exact = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    members = cut(_rarest(whole, F.explode("set"), F.col("n"), exact))
-    for turn in range(rounds + 1):
-        members = cut(_divided(members, parts))
-        pairs, n = members.agg(F.sum(F.col("apart") / F.col("c")), F.count("*")).first()
-        if not n:
-            break
-        if turn == rounds or pairs <= pairs_each * n:
-            held = members.groupBy("id").agg(F.collect_list("v").alias("held")).join(members, "id")
-            x, y = (held.select("v", F.col("id").alias(e), F.col("n").alias(f"n{e}"), F.col("component").alias(f"c{e}"), F.col("held").alias(f"h{e}")) for e in "xy")
-            near = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
-            once = F.array_min(F.array_intersect("hx", "hy")) == F.col("v")  # a pair comes from one of its lists
-            rest = x.join(y, "v").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & near & once)
-        else:
-            rest = members.where("id <> hub").select(F.col("id").alias("x"), F.col("hub").alias("y"))
-        links = cut(links.union(verified(rest)).distinct())
-        parts = connected_components(links)
-        if turn == rounds or pairs <= pairs_each * n:
-            break
-        members = members.select("v", "id", "n", "weight")
+    around = _with_hubs(cut(_rarest(whole, F.explode("set"), F.col("n"), exact))).select("hub", "id", "n").distinct()
+    links = links.union(_around_hubs(around, sets, percent))
+    parts = connected_components(links)
 
     parts = cut(parts)
-    rep = all_rows.select("id", "n").join(same.dropDuplicates(["id"]), "id", "left").withColumn("rep", F.coalesce("rep", "id"))
+    rep = all_rows.select("id", "n").join(same, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
     out = rep.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")
