@@ -11,7 +11,6 @@ from formweave.plans.template import LEAF, Template
 MISSING = "missing"
 #: Share of a row's phrases in metadata strings that makes it a metadata row.
 METADATA = 0.7
-DOC = Window.partitionBy("doc_id").orderBy("row_id")
 
 
 def _visits(node) -> str:
@@ -32,7 +31,7 @@ def records(rows: DataFrame, template: Template) -> DataFrame:
     whole = Window.partitionBy("doc_id").orderBy("row_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumn("_visit", first).withColumn("_boundary", F.first("_visit", ignorenulls=True).over(whole))
     starts = F.expr(f"CASE WHEN size(array_except(_boundary, {texts})) = 0 THEN 1 ELSE 0 END")
-    rows = rows.withColumn("record_id", F.greatest(F.sum(starts).over(DOC), F.lit(1)) - 1)
+    rows = rows.withColumn("record_id", F.greatest(F.sum(starts).over(Window.partitionBy("doc_id").orderBy("row_id")), F.lit(1)) - 1)
     return rows.withColumn("record_id", F.col("record_id").cast("int")).drop("_visit", "_boundary")
 
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from math import gamma, pi, sqrt
+from math import cos, exp, lgamma, pi, sqrt, tan
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -69,21 +68,18 @@ def leader_clusters(vectors: DataFrame, k: int = 1, least: int = 3) -> DataFrame
 
 
 def student_quantile(n: int, p: float = 0.975) -> float:
-    """Quantile of Student's t with n degrees of freedom, by bisection of a Simpson integral."""
-    scale = gamma((n + 1) / 2) / (sqrt(n * pi) * gamma(n / 2)) if n < 300 else 1 / sqrt(2 * pi) * (1 - 1 / (4 * n))
-    density = lambda x: scale * (1 + x * x / n) ** (-(n + 1) / 2)
+    """Quantile of Student's t with n degrees of freedom: bisection on the angle atan(t / sqrt(n)), where the density is a power of the cosine."""
+    scale = exp(lgamma((n + 1) / 2) - lgamma(n / 2)) / sqrt(pi)
 
-    def below(t: float, steps: int = 400) -> float:
-        h = t / steps
-        return 0.5 + h / 3 * sum((1 if i in (0, steps) else 4 if i % 2 else 2) * density(i * h) for i in range(steps + 1))
+    def below(angle: float, steps: int = 200) -> float:
+        h = angle / steps
+        return 0.5 + scale * h / 3 * sum((1 if i in (0, steps) else 4 if i % 2 else 2) * cos(i * h) ** (n - 1) for i in range(steps + 1))
 
-    low, high = 0.0, 700.0 if n == 1 else 60.0
-    while below(high) < p:
-        high *= 2
+    low, high = 0.0, pi / 2
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if below(mid) < p else (low, mid)
-    return (low + high) / 2
+    return sqrt(n) * tan((low + high) / 2)
 
 
 def confidence(frame: DataFrame, group: list[str], value: str, most: int = 200) -> DataFrame:

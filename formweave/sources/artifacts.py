@@ -100,5 +100,5 @@ def read_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> Data
 def html_words(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """words (doc_id, word_idx, page, text): the texts between a page's tags, in order."""
     bare = F.regexp_replace(F.coalesce(html_col, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
-    parts = F.filter(F.transform(F.split(bare, r"<[^>]*>"), F.trim), lambda t: t != "")
+    parts = F.filter(F.transform(F.split(bare, r"<[^>]*>"), lambda t: F.trim(t)), lambda t: t != "")
     return pages.select(F.col(id_col).cast("string").alias("doc_id"), F.posexplode(parts).alias("word_idx", "text")).select("doc_id", "word_idx", F.lit(1).alias("page"), "text")
