@@ -50,3 +50,15 @@ def known_row(metadata_rows: list[list[str]], cells: str = "cells") -> str:
         return "false"
     rows = ", ".join("array(" + ", ".join(string(t.lower()) for t in r) + ")" for r in metadata_rows if r)
     return f"transform({cells}, c -> lower(c.text)) IN ({rows})"
+
+
+def holds_words(metadata: str, text: str) -> str:
+    """SQL: whether a string holds a text between word bounds (space, line end, colon or an end), as written."""
+    bound = r"[ \n:]"
+    quoted = f"regexp_replace({text}, r'([^A-Za-z0-9 ])', r'\\\\$1')"
+    return f"({metadata} RLIKE concat(r'(^|{bound})', {quoted}, r'($|{bound})'))"
+
+
+def occurrences(phrases: DataFrame) -> DataFrame:
+    """phrases with nth, the number of the phrase among its text's occurrences in the document: a text's nth box belongs to record nth."""
+    return phrases.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("phrase_idx")))

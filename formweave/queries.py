@@ -410,3 +410,16 @@ def metadata_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_PHRASES + "SELECT 'merged' AS doc_id, count(*) AS phrases, (SELECT sum(p) FROM (SELECT max(page) AS p FROM f GROUP BY doc_id))::INT AS pages, (count(*) - 1)::INT AS last FROM f")
 def merged_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.merge_documents(forms(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("phrases"), F.count_distinct("page").cast("int").alias("pages"), F.max("phrase_idx").alias("last"))
+
+
+@query(_PHRASES + "SELECT doc_id, phrase_idx, row_number() OVER (PARTITION BY doc_id, text ORDER BY phrase_idx)::INT AS nth FROM f")
+def phrase_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.occurrences(forms(spark, sf_dir)).select("doc_id", "phrase_idx", "nth")
+
+
+@query("SELECT n_nationkey, 'Report: ' || n_name || ' X' AS meta, true AS whole, false AS part FROM nation")
+def metadata_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name counts in a header as a whole, its beginning does not."""
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.expr("concat('Report: ', n_name, ' X')").alias("meta"), "n_name")
+    part = "substring(n_name, 1, length(n_name) - 1)"
+    return rows.select("n_nationkey", "meta", F.expr(R.holds_words("meta", "n_name")).alias("whole"), F.expr(R.holds_words("meta", part)).alias("part"))
