@@ -1,4 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, local alignment scores them."""
+"""Benchmark decontamination: rare n-gram seeds find passages, local alignment scores them.
+
+Seeds of an item are common in the corpus for two reasons: the words are common, or
+the item is.  A passage that holds a fair share of its item's seeds is a copy and is
+aligned however many others hold them; of the rest, those with a rare seed are.
+"""
 
 from __future__ import annotations
 
@@ -22,6 +27,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
 #: A seed is rare if at most so many passages per passage of its item's rarest seed hold it, and always up to FEW.
 TIMES, FEW = 4, 8
+#: A passage with one in SHARE of its item's different seeds, and two at least, is aligned in any case.
+SHARE, LEAST = 10, 2
 
 _BITS = 22
 
@@ -50,8 +57,11 @@ class Items:
         self.ids = [i for i, _ in rows]
         self.words = [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         self.at: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.fair: list[int] = []
         for k, words in enumerate(self.words):
-            for p, s in enumerate(_seeds(words).tolist()):
+            own = _seeds(words).tolist()
+            self.fair.append(max(LEAST, -(-len(set(own)) // SHARE)))
+            for p, s in enumerate(own):
                 self.at[s].append((k, p))
         self.seeds = np.array(sorted(self.at), np.uint64)
         self.bits = np.zeros(1 << _BITS, bool)
@@ -106,7 +116,7 @@ def _finder(shared):
         items = _items(shared)
         for batch in batches:
             ids, raw, offsets = batch.column(0), *text_bytes(batch.column(1))
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for first, _, part, at in chunks(raw, offsets):
                 starts, ends, doc = word_spans(part, at)
                 if len(starts) < SEED:
@@ -119,10 +129,10 @@ def _finder(shared):
                     lo, hi = np.searchsorted(doc, [d, d + 1])
                     own = found[(found >= lo) & (found < hi)] - lo
                     for k, start, passage, held in _passages(items, words[lo:hi], own, seeds[lo:hi]):
-                        for column, value in zip(out, (ids[first + int(d)].as_py(), items.ids[k], start, passage.view(np.int64), np.array(held, np.uint64).view(np.int64)), strict=True):
+                        for column, value in zip(out, (ids[first + int(d)].as_py(), items.ids[k], start, passage.view(np.int64), np.array(held, np.uint64).view(np.int64), len(held) >= items.fair[k]), strict=True):
                             column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc", "item", "start", "passage", "seeds"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc", "item", "start", "passage", "seeds", "fair"])
 
     return run
 
@@ -155,7 +165,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(id_col, item_col, score, n_passages): documents that hold an edited or exact copy of an item.
 
     Words are lower-cased (A-Z).  The score is the best local alignment of a passage
-    around a seed, 1 for a verbatim copy.  Null texts and ids on either side, and items
+    around a seed, 1 for a verbatim copy.  A popular item is found in all its copies:
+    passages with a fair share of the item's seeds are aligned whatever their number.  Null texts and ids on either side, and items
     of fewer than SEED words, match nothing; items that share an id are one row, with
     the best score; so are repeated documents.  The benchmark is taken in blocks of
     about BLOCK_WORDS words, each sent to the executors; documents are never capped.
@@ -172,13 +183,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         rows = [tuple(r) for r in tests.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).orderBy("item", "text").collect()]
         # items that share an id get a row each here
         shared = spark.sparkContext.broadcast((hash(tuple(rows)), rows))
-        found = cut(texts.mapInArrow(_finder(shared), "doc long, item long, start long, passage array<long>, seeds array<long>"))
-        held = found.select("doc", "item", "start", F.explode("seeds").alias("seed"))
+        found = cut(texts.mapInArrow(_finder(shared), "doc long, item long, start long, passage array<long>, seeds array<long>, fair boolean"))
+        held = found.select("doc", "item", "start", "fair", F.explode("seeds").alias("seed"))
         spread = held.groupBy("item", "seed").agg(F.count("*").alias("n"))
         least = spread.groupBy("item").agg(F.min("n").alias("least"))
-        rare = spread.join(least, "item").where(F.col("n") <= F.greatest(F.col("least") * TIMES, F.lit(FEW))).select("item", "seed")
-        chosen = held.join(rare, ["item", "seed"]).select("doc", "item", "start").distinct()
-        scored = found.drop("seeds").join(chosen, ["doc", "item", "start"], "left_semi").select("doc", "item", "start", "passage")
+        # a row for each different seed of the block at most, so BLOCK_WORDS bounds what is broadcast
+        rare = F.broadcast(spread.join(least, "item").where(F.col("n") <= F.greatest(F.col("least") * TIMES, F.lit(FEW))).select("item", "seed"))
+        chosen = held.where("not fair").join(rare, ["item", "seed"]).select("doc", "item", "start").distinct()
+        passages = found.select("doc", "item", "start", "passage", "fair")
+        scored = passages.where("fair").union(passages.where("not fair").join(chosen, ["doc", "item", "start"], "left_semi")).drop("fair")
         results.append(scored.mapInArrow(_scorer(shared), "doc long, item long, start long, score double").where(F.col("score") >= threshold))
     if not results:
         results = [spark.createDataFrame([], "doc long, item long, start long, score double")]

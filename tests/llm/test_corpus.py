@@ -250,6 +250,15 @@ def test_decontamination(spark):
     assert contaminated(hard_rows(spark), bench).count() == 0 and contaminated(docs(spark, texts), bench.where("false")).count() == 0
 
 
+def test_decontamination_of_a_popular_item(spark):
+    item = prose(7000, 30, 4000)
+    edited = " ".join("changed" if k in (10, 20) else w for k, w in enumerate(item.split()))
+    texts = {0: prose(1, 50) + " " + item} | {i: prose(i + 10, 60) + " " + edited + " " + prose(i + 900, 60) for i in range(1, 61)}
+    texts |= {100 + i: prose(i + 2000, 60) + " " + " ".join(item.split()[:4]) + " " + prose(i + 3000, 60) for i in range(40)}
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r.doc_id for r in contaminated(docs(spark, texts), bench).collect()} == set(range(61))
+
+
 def test_alignment_score():
     import numpy as np
 
