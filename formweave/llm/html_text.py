@@ -23,17 +23,30 @@ VOID = frozenset("area base br col hr img input link meta param source track wbr
 FRAME = frozenset("nav header footer aside form menu dialog fieldset".split())
 #: Parts of class names and ids that mark what is not the article, and what is.
 OUTSIDE = re.compile(
-    r"(?<![a-z])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|menu|nav\w*|navigation|breadcrumbs?|footer|header|masthead|sidebar|side|widget|comments?|disqus|repl(?:y|ies)|respond|discussion"
-    r"|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|pagination|pager|tags?|copyright|legal|toolbar|skip)(?![a-z])"
+    r"(?<![a-z])(?:ad(?:s|vert\w*|sense|slot|box|unit|block|container|wrapper|area)?|banner|sponsor\w*|promo\w*|(?:top|sub|main|side|foot|bottom|mega|drop)?(?:menu|nav)\w*|dropdown|breadcrumbs?|(?:site|page|top)?(?:footer|header)|masthead"
+    r"|(?:side|left|right|top|bottom|info|tool)bar|side|rail|widgets?|complementary|contentinfo|comment\w*|disqus|repl(?:y|ies)|respond|responses?|discussion|(?:cookie|consent|gdpr)\w*|notices?|alert|popup|modal|overlay"
+    r"|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|pagination|pager|tags|tag (?:list|cloud|links)|copyright|legal|skip)(?![a-z])"
 )
+#: What says that a page has, or has not, something beside its article, and the head of the article itself.
+BESIDE = re.compile(r"(?<![a-z])(?:no|has|have|with|without|hide|show) ?(?:sidebars?|menu|nav\w*|header|footer|banner|ads?|comments?|widgets?)(?![a-z])")
+HEAD_OF = re.compile(r"(?<![a-z])(article|entry|post|story|content) ?(?:header|heading|head|title)(?![a-z])")
 INSIDE = re.compile(r"(?<![a-z])(?:article|content|entry|main|post|story|text|body)(?![a-z])")
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=)*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "outside", "inside", "article", "heading")
 
 
+def class_names(attributes: str) -> str:
+    """The words of an element's classes, id and role: lower case, parted at case changes, ``-`` and ``_``."""
+    if "=" not in attributes:
+        return ""
+    names = " ".join(a or b or c for a, b, c in NAMES.findall(attributes))
+    names = re.sub(r"(?<=[a-z])(?=[A-Z])|[-_]+", " ", names).lower()
+    return HEAD_OF.sub(r"\1", BESIDE.sub("", names)).strip()
+
+
 def blocks(page: str) -> list[tuple[str, float, bool, bool, bool, bool]]:
     """(text, link density, outside marks, inside marks, page has an article element and the block is in it, heading) of every text block in order.
 
@@ -100,7 +113,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool, bool]]:
                 if open_ and open_[-1][0] == name:
                     open_.pop()
             parent = open_[-1] if open_ else ("", False, False, False)
-            names = " ".join(a or b or c for a, b, c in NAMES.findall(mark[3])).lower().replace("_", " ").replace("-", " ")
+            names = class_names(mark[3])
             article = parent[3] or name in ("article", "main")
             outside = parent[1] or (name in FRAME and not (name == "header" and parent[3])) or bool(HIDDEN.search(mark[3]))
             if names and name not in ("html", "body", "article", "main"):

@@ -155,6 +155,19 @@ def test_html_text(spark):
     assert len(got) == 3 and all(r.n_chars == len(r.text) for r in got)
 
 
+def test_html_text_of_other_markup():
+    main, junk = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma", "words that are never part of the main text of any page at all"
+    art, p = f"<article><h1>Head</h1><p>{main}</p></article>", f"<p>{main}</p>"
+    for page in (
+        f'<article><div class="entry-header"><h1>Head</h1></div>{p}</article>', f'<div class="post hentry tag-news"><h1>Head</h1>{p}</div>', f'<div class="has-sidebar no-comments">{art}<div class="sidebar">{junk}</div></div>',
+        f'<div id="main"><h1>Head</h1>{p}<ol class="commentlist"><li>{junk}</ol></div>', f'<div id="content"><div class="cookiebar">{junk}</div><h1>Head</h1>{p}</div>', f'<article><h1>Head</h1><div class="adslot">{junk}</div>{p}</article>',
+        f'<article><h1>Head</h1>{p}<div class="pageFooter">{junk}</div></article>', f'<div class="topnav"><p>{junk}</div><div class=content><h1>Head</h1>{p}</div>', f'<div role="complementary"><p>{junk}</div><div role="main"><h1>Head</h1>{p}</div>',
+        f"<article><h1>Head</h1><p title=it's data-x = 'a > b' alt=\"c > d\">{main}</p></article>", f'<article><header><h1>Head</h1></header>{p}<footer>{junk}</footer></article>', f'{art}<section class="reader-comments"><article>{junk}</article></section>',
+    ):
+        assert main_text("<body>" + page) == f"Head {main}", page
+    assert main_text('<article><p title="cut') == "" and main_text("<article><p>a = b <= c <d =e>f") == "a = b <= c f"
+
+
 def test_url_filter(spark):
     cases = {
         "https://A.Example.com/en/7?x": ("a.example.com", "/en/7", "example.com/en/7", "allow"), "http://x.com/en/1": ("x.com", "/en/1", "com/en/", "block"), "http://net/de/": ("net", "/de/", "net/de/", "allow"),
