@@ -114,11 +114,11 @@ f AS (SELECT *, (total - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECED
       FROM c WINDOW o AS (ORDER BY cap / weight, rank)),
 g AS (SELECT source, source_size, CASE WHEN is_full THEN cap::DOUBLE ELSE (weight * (total - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER ()))::DOUBLE
         / sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER () END AS target FROM f),
-p AS (SELECT d.doc_id, d.size, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN least(g.target / g.source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS each,
+p AS (SELECT d.doc_id, d.source, d.size, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN least(g.target / g.source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS each,
         row_number() OVER (PARTITION BY d.source ORDER BY d.size - d.size % (10 ** greatest(length(d.size::VARCHAR) - 2, 0))::BIGINT, coalesce(d.doc_id % {SALTS}, {SALTS}), d.size, d.doc_id) AS nth
       FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
-o AS (SELECT p.*, source, turn, {offset_of(20240301)!r}::DOUBLE + turn / {TURNS} - floor({offset_of(20240301)!r}::DOUBLE + turn / {TURNS}) AS start
-      FROM p JOIN (SELECT doc_id AS id, source FROM d) ON id IS NOT DISTINCT FROM doc_id, (SELECT unnest(range({TURNS}))::DOUBLE AS turn)),
+o AS (SELECT p.*, turn, {offset_of(20240301)!r}::DOUBLE + turn / {TURNS} - floor({offset_of(20240301)!r}::DOUBLE + turn / {TURNS}) AS start
+      FROM p, (SELECT unnest(range({TURNS}))::DOUBLE AS turn)),
 k AS (SELECT *, least(floor(nth * each + start) - floor((nth - 1) * each + start), 3)::BIGINT AS copies FROM o),
 b AS (SELECT source, turn, abs(sum(copies * size) - any_value(target)) AS miss FROM k GROUP BY source, turn),
 c2 AS (SELECT source, arg_min(turn, miss * 1e6 + turn) AS turn FROM b GROUP BY source)
