@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from formweave.api import Engine
 from formweave.functions import present as V
+from formweave.functions.tokens import token_counter
 from formweave.operators import edit as U, extract as X, fields as K, learn as L, phrases as P, rows as R
 from formweave.operators.oracle import RuleOracle, call_cost, metadata_strings as metadata_by_recurrence
 from formweave.plans import template as T
@@ -73,12 +74,25 @@ def form_extract_shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(_cells(spark, sf_dir, "shifted"))
 
 
-@query()
+_NESTED = source(f""", t AS (SELECT doc_id, record_id, row_no, unnest([{', '.join(f"{{'c': {c}, 'k': '{k}', 'v': v{c}}}" for c, k in enumerate(TABLE_FIELDS))}]) AS x FROM lines),
+  h AS (SELECT doc_id, record_id, unnest([{', '.join(f"{{'c': {c}, 'k': '{k}', 'v': v{c}}}" for c, k in enumerate(KV_FIELDS))}]) AS x FROM heads),
+  i AS (SELECT 'forms_' || d AS doc_id, rk AS record_id, unnest([{{'c': 0, 'k': 'Mode', 'v': 'mode ' || l_linestatus}}, {{'c': 1, 'k': 'Flag', 'v': 'flag ' || l_returnflag}}]) AS x FROM o JOIN l ON l_orderkey = o_orderkey WHERE n = 1),
+  u AS (SELECT doc_id, record_id, 0 AS block_id, 'kv' AS block_type, 1 AS row_no, x FROM h UNION ALL SELECT doc_id, record_id, 1, 'table', row_no, x FROM t UNION ALL SELECT doc_id, record_id, 2, 'table', 1, x FROM i)
+SELECT doc_id, record_id::INT AS record_id, block_id, block_type, row_no::INT AS row_no, x.c::INT AS col_no, x.k AS key, coalesce(x.v, 'missing') AS value FROM u""")
+
+
+@query(_NESTED)
 def form_extract_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An inner table between the rows of the outer one; all cells of both."""
     return _cells(spark, sf_dir, "nested", NESTED).select("doc_id", "record_id", "block_id", "block_type", "row_no", "col_no", "key", F.coalesce("value", F.lit(X.MISSING)).alias("value"))
 
 
+@query(source(" SELECT doc_id, record_id::INT AS record_id, row_no::INT AS row_no, 'Discount' AS key FROM lines WHERE v5 IS NULL"))
+def form_extract_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells that a form leaves out."""
+    return _cells(spark, sf_dir).where("value IS NULL").select("doc_id", "record_id", "row_no", "key")
+
+
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = R.visual_rows(forms(spark, sf_dir))
     return X.label_rows(X.records(rows, FORM), FORM, METADATA, [["Order Report", f"Sheet {p}"] for p in range(1, 26)])
@@ -377,7 +391,17 @@ def llm_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.round(call_cost(model, F.length("text"), F.lit(100), F.lit(2)), 12).alias("cost"))
 
 
-@query(source("SELECT doc_id, record_id::INT AS record_id, row_no::INT AS row_no, " + ", ".join(f"coalesce(v{c}, 'missing') AS \"{k}\"" for c, k in enumerate(TABLE_FIELDS)) + " FROM lines"))
+@query()
+def llm_token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs of the conversations as model calls: each turn's text is the prompt, the next turn's the reply."""
+    count = token_counter(spark)
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", count("text").alias("tokens_in"))
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    turns = turns.withColumn("tokens_out", F.coalesce(F.lead("tokens_in").over(order), F.lit(0)))
+    return turns.withColumn("cost", F.round(call_cost(F.lit("gpt-4o-mini"), F.col("tokens_in"), F.col("tokens_out"), F.lit(0)), 12))
+
+
+@query(source(" SELECT doc_id, record_id::INT AS record_id, row_no::INT AS row_no, " + ", ".join(f"coalesce(v{c}, 'missing') AS \"{k}\"" for c, k in enumerate(TABLE_FIELDS)) + " FROM lines"))
 def table_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table_pivot(_cells(spark, sf_dir), list(TABLE_FIELDS)).drop("block_id")
 

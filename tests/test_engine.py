@@ -1,5 +1,6 @@
 """Operators on tiny layouts; whole queries are held against SQL by test_queries."""
 
+import os
 import random
 
 import pytest
@@ -96,6 +97,19 @@ def test_replies_and_costs(spark):
         oracle.is_pair("a", "b")
 
 
+def test_token_counts_of_prompts(spark):
+    from formweave.functions.tokens import DEFAULT_RANKS, PATTERN, read_ranks, token_counter
+
+    tiktoken = pytest.importorskip("tiktoken")
+    if not os.path.exists(DEFAULT_RANKS):
+        pytest.skip("no vocabulary")
+    exact = tiktoken.Encoding("x", pat_str=PATTERN, mergeable_ranks=read_ranks(), special_tokens={})
+    texts = ["Order Key|Customer", "", None, "it's 12 é\n\n <|endoftext|>", "a b " * 500]
+    count = token_counter(spark)
+    got = {r.i: r.n for r in spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", count("text").alias("n")).collect()}
+    assert got == {i: len(exact.encode_ordinary(t or "")) for i, t in enumerate(texts)}
+
+
 def test_quantiles():
     assert K.student_quantile(1) == pytest.approx(12.7062047, abs=1e-5)
     assert K.student_quantile(30) == pytest.approx(2.0422725, abs=1e-6)
