@@ -165,7 +165,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(id_col, item_col, score, n_passages): documents that hold an edited or exact copy of an item.
 
     Words are lower-cased (A-Z).  The score is the best local alignment of a passage
-    around a seed, 1 for a verbatim copy.  A popular item is found in all its copies:
+    around a seed, 1 for a verbatim copy.  Popularity of an item hides no such copy:
     passages with a fair share of the item's seeds are aligned whatever their number.  Null texts and ids on either side, and items
     of fewer than SEED words, match nothing; items that share an id are one row, with
     the best score; so are repeated documents.  The benchmark is taken in blocks of
