@@ -219,11 +219,22 @@ i AS (SELECT t, unnest(range(1, len(t) + 1)) AS i FROM w), j AS (SELECT t, i, un
 SELECT DISTINCT array_to_string(t[i:j], ' ') AS sub FROM j"""
 )
 def subphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of tokens of first lines; ground phrases are short, so longer lines are none."""
+    """Runs of tokens of first lines of up to 60 tokens, as its SQL has them; subphrases_ground takes whole texts."""
     first = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.expr("split(text, '\\n')[0]").alias("text"))
     return P.subphrases(first.where("size(split(text, '\\\\s+')) <= 60"))
 
 
+@query(
+    _PHRASES
+    + """, w AS (SELECT list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS t FROM (SELECT DISTINCT text FROM f)),
+i AS (SELECT t, unnest(range(1, len(t) + 1)) AS i FROM w), j AS (SELECT t, i, unnest(range(i, len(t) + 1)) AS j FROM i)
+SELECT DISTINCT array_to_string(t[i:j], ' ') AS sub FROM j"""
+)
+def subphrases_ground(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of tokens of every different phrase of the forms, all pages, whole."""
+    return P.subphrases(forms(spark, sf_dir).select("text").distinct())
+
+
 _PAIRS = (
     _PHRASES
     + """, n AS (SELECT a.doc_id, a.page, a.phrase_idx AS a, b.phrase_idx AS b, a.text AS a_text, b.text AS b_text, CASE WHEN a.y1 < b.y0 THEN b.y0 - a.y1 WHEN b.y1 < a.y0 THEN a.y0 - b.y1 ELSE 0 END AS distance,

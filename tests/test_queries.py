@@ -27,3 +27,20 @@ def test_query_equals_sql(spark, name):
     assert sorted(found.columns) == sorted(names)
     got = [tuple(r[n] for n in names) for r in found.collect()]
     assert sorted(map(comparable, got), key=repr) == sorted(map(comparable, want.fetchall()), key=repr)
+
+
+def same_rows(spark, name):
+    tables = duckdb.connect()
+    for path in Path(FOLDER).glob("*.parquet"):
+        tables.execute(f"create view {path.stem} as select * from '{path}'")
+    want = tables.execute(ORACLES[name])
+    names = [c[0] for c in want.description]
+    got = [tuple(r[n] for n in names) for r in QUERIES[name](spark, FOLDER).collect()]
+    assert sorted(map(comparable, got), key=repr) == sorted(map(comparable, want.fetchall()), key=repr)
+    return got
+
+
+def test_subphrases_of_whole_texts(spark):
+    found = {r[0] for r in same_rows(spark, "subphrases_ground")}
+    texts = [r.text for r in QUERIES["rendered_phrases"](spark, FOLDER).select("text").distinct().collect()]
+    assert found == {" ".join(t[i:j]) for t in map(str.split, texts) for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
