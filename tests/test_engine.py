@@ -115,6 +115,13 @@ def test_quantiles():
     assert K.student_quantile(30) == pytest.approx(2.0422725, abs=1e-6)
 
 
+def test_intervals_of_large_groups(spark):
+    frame = spark.range(200 + 201 + 1000).selectExpr("CASE WHEN id < 200 THEN 200 WHEN id < 401 THEN 201 ELSE 1000 END AS g", "CAST(id % 2 AS DOUBLE) AS v")
+    for r in K.confidence(frame, ["g"], "v").collect():
+        share = r.mean * (1 - r.mean) * r.n / (r.n - 1)
+        assert r.half == pytest.approx(K.student_quantile(r.n - 1) * (share / r.n) ** 0.5, rel=1e-8)
+
+
 def test_labelling_is_optimal():
     r = random.Random(5)
     for _ in range(60):

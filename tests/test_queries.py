@@ -44,3 +44,12 @@ def test_subphrases_of_whole_texts(spark):
     found = {r[0] for r in same_rows(spark, "subphrases_ground")}
     texts = [r.text for r in QUERIES["rendered_phrases"](spark, FOLDER).select("text").distinct().collect()]
     assert found == {" ".join(t[i:j]) for t in map(str.split, texts) for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
+
+
+def test_intervals_of_all_orders(spark):
+    sizes = {}
+    for _, n, _, half in same_rows(spark, "cluster_ci_all"):
+        sizes[n] = sizes.get(n, 0) + 1
+        assert (half is None) == (n == 1)
+    orders = spark.read.parquet(f"{FOLDER}/lineitem.parquet").select("l_orderkey").distinct().count()
+    assert sum(sizes.values()) == orders and min(sizes) == 1 and max(sizes) > 7
