@@ -1,23 +1,24 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, local alignment scores them.
+"""Benchmark decontamination: word pairs find passages, local alignment scores them.
 
-Seeds of an item are common in the corpus for two reasons: the words are common, or
-the item is.  A passage that holds a fair share of its item's seeds is a copy and is
-aligned however many others hold them; of the rest, those with a rare seed are.
+An alignment of at least the threshold has neighbouring words of its item side by side,
+or one word apart, at a known number of places (``least_pairs``).  Every passage with
+as many is aligned, however many others hold the same words; no other passage can
+reach the threshold.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WORD, check_columns, cut
+from .common import WORD, check_columns
 from .textarrays import chunks, mix, text_bytes, word_hashes, word_spans
 
-#: Words of a seed.
+#: Least words of an item.
 SEED = 4
 #: Words of benchmark items that one pass over the documents takes; more items take more passes.
 BLOCK_WORDS = 1_000_000
@@ -25,30 +26,45 @@ BLOCK_WORDS = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least score, as a share of an item's alignment with itself.
 THRESHOLD = 0.5
-#: A seed is rare if at most so many passages per passage of its item's rarest seed hold it, and always up to FEW.
-TIMES, FEW = 4, 8
-#: A passage with one in SHARE of its item's different seeds, and two at least, is aligned in any case.
-SHARE, LEAST = 10, 2
+#: A pair of more items than this is common: up to half of the pairs that an item needs are not looked up.
+COMMON = 8
 
 _BITS = 22
 
 
-def _seeds(words: np.ndarray) -> np.ndarray:
-    """Hashes of the runs of SEED words; shorter input has none."""
-    n = len(words) - SEED + 1
-    if n < 1:
+def _pairs(words: np.ndarray, apart: int) -> np.ndarray:
+    """Hashes of the words with those ``apart`` places on; shorter input has none."""
+    if len(words) <= apart:
         return np.zeros(0, np.uint64)
-    total = np.zeros(n, np.uint64)
-    for j in range(SEED):
-        total = (total ^ words[j : j + n]) * np.uint64(0xC2B2AE3D27D4EB4F)
-        total ^= total >> np.uint64(29)
-    return mix(total)
+    total = words[:-apart] * np.uint64(0xC2B2AE3D27D4EB4F)
+    total ^= total >> np.uint64(29)
+    return mix(total ^ words[apart:])
+
+
+def _least_score(m: int, threshold: float) -> int:
+    return int(np.ceil(MATCH * m * threshold - 1e-9))
+
+
+def least_pairs(m: int, threshold: float) -> int:
+    """How many neighbours of an item of m words stand side by side, or one word apart, in any alignment of the threshold.
+
+    With n matches, n - 1 steps lead from match to match.  All else costs 1 a word: a step
+    over words of the item takes one of its m - n unmatched words, a step over two or
+    more words of the passage costs 2; the score leaves 2 n - score to spend.  The
+    answer is 1 at least, which a threshold of 0.5 grants to items of SEED words.
+    """
+    score, least = _least_score(m, threshold), m
+    for n in range(1, m + 1):
+        if (spare := MATCH * n - score) >= 0:
+            over = min(m - n, spare)
+            least = min(least, n - 1 - over - (spare - over) // 2)
+    return max(1, least)
 
 
 class Items:
-    """A block of benchmark items as word hashes, with an index of their seeds."""
+    """A block of benchmark items as word hashes, with an index of their pairs."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int, str]], threshold: float):
         column = pa.array([t for _, t in rows], pa.string())
         raw, offsets = text_bytes(column)
         starts, ends, doc = word_spans(raw, offsets)
@@ -56,59 +72,93 @@ class Items:
         bounds = np.searchsorted(doc, np.arange(len(rows) + 1))
         self.ids = [i for i, _ in rows]
         self.words = [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        self.at: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.fair: list[int] = []
-        for k, words in enumerate(self.words):
-            own = _seeds(words).tolist()
-            self.fair.append(max(LEAST, -(-len(set(own)) // SHARE)))
-            for p, s in enumerate(own):
-                self.at[s].append((k, p))
-        self.seeds = np.array(sorted(self.at), np.uint64)
+        self.score = [_least_score(len(w), threshold) for w in self.words]
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.need = np.ones(len(rows), np.int64)
+        own = [_pairs(w, 1).tolist() if len(w) >= SEED else [] for w in self.words]
+        holders = Counter(s for pairs in own for s in set(pairs))
+        found: list[tuple[int, int, int]] = []
+        for k, pairs in enumerate(own):
+            least = least_pairs(len(self.words[k]), threshold)
+            common = sorted((p for p, s in enumerate(pairs) if holders[s] > COMMON), key=lambda p: (-holders[pairs[p]], p))[: least // 2]
+            self.need[k] = least - len(common)
+            found += [(s, k, p) for p, s in enumerate(pairs) if p not in common]
+        found.sort()
+        self.seeds, first = np.unique(np.array([s for s, _, _ in found], np.uint64), return_index=True)
+        self.first = np.append(first, len(found)).astype(np.int64)
+        self.item, self.place = (np.array([x[c] for x in found], np.int64) for c in (1, 2))
         self.bits = np.zeros(1 << _BITS, bool)
         self.bits[(self.seeds & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = True
 
-    def hits(self, seeds: np.ndarray) -> np.ndarray:
-        """Positions of seeds that some item has."""
-        maybe = np.flatnonzero(self.bits[(seeds & np.uint64((1 << _BITS) - 1)).astype(np.int64)])
-        if not len(maybe):
-            return maybe
-        at = np.minimum(np.searchsorted(self.seeds, seeds[maybe]), len(self.seeds) - 1)
-        return maybe[self.seeds[at] == seeds[maybe]]
+    def hits(self, words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, item, place in the item) of every pair of words of one document that an item has side by side."""
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for apart in (1, 2):
+            seeds = _pairs(words, apart)
+            maybe = np.flatnonzero(self.bits[(seeds & np.uint64((1 << _BITS) - 1)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.seeds, seeds[maybe]), len(self.seeds) - 1)
+            right = (self.seeds[at] == seeds[maybe]) & (doc[maybe] == doc[maybe + apart]) if len(maybe) else np.zeros(0, bool)
+            maybe, at = maybe[right], at[right]
+            n = self.first[at + 1] - self.first[at]
+            each = np.arange(n.sum()) + np.repeat(self.first[at] - np.cumsum(n) + n, n)
+            out.append((np.repeat(maybe, n), self.item[each], self.place[each]))
+        position, item, place = (np.concatenate(c) for c in zip(*out, strict=True))
+        return position, item, place
+
+    def passages(self, words: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray, int, int]]:
+        """(document, item, first word, words, own part's start and end) wherever enough pairs lie within an alignment's reach; overlapping own parts of an item are one."""
+        position, item, place = self.hits(words, doc)
+        group = doc[position] * len(self.ids) + item
+        order = np.lexsort((position, group))
+        position, item, place, group = position[order], item[order], place[order], group[order]
+        spare = MATCH * self.size - np.array(self.score, np.int64)  # most words that an alignment skips
+        last = np.arange(len(order)) + self.need[item] - 1
+        i = np.flatnonzero(last < len(order))
+        i = i[(group[last[i]] == group[i]) & (position[last[i]] - position[i] < (self.size + spare)[item[i]])]
+        marks = np.zeros(len(order) + 1, np.int64)
+        np.add.at(marks, i, 1)
+        np.add.at(marks, last[i] + 1, -1)
+        spans: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        for h in np.flatnonzero(np.cumsum(marks[:-1]) > 0).tolist():
+            k, p = int(item[h]), int(position[h] - place[h])
+            m = len(self.words[k])
+            spans[int(doc[position[h]]), k].append((p - m // 4 - 4, p + m + m // 4 + 4))
+        for (d, k), found in spans.items():
+            lo, hi = (int(x) for x in np.searchsorted(doc, [d, d + 1]))
+            found.sort()
+            merged = [found[0]]
+            for a, b in found[1:]:
+                if a > merged[-1][1]:
+                    merged.append((a, b))
+                else:
+                    merged[-1] = (merged[-1][0], max(merged[-1][1], b))
+            for a, b in merged:
+                # all that an alignment through one of the pairs may reach
+                first = max(lo, a - int(spare[k]))
+                yield d, k, first - lo, words[first : min(hi, b + int(spare[k]))], max(a, lo) - first, b - first
+
+
+def _aligned(item: np.ndarray, passage: np.ndarray, first: int, last: int) -> tuple[int, int, int, int]:
+    """Best Smith-Waterman score and the word that it ends with, and both of what ends with words first to last - 1."""
+    steps = np.arange(len(passage)) * -GAP
+    row, best, end, own, own_end = np.zeros(len(passage) + 1, np.int64), 0, 0, 0, 0
+    for word in item:
+        through = row[:-1] + np.where(passage == word, MATCH, MISMATCH)
+        open_ = np.maximum(np.maximum(through, row[1:] + GAP), 0)
+        row[1:] = np.maximum.accumulate(open_ + steps) - steps
+        if (top := int(row.max())) > best:
+            best, end = top, int(row.argmax()) - 1
+        part = row[first + 1 : last + 1]
+        if len(part) and (top := int(part.max())) > own:
+            own, own_end = top, first + int(part.argmax())
+    return best, end, own, own_end
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> float:
     """Smith-Waterman score of two word sequences over the item's score with itself."""
     if not len(item) or not len(passage):
         return 0.0
-    steps = np.arange(len(passage)) * -GAP
-    row, best = np.zeros(len(passage) + 1, np.int64), 0
-    for word in item:
-        through = row[:-1] + np.where(passage == word, MATCH, MISMATCH)
-        open_ = np.maximum(np.maximum(through, row[1:] + GAP), 0)
-        row[1:] = np.maximum.accumulate(open_ + steps) - steps
-        best = max(best, int(row.max()))
-    return best / (MATCH * len(item))
-
-
-def _passages(items: Items, words: np.ndarray, positions: np.ndarray, seeds: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, list[int]]]:
-    """(item, first word, passage, seeds) around the hits of one document; overlapping passages of an item are one."""
-    spans: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-    for p in positions.tolist():
-        seed = int(seeds[p])
-        for k, q in items.at[seed]:
-            m = len(items.words[k])
-            slack = m // 4 + 4
-            spans[k].append((max(0, p - q - slack), min(len(words), p + m - q + slack), seed))
-    for k, found in spans.items():
-        found.sort()
-        first, last, held = found[0][0], found[0][1], set()
-        for a, b, seed in found:
-            if a > last:
-                yield k, first, words[first:last], sorted(held)
-                first, last, held = a, b, set()
-            last = max(last, b)
-            held.add(seed)
-        yield k, first, words[first:last], sorted(held)
+    return _aligned(item, passage, 0, 0)[0] / (MATCH * len(item))
 
 
 def _finder(shared):
@@ -116,35 +166,22 @@ def _finder(shared):
         items = _items(shared)
         for batch in batches:
             ids, raw, offsets = batch.column(0), *text_bytes(batch.column(1))
-            out: list[list] = [[], [], [], [], [], []]
-            for first, _, part, at in chunks(raw, offsets):
+            out: list[list] = [[], [], [], []]
+            for first, _, part, at in chunks(raw, offsets) if len(items.seeds) else ():
                 starts, ends, doc = word_spans(part, at)
-                if len(starts) < SEED:
-                    continue
                 words = word_hashes(part, starts, ends)
-                seeds = _seeds(words)
-                found = items.hits(seeds)
-                found = found[doc[found] == doc[found + SEED - 1]]
-                for d in np.unique(doc[found]):
-                    lo, hi = np.searchsorted(doc, [d, d + 1])
-                    own = found[(found >= lo) & (found < hi)] - lo
-                    for k, start, passage, held in _passages(items, words[lo:hi], own, seeds[lo:hi]):
-                        for column, value in zip(out, (ids[first + int(d)].as_py(), items.ids[k], start, passage.view(np.int64), np.array(held, np.uint64).view(np.int64), len(held) >= items.fair[k]), strict=True):
-                            column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc", "item", "start", "passage", "seeds", "fair"])
-
-    return run
-
-
-def _scorer(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = _items(shared)
-        number = {i: k for k, i in enumerate(items.ids)}
-        for batch in batches:
-            passages = batch.column(3)
-            scores = [align(items.words[number[i]], np.array(passages[r].values, np.int64).view(np.uint64)) for r, i in enumerate(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(scores, pa.float64())], names=["doc", "item", "start", "score"])
+                for d, k, start, passage, a, b in items.passages(words, doc):
+                    item = items.words[k]
+                    # a match takes a word of the item that the passage has
+                    if MATCH * int(np.isin(item, passage).sum()) < items.score[k]:
+                        continue
+                    best, end, own, own_end = _aligned(item, passage, a, b)
+                    # a copy that only the reach holds is its own passage's, and known by its end
+                    where = start + (own_end if own >= items.score[k] else end)
+                    for column, value in zip(out, (ids[first + d].as_py(), items.ids[k], where, best / (MATCH * len(item))), strict=True):
+                        column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc", "item", "place", "score"])
 
     return run
 
@@ -154,19 +191,20 @@ _known: dict[int, Items] = {}
 
 def _items(shared) -> Items:
     """The block's index, built once for a worker process."""
-    key, rows = shared.value
+    key, rows, threshold = shared.value
     if key not in _known:
         _known.clear()
-        _known[key] = Items(rows)
+        _known[key] = Items(rows, threshold)
     return _known[key]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:
     """(id_col, item_col, score, n_passages): documents that hold an edited or exact copy of an item.
 
-    Words are lower-cased (A-Z).  The score is the best local alignment of a passage
-    around a seed, 1 for a verbatim copy.  Popularity of an item hides no such copy:
-    passages with a fair share of the item's seeds are aligned whatever their number.  Null texts and ids on either side, and items
+    Words are lower-cased (A-Z).  The score is the best local alignment of a passage,
+    1 for a verbatim copy.  Every passage that can score the threshold is aligned,
+    however common its words are (below a threshold of 0.5, if it has a pair of
+    the item's neighbouring words).  Null texts and ids on either side, and items
     of fewer than SEED words, match nothing; items that share an id are one row, with
     the best score; so are repeated documents.  The benchmark is taken in blocks of
     about BLOCK_WORDS words, each sent to the executors; documents are never capped.
@@ -182,20 +220,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for b in range(blocks):
         rows = [tuple(r) for r in tests.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).orderBy("item", "text").collect()]
         # items that share an id get a row each here
-        shared = spark.sparkContext.broadcast((hash(tuple(rows)), rows))
-        found = cut(texts.mapInArrow(_finder(shared), "doc long, item long, start long, passage array<long>, seeds array<long>, fair boolean"))
-        held = found.select("doc", "item", "start", "fair", F.explode("seeds").alias("seed"))
-        spread = held.groupBy("item", "seed").agg(F.count("*").alias("n"))
-        least = spread.groupBy("item").agg(F.min("n").alias("least"))
-        # a row for each different seed of the block at most, so BLOCK_WORDS bounds what is broadcast
-        rare = F.broadcast(spread.join(least, "item").where(F.col("n") <= F.greatest(F.col("least") * TIMES, F.lit(FEW))).select("item", "seed"))
-        chosen = held.where("not fair").join(rare, ["item", "seed"]).select("doc", "item", "start").distinct()
-        passages = found.select("doc", "item", "start", "passage", "fair")
-        scored = passages.where("fair").union(passages.where("not fair").join(chosen, ["doc", "item", "start"], "left_semi")).drop("fair")
-        results.append(scored.mapInArrow(_scorer(shared), "doc long, item long, start long, score double").where(F.col("score") >= threshold))
+        shared = spark.sparkContext.broadcast((hash((tuple(rows), threshold)), rows, threshold))
+        scored = texts.mapInArrow(_finder(shared), "doc long, item long, place long, score double")
+        results.append(scored.where(F.col("score") >= threshold))
     if not results:
-        results = [spark.createDataFrame([], "doc long, item long, start long, score double")]
+        results = [spark.createDataFrame([], "doc long, item long, place long, score double")]
     total = results[0]
     for more in results[1:]:
         total = total.union(more)
-    return total.groupBy(F.col("doc").alias(id_col), F.col("item").alias(item_col)).agg(F.max("score").alias("score"), F.count_distinct("start").alias("n_passages"))
+    return total.groupBy(F.col("doc").alias(id_col), F.col("item").alias(item_col)).agg(F.max("score").alias("score"), F.count_distinct("place").alias("n_passages"))

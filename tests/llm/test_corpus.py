@@ -272,6 +272,35 @@ def test_decontamination_of_a_popular_item(spark):
     assert {r.doc_id for r in contaminated(docs(spark, texts), bench).collect()} == set(range(61))
 
 
+def test_decontamination_finds_every_alignment_of_the_threshold(spark):
+    """Edited copies against the alignment of whole documents, and popular edits beside one stray seed."""
+    import numpy as np
+
+    r, texts = random.Random(12), {}
+    items = {k: prose(8000 + k, m, 4000) for k, m in enumerate((4, 5, 8, 14, 16, 16, 24, 40))}
+
+    def edited(words, share):
+        out = []
+        for w in words:
+            x = r.random()
+            out += [w] if x > share else [f"e{r.randrange(99)}"] if x < share / 3 else [w, f"i{r.randrange(99)}"] if x < 2 * share / 3 else []
+        return " ".join(out)
+
+    for i in range(400):
+        words = items[i % 8].split()
+        texts[i] = " ".join([prose(i, r.randint(0, 30)), edited(words, r.choice([0.1, 0.3, 0.5, 0.7])), prose(i + 5000, r.randint(0, 30))])
+    words = items[4].split()
+    for i in range(400, 420):  # no four words in a row; a word between any two; a few seeds, held by many
+        texts[i] = prose(i, 20) + " " + " ".join(("x" if k % 4 == 3 else w) if i % 3 == 0 else f"{w} y{k}" if i % 3 == 1 else "z" if k % 5 in (2, 4) and k < 13 else w for k, w in enumerate(words))
+    texts[420] = prose(1, 30) + " " + " ".join(words[:4])
+    ids = {w: k for k, w in enumerate(sorted({w for t in [*texts.values(), *items.values()] for w in t.split()}))}
+    numbers = lambda t: np.array([ids[w] for w in t.split()], np.uint64)
+    want = {(d, k): x for d, t in texts.items() for k, item in items.items() if (x := align(numbers(item), numbers(t))) >= 0.5}
+    assert len(want) > 200 and {i for i, _ in want} >= set(range(400, 420))
+    got = {(x.doc_id, x.item_id): x.score for x in contaminated(docs(spark, texts), spark.createDataFrame([*items.items()], "item_id long, text string")).collect()}
+    assert got == want
+
+
 def test_alignment_score():
     import numpy as np
 
