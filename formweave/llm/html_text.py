@@ -15,11 +15,15 @@ from .boosting import Tree, _grow
 from .common import check_columns
 
 # Element names of HTML by their role.
-SILENT = frozenset("script style noscript template head title svg math iframe object embed applet canvas audio video select button textarea datalist".split())
+SILENT = frozenset("noscript template svg math object applet canvas audio video select button datalist".split())
+#: Silent elements whose content is text up to their closing tag; an open head or title goes on as the page.
+RAW = frozenset("script style textarea iframe head title".split())
+#: Parts of silent elements that may hold blocks where the element itself ends at one.
+HOLDERS = frozenset("foreignobject desc annotation-xml".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-VOID = frozenset("area base br col hr img input link meta param source track wbr".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FRAME = frozenset("nav header footer aside form menu dialog fieldset".split())
 #: Parts of class names and ids that mark what is not the article, and what is.
 OUTSIDE = re.compile(
@@ -52,10 +56,11 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool, bool]]:
 
     A block ends where a block element starts or ends; inline elements, also line
     breaks, do not end it.  Silent elements and comments give no text; an element
-    that is never closed ends with its parent, a silent one with the page.
+    that is never closed ends with its parent, one of plain text (script, style,
+    textarea, iframe) with the page, drawings and formulas also where a block starts.
     """
     found: list[tuple[str, float, bool, bool, bool, bool]] = []
-    open_: list[tuple[str, bool, bool, bool]] = []  # name, outside, inside, article
+    open_: list[tuple[str, bool, bool, bool, bool]] = []  # name, outside, inside, article, silent
     pieces: list[tuple[str, bool]] = []
     link, heading = 0, False
 
@@ -65,7 +70,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool, bool]]:
             text = " ".join("".join(t for t, _ in pieces).split())
             if text:
                 linked = sum(len(t.split()) for t, a in pieces if a)
-                top = open_[-1] if open_ else ("", False, False, False)
+                top = open_[-1] if open_ else ("", False, False, False, False)
                 found.append((text, linked / max(1, len(text.split())), top[1], top[2], top[3], heading))
             pieces = []
 
@@ -73,7 +78,8 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool, bool]]:
     while at < end:
         mark = TOKEN.search(page, at)
         stop = mark.start() if mark else end
-        if stop > at:
+        silent = bool(open_) and open_[-1][4]
+        if stop > at and not silent:
             pieces.append((html.unescape(page[at:stop]), link > 0))
         if not mark:
             break
@@ -82,17 +88,17 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool, bool]]:
         if not name:
             continue
         if mark[1]:
-            if name == "a":
+            if name == "a" and not silent:
                 link = max(0, link - 1)
-            elif name in BLOCKS:
-                close()
-                for k in range(len(open_) - 1, -1, -1):
-                    if open_[k][0] == name:
-                        del open_[k:]
-                        break
-                heading = False
+            elif name in BLOCKS or name in SILENT or name in HOLDERS:
+                k = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == name), -1)
+                if name in BLOCKS and not (silent and (k < 0 or open_[k][4])):
+                    close()
+                    heading = False
+                if k >= 0:
+                    del open_[k:]
             continue
-        if name in SILENT:
+        if name in RAW:
             if not mark[3].endswith("/"):
                 over = re.compile(rf"</{name}\s*>", re.I).search(page, at)
                 if over:
@@ -100,6 +106,19 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool, bool]]:
                 elif name not in ("head", "title"):
                     at = end
             continue
+        if silent and name in BLOCKS and open_[-1][0] in ("svg", "math"):
+            while open_ and open_[-1][0] in ("svg", "math"):
+                open_.pop()
+            silent = bool(open_) and open_[-1][4]
+        if name in SILENT or (silent and (name in BLOCKS or name in HOLDERS)):
+            if not mark[3].endswith("/") and name not in VOID:
+                if name in ("select", "button") and silent and open_[-1][0] == name:  # a sibling ends the open one
+                    open_.pop()
+                parent = open_[-1] if open_ else ("", False, False, False, False)
+                open_.append((name, *parent[1:4], True))
+            continue
+        if silent:
+            continue
         if name == "a":
             link += 1
         elif name == "br":
@@ -112,14 +131,14 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool, bool]]:
             if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):  # a sibling ends the open one
                 if open_ and open_[-1][0] == name:
                     open_.pop()
-            parent = open_[-1] if open_ else ("", False, False, False)
+            parent = open_[-1] if open_ else ("", False, False, False, False)
             names = class_names(mark[3])
             article = parent[3] or name in ("article", "main")
             outside = parent[1] or (name in FRAME and not (name == "header" and parent[3])) or bool(HIDDEN.search(mark[3]))
             if names and name not in ("html", "body", "article", "main"):
                 outside = outside or bool(OUTSIDE.search(names))
             inside = parent[2] or name in ("article", "main") or bool(names and INSIDE.search(names))
-            open_.append((name, outside, inside, article))
+            open_.append((name, outside, inside, article, False))
             heading = len(name) == 2 and name[0] == "h" and name != "hr"
     close()
     return found

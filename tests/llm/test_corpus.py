@@ -168,6 +168,15 @@ def test_html_text_of_other_markup():
     assert main_text('<article><p title="cut') == "" and main_text("<article><p>a = b <= c <d =e>f") == "a = b <= c f"
 
 
+def test_html_text_after_unclosed_elements():
+    main = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma"
+    for open_ in ("<embed src=x.swf>", "<div><select><option>no</div>", "<div><button>no</div>", "<div><object data=x>no</div>", "<div><canvas>no</div>", "<div><audio src=x>no</div>", "<div><video><p>no</p></div>", "<svg><path d=x>", "<div><math><mi>x</div>",
+        "<div><select><option>no<select><option>no</div>", "<svg><foreignObject><div>no</div></foreignObject></svg>", "<button><div>no</div></button>", "<object><object>no</object>no</object>", "<script>no</script>", "<noscript><p>no</p></noscript>"):
+        page = f"<body><article><h1>Head</h1>{open_}<p>{main}</p><div><select><option>no</select> <button>no</button></div><p>{main}</p></article>"
+        assert main_text(page) == f"Head {main} {main}", open_
+    assert main_text(f"<article><p>{main} <button>no</button> and <svg><g/></svg>{main}</p><script>no") == f"{main} and {main}"
+
+
 def test_url_filter(spark):
     cases = {
         "https://A.Example.com/en/7?x": ("a.example.com", "/en/7", "example.com/en/7", "allow"), "http://x.com/en/1": ("x.com", "/en/1", "com/en/", "block"), "http://net/de/": ("net", "/de/", "net/de/", "allow"),
