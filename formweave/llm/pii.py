@@ -35,7 +35,7 @@ GENERATORS = (
     ("email", r"(?i)(?:[(\[]at[)\]]|\x20at\x20\S+\x20dot\x20)", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+(?:\x20?[(\[]at[)\]]\x20?[a-z0-9-]{1,63}+(?:\x20?[(\[]dot[)\]]\x20?|\x20dot\x20|\.)|\x20at\x20[a-z0-9-]{1,63}+\x20dot\x20)[a-z]{2,24}"),
     ("phone", "[0-9]", r"(?<![0-9A-Za-z.+])\+?(?:[0-9]{1,3}[\x20.-]?)?\(?[0-9]{2,5}\)?[\x20./-]{1,2}[0-9]{2,5}(?:[\x20./-][0-9]{2,5}){0,3}(?![0-9A-Za-z])"),
     ("number", "[0-9]", r"(?<![0-9A-Za-z])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}|[0-9]{9,19})(?![0-9A-Za-z])"),
-    ("key", "[0-9]", r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{12,200}+"),
+    ("key", "[0-9]", r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{12,}+"),
 )
 #: Words before a candidate that speak for it.
 CUE = r"(?i)(passw|passwd|pwd|token|secret|api[_ -]?key|credential|bearer)"
@@ -45,6 +45,8 @@ MAIL = r"(?i)(mail|contact|write|reach|schreib|escrib)"
 #: Code points before a candidate that are read for cues.
 CONTEXT = 24
 BLOCK = 64
+#: Where the length of a candidate, a feature, saturates.
+LONGEST = 200
 FEATURES = ("kind", "length", "digits", "letters", "upper", "mixed", "groups", "shape", "cue", "hexadecimal")
 
 
@@ -134,14 +136,14 @@ def _features(kind: int, m: str, before: str) -> dict[str, str]:
         for k, p in (
             (1, r"^\+?(?:1[\x20.-]?)?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}$"),
             (2, r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"),
-            (3, r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,}"),
+            (3, r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3}"),
             (4, r"^(?:AKIA|ASIA|ghp_|gho_|sk-|xox[bp]-|AIza)"),
             (5, r"^(?:19|20)[0-9]{2}[-./][0-9]{1,2}[-./][0-9]{1,2}$"),
         )
     )
     cue = " ".join(f"WHEN {before} RLIKE r'{p}' THEN {k}" for k, p in ((1, CUE), (2, CALL), (3, ACCOUNT), (4, MAIL)))
     found = {
-        "kind": str(kind), "length": f"length({m})", "digits": count("[^0-9]+"), "letters": count("[^A-Za-z]+"), "upper": count("[^A-Z]+"),
+        "kind": str(kind), "length": f"least(length({m}), {LONGEST})", "digits": count("[^0-9]+"), "letters": count("[^A-Za-z]+"), "upper": count("[^A-Z]+"),
         "mixed": f"regexp_count({m}, r'(?:[0-9][A-Za-z]|[A-Za-z][0-9])')", "groups": f"size(split({m}, r'[^A-Za-z0-9]+'))",
         "shape": f"CASE {shape} ELSE 0 END", "cue": f"CASE {cue} ELSE 0 END", "hexadecimal": f"CASE WHEN {m} RLIKE r'^[0-9a-f]+$' THEN 1 ELSE 0 END",
     }

@@ -234,6 +234,14 @@ def test_candidates_and_redaction(spark):
     assert got == ["mail [EMAIL] or [IP], call [PHONE]", "password=[KEY] and [KEY]", texts[2], None]
 
 
+def test_keys_of_any_length_are_redacted_whole(spark):
+    r = random.Random(11)
+    key = lambda n: "".join(r.choices("ABCDEFGHabcdefgh0123456789_-", k=n))
+    texts = [f"token = {key(n)} end" for n in (150, 200, 201, 600, 5000)] + ["bearer " + "AB12" * 15000 + " end"]
+    got = [r.text for r in redact(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [t.split(key)[0] + "[KEY] end" for t, key in ((t, t.split()[-2]) for t in texts)]
+
+
 def test_license_scan(spark):
     r = random.Random(7)
     texts = {}
