@@ -387,7 +387,8 @@ def column_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT * FROM (VALUES (0, 'kv', '{'|'.join(KV_FIELDS)}', -1), (1, 'table', '{'|'.join(TABLE_FIELDS)}', -1)) t(node_id, type, fields, child)")
 def template_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields and template of the first document, learned from its phrases."""
-    phrases = forms(spark, sf_dir).where("doc_id = 'forms_0'")
+    phrases = forms(spark, sf_dir)
+    phrases = phrases.where(F.col("doc_id") == phrases.agg(F.min("doc_id")).first()[0])
     engine = Engine(metadata=METADATA, metadata_rows=[["Order Report", f"Sheet {p}"] for p in range(1, 26)])
     found = engine.predict_template(phrases, engine.predict_field(phrases))
     return spark.createDataFrame([(n.node_id, n.type, "|".join(n.fields), n.child) for n in found], "node_id int, type string, fields string, child int")

@@ -53,3 +53,11 @@ def test_intervals_of_all_orders(spark):
         assert (half is None) == (n == 1)
     orders = spark.read.parquet(f"{FOLDER}/lineitem.parquet").select("l_orderkey").distinct().count()
     assert sum(sizes.values()) == orders and min(sizes) == 1 and max(sizes) > 7
+
+
+def test_template_of_the_first_document_there_is(spark, tmp_path):
+    for path in Path(FOLDER).glob("*.parquet"):
+        rows, key = spark.read.parquet(str(path)), {"orders": "o_orderkey", "lineitem": "l_orderkey"}.get(path.stem)
+        (rows.where(f"{key} >= 50") if key else rows.limit(0)).write.parquet(str(tmp_path / path.name))
+    same = duckdb.sql(ORACLES["template_learned"]).fetchall()
+    assert sorted(map(tuple, QUERIES["template_learned"](spark, str(tmp_path)).collect())) == sorted(same)
