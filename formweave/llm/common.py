@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Words of every contract: runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,6 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark can write."""
+    gateway = spark.sparkContext._jvm
+    target = gateway.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """Materialise a frame once in the shared folder, so that losing an executor never recomputes it."""
     shared_folder(frame.sparkSession)
@@ -41,6 +48,41 @@ def words_of(text) -> object:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
 
 
+#: A key is hot if it has more than this share of all rows.
+SHARE = 1024
+
+
+def row_place() -> Column:
+    """The place of a row in its table: the same whenever a stored table is read again in a session."""
+    return F.monotonically_increasing_id()
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose places are in the column ``row`` of gone."""
+    place = "_row"
+    while place in docs.columns:
+        place += "_"
+    return docs.withColumn(place, row_place()).join(gone.select(F.col("row").alias(place)), place, "left_anti").select(docs.columns)
+
+
+def hot_keys(lists: DataFrame, key: list[str], size: str, total: int) -> DataFrame:
+    """(key, parts) of the keys that have more than a SHARE-th of ``total`` rows: fewer than SHARE, and as many parts in all."""
+    hot = lists.where(F.col(size) * SHARE > total)
+    return hot.select(*key, F.ceil(F.col(size) * SHARE / max(total, 1)).cast("int").alias("parts"))
+
+
+def meet(rows: DataFrame, lists: DataFrame, key: list[str], spread_by: list[str], hot: DataFrame) -> DataFrame:
+    """rows joined with lists, which has one row for a key (or a few); the rows of a hot key are dealt over its parts.
+
+    Only the hot keys, of which there are fewer than SHARE, are broadcast.
+    """
+    hot = F.broadcast(hot)
+    rows = rows.join(hot, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("parts")), F.lit(0))).drop("parts")
+    parts = F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("parts"), F.lit(1)).cast("long") - 1)
+    lists = lists.join(hot, key, "left").withColumn("_part", F.explode(parts)).drop("parts")
+    return rows.join(lists, [*key, "_part"]).drop("_part")
+
+
 def check_columns(frame: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in frame.columns]
     if missing:

@@ -1,7 +1,7 @@
 """Near-duplicate documents: bottom-k sketches of one hash, inverted lists, exact verification.
 
-1. Every document becomes its set of hashed word shingles and the sketch of its
-   k least hashes.  Documents with equal sets form a class at once.
+1. Every row becomes its set of hashed word shingles and the sketch of its k least
+   hashes.  Rows with equal sets form a class at once; a class is one node.
 2. Sketch values are ordered rarest first.  Two sets as similar as asked share
    at least ``need`` of k sketch values but for a chance of 1e-6, so both hold
    one of them among their k - need + 1 rarest; only these enter the inverted
@@ -11,8 +11,11 @@
    drops hopeless pairs; the full sets decide the rest.
 4. Lists that their hub does not hold together are refined: the rarest shingles of
    the members' full sets, as many as an exact bound asks, make new lists.  Their
-   members are compared by their differences to the hub's set, again through lists
-   of the rarest differences.  No list is capped.
+   members are compared by their differences to what most of them hold, again
+   through lists of the rarest differences (``_around_hubs``).  No list is capped.
+
+Keys that hold more than a share of all rows (a value, a class, a hub) are dealt
+over many tasks wherever two tables meet on them (``common.meet``).
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import check_columns, cut
+from .common import check_columns, cut, hot_keys, meet, row_place, without_rows
 from .components import connected_components
 from .textarrays import mix, shingle_sets
 
@@ -47,8 +50,7 @@ def required_overlap(size: int, k: int, percent: int, loss: float = 1e-6) -> int
 def _sketcher(width: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for first, last, sets, at in shingle_sets(batch.column(1), width):
+            for first, last, sets, at in shingle_sets(batch.column(2), width):
                 n = np.diff(at)
                 one, two = np.zeros((2, last - first), np.uint64)
                 full = np.flatnonzero(n > 0)
@@ -59,9 +61,9 @@ def _sketcher(width: int, k: int):
                 ends = np.concatenate(([0], np.cumsum(taken)))
                 pick = np.arange(ends[-1]) + np.repeat(at[:-1] - ends[:-1], taken)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, last - first), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
+                    [*(c.slice(first, last - first) for c in batch.columns[:2]), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
                      pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sets[pick].view(np.int64)))],
-                    names=["id", "n", "s1", "s2", "sketch"],
+                    names=["row", "id", "n", "s1", "s2", "sketch"],
                 )
 
     return run
@@ -70,23 +72,19 @@ def _sketcher(width: int, k: int):
 def _setter(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
+            rows = batch.column(0)
             for first, last, sets, at in shingle_sets(batch.column(1), width):
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(sets.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), lists], names=["id", "set"])
+                yield pa.RecordBatch.from_arrays([rows.slice(first, last - first), lists], names=["row", "set"])
 
     return run
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, width: int = 5, k: int = 48) -> DataFrame:
-    """(id, n, s1, s2, sketch): set size, a 128-bit signature of the set, its k least hashes."""
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return plain.mapInArrow(_sketcher(width, k), "id long, n long, s1 long, s2 long, sketch array<long>")
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, sketch: DataFrame, k: int, percent: int, need: int) -> DataFrame:
     """Pairs (a, b) whose full sets are similar enough; the union sketch drops the rest early."""
-    left, right = (sketch.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}")) for x in "ab")
+    pairs = cut(pairs)
+    hot = hot_keys(pairs.groupBy("b").agg(F.count("*").alias("c")), ["b"], "c", pairs.count())
+    left, right = (sketch.select(F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}")) for x in "ab")
     least = F.slice(F.array_sort(F.array_union("ka", "kb")), 1, k)
     shared = F.size(F.array_intersect(F.array_intersect("ka", "kb"), least))
     # both sketches whole: the estimate is exact; else the bound of required_overlap holds
@@ -94,110 +92,164 @@ def _verified(pairs: DataFrame, sets: DataFrame, sketch: DataFrame, k: int, perc
         shared >= F.least(F.lit(need), F.ceil(F.least("na", "nb") * (percent / 100) - 1))
     )
     close = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & enough
-    pairs = pairs.join(left, "a").join(right, "b").where(close).select("a", "b", "na", "nb")
-    left, right = (sets.select(F.col("id").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
+    pairs = meet(pairs.join(left, "a"), right, ["b"], ["a"], hot).where(close).select("a", "b", "na", "nb")
+    left, right = (sets.select(F.col("row").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
+    pairs = meet(pairs.join(left, "a"), right, ["b"], ["a"], hot)
+    return pairs.where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
-def _rarest(sets: DataFrame, values, size, allowed) -> DataFrame:
-    """(v, id, n, weight): of each set, the values among its ``allowed`` rarest that other sets hold too."""
-    values = sets.select("id", "n", values.alias("v"))
+def _rarest(sets: DataFrame, values: str, size, allowed) -> DataFrame:
+    """(v, row, n, weight): of each set, the values among its ``allowed`` rarest that other sets hold too."""
+    total = sets.agg(F.sum(F.size(values))).first()[0] or 0
+    values = sets.select("row", "n", F.explode(values).alias("v"))
     common = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    own = Window.partitionBy("id", "n")
+    own = Window.partitionBy("row", "n")
     return (
-        values.join(common, "v")
+        meet(values, common, ["v"], ["row"], hot_keys(common, ["v"], "df", total))
         .withColumn("pos", F.row_number().over(own.orderBy("df", "v")))
         .withColumn("seen", F.count("*").over(own))
         .withColumn("weight", F.sum("df").over(own))
         .where(F.col("pos") + size - F.col("seen") <= allowed)
-        .select("v", "id", "n", "weight")
+        .select("v", "row", "n", "weight")
     )
 
 
 def _with_hubs(members: DataFrame) -> DataFrame:
     """The members of lists of two or more, with the list's hub, its most widely shared member."""
-    lists = members.groupBy("v").agg(F.count("*").alias("c"), F.max(F.struct("weight", -F.col("id"))).alias("hub")).where("c > 1")
-    return members.join(lists, "v").select("v", "id", "n", (-F.col("hub.col2")).alias("hub"))
+    lists = members.groupBy("v").agg(F.count("*").alias("c"), F.max(F.struct("weight", (-F.col("row")).alias("minus"))).alias("hub")).where("c > 1")
+    found = meet(members, lists, ["v"], ["row"], hot_keys(lists, ["v"], "c", members.count()))
+    return found.select("v", "row", "n", (-F.col("hub.minus")).alias("hub"))
 
 
 def _around_hubs(around: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within the groups (hub, id, n): all but those between two members that the hub links.
-
-    A member is held as its symmetric difference d to the hub's set.  Members x and y
-    differ in |dx| + |dy| - 2 |dx and dy| shingles, which decides their link exactly,
-    and is at most t * (nx + ny) with t = (100 - percent) / (100 + percent).  So of two
-    linked members, of which one at least is not linked with the hub, both hold a
-    shared shingle among the rarest of their differences: |dx| - t * (nx + ny) shared
-    ones at least if x is not linked, more than (1 - t) / 2 * |dx| if it is.
+    """Links (a, b) within the groups (hub, row, n) that connect all that any links of members connect.
+
+    A member x is held as its difference d to the group's middle, the set of what more
+    than half of the members hold.  Members x and y differ in |dx| + |dy| - 2 |dx and dy|
+    shingles.  With a = 100 - percent, b = 100 + percent and E = b |d| - a n they are
+    linked if and only if Ex + Ey <= 2 b |dx and dy|.
+
+    Let y0 have the least E, and M be that E or 0 if it is positive.  Every x with
+    Ex + M <= 0 is attached: it is linked with y0, whatever they share.  Attached
+    members need no comparison with each other, and neither do those that are linked
+    with the hub.  Of any other pair one at least is not attached, so that both share
+    a difference: (Ex + M) / 2b of them at least if x is not attached, more than
+    (Ex - M) / 2b if it is.  Hence they share one among the rarest of their differences
+    but for as many.  A family whose members each have words of their own shares none
+    of these and costs nothing more, however large it is.
     """
-    t = (100 - percent) / (100 + percent)
-    near = lambda n, m, d: 100 * (n + m - d) >= percent * (n + m + d)
-    own, hubs = sets.select("id", "set"), sets.select(F.col("id").alias("hub"), F.col("set").alias("hub_set"))
+    a, b = 100 - percent, 100 + percent
+    around = cut(around)
+    sizes = cut(around.groupBy("hub").agg(F.count("*").alias("c")))
+    hot = hot_keys(sizes, ["hub"], "c", around.count())
+    own, hubs = sets.select("row", "set"), sets.select(F.col("row").alias("hub"), F.col("set").alias("hub_set"))
+    hubs = hubs.join(sizes, "hub")
     d = F.concat(F.array_except("set", "hub_set"), F.array_except("hub_set", "set"))
-    held = around.join(own, "id").join(hubs, "hub").select("hub", "id", "n", F.size("hub_set").alias("m"), d.alias("d"))
-    held = cut(held.withColumn("size", F.size("d")).withColumn("linked", near(F.col("n"), F.col("m"), F.col("size"))))
-    with_hub = held.where("linked and id <> hub").select("id", "hub")
-    most = F.ceil(t * F.col("n") * (1 + 100 / percent)).cast("long") + 1
-    allowed = F.when(F.col("linked"), F.col("size") - F.floor((1 - t) / 2 * F.col("size"))).otherwise(F.least(F.col("size"), most))
-    values = held.where("size > 0").select("hub", "id", allowed.alias("allowed"), "size", F.explode("d").alias("v"))
+    held = meet(around.join(own, "row"), hubs, ["hub"], ["row"], hot).select("hub", "row", "n", F.size("hub_set").alias("m"), "c", d.alias("d"))
+    held = cut(held.withColumn("linked", a * (F.col("n") + F.col("m")) >= b * F.size("d")).drop("m"))
+
+    # the middle is the hub's set but for what more than half of the members have otherwise
+    turned = held.select("hub", "c", F.explode("d").alias("v")).groupBy("hub", "v").agg(F.count("*").alias("df"), F.first("c").alias("c")).where("2 * df > c")
+    turned = sizes.join(turned.groupBy("hub").agg(F.collect_list("v").alias("turned")), "hub", "left").select("hub", F.coalesce("turned", F.array().cast("array<long>")).alias("turned"))
+    held = meet(held, turned, ["hub"], ["row"], hot).withColumn("d", F.concat(F.array_except("d", "turned"), F.array_except("turned", "d")))
+    held = cut(held.select("hub", "row", "n", "d", "linked", F.size("d").alias("size"), (b * F.size("d") - a * F.col("n")).alias("e")))
+    best = held.groupBy("hub").agg(F.min(F.struct("e", "row", "linked")).alias("best"))
+    held = meet(held, best, ["hub"], ["row"], hot).withColumn("least", F.least(F.col("best.e"), F.lit(0)))
+    attached = F.col("e") + F.col("least") <= 0
+    side = F.when(F.col("linked"), 0).when(attached, F.when(F.col("best.linked"), 0).otherwise(1))
+    need = F.when(attached, F.floor((F.col("e") - F.col("least")) / (2 * b)) + 1).otherwise(F.greatest(F.ceil((F.col("e") + F.col("least")) / (2 * b)), F.lit(1)))
+    held = cut(held.select("hub", "row", "n", "d", "size", "e", "linked", attached.alias("attached"), F.coalesce(side, F.lit(-1)).alias("side"), need.alias("need"), F.col("best.row").alias("y0")))
+    found = held.where("linked and row <> hub").select("row", F.col("hub").alias("other")).union(held.where("attached and row <> y0").select("row", "y0"))
+
+    values = held.where("size >= need").select("hub", "row", "need", "size", F.explode("d").alias("v"))
     common = values.groupBy("hub", "v").agg(F.count("*").alias("df")).where("df > 1")
-    each = Window.partitionBy("hub", "id")
-    prefix = values.join(common, ["hub", "v"]).withColumn("pos", F.row_number().over(each.orderBy("df", "v"))).withColumn("seen", F.count("*").over(each))
-    prefix = prefix.where("pos + size - seen <= allowed").select("hub", "id", "v")
-    rows = prefix.join(held, ["hub", "id"])
-    x, y = (rows.select("hub", "v", *[F.col(c).alias(c + e) for c in ("id", "n", "d", "size", "linked")]) for e in "xy")
-    apart = F.col("sizex") + F.col("sizey") - 2 * F.size(F.array_intersect("dx", "dy"))
-    pairs = x.where("not linkedx").join(y, ["hub", "v"]).where(
-        (F.col("linkedy") | (F.col("idx") < F.col("idy"))) & near(F.col("nx"), F.col("ny"), apart)
-    )
-    found = with_hub.union(pairs.select("idx", "idy")).toDF("x", "y")
+    total = held.agg(F.sum("size")).first()[0] or 0
+    each = Window.partitionBy("hub", "row")
+    shared = hot_keys(common, ["hub", "v"], "df", total)
+    prefix = meet(values, common, ["hub", "v"], ["row"], shared).withColumn("pos", F.row_number().over(each.orderBy("df", "v"))).withColumn("seen", F.count("*").over(each))
+    prefix = prefix.where("pos + size - seen <= size - need + 1").select("hub", "row", "v")
+    rows = prefix.join(held.select("hub", "row", "d", "e", "attached", "side"), ["hub", "row"])
+    x, y = (rows.select("hub", "v", *[F.col(c).alias(c + end) for c in ("row", "d", "e", "attached", "side")]) for end in "xy")
+    pairs = meet(y, x.where("not attachedx"), ["hub", "v"], ["rowy"], shared).where("attachedy or rowx < rowy").where("sidex <> sidey or sidex < 0")
+    pairs = pairs.where(F.col("ex") + F.col("ey") <= 2 * b * F.size(F.array_intersect("dx", "dy")))
+    found = found.union(pairs.select("rowx", "rowy")).toDF("x", "y")
     return found.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, k: int = 48
-) -> DataFrame:
-    """(id_col, n_shingles, component_id, kept) for every row of docs.
+def near_groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, k: int) -> DataFrame:
+    """(row, id, n, component_id, first) for every row of docs, numbered as by ``common.numbered``.
 
-    Null or blank texts have no shingles and are components of their own; a text
-    with fewer than ``width`` words has one shingle, the whole sequence.  Repeated
-    rows and equal texts share a component; rows that share an id are one node.
-    A row whose id is null gets a null component and is not kept.  Other columns
-    of docs are ignored.
+    component_id is the least id that a row's links reach, first the row that stands for
+    the group: the one with the least id, nulls last.
     """
-    check_columns(docs, id_col, text_col)
     need = required_overlap(k, k, percent)
-    all_rows = cut(sketches(docs, id_col, text_col, width, k))
-    rows = all_rows.where("id is not null and n > 0")
-    many = rows.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
-    named = cut(rows.join(many, ["n", "s1", "s2"], "left").select("id", "n", "sketch", "rep"))
-    same = named.where("rep <> id").select("id", "rep").distinct()
-    sketch = named.where("rep is null").drop("rep").union(named.where("rep = id").drop("rep").dropDuplicates(["id"]))
+    plain = docs.select(row_place().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    all_rows = cut(plain.mapInArrow(_sketcher(width, k), "row long, id long, n long, s1 long, s2 long, sketch array<long>"))
+    rows = all_rows.where("n > 0")
+    key, many = ["n", "s1", "s2"], rows.count()
+    classes = rows.groupBy(*key).agg(F.min("row").alias("rep"), F.count("*").alias("c"))
+    classes = meet(rows, classes, key, ["row"], hot_keys(classes, key, "c", many))
+    named = cut(classes.select("row", "id", "n", F.when(F.col("rep") == F.col("row"), F.col("sketch")).alias("sketch"), "rep", "c"))
+    sketch = named.where("rep = row").select("row", "n", "sketch")
 
     size = F.least("n", F.lit(k))
     bound = F.when(F.col("n") < k, F.ceil(F.col("n") * percent / 100)).otherwise(need)
-    members = cut(_rarest(sketch, F.explode("sketch"), size, size - bound + 1))
+    members = cut(_rarest(sketch, "sketch", size, size - bound + 1))
     members = cut(_with_hubs(members))
-    wanted = members.select("id").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = cut(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_setter(width), "id long, set array<long>"))
-    pairs = members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    links = cut(_verified(pairs, sets, sketch.join(wanted, "id", "left_semi"), k, percent, need))
+    wanted = members.select("row").distinct()
+    texts = plain.select("row", "text").join(wanted, "row", "left_semi")
+    sets = cut(texts.mapInArrow(_setter(width), "row long, set array<long>"))
+    if sets.count() != wanted.count():
+        raise RuntimeError("docs gave other rows when read again; pass a stored table")
+    pairs = members.where("row <> hub").select(F.col("row").alias("a"), F.col("hub").alias("b")).distinct()
+    links = cut(_verified(pairs, sets, sketch.join(wanted, "row", "left_semi"), k, percent, need))
 
     # lists that their hub does not hold together: the exact prefixes of their members' full sets
-    loose = members.join(links.select(F.col("a").alias("id"), F.col("b").alias("hub"), F.lit(True).alias("held")), ["id", "hub"], "left")
-    loose = loose.where("id <> hub and held is null").select("v").distinct()
-    unsettled = members.join(loose, "v", "left_semi").select("id").distinct()
-    whole = sets.join(unsettled, "id", "left_semi").withColumn("n", F.size("set").cast("long"))
+    loose = members.join(links.select(F.col("a").alias("row"), F.col("b").alias("hub"), F.lit(True).alias("held")), ["row", "hub"], "left")
+    loose = loose.where("row <> hub and held is null").select("v").distinct()
+    unsettled = members.join(loose, "v", "left_semi").select("row").distinct()
+    whole = cut(sets.join(unsettled, "row", "left_semi").withColumn("n", F.size("set").cast("long")))
     exact = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    around = _with_hubs(cut(_rarest(whole, F.explode("set"), F.col("n"), exact))).select("hub", "id", "n").distinct()
+    around = _with_hubs(cut(_rarest(whole, "set", F.col("n"), exact))).select("hub", "row", "n").distinct()
     links = links.union(_around_hubs(around, sets, percent))
-    parts = connected_components(links)
+    parts = cut(connected_components(links).select(F.col("node").alias("rep"), "component"))
 
-    parts = cut(parts)
-    rep = all_rows.select("id", "n").join(same, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
-    out = rep.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
-    return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")
-    )
+    # classes of one row without a link are groups of their own; the rows of the others learn their group's least id
+    nodes = named.where("rep = row").select("rep", "c").join(parts, "rep", "left").where("c > 1 or component is not null")
+    nodes = cut(nodes.select("rep", "c", F.coalesce("component", "rep").alias("group")))
+    crowd = meet(named.select("row", "id", "rep"), nodes, ["rep"], ["row"], hot_keys(nodes, ["rep"], "c", many)).select("row", "id", "group")
+    crowd = cut(crowd)
+    heads = crowd.groupBy("group").agg(F.count("*").alias("c"), F.min("id").alias("component_id"), F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("head"))
+    crowd = meet(crowd, heads, ["group"], ["row"], hot_keys(heads, ["group"], "c", crowd.count())).select("row", "component_id", F.col("head.row").alias("first"))
+    out = all_rows.select("row", "id", "n").join(crowd, "row", "left")
+    return out.select("row", "id", "n", F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("first", "row").alias("first"))
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, k: int = 48
+) -> DataFrame:
+    """(id_col, n_shingles, component_id, kept) for every row of docs.
+
+    Null or blank texts have no shingles and are components of their own; a text
+    with fewer than ``width`` words has one shingle, the whole sequence.  Equal texts
+    share a component.  Rows that share an id are judged by their own texts.  A row
+    whose id is null links others like any row; it is not kept, and its component is
+    null if no linked row has an id.  An empty table gives no rows.  Other columns of
+    docs are ignored.  docs is read twice and must give its rows in the same order,
+    as stored tables do; else the operator fails.
+    """
+    check_columns(docs, id_col, text_col)
+    found = near_groups(docs, id_col, text_col, width, percent, k)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, k: int = 48) -> DataFrame:
+    """docs with one row of each group of near copies: the one with the least id, nulls last.
+
+    Rows are told apart by their place, so null and repeated ids lose no text; blank
+    and null texts are no copies of each other.
+    """
+    check_columns(docs, id_col, text_col)
+    gone = near_groups(docs, id_col, text_col, width, percent, k).where("row <> first")
+    return without_rows(docs, gone)
