@@ -6,12 +6,10 @@ import random
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WORD, check_columns, cut
+from .common import WORD, check_columns, cut, row_place
 
-#: Salts of one size class of a source; ids spread over them by remainder.
-SALTS = 61
-#: Turns of the random offset that a source may choose from, to come nearest its target.
-TURNS = 16
+#: Salts of one size class of a source; ids are scattered over them by a multiplication modulo a prime.
+SALTS, PRIME, FACTOR = 61, 1_000_003, 618_041
 
 
 def offset_of(seed: int) -> float:
@@ -50,6 +48,31 @@ def _class(size: Column) -> Column:
     return size - size % step
 
 
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], most: int, seed: int) -> DataFrame:
+    """(row, id, size, source_size, target, copies, source) for every row of docs; row is its place."""
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = cut(docs.select(row_place().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), size.alias("size")))
+    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = source_targets(totals, tuple(weights), most)
+    salt = F.coalesce(F.pmod(F.pmod("id", F.lit(PRIME)) * FACTOR, F.lit(PRIME)) % SALTS, F.lit(SALTS))
+    cell = [F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("none"), _class(F.col("size")).alias("class"), salt.alias("salt")]
+    rows = rows.select("row", "id", "source", "size", *cell)
+    keys = ["s", "none", "class", "salt"]
+    cells = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    own = Window.partitionBy("s", "none")
+    ahead = F.sum("n").over(own.orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1))
+    cells = cells.withColumn("ahead", F.coalesce(ahead, F.lit(0))).withColumn("all", F.sum("n").over(own))
+    placed = cells.join(targets.withColumns({"s": F.coalesce("source", F.lit("")), "none": F.col("source").isNull()}).drop("source", "weight"), ["s", "none"])
+    within = F.row_number().over(Window.partitionBy(*keys).orderBy("size", "id", "row"))
+    rows = rows.withColumn("nth", within).join(placed.drop("n"), keys).withColumn("nth", F.col("ahead") + F.col("nth"))
+    at = F.when(F.col("nth") % 2 == 1, F.expr("(nth + 1) div 2")).otherwise(F.col("all") + 1 - F.expr("nth div 2"))
+    each = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
+    rows = rows.withColumn("at", at).withColumn("each", each)
+    start = F.lit(offset_of(seed))
+    crossed = F.floor(F.col("at") * F.col("each") + start) - F.floor((F.col("at") - 1) * F.col("each") + start)
+    return rows.select("row", "id", "size", "source_size", "target", F.least(crossed, F.lit(most)).cast("long").alias("copies"), "source")
+
+
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 20240301
 ) -> DataFrame:
@@ -59,47 +82,33 @@ def mix_sources(
     source is a source of its own, last; a null id is a row like others.  Repeated
     rows count each.  An empty table gives no rows.  Other columns are ignored.
 
-    Every document of a source expects target / source_size copies.  Documents are
-    put in order of size within their source, so that the prefix sum of the expected
-    copies crosses integers evenly over long and short ones; the order is counted by
-    (source, size class, salt), never by sorting a source in one task.  Each source
-    adds the one random offset of the seed, turned by the sixteenth of the circle that
-    brings its taken words nearest to its target.
+    Every document of a source expects target / source_size copies; the prefix sum of
+    these and the one random offset of the seed give a document a copy for each integer
+    that it crosses.  A source's documents stand in order of size, every second one going
+    up and the others coming down again, so that neighbours are alike and what the short
+    half takes too much, the other half leaves.  The order is counted by (source, size
+    class, salt) and never sorts a source in one task.  Ties go by id, then place.
     """
     check_columns(docs, id_col, text_col, source_col)
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), size.alias("size")))
-    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(totals, tuple(weights), most)
-    cell = [F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("none"), _class(F.col("size")).alias("class"), F.coalesce(F.pmod("id", F.lit(SALTS)), F.lit(SALTS)).alias("salt")]
-    rows = rows.select("id", "source", "size", *cell)
-    keys = ["s", "none", "class", "salt"]
-    cells = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    ahead = Window.partitionBy("s", "none").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
-    placed = cells.join(targets.withColumns({"s": F.coalesce("source", F.lit("")), "none": F.col("source").isNull()}).drop("source", "weight"), ["s", "none"])
-    within = F.row_number().over(Window.partitionBy(*keys).orderBy("size", "id"))
-    rows = rows.withColumn("within", within).join(placed.drop("n"), keys)
-    each = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
-    rows = cut(rows.select("id", "source", "s", "none", "size", "source_size", "target", each.alias("each"), (F.col("ahead") + F.col("within")).alias("at")))
-
-    def copies(turn: Column) -> Column:
-        start = F.lit(offset_of(seed)) + turn / TURNS
-        start = start - F.floor(start)
-        return F.least(F.floor(F.col("at") * F.col("each") + start) - F.floor((F.col("at") - 1) * F.col("each") + start), F.lit(most)).cast("long")
-
-    taken = rows.groupBy("s", "none").agg(F.first("target").alias("aim"), *[F.sum(copies(F.lit(k)) * F.col("size")).alias(f"t{k}") for k in range(TURNS)])
-    miss = F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("aim")), F.lit(k).alias("turn")) for k in range(TURNS)])
-    turns = taken.select("s", "none", F.array_min(miss)["turn"].alias("turn"))
-    rows = rows.join(turns, ["s", "none"]).withColumn("copies", copies(F.col("turn")))
+    rows = _mixed(docs, id_col, text_col, source_col, weights, most, seed)
     return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source")
 
 
-def emit(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents of a mix, each as many times as taken; an id that repeats takes its largest count."""
-    counts = mixed.where(F.col("copies") > 0).groupBy(id_col).agg(F.max("copies").alias("_copies"))
-    joined = docs.join(counts, id_col)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
+def mixed_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 20240301
+) -> DataFrame:
+    """The rows of docs, each as many times as the mix takes it, by its place: null and repeated ids are rows like others.
+
+    docs is read twice and must give its rows in the same order, as stored tables do.
+    """
+    check_columns(docs, id_col, text_col, source_col)
+    place = "_row"
+    while place in docs.columns:
+        place += "_"
+    taken = _mixed(docs, id_col, text_col, source_col, weights, most, seed).where("copies > 0")
+    taken = taken.select(F.col("row").alias(place), F.sequence(F.lit(1).cast("long"), "copies").alias("_copies"))
+    joined = docs.withColumn(place, row_place()).join(taken, place)
+    return joined.withColumn("_copies", F.explode("_copies")).select(docs.columns)
 
 
 #: The same mix in DuckDB.
@@ -115,12 +124,11 @@ f AS (SELECT *, (total - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECED
 g AS (SELECT source, source_size, CASE WHEN is_full THEN cap::DOUBLE ELSE (weight * (total - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER ()))::DOUBLE
         / sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER () END AS target FROM f),
 p AS (SELECT d.doc_id, d.source, d.size, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN least(g.target / g.source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS each,
-        row_number() OVER (PARTITION BY d.source ORDER BY d.size - d.size % (10 ** greatest(length(d.size::VARCHAR) - 2, 0))::BIGINT, coalesce(d.doc_id % {SALTS}, {SALTS}), d.size, d.doc_id) AS nth
+        count(*) OVER (PARTITION BY d.source) AS n,
+        row_number() OVER (PARTITION BY d.source ORDER BY d.size - d.size % (10 ** greatest(length(d.size::VARCHAR) - 2, 0))::BIGINT,
+          coalesce((d.doc_id % {PRIME} + {PRIME}) % {PRIME} * {FACTOR} % {PRIME} % {SALTS}, {SALTS}), d.size, d.doc_id) AS nth
       FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
-o AS (SELECT p.*, turn, {offset_of(20240301)!r}::DOUBLE + turn / {TURNS} - floor({offset_of(20240301)!r}::DOUBLE + turn / {TURNS}) AS start
-      FROM p, (SELECT unnest(range({TURNS}))::DOUBLE AS turn)),
-k AS (SELECT *, least(floor(nth * each + start) - floor((nth - 1) * each + start), 3)::BIGINT AS copies FROM o),
-b AS (SELECT source, turn, abs(sum(copies * size) - any_value(target)) AS miss FROM k GROUP BY source, turn),
-c2 AS (SELECT source, arg_min(turn, miss * 1e6 + turn) AS turn FROM b GROUP BY source)
-SELECT doc_id, size, source_size, target, copies * size AS taken, copies, k.source FROM k JOIN c2 ON k.source IS NOT DISTINCT FROM c2.source AND k.turn = c2.turn
+o AS (SELECT *, CASE WHEN nth % 2 = 1 THEN (nth + 1) // 2 ELSE n + 1 - nth // 2 END AS place, {offset_of(20240301)!r}::DOUBLE AS start FROM p),
+k AS (SELECT *, least(floor(place * each + start) - floor((place - 1) * each + start), 3)::BIGINT AS copies FROM o)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies, source FROM k
 """
