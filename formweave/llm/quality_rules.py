@@ -6,15 +6,24 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import SPACES, check_columns, words_of
 
-#: Patterns that Java and RE2 read alike.
-END = r"""[.!?:;…]["'»”’)\]]*[\x20\x09-\x0D]*$"""
-STOP = r"[.!?,;:…]"
+# Patterns that Java and RE2 read alike.
+#: Marks that end a sentence, a clause or a list's head, of every script that has some.
+MARKS = ".!?:;…‼⁇⁈⁉。．！？：；｡؟؛۔।॥։׃።፧፨።។៕၊။།༎᠃᙮꓿"
+#: Such a mark, then closing brackets and quotes by their Unicode classes.
+END = rf"""[{MARKS}][\p{{Pe}}\p{{Pf}}\p{{Pi}}"']*[\x20\x09-\x0D]*$"""
+STOP = rf"[,،、，{MARKS}]"
+#: Scripts that end sentences with a space (Thai, Lao, Tibetan, Myanmar, Khmer): the punctuation rule does not judge their lines.
+UNMARKED = "[\u0e00-\u109f\u1780-\u17ff]"
 SYMBOL = r"[#*$%&|<>]"
 NOT_SYMBOLS = r"[^#*$%&|<>{}=^~_\\]+"
-SEPARATOR = r"[\x20\x09][|>»·•][\x20\x09]"
+SEPARATOR = r"[\x20\x09][|>»·•｜][\x20\x09]"
+#: Phrases of site furniture in English, German, French and Spanish; letters beyond ASCII in both cases.
 BOILERPLATE = (
     r"(?i)all rights reserved|cookie (policy|settings)|privacy policy|terms of (use|service)|enable javascript|(sign|log) in to"
     r"|subscribe to our|click here|lorem ipsum|powered by|skip to (main )?content"
+    r"|alle rechte vorbehalten|cookie-?(richtlinie|einstellungen)|datenschutzerkl[äÄ]rung|nutzungsbedingungen|klicken sie hier|newsletter abonnieren|zum inhalt springen"
+    r"|tous droits r[éÉ]serv[éÉ]s|politique de (cookies|confidentialit[éÉ])|mentions l[éÉ]gales|conditions d['’]utilisation|cliquez ici|abonnez-vous [àÀ] notre|aller au contenu"
+    r"|todos los derechos reservados|pol[íÍ]tica de (cookies|privacidad)|aviso legal|condiciones de uso|haga clic aqu[íÍ]|suscr[íÍ]bete a nuestr|saltar al contenido"
 )
 #: A line of fewer words needs an end mark, a longer one any punctuation.
 SHORT = 10
@@ -27,7 +36,7 @@ LOST = 40
 def _fails(line: Column) -> Column:
     """Whether a line breaks the punctuation, the navigation or the boilerplate rule."""
     n = F.size(F.split(F.btrim(line, F.lit(SPACES)), r"[\x20\x09-\x0D]+"))
-    unpunctuated = ~line.rlike(END) & ((n < SHORT) | ~line.rlike(STOP))
+    unpunctuated = ~line.rlike(END) & ((n < SHORT) | ~line.rlike(STOP)) & ~line.rlike(UNMARKED)
     symbols = F.length(F.regexp_replace(line, NOT_SYMBOLS, "")) * 100 > F.length(line) * SYMBOLS
     navigation = F.size(F.split(line, SEPARATOR)) > 3
     return unpunctuated | symbols | navigation | line.rlike(BOILERPLATE)
@@ -39,7 +48,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A null or blank text has zeros and fails the base (fewer than 50 words).  Rows
     are judged alone: repeated rows, null ids and other columns change nothing.
     Work and memory are linear in a text but for one sort of its word windows.
-    ``clean_text`` is the text without failing lines.
+    ``clean_text`` is the text without blank and failing lines; a text that loses as
+    much as LOST allows is kept.  Repeated lines are judged each.  An empty table gives no rows.
     """
     check_columns(docs, id_col, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -49,15 +59,15 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     window = lambda i: F.struct(F.xxhash64(F.get("h", i), F.get("h", i + 1), F.get("h", i + 2)).alias("w"), i.alias("i"))
     windows = F.when(F.col("n") >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.col("n") - 3), window)))
     rows = rows.select(
-        "id", "text", "lines", "n", F.length(F.array_join("words", "")).alias("word_chars"), windows.alias("windows"), F.filter("lines", _fails).alias("bad")
+        "id", "text", "lines", "n", F.length(F.array_join("words", "")).alias("word_chars"), windows.alias("windows"), F.transform("lines", _fails).alias("fails")
     )
     again = lambda x, k: F.coalesce(x["w"] == F.get("windows", k - 1)["w"], F.lit(False)) | F.coalesce(x["w"] == F.get("windows", k + 1)["w"], F.lit(False))
     found = F.sort_array(F.transform(F.filter("windows", again), lambda x: x["i"]))
-    rows = rows.select("id", "text", "lines", "n", "word_chars", "bad", found.alias("found"))
+    bad, good = F.filter("lines", lambda x, i: F.get("fails", i)), F.filter("lines", lambda x, i: ~F.get("fails", i))
+    rows = rows.select("id", "text", "lines", "n", "word_chars", bad.alias("bad"), F.array_join(good, "\n").alias("clean"), found.alias("found"))
     zero = F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last"))
     covered = F.aggregate("found", zero, lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last")))["n"]
     lost = F.aggregate("bad", F.lit(0), lambda a, x: a + F.size(F.split(F.btrim(x, F.lit(SPACES)), r"[\x20\x09-\x0D]+")))
-    clean = F.array_join(F.when(F.size("bad") == 0, F.col("lines")).otherwise(F.filter("lines", lambda x: ~_fails(x))), "\n")
     rows = rows.select(
         F.col("id").alias(id_col),
         F.col("n").cast("long").alias("n_words"),
@@ -67,7 +77,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         lost.cast("long").alias("lost_words"),
         F.size("bad").cast("long").alias("n_bad_lines"),
-        clean.alias("clean_text"),
+        F.col("clean").alias("clean_text"),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
@@ -85,12 +95,12 @@ ORACLE = f"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS words,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
-l AS (SELECT doc_id, unnest(lines) AS line FROM d),
-b AS (SELECT doc_id, len({_WORDS.format("line")}) AS n,
-    (NOT regexp_matches(line, {_sql(END)}) AND (len({_WORDS.format("line")}) < {SHORT} OR NOT regexp_matches(line, {_sql(STOP)})))
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
+b AS (SELECT doc_id, i, line, len({_WORDS.format("line")}) AS n,
+    (NOT regexp_matches(line, {_sql(END)}) AND (len({_WORDS.format("line")}) < {SHORT} OR NOT regexp_matches(line, {_sql(STOP)})) AND NOT regexp_matches(line, {_sql(UNMARKED)}))
     OR length(regexp_replace(line, {_sql(NOT_SYMBOLS)}, '', 'g')) * 100 > length(line) * {SYMBOLS}
     OR len(regexp_split_to_array(line, {_sql(SEPARATOR)})) > 3 OR regexp_matches(line, {_sql(BOILERPLATE)}) AS bad FROM l),
-lost AS (SELECT doc_id, sum(CASE WHEN bad THEN n ELSE 0 END)::BIGINT AS lost_words, count(*) FILTER (bad) AS n_bad_lines FROM b GROUP BY doc_id),
+lost AS (SELECT doc_id, sum(CASE WHEN bad THEN n ELSE 0 END)::BIGINT AS lost_words, count(*) FILTER (bad) AS n_bad_lines, string_agg(line, chr(10) ORDER BY i) FILTER (NOT bad) AS clean FROM b GROUP BY doc_id),
 w AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM d),
 x AS (SELECT doc_id, i, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 y AS (SELECT doc_id, i, w3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, w, w2, w3) > 1 AS twice FROM x),
@@ -98,9 +108,9 @@ z AS (SELECT doc_id, twice OR coalesce(lag(twice) OVER o, false) OR coalesce(lag
 r AS (SELECT doc_id, count(*) FILTER (covered) AS n_repeat_words FROM z GROUP BY doc_id),
 q AS (SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(length(array_to_string(words, '')), 0)::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
-    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(lost_words, 0)::BIGINT AS lost_words, coalesce(n_bad_lines, 0)::BIGINT AS n_bad_lines
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(lost_words, 0)::BIGINT AS lost_words, coalesce(n_bad_lines, 0)::BIGINT AS n_bad_lines, sha256(coalesce(clean, '')) AS clean_sha256
   FROM d LEFT JOIN r USING (doc_id) LEFT JOIN lost USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND 100 * lost_words <= {LOST} * n_words AS kept, lost_words, n_bad_lines FROM f
+  NOT base_failed AND 100 * lost_words <= {LOST} * n_words AS kept, lost_words, n_bad_lines, clean_sha256 FROM f
 """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import mixing, quality_rules, url_filter
 from .common import documents
@@ -26,7 +26,8 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(documents(spark, sf_dir)).drop("clean_text")
+    found = quality_rules.quality_rules(documents(spark, sf_dir))
+    return found.withColumn("clean_sha256", F.sha2("clean_text", 256)).drop("clean_text")
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
