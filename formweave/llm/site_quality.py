@@ -9,15 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .boosting import boost, tree_column
-from .common import check_columns, cut
+from .common import check_columns, cut, hot_keys, meet, row_place, without_rows
 from .textarrays import chunks, distinct_sets, shingle_hashes, text_bytes, word_hashes, word_spans
 
 #: Labelled rows that train the classifier at most: those with the least hashes of their ids.
 SAMPLE = 6000
-#: Log-odds that sites can add or take at most; text evidence alone exceeds it.
+#: Log-odds that a site can add or take at most.  A site's posterior is made of the same classifier's
+#: scores of its other documents, so it may tip undecided texts but never reject a clearly good one.
 SITE_WEIGHT = 1.0
-#: Rows of the table of sites that may be broadcast.
-SMALL = 100_000
+#: Documents that a prior counts for at least: a site of a few documents does not judge them.
+LEAST_PRIOR = 20.0
 FEATURES = ("words", "word_length", "upper", "symbols", "digits", "marks", "pipes", "distinct_words", "distinct_runs", "same_next", "stops", "line_words")
 
 
@@ -58,71 +59,98 @@ def text_features(column: pa.Array) -> np.ndarray:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = text_features(batch.column(3))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(np.ascontiguousarray(x[:, j])) for j in range(len(FEATURES))]], names=["id", "host", "path", *FEATURES])
+        x = text_features(batch.column(4))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], *[pa.array(np.ascontiguousarray(x[:, j])) for j in range(len(FEATURES))]], names=["row", "id", "host", "path", *FEATURES])
 
 
-def site_quality(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality"
-) -> DataFrame:
-    """(id_col, text_score, site_prior, score, kept) for every row.
-
-    ``text_score`` is the boosted trees' probability of good quality.  A host's
-    posterior mean shrinks its documents' scores to the global mean, a path's (the
-    pair of host and path column) to its host's, each document left out of its own;
-    strengths come from the spread between hosts (moments).  The score adds the
-    path's log-odds against the global ones, at most SITE_WEIGHT, to the text's.
-
-    The trees see at most SAMPLE labelled rows; statistics of sites cover all rows.
-    Null or empty texts are judged by their zero features; null hosts and paths are
-    groups of their own; repeated labels of an id average.  Without labels of both
-    kinds every document is kept with a score of one half.
-    """
-    check_columns(docs, id_col, text_col, host_col, path_col)
-    check_columns(labels, id_col, label_col)
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
+def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host_col: str, path_col: str, label_col: str) -> DataFrame:
+    """(row, id, text_score, site_prior, score, kept) for every row of docs; row is its place."""
+    plain = docs.select(
+        row_place().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text")
+    )
     kinds = ", ".join(f"{n} double" for n in FEATURES)
-    rows = cut(plain.mapInArrow(_features, f"id long, host string, path string, {kinds}"))
-    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.avg(label_col).alias("y"))
-    sample = rows.join(known, "id").select(F.xxhash64("id").alias("order"), "id", F.col("y") >= 0.5, *FEATURES).orderBy("order", *FEATURES).limit(SAMPLE).collect()
-    x = np.array([r[3:] for r in sample], float).reshape(-1, len(FEATURES))
-    y = np.array([r[2] for r in sample], float)
+    rows = cut(plain.mapInArrow(_features, f"row long, id long, host string, path string, {kinds}"))
+    x, y = training_sample(rows, labels, id_col, label_col)
     if not len(y) or y.min() == y.max():
-        return rows.select(F.col("id").alias(id_col), *[F.lit(0.5).alias(c) for c in ("text_score", "site_prior", "score")], F.lit(True).alias("kept"))
-    trees = boost(x, y, rounds=30, depth=3, least=max(4, len(y) // 200))
-    odds = tree_column(trees, list(FEATURES))
-    scored = cut(rows.select("id", "host", "path", odds.alias("odds")).withColumn("p", 1 / (1 + F.exp(-F.col("odds")))))
+        return rows.select("row", "id", *[F.lit(0.5).alias(c) for c in ("text_score", "site_prior", "score")], F.lit(True).alias("kept"))
+    odds = tree_column(classifier(x, y), list(FEATURES))
+    scored = cut(rows.select("row", "id", "host", "path", odds.alias("odds")).withColumn("p", 1 / (1 + F.exp(-F.col("odds")))))
 
     paths = cut(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
-    n, s, parts = paths.agg(F.sum("n"), F.sum("s"), F.count("*")).first()
+    n, s = paths.agg(F.sum("n"), F.sum("s")).first()
     if not n:
-        return scored.select(F.col("id").alias(id_col), *[F.col("p").alias(c) for c in ("text_score", "site_prior", "score")], (F.col("p") >= 0.5).alias("kept"))
+        return scored.select("row", "id", *[F.col("p").alias(c) for c in ("text_score", "site_prior", "score")], (F.col("p") >= 0.5).alias("kept"))
     mean = min(max(s / n, 0.01), 0.99)
     spread = lambda frame, size, total: frame.agg(F.sum(F.col(size) * (F.col(total) / F.col(size) - mean) ** 2) / F.sum(size), F.sum(size) / F.count("*")).first()
-
-    def strength(between: float, size: float) -> float:
-        """Documents that the prior counts for: within variance over the variance between groups beyond chance."""
-        extra = max(between - mean * (1 - mean) / max(size, 1.0), 1e-5)
-        return float(min(max(mean * (1 - mean) / extra - 1, 20.0), 1e6))
-
-    host_prior, path_prior = strength(*spread(hosts, "hn", "hs")), strength(*spread(paths, "n", "s"))
-    sites = _with_hosts(paths, hosts)
-    sites = sites.select(F.coalesce("host", F.lit("")).alias("h"), F.col("host").isNull().alias("h0"), F.coalesce("path", F.lit("")).alias("q"), F.col("path").isNull().alias("q0"), "n", "s", "hn", "hs")
-    if parts <= SMALL:
-        sites = F.broadcast(sites)
-    keyed = scored.select("*", F.coalesce("host", F.lit("")).alias("h"), F.col("host").isNull().alias("h0"), F.coalesce("path", F.lit("")).alias("q"), F.col("path").isNull().alias("q0"))
-    joined = keyed.join(sites, ["h", "h0", "q", "q0"])
+    host_prior, path_prior = strength(mean, *spread(hosts, "hn", "hs")), strength(mean, *spread(paths, "n", "s"))
+    key = ["h", "h0", "q", "q0"]
+    named = [F.coalesce("host", F.lit("")).alias("h"), F.col("host").isNull().alias("h0"), F.coalesce("path", F.lit("")).alias("q"), F.col("path").isNull().alias("q0")]
+    sites = _with_hosts(paths, hosts).select(*named, "n", "s", "hn", "hs")
+    joined = meet(scored.select("row", "id", "odds", "p", *named), sites, key, ["row"], hot_keys(sites, key, "n", n))
     host_mean = (F.col("hs") - F.col("p") + host_prior * mean) / (F.col("hn") - 1 + host_prior)
     prior = (F.col("s") - F.col("p") + path_prior * host_mean) / (F.col("n") - 1 + path_prior)
     prior = F.least(F.greatest(prior, F.lit(0.001)), F.lit(0.999))
     shift = F.log(prior / (1 - prior)) - float(np.log(mean / (1 - mean)))
     shift = F.least(F.greatest(shift, F.lit(-SITE_WEIGHT)), F.lit(SITE_WEIGHT))
     score = 1 / (1 + F.exp(-(F.col("odds") + shift)))
-    return joined.select(F.col("id").alias(id_col), F.col("p").alias("text_score"), prior.alias("site_prior"), score.alias("score")).withColumn("kept", F.col("score") >= 0.5)
+    return joined.select("row", "id", F.col("p").alias("text_score"), prior.alias("site_prior"), score.alias("score")).withColumn("kept", F.col("score") >= 0.5)
+
+
+def training_sample(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of at most SAMPLE labelled rows, those with the least hashes of their ids; labels of an id average."""
+    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.avg(label_col).alias("y"))
+    sample = rows.join(known, "id").select(F.xxhash64("id").alias("order"), "id", F.col("y") >= 0.5, *FEATURES).orderBy("order", *FEATURES).limit(SAMPLE).collect()
+    return np.array([r[3:] for r in sample], float).reshape(-1, len(FEATURES)), np.array([r[2] for r in sample], float)
+
+
+def classifier(x: np.ndarray, y: np.ndarray) -> list:
+    """Boosted trees whose sum is the log-odds of good quality."""
+    return boost(x, y, rounds=30, depth=3, least=max(4, len(y) // 200))
+
+
+def strength(mean: float, between: float, size: float) -> float:
+    """Documents that a prior counts for: within variance over the variance between groups beyond chance."""
+    extra = max(between - mean * (1 - mean) / max(size, 1.0), 1e-5)
+    return float(min(max(mean * (1 - mean) / extra - 1, LEAST_PRIOR), 1e6))
 
 
 def _with_hosts(paths: DataFrame, hosts: DataFrame) -> DataFrame:
     """Paths with their hosts' sums; a null host is a host."""
     hosts = hosts.withColumnRenamed("host", "_host")
     return paths.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
+
+
+def site_quality(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality"
+) -> DataFrame:
+    """(id_col, text_score, site_prior, score, kept) for every row.
+
+    ``text_score`` is the boosted trees' probability of good quality.  A host's
+    posterior mean shrinks its documents' scores to the global mean, a path's (the
+    pair of host and path column) to its host's, each document left out of its own;
+    strengths come from the spread between hosts (moments).  The score adds the
+    path's log-odds against the global ones, at most SITE_WEIGHT, to the text's.
+
+    The trees see at most SAMPLE labelled rows; statistics of sites cover all rows.
+    Null or empty texts are judged by their zero features; null hosts and paths are
+    groups of their own; repeated labels of an id average, and count for each row of
+    the id.  Rows are judged by their own texts, also if they share an id or have none.
+    A score of exactly one half is kept.  Without labels of both kinds every document
+    is kept with that score; an empty table gives no rows.
+    """
+    check_columns(docs, id_col, text_col, host_col, path_col)
+    check_columns(labels, id_col, label_col)
+    return _judged(docs, labels, id_col, text_col, host_col, path_col, label_col).drop("row").withColumnRenamed("id", id_col)
+
+
+def without_rejected(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality"
+) -> DataFrame:
+    """docs without the rows that ``site_quality`` rejects, by their places: rows that share an id go or stay alone.
+
+    docs is read twice and must give its rows in the same order, as stored tables do.
+    """
+    check_columns(docs, id_col, text_col, host_col, path_col)
+    check_columns(labels, id_col, label_col)
+    return without_rows(docs, _judged(docs, labels, id_col, text_col, host_col, path_col, label_col).where("not kept"))
