@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from math import log
 from pathlib import Path
 
 import pyarrow as pa
@@ -11,25 +13,42 @@ from pyspark.sql import DataFrame, functions as F
 from .common import check_columns
 
 SPACE = "▁"
-#: Words whose counts a worker remembers, and the longest of them.
+#: Units whose counts a worker remembers, and the longest of them.
 REMEMBERED, LONGEST = 600_000, 40
 #: The score of an unknown character lies this far below the least piece's.
 UNKNOWN = 10.0
+#: Scores are multiples of 1 / GRID: sums of them are exact, so that ties are ties in any order of adding.
+GRID = 1 << 16
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def load_vocabulary(path: str = DEFAULT_MODEL) -> list[tuple[str, float]]:
-    """Pieces and scores in the order of their ids, of a sentencepiece model file."""
+    """Pieces that texts can match, in the order of their ids, with log-probabilities, of a sentencepiece model file.
+
+    A unigram model brings its own.  A model of merges has only their order, which is
+    the order of frequency when they were made: the piece of rank r gets Zipf's share,
+    1 / r over the sum of all shares.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=str(Path(path).resolve()))
-    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
+    ids = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+    scores = [model.get_score(i) for i in ids]
+    if all(x == int(x) for x in scores):  # ranks of merges
+        order = sorted(range(len(ids)), key=lambda k: -scores[k])
+        whole = log(sum(1 / r for r in range(1, len(ids) + 1)))
+        for r, k in enumerate(order, 1):
+            scores[k] = -log(r) - whole
+    return [(model.id_to_piece(i), round(x * GRID) / GRID) for i, x in zip(ids, scores, strict=True)]
 
 
 class UnigramCounter:
-    """Counts the tokens of the best segmentation under a unigram vocabulary.
+    """Counts the tokens of the best segmentation of a text under a unigram vocabulary.
 
-    Text is split before every space; a space counts as part of the piece it starts.
+    A space counts as a character of its own, ``SPACE``; a text that starts with none
+    gets one.  The best path is that of the whole text: it is searched in units only
+    where no piece of the vocabulary reaches from one into the next (from a word into
+    the spaces after it, over a line end), so that every path passes there.
     The Aho-Corasick automaton lists, at each end, the matching pieces longest first;
     a later start replaces the best path only with a strictly higher score, as a
     forward pass over the starts would.  A character that no piece covers costs
@@ -46,10 +65,11 @@ class UnigramCounter:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.known = frozenset(piece for piece, _ in vocabulary if len(piece) == 1)
-        #: no piece crosses a line end, so the best path never does either
         self.lines = not any("\n" in piece and piece != "\n" for piece, _ in vocabulary)
+        inside = re.compile(f"[^{SPACE}]{SPACE}")
+        self.words = not any(inside.search(piece) for piece, _ in vocabulary)
         self.line_end = self._word("\n")
-        self.words = _Words(self)
+        self.counts = _Counts(self)
 
     def _word(self, word: str) -> int:
         """Tokens of a text that is segmented as a whole."""
@@ -92,27 +112,36 @@ class UnigramCounter:
         text = text.replace(SPACE, " ")
         if not text.startswith(" "):
             text = " " + text
-        total = 0
-        for k, line in enumerate(text.split("\n") if self.lines else (text,)):
-            first, *words = line.split(" ")
-            total += (k > 0 and self.line_end) + (self._word(first) if first else 0)
-            total += sum(map(self.words.__getitem__, words))
-        return total
+        lines = text.split("\n") if self.lines else [text]
+        return sum(map(self._line, lines)) + (len(lines) - 1) * self.line_end
+
+    def _line(self, line: str) -> int:
+        counts = self.counts
+        if not self.words:
+            return counts[line] if line else 0
+        if "  " in line or line.endswith(" "):
+            return sum(map(counts.__getitem__, UNIT.findall(line)))
+        first, *words = line.split(" ")
+        return (counts[first] if first else 0) + sum([counts[" " + w] for w in words])
+
+
+#: A run of spaces and the word after it.
+UNIT = re.compile(" *[^ ]+| +")
 
 
-class _Words(dict):
-    """Counts of words after a space, filled on demand and emptied when full."""
+class _Counts(dict):
+    """Counts of units, filled on demand and emptied when full."""
 
     def __init__(self, counter: UnigramCounter):
         super().__init__()
         self.counter = counter
 
-    def __missing__(self, word: str) -> int:
-        found = self.counter._word(SPACE + word)
-        if len(word) <= LONGEST:
+    def __missing__(self, unit: str) -> int:
+        found = self.counter._word(unit.replace(" ", SPACE))
+        if len(unit) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.clear()
-            self[word] = found
+            self[unit] = found
         return found
 
 
