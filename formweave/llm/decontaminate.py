@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WORD, check_columns
+from .common import WORD, check_columns, row_place, without_rows
 from .textarrays import chunks, mix, text_bytes, word_hashes, word_spans
 
 #: Least words of an item.
@@ -229,3 +229,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for more in results[1:]:
         total = total.union(more)
     return total.groupBy(F.col("doc").alias(id_col), F.col("item").alias(item_col)).agg(F.max("score").alias("score"), F.count_distinct("place").alias("n_passages"))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows that hold a copy of an item, by their places: null and repeated ids are rows like others.
+
+    docs is read once more for the result and must give its rows in the same order, as stored tables do.
+    """
+    check_columns(docs, text_col)
+    rows = docs.select(row_place().alias("row"), F.col(text_col).alias("text"))
+    tests = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text"))
+    return without_rows(docs, contaminated(rows, tests, "row", "text", "item", threshold).select("row").distinct())
