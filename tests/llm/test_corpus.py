@@ -7,16 +7,16 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from formweave.llm import mixing, quality_rules, url_filter
+from formweave.llm import mixing, near_dedup, quality_rules, url_filter
 from formweave.llm.boosting import boost, score
 from formweave.llm.components import connected_components
 from formweave.llm.decontaminate import align, contaminated
 from formweave.llm.html_text import extract_html, main_text
 from formweave.llm.licenses import TEMPLATES, license_scan
-from formweave.llm.near_dedup import near_duplicates, required_overlap
+from formweave.llm.near_dedup import near_duplicates, required_overlap, without_copies
 from formweave.llm.pii import personal_data, redact
 from formweave.llm.site_quality import site_quality
-from formweave.llm.tokens import UnigramCounter, count_tokens
+from formweave.llm.tokens import DEFAULT_MODEL, UnigramCounter, count_tokens, load_vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, n long, v string"
@@ -77,6 +77,52 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == brute_components(texts)
 
 
+def family(n, common, own, seed):
+    """Documents that share their first words and go on with words of their own."""
+    base = prose(seed, common, 4000)
+    return {seed * 100_000 + i: base + " " + prose(seed * 1_000_003 + i, own, 100_000) for i in range(n)}
+
+
+def test_near_duplicates_of_families_about_the_threshold(spark):
+    """Members share 80 to 86 percent with each other: some families hold together, some do not, some by parts."""
+    r, texts = random.Random(5), {}
+    for seed, own in ((1, 27), (2, 21), (3, 19), (4, 16), (5, 17)):
+        texts |= family(25, 210, own, seed)
+    pool = [prose(900 + k, 12, 5000) for k in range(30)]
+    texts |= {900_000 + i: " ".join(p for p in pool if r.random() > 0.06) for i in range(60)}
+    want = brute_components(texts)
+    assert 60 < len({c for _, c in want.values()}) < 120
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in near_duplicates(docs(spark, texts)).collect()} == want
+
+
+def test_families_under_the_threshold_cost_no_pairs(spark, monkeypatch):
+    """The rows that two tables give where they meet grow with the family, not with its square."""
+    grown = []
+    for n in (100, 200, 400):
+        met = []
+
+        def counted(*args, real=near_dedup.meet):
+            out = real(*args)
+            met.append(out.count())
+            return out
+
+        monkeypatch.setattr(near_dedup, "meet", counted)
+        found = near_duplicates(docs(spark, family(n, 210, 21, 7)))
+        assert found.where("kept").count() == n
+        monkeypatch.undo()
+        grown.append(sum(met))
+    assert grown[1] < 2.2 * grown[0] and grown[2] < 2.2 * grown[1]
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    rows = [(1, "alpha beta gamma"), (1, "one two three"), (None, "four five six"), (4, "four five six"), (5, "one two three"), (6, None), (6, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, near_duplicates(frame).collect()), key=repr)
+    assert got == sorted([(1, 1, 1, True), (1, 1, 1, True), (None, 1, 4, False), (4, 1, 4, True), (5, 1, 1, False), (6, 0, 6, True), (6, 0, 6, True)], key=repr)
+    left = [tuple(x) for x in without_copies(frame).collect()]
+    assert sorted(left, key=repr) == sorted([(1, "alpha beta gamma"), (1, "one two three"), (4, "four five six"), (6, None), (6, "")], key=repr)
+
+
 def test_near_duplicates_of_hard_rows(spark):
     got = [tuple(r) for r in near_duplicates(hard_rows(spark)).collect()]
     assert len(got) == 10 and got.count((4, 1, 4, True)) == 3
@@ -114,7 +160,8 @@ def test_mix_nears_targets_and_repeats(spark):
         by.setdefault(source, [target, 0])[1] += taken
     assert all(abs(taken - target) <= max(45, 0.02 * target) for target, taken in by.values())
     assert sum(t for t, _ in by.values()) == pytest.approx(sum(r[1] for r in one))
-    assert mixing.emit(frame, mixing.mix_sources(frame)).count() == sum(r[5] for r in one)
+    emitted = mixing.mixed_documents(frame).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in emitted} == {r[0]: r[5] for r in one if r[5]}
     hard = mixing.mix_sources(hard_rows(spark))
     assert hard.count() == 10 and mixing.mix_sources(hard_rows(spark).where("false")).count() == 0
 
@@ -135,6 +182,10 @@ def test_quality_rules_equal_brute_force(spark):
         x = got[i]
         assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) == brute_rules(t)
         assert x.base_failed == (x.n_words < 50 or 100 * x.n_repeat_words > 50 * x.n_words) and not (x.base_failed and x.kept)
+    prose_of = {"zh": "这是一行用来测试的普通文字，写得很完整。", "hi": "यह एक पूरा वाक्य है जिसे पढ़ा जा सकता है।", "ar": "هل هذا سطر كامل من النص العادي؟", "th": "นี่คือบรรทัดข้อความธรรมดาที่เขียนครบถ้วน", "ja": "「これは普通の文章です。」", "de": "Das hier ist ein ganzer Satz.«"}
+    furniture = ["Alle Rechte vorbehalten.", "Tous droits réservés.", "Todos los derechos reservados.", "Datenschutzerklärung und Impressum."]
+    lines = quality_rules.quality_rules(docs(spark, [*(t + "\n" + t for t in prose_of.values()), *furniture])).orderBy("doc_id").collect()
+    assert [x.n_bad_lines for x in lines] == [0] * len(prose_of) + [1] * len(furniture)
     good = ". ".join(prose(k, 12) for k in range(8)) + "."
     nav = "\n".join("home | about | news | contact | help" for _ in range(3))
     x, y = quality_rules.quality_rules(docs(spark, [good + "\n" + nav.split("\n")[0], " ".join(f"w{k} | x{k}" for k in range(60))])).orderBy("doc_id").collect()
@@ -261,14 +312,66 @@ def test_token_counts_equal_the_tokenizer(spark, tmp_path):
     pieces = [("<unk>", 0.0)] + [(f"<0x{b:02X}>", 0.0) for b in range(256)] + [("▁", -3.0)] + [(c, float(-r.randint(5, 9))) for c in "abcde"]
     pieces += [(p, float(-r.randint(2, 12))) for p in sorted({("▁" if r.random() < 0.3 else "") + "".join(r.choices("abcde", k=r.randint(2, 4))) for _ in range(80)})]
     exact = Tokenizer(models.Unigram(pieces, unk_id=0, byte_fallback=True))
-    exact.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    exact.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=False)
     counter = UnigramCounter(pieces)
     for _ in range(400):
         text = "".join(r.choices("abcde  \n▁é日", k=r.randint(0, 30)))
         assert counter.count(text) == len(exact.encode(text).ids), repr(text)
+    assert counter.words and counter.lines
+    crossing = UnigramCounter([*pieces, ("a▁b", -1.0), ("▁▁", -2.5), ("▁▁▁c", -2.0), ("d\ne", -1.0)])
+    exact = Tokenizer(models.Unigram([*pieces, ("a▁b", -1.0), ("▁▁", -2.5), ("▁▁▁c", -2.0), ("d\ne", -1.0)], unk_id=0, byte_fallback=True))
+    exact.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=False)
+    for _ in range(400):
+        text = "".join(r.choices("abcde   \n▁é日", k=r.randint(0, 30)))
+        assert crossing.count(text) == len(exact.encode(text).ids), repr(text)
+    assert not crossing.words and not crossing.lines
     assert [r.n_tokens for r in count_tokens(hard_rows(spark)).where("doc_id = 2").collect()] == [0]
 
 
+def slow_count(vocabulary, text):
+    """Tokens of the best path of a whole text by the plain recurrence over every piece."""
+    if not text:
+        return 0
+    scores, longest = dict(vocabulary), max(len(p) for p, _ in vocabulary)
+    text = text.replace(" ", "▁")
+    text = text if text.startswith("▁") else "▁" + text
+    unknown = min(scores.values()) - 10
+    best = [(0.0, 0)] + [(float("-inf"), 0)] * len(text)
+    for end in range(1, len(text) + 1):
+        for start in range(max(0, end - longest), end):
+            value = scores.get(text[start:end])
+            n = 1
+            if value is None:
+                if end - start > 1:
+                    continue
+                value, n = unknown, len(text[start].encode())
+            if best[start][0] + value > best[end][0]:
+                best[end] = best[start][0] + value, best[start][1] + n
+    return best[-1][1]
+
+
+def test_token_counts_of_the_public_vocabulary(spark):
+    """Every document of the smallest table, whole, by the plain recurrence and by the library's model."""
+    import os
+
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    if not os.path.exists(DEFAULT_MODEL):
+        pytest.skip("no vocabulary")
+    vocabulary = load_vocabulary()
+    least = min(x for _, x in vocabulary)
+    exact = Tokenizer(models.Unigram([("<unk>", least), *[(f"<0x{b:02X}>", least) for b in range(256)], *vocabulary], unk_id=0, byte_fallback=True))
+    exact.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=False)
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {x.doc_id: x.n_tokens for x in count_tokens(table).collect()}
+    texts = {x.doc_id: x.text for x in table.collect()}
+    assert got == {i: len(exact.encode(t or "").ids) if t else 0 for i, t in texts.items()}
+    short = [i for i, t in texts.items() if len(t or "") < 3000][:40]
+    assert {i: got[i] for i in short} == {i: slow_count(vocabulary, texts[i]) for i in short}
+    counter = UnigramCounter(vocabulary)
+    assert [counter.count(t) for t in ("plain text here", "a    b", "tail   ", "   ")] == [slow_count(vocabulary, t) for t in ("plain text here", "a    b", "tail   ", "   ")]
+
+
 def test_decontamination(spark):
     items = {k: prose(7000 + k, 30 + k, 4000) for k in range(6)}
     words = items[0].split()
