@@ -7,34 +7,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from formweave.llm.common import cut, documents, shared_folder
-from formweave.llm.decontaminate import contaminated
-from formweave.llm.mixing import emit, mix_sources
-from formweave.llm.near_dedup import near_duplicates
+from formweave.llm.common import documents, remove_folder, shared_folder
+from formweave.llm.decontaminate import without_contaminated
+from formweave.llm.mixing import mixed_documents
+from formweave.llm.near_dedup import without_copies
 from formweave.llm.pii import redact
-from formweave.llm.site_quality import site_quality
+from formweave.llm.site_quality import without_rejected
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go; a null id has no verdict of its own and stays."""
-    rejected = site_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("not kept").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    """Rows whose text the quality classifier rejects go."""
+    return without_rejected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the least id; of rows that share an id, one."""
-    groups = cut(near_duplicates(docs).where("kept").select("doc_id"))
-    out = docs.join(groups.distinct(), "doc_id", "left_semi").select(docs.columns)
-    repeated = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    """One row of each group of near copies stays, the one with the least id; blank texts are no copies."""
+    return without_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a copy of a benchmark item go."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """Rows that hold a copy of a benchmark item go."""
+    return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +38,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    return emit(docs, mix_sources(docs))
+    """Each row as many times as the mix takes it."""
+    return mixed_documents(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -60,10 +55,17 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents, each written as Parquet and read again by the next."""
+    """All stages on documents, each written as Parquet and read again by the next.
+
+    Rows are told apart by their place in the stage's table: rows with null ids, and rows that
+    share an id, are judged by their own texts.  An empty table stays empty.  A stage's table goes
+    once the next one is written; the last one stays, for the caller to read and remove.
+    """
     docs = documents(spark, sf_dir)
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if k:
+            remove_folder(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
