@@ -15,8 +15,8 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .boosting import boost, calibrated_threshold, tree_sql
-from .common import check_columns
+from .boosting import boost, calibrated_threshold, score, tree_sql
+from .common import check_columns, row_place
 
 KINDS = ("email", "ip", "card", "phone", "key", "number")
 #: The contract's patterns.  A match can only start where a run of its first
@@ -30,18 +30,19 @@ PATTERNS = {
 }
 #: A text without it has no match of the kind.
 SIGNS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-#: High-recall generators, on the text with base matches blanked out: kind, sign, pattern.
+#: High-recall generators, on the text with base matches blanked out: kind, sign, pattern.  No run is cut at a length.
 GENERATORS = (
-    ("email", r"(?i)(?:[(\[]at[)\]]|\x20at\x20\S+\x20dot\x20)", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+(?:\x20?[(\[]at[)\]]\x20?[a-z0-9-]{1,63}+(?:\x20?[(\[]dot[)\]]\x20?|\x20dot\x20|\.)|\x20at\x20[a-z0-9-]{1,63}+\x20dot\x20)[a-z]{2,24}"),
-    ("phone", "[0-9]", r"(?<![0-9A-Za-z.+])\+?(?:[0-9]{1,3}[\x20.-]?)?\(?[0-9]{2,5}\)?[\x20./-]{1,2}[0-9]{2,5}(?:[\x20./-][0-9]{2,5}){0,3}(?![0-9A-Za-z])"),
-    ("number", "[0-9]", r"(?<![0-9A-Za-z])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}|[0-9]{9,19})(?![0-9A-Za-z])"),
+    ("email", r"(?i)(?:[(\[]at[)\]]|\x20at\x20\S+\x20dot\x20)", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++(?:\x20?[(\[]at[)\]]\x20?[a-z0-9-]++(?:\x20?[(\[]dot[)\]]\x20?|\x20dot\x20|\.)|\x20at\x20[a-z0-9-]++\x20dot\x20)[a-z]{2,}+"),
+    ("phone", "[0-9]", r"(?<![0-9A-Za-z.+])\+?(?:[0-9]{1,3}[\x20.-]?)?\(?[0-9]{2,5}\)?[\x20./-]{1,2}[0-9]{2,8}(?:[\x20./-][0-9]{2,5}){0,4}(?![0-9A-Za-z])"),
+    ("number", "[0-9]", r"(?<![0-9A-Za-z])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?|[0-9]{9,}+)(?![0-9A-Za-z])"),
     ("key", "[0-9]", r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{12,}+"),
 )
-#: Words before a candidate that speak for it.
-CUE = r"(?i)(passw|passwd|pwd|token|secret|api[_ -]?key|credential|bearer)"
-CALL = r"(?i)(phone|tel\b|tel\.|telef|call|mobile|fax|whatsapp|contact|handy|appel)"
-ACCOUNT = r"(?i)(ssn|social security|iban|account|konto|cuenta|compte|card|passport|tax id)"
-MAIL = r"(?i)(mail|contact|write|reach|schreib|escrib)"
+#: Words before a candidate that speak for it, the nearest kind of them, and what speaks against it.
+CUE = r"(?i)(passw|passwd|pwd|kennwort|contrase|mot de passe|\bclave\b|token|secret|api[_ -]?key|credential|bearer)"
+CALL = r"(?i)(phone|tel\b|tel\.|tel:|t[eé]l[eé]f|call|mobile?\b|m[oó]vil|handy|fax|whatsapp|appel|anruf|ruf|llam)"
+ACCOUNT = r"(?i)(ssn|social security|sozialvers|s[eé]curit[eé] sociale|iban|account|konto|cuenta|compte|card|passport|passeport|pasaporte|reisepass|tax id|steuer|\bnif\b|\bdni\b)"
+MAIL = r"(?i)(mail|contact|write|reach|schreib|escrib|[eé]criv|kontakt)"
+AGAINST = r"(?i)(commit|checksum|digest|sha-?[0-9]+|md5|uuid|guid|isbn|issn|\bdoi\b|version|build|revision|order|invoice|part no|model|article|figure|pages?|pp\.)"
 #: Code points before a candidate that are read for cues.
 CONTEXT = 24
 BLOCK = 64
@@ -137,11 +138,14 @@ def _features(kind: int, m: str, before: str) -> dict[str, str]:
             (1, r"^\+?(?:1[\x20.-]?)?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}$"),
             (2, r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"),
             (3, r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3}"),
-            (4, r"^(?:AKIA|ASIA|ghp_|gho_|sk-|xox[bp]-|AIza)"),
-            (5, r"^(?:19|20)[0-9]{2}[-./][0-9]{1,2}[-./][0-9]{1,2}$"),
+            (4, r"^(?:AKIA|ASIA|ghp_|gho_|sk-|xox[bp]-|AIza|eyJ)"),
+            (5, r"^(?:(?:19|20)[0-9]{2}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./](?:19|20)[0-9]{2}|(?:1[0-9]|20)[0-9]{2}[-/](?:1[0-9]|20)?[0-9]{2})$"),
+            (6, r"^(?:0[0-9]{1,4}|\(0[0-9]{1,4}\))[\x20/-]?(?:[0-9]{5,8}|[0-9]{2,4}(?:[\x20.-][0-9]{2,4})+)$"),
+            (7, r"^[0-9]{1,3}(?:[\x20.][0-9]{3})+$"),
+            (8, r"(?i)[(\[]at[)\]]"),
         )
     )
-    cue = " ".join(f"WHEN {before} RLIKE r'{p}' THEN {k}" for k, p in ((1, CUE), (2, CALL), (3, ACCOUNT), (4, MAIL)))
+    cue = " ".join(f"WHEN {before} RLIKE r'{p}' THEN {k}" for k, p in ((1, CUE), (2, CALL), (3, ACCOUNT), (4, MAIL), (5, AGAINST)))
     found = {
         "kind": str(kind), "length": f"least(length({m}), {LONGEST})", "digits": count("[^0-9]+"), "letters": count("[^A-Za-z]+"), "upper": count("[^A-Z]+"),
         "mixed": f"regexp_count({m}, r'(?:[0-9][A-Za-z]|[A-Za-z][0-9])')", "groups": f"size(split({m}, r'[^A-Za-z0-9]+'))",
@@ -155,69 +159,151 @@ def _described(kind: int, m: str, before: str, *more: str) -> str:
     return f"named_struct({', '.join([*more, *[f"'{n}', {x}" for n, x in _features(kind, m, before).items()]])})"
 
 
+class _Maker:
+    """Draws the pieces of labelled candidates."""
+
+    def __init__(self, seed: int):
+        self.r = random.Random(seed)
+
+    def of(self, alphabet: str, n: int) -> str:
+        return "".join(self.r.choices(alphabet, k=n))
+
+    def digits(self, n: int) -> str:
+        return self.of(string.digits, n)
+
+    def lower(self, a: int, b: int | None = None) -> str:
+        return self.of(string.ascii_lowercase, self.r.randint(a, b or a))
+
+    def prose(self) -> str:
+        return " ".join(self.lower(2, 9) for _ in range(4)) + " "
+
+    def mixed(self, n: int, alphabet: str) -> str:
+        """A run with a digit and a letter at least."""
+        return self.of(alphabet, n - 2) + self.r.choice(string.digits) + self.r.choice([c for c in alphabet if c.isalpha()])
+
+    def pick(self, *options: str) -> str:
+        return self.r.choice(options)
+
+
+HEX, ALNUM = "0123456789abcdef", string.ascii_letters + string.digits
+
+
 def labelled_table(seed: int = 7, each: int = 24) -> list[tuple[str, str, int]]:
-    """(text before, candidate, 1 if personal or secret), made from a rule."""
-    r = random.Random(seed)
-    digits = lambda n: "".join(r.choices(string.digits, k=n))
-    lower = lambda n: "".join(r.choices(string.ascii_lowercase, k=n))
-    prose = lambda: " ".join(lower(r.randint(2, 9)) for _ in range(4)) + " "
-    mixed = lambda n, s: "".join(r.choices(s, k=n - 2)) + r.choice(string.digits) + r.choice("abcdef" if s[-1] == "f" else s[:6])
-    rows: list[tuple[str, str, int]] = []
+    """(text before, candidate, 1 if personal or secret), made from a rule; trees and thresholds come from it."""
+    m, rows = _Maker(seed), []
+    for _ in range(each):
+        rows += [
+            (m.pick("password=", 'token = "', "api_key: ", "secret=", "Passwort: ", "mot de passe : "), m.mixed(m.r.choice([16, 18, 24, 40, 64]), HEX), 1),
+            (m.prose(), "AKIA" + m.of(string.ascii_uppercase + "234567", 15) + "7", 1),
+            (m.pick("Bearer ", "secret key ", "access token: "), m.mixed(m.r.choice([20, 32, 48]), ALNUM), 1),
+            (m.prose(), m.pick("ghp_", "sk-", "xoxb-", "AIza", "eyJ") + m.mixed(m.r.choice([20, 36]), ALNUM), 1),
+            (m.prose(), f"({m.digits(3)}) {m.digits(3)}-{m.digits(4)}", 1),
+            (m.pick("phone ", "call me: ", "tel. "), f"{m.digits(3)}-{m.digits(3)}-{m.digits(4)}", 1),
+            (m.pick("Tel: ", "mobile ", "llame al "), f"0{m.digits(2)} {m.digits(3)} {m.digits(4)}", 1),
+            (m.pick("call ", "Anruf unter ", "fax "), f"0{m.digits(m.r.choice([2, 3]))}{m.pick(' ', '/', '-')}{m.digits(m.r.choice([6, 7, 8]))}", 1),
+            (m.pick("appelez le ", "tel. "), f"0{m.digits(1)} " + " ".join(m.digits(2) for _ in range(4)), 1),
+            (m.prose(), f"{m.digits(3)}-{m.digits(2)}-{m.digits(4)}", 1),
+            (m.pick("IBAN ", "iban: ", "Konto "), f"{m.pick('DE', 'FR', 'ES', 'NL')}{m.digits(2)} {m.digits(4)} {m.digits(4)} {m.digits(4)} {m.digits(4)}", 1),
+            (m.pick("account ", "SSN ", "cuenta ", "passport "), m.digits(m.r.choice([9, 10, 12, 22])), 1),
+            (m.prose(), f"{m.lower(6)} (at) {m.lower(7)} (dot) com", 1),
+            (m.prose(), f"{m.lower(5)}[at]{m.lower(7)}.org", 1),
+            (m.prose(), f"{m.lower(5)} at {m.lower(5)} dot com", 1),
+            (m.prose(), m.lower(12, 30), 0),
+            (m.prose(), m.lower(12, 20).capitalize(), 0),
+            (m.prose(), m.lower(12, 20).upper(), 0),
+            (m.prose(), f"{m.lower(7)}-{m.lower(8)}", 0),
+            (m.prose(), f"{m.lower(8)}_{m.lower(4)}{m.digits(1)}", 0),
+            (m.prose(), f"{m.lower(5)}/{m.lower(6)}/{m.lower(5)}", 0),
+            (m.prose(), m.mixed(12, string.ascii_lowercase[:8] + "12"), 0),
+            (m.pick("commit ", "md5 ", "checksum: "), m.mixed(m.r.choice([32, 40, 64]), HEX), 0),
+            (m.prose(), f"{m.mixed(8, HEX)}-{m.mixed(4, HEX)}-{m.mixed(4, HEX)}-{m.mixed(4, HEX)}-{m.mixed(12, HEX)}", 0),
+            (m.prose(), f"{m.pick('19', '20')}{m.digits(2)}-{m.digits(2)}-{m.digits(2)}", 0),
+            (m.prose(), f"{m.pick('19', '20')}{m.digits(2)}{m.pick('-', '/')}{m.pick('19', '20')}{m.digits(2)}", 0),
+            (m.prose(), f"{m.digits(2)}-{m.digits(2)}", 0),
+            (m.prose(), f"{m.digits(3)} {m.digits(3)}", 0),
+            (m.prose(), f"{m.digits(2)} {m.digits(3)} {m.digits(3)}", 0),
+            (m.prose(), f"{m.digits(4)}-{m.digits(4)}", 0),
+            (m.pick("pages ", "pp. ", "order "), f"{m.digits(3)}-{m.digits(m.r.choice([3, 4, 7]))}", 0),
+            (m.prose(), m.digits(m.r.choice([9, 10, 13, 25])), 0),
+            (m.pick("ISBN ", "order ", "invoice "), m.digits(m.r.choice([9, 10, 13])), 0),
+            (m.prose(), f"{m.lower(4)} at {m.lower(5)} dot {m.lower(9)}", 0),
+        ]
+    return rows
+
+
+#: Candidates of a group in ``labelled_table``.
+KINDS_OF_ROWS = 34
+
+
+def held_out_table(seed: int = 70, each: int = 12) -> list[tuple[str, str, int]]:
+    """The same of other forms, cues and lengths than ``labelled_table`` has, for the figures of the README."""
+    m, rows = _Maker(seed), []
     for _ in range(each):
         rows += [
-            (r.choice(["password=", "token = \"", "api_key: ", "secret="]), mixed(r.choice([16, 18, 24, 40]), "0123456789abcdef"), 1),
-            (prose(), "AKIA" + "".join(r.choices(string.ascii_uppercase + "234567", k=15)) + "7", 1),
-            (r.choice(["Bearer ", "secret key "]), mixed(32, string.ascii_letters + string.digits), 1),
-            (prose(), f"({digits(3)}) {digits(3)}-{digits(4)}", 1),
-            (r.choice(["phone ", "call me: ", "tel. "]), f"{digits(3)}-{digits(3)}-{digits(4)}", 1),
-            (r.choice(["Tel: ", "mobile "]), f"0{digits(2)} {digits(3)} {digits(4)}", 1),
-            (prose(), f"{digits(3)}-{digits(2)}-{digits(4)}", 1),
-            (r.choice(["IBAN ", "iban: "]), f"DE{digits(2)} {digits(4)} {digits(4)} {digits(4)} {digits(4)}", 1),
-            (r.choice(["account ", "SSN "]), digits(r.choice([9, 10, 12])), 1),
-            (prose(), f"{lower(6)} (at) {lower(7)} (dot) com", 1),
-            (prose(), f"{lower(5)}[at]{lower(7)}.org", 1),
-            (prose(), lower(r.randint(12, 30)), 0),
-            (prose(), lower(r.randint(12, 20)).capitalize(), 0),
-            (prose(), lower(r.randint(12, 20)).upper(), 0),
-            (prose(), f"{lower(7)}-{lower(8)}", 0),
-            (prose(), f"{lower(8)}_{lower(4)}{digits(1)}", 0),
-            (prose(), f"{r.choice(['19', '20'])}{digits(2)}-{digits(2)}-{digits(2)}", 0),
-            (prose(), f"{digits(2)}-{digits(2)}", 0),
-            (prose(), f"{digits(3)} {digits(3)}", 0),
-            (prose(), f"{digits(4)}-{digits(4)}", 0),
-            (prose(), digits(r.choice([9, 10, 13])), 0),
-            (prose(), f"{lower(4)} at {lower(5)} dot {lower(9)}", 0),
-            (prose(), f"{lower(5)} at {lower(5)} dot com", 1),
-            (prose(), f"{lower(5)}/{lower(6)}/{lower(5)}", 0),
-            (prose(), mixed(12, string.ascii_lowercase[:8]), 0),
-        ]
+            (m.pick("contraseña: ", "pwd=", "Kennwort ", "client_secret: "), m.mixed(m.r.choice([20, 28, 56]), ALNUM), 1),
+            (m.pick("X-Api-Key: ", "credentials "), m.mixed(m.r.choice([22, 44, 300]), HEX), 1),
+            (m.prose(), m.pick("gho_", "xoxp-", "ASIA") + m.mixed(m.r.choice([16, 30]), string.ascii_uppercase + string.digits), 1),
+            (m.pick("Handy ", "whatsapp: ", "Telefon: "), f"0{m.digits(3)} {m.digits(7)}", 1),
+            (m.pick("téléphone ", "phone no "), f"{m.digits(3)} {m.digits(3)} {m.digits(4)}", 1),
+            (m.prose(), f"1-{m.digits(3)}-{m.digits(3)}-{m.digits(4)}", 1),
+            (m.pick("compte ", "my iban is "), f"{m.pick('AT', 'BE', 'IT')}{m.digits(2)}{m.digits(16)}", 1),
+            (m.pick("Reisepass ", "DNI ", "tax id "), m.digits(m.r.choice([9, 11])), 1),
+            (m.prose(), f"{m.lower(4)}.{m.lower(6)} [at] {m.lower(5)} [dot] net", 1),
+            (m.prose(), m.lower(18, 40), 0),
+            (m.prose(), f"{m.lower(4)}-{m.lower(4)}-{m.lower(6)}", 0),
+            (m.prose(), f"{m.lower(3).capitalize()}{m.lower(5).capitalize()}{m.lower(6).capitalize()}", 0),
+            (m.pick("sha256 ", "digest ", "revision "), m.mixed(m.r.choice([40, 64]), HEX), 0),
+            (m.prose(), f"{m.digits(2)}.{m.digits(2)}.{m.pick('19', '20')}{m.digits(2)}", 0),
+            (m.prose(), f"{m.digits(1)} {m.digits(3)} {m.digits(3)}", 0),
+            (m.pick("figure ", "model "), f"{m.digits(2)}-{m.digits(4)}", 0),
+            (m.pick("version ", "build "), m.digits(m.r.choice([10, 12])), 0),
+            (m.prose(), f"/{m.lower(4)}/{m.lower(6)}/{m.lower(4)}", 0),
+        ]
     return rows
 
 
 @lru_cache(maxsize=1)
 def _trained(spark: SparkSession) -> tuple[list, dict[int, float]]:
     """Trees and each kind's threshold, from the labelled table; a small job of bounded size."""
-    rows = json.dumps([{"i": i, "before": a, "m": m, "y": y} for i, (a, m, y) in enumerate(labelled_table())])
+    i, x, y = described(spark, labelled_table())
+    fit, kinds = i // KINDS_OF_ROWS % 2 == 0, x[:, 0].astype(int)
+    trees = boost(x[fit], y[fit], rounds=20, depth=4, rate=0.4)
+    return trees, {k: calibrated_threshold(trees, x[~fit & (kinds == k)], y[~fit & (kinds == k)]) for k in sorted(set(kinds.tolist()))}
+
+
+def described(spark: SparkSession, labelled: list[tuple[str, str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers, FEATURES and labels of labelled candidates, once for each generator that proposes exactly one."""
+    rows = json.dumps([{"i": i, "before": a, "m": m, "y": y} for i, (a, m, y) in enumerate(labelled)])
     table = spark.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<i:int,before:string,m:string,y:int>>")))
-    # a candidate counts for each generator that proposes exactly it
     proposed = ", ".join(
         f"CASE WHEN m RLIKE r'^(?:{pattern.replace('(?i)', '')})$' THEN {_described(KINDS.index(kind), 'm', 'before')} END" for kind, _, pattern in GENERATORS
     )
     found = table.select("i", "y", F.expr(f"inline(filter(array({proposed}), f -> f IS NOT NULL))")).orderBy("i", "kind").collect()
-    x, y = np.array([[r[n] for n in FEATURES] for r in found], float), np.array([r["y"] for r in found], float)
-    fit = np.array([r["i"] // 25 % 2 == 0 for r in found])
-    trees = boost(x[fit], y[fit], rounds=12, depth=3, rate=0.5)
-    kinds = x[:, 0].astype(int)
-    return trees, {k: calibrated_threshold(trees, x[~fit & (kinds == k)], y[~fit & (kinds == k)]) for k in sorted(set(kinds.tolist()))}
+    return np.array([r["i"] for r in found]), np.array([[r[n] for n in FEATURES] for r in found], float), np.array([r["y"] for r in found], float)
+
+
+def judged_labels(spark: SparkSession, labelled: list[tuple[str, str, int]]) -> list[tuple[int, int]]:
+    """(label, 1 if the trees accept it for any kind) of each labelled candidate."""
+    trees, thresholds = _trained(spark)
+    i, x, _ = described(spark, labelled)
+    good = score(trees, x) >= np.array([thresholds.get(int(k), 0.0) for k in x[:, 0]])
+    return [(y, int(good[i == n].any())) for n, (_, _, y) in enumerate(labelled)]
 
 
 def _judged(found: str, text: str, kind: str, trees: list, thresholds: dict[int, float]) -> Column:
-    """Spans (s, k, e) of the candidates in a column that the trees accept."""
+    """Spans (s, e, k, p) of the candidates in a column that the trees accept; p is their score."""
     k = KINDS.index(kind)
     before = f"substring({text}, greatest(x.s - {CONTEXT}, 0) + 1, least(x.s, {CONTEXT}))"
     described = f"transform({found}, x -> {_described(k, 'x.m', before, "'s', x.s", "'e', x.e")})"
-    accepted = f"filter({described}, f -> {tree_sql(trees, [f'f.{n}' for n in FEATURES])} >= {thresholds.get(k, 0.0)!r}D)"
-    return F.expr(f"transform({accepted}, f -> named_struct('s', f.s, 'k', {k}, 'e', f.e))")
+    scored = f"transform({described}, f -> named_struct('s', f.s, 'e', f.e, 'k', {k}, 'p', {tree_sql(trees, [f'f.{n}' for n in FEATURES])}))"
+    return F.expr(f"filter({scored}, f -> f.p >= {thresholds.get(k, 0.0)!r}D)")
+
+
+#: Spans (s, e, k, p) in order of start; those that overlap become one, of the best-scored kind.
+_APART = """CASE WHEN forall(sequence(1, greatest(size({a}) - 1, 1)), i -> coalesce(get({a}, i).s >= get({a}, i - 1).e, true)) THEN {a} ELSE aggregate(slice({a}, 2, size({a})),
+    named_struct('out', slice({a}, 1, 0), 'c', {a}[0]), (t, x) -> CASE WHEN x.s >= t.c.e THEN named_struct('out', array_append(t.out, t.c), 'c', x)
+        ELSE named_struct('out', t.out, 'c', named_struct('s', t.c.s, 'e', greatest(t.c.e, x.e), 'k', CASE WHEN x.p > t.c.p THEN x.k ELSE t.c.k END, 'p', greatest(t.c.p, x.p))) END,
+    t -> array_append(t.out, t.c)) END"""
 
 
 def _joined(spans: Column) -> Column:
@@ -237,8 +323,10 @@ def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
         rows = rows.withColumn("_text", F.when(F.size("_base") > 0, _blanked(F.col("_text"), kind)).otherwise(F.col("_text")))
     rows = _with_matches(rows, "_text", [(f"_g{i}", sign, p) for i, (_, sign, p) in enumerate(GENERATORS)])
     more = F.concat(*[_judged(f"_g{i}", "_text", kind, trees, thresholds) for i, (kind, _, _) in enumerate(GENERATORS)])
-    rows = rows.withColumn("_spans", more)
-    rows = rows.withColumn("_spans", F.when(F.size("_spans") == 0, F.col("_base")).otherwise(F.sort_array(F.array_distinct(F.concat("_base", "_spans")))))
+    rows = rows.withColumn("_spans", F.sort_array(more))
+    rows = rows.withColumn("_spans", F.expr(f"transform({_APART.format(a='_spans')}, x -> named_struct('s', x.s, 'k', x.k, 'e', x.e))"))
+    # the place is no constant: a filter on the result is not pushed down, where it would repeat all of the above by powers
+    rows = rows.withColumn("_spans", F.when((F.size("_spans") == 0) & (row_place() >= 0), F.col("_base")).otherwise(F.sort_array(F.concat("_base", "_spans"))))
     return rows.select(*names, "_base", "_spans")
 
 
@@ -252,6 +340,9 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A null text is empty: no spans.  Rows are judged alone; repeated rows, null
     ids and other columns change nothing.  Kinds that the trees add beside the
     contract's four: key (credentials) and number (account and identity numbers).
+    Added spans that overlap are one span, of the kind with the best score (the first
+    on ties); they never overlap base spans.  A threshold's own score is accepted.  An
+    empty table gives no rows.
     """
     check_columns(docs, id_col, text_col)
     rows = find_spans(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text")
