@@ -1,49 +1,88 @@
-"""License notices in documents: MinHash bands retrieve templates, exact shingle containment verifies."""
+"""License notices in documents: MinHash bands over text windows retrieve templates, exact shingle containment verifies."""
 
 from __future__ import annotations
 
 from functools import lru_cache, reduce
-from math import ceil, log2
+from math import ceil
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import check_columns
 
-# The wording of common license notices.
-TEMPLATES: tuple[tuple[str, str], ...] = (
+# Identifiers of licenses, and the wording of their texts, heads and notices.
+IDENTIFIERS = (
+    "MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "Zlib", "BSL-1.0", "Unlicense", "WTFPL", "MPL-2.0", "EPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0",
+    "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later",
+    "AGPL-3.0-only", "AGPL-3.0-or-later",
+)
+COMMONS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_BSD_TWO = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES"
+)
+_NOTICE = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+TEXTS: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software'),
+    ("MIT", 'The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
+    ("Apache-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
-    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc."),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc."),
+    ("GPL-2.0-or-later", _NOTICE.format(";", "General Public License", ";", 2)),
+    ("GPL-3.0-or-later", _NOTICE.format(":", "General Public License", ",", 3)),
+    ("LGPL-2.1-or-later", _NOTICE.replace("program", "library").format(";", "Lesser General Public License", ";", 2.1)),
+    ("AGPL-3.0-or-later", _NOTICE.format(":", "Affero General Public License", ",", 3)),
     ("LGPL-2.1", "licensed under the GNU Lesser General Public License, version 2.1"),
     ("AGPL-3.0", "licensed under the GNU Affero General Public License, version 3"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", f"{_BSD_HEAD}: {_BSD_TWO} {_BSD_END}"),
+    ("BSD-3-Clause", _BSD_HEAD),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("Proprietary", "All rights reserved."),
 )
+TEMPLATES: tuple[tuple[str, str], ...] = (
+    *TEXTS,
+    *((f"CC-{k}-4.0", f"Licensed under CC {k} 4.0.") for k in COMMONS),
+    *((f"CC-{k}-4.0", f"This work is licensed under a Creative Commons {name} 4.0 International License.") for k, name in COMMONS.items()),
+    *((name, f"SPDX-License-Identifier: {name}") for name in IDENTIFIERS),
+)
 #: Words: letters with digits and inner dots, lower case.
 TOKEN = r"[a-z0-9]+(?:\.[a-z0-9]+)*"
 #: Words of a shingle; notices may have as few.
 WIDTH = 3
 #: Least share of a template's shingles that a window holds.
 CONTAINED = 0.8
-#: A window holds at least 1.2 templates and at most 4.3: Jaccard is then 0.18 or more at the least
-#: containment, and 48 bands of one row miss it with a chance below 1e-4; a verbatim notice (0.23) below 4e-6.
-BANDS = 48
+#: A window is WINDOW blocks of a power of two, b, of shingles, and one starts at each block.  A template of m shingles
+#: takes the least b with 3 b + 1 >= m, so that wherever it stands a window holds it whole, and m >= 1.5 b.  The Jaccard
+#: similarity of window and template is then 0.27 at the least containment and 0.37 for a verbatim notice, and BANDS
+#: bands of one row miss it with a chance of 3e-5 and 4e-7.
+WINDOW, BANDS = 4, 32
 
 
 def _tokens(text: Column) -> Column:
@@ -57,23 +96,26 @@ def _shingles(words: str) -> Column:
     return F.when(F.size(h) >= WIDTH, F.transform(F.sequence(F.lit(0), F.size(h) - WIDTH), shingle)).otherwise(F.array().cast("array<long>"))
 
 
-def window_of(n_words: int) -> int:
-    """The window for a template: a power of two with room for it at any offset of a quarter window."""
-    return 2 ** max(2, ceil(log2(1.6 * n_words)))
+def block_of(n_shingles: int) -> int:
+    """Shingles of a block of the windows for a template."""
+    b = 1
+    while (WINDOW - 1) * b + 1 < n_shingles:
+        b *= 2
+    return b
 
 
-def _minhashes(shingles: Column) -> Column:
-    least = lambda j: F.array_min(F.transform(shingles, lambda x: F.xxhash64(x, j)))
-    return F.transform(F.sequence(F.lit(1), F.lit(BANDS)), least)
+def _bands(shingles: str) -> str:
+    """SQL: for each band, the shingle of the least hash and that hash."""
+    return f"transform(sequence(1, {BANDS}), j -> array_min(transform({shingles}, x -> named_struct('h', xxhash64(x, j), 'x', x))))"
 
 
 @lru_cache(maxsize=1)
 def _library(spark: SparkSession) -> list[dict]:
-    """The templates with their shingles and MinHashes, computed by the plan's own expressions."""
+    """The templates with their shingles and bands, computed by the plan's own expressions."""
     rows = [F.struct(F.lit(i).alias("template"), F.lit(name).alias("license"), F.lit(text).alias("text")) for i, (name, text) in enumerate(TEMPLATES)]
     table = spark.range(1).select(F.inline(F.array(*rows))).withColumn("words", _tokens(F.col("text")))
-    table = table.withColumn("shingles", F.array_distinct(_shingles("words"))).withColumn("bands", _minhashes(F.col("shingles")))
-    return [r.asDict() | {"window": window_of(len(r.words))} for r in table.orderBy("template").collect()]
+    table = table.withColumn("shingles", F.array_distinct(_shingles("words"))).withColumn("bands", F.expr(_bands("shingles")))
+    return [r.asDict() | {"block": block_of(len(r.shingles)), "need": ceil(CONTAINED * len(r.shingles) - 1e-9)} for r in table.orderBy("template").collect()]
 
 
 def _needed(library: list[dict]) -> list[str]:
@@ -87,7 +129,7 @@ def _needed(library: list[dict]) -> list[str]:
         words = t["words"]
         runs = {tuple(words[i : i + WIDTH]) for i in range(len(words) - WIDTH + 1)}
         order = sorted(set(words), key=lambda w: (-len(w), w))
-        while sum(not taken & set(r) for r in runs) >= ceil(CONTAINED * len(t["shingles"]) - 1e-9):
+        while sum(not taken & set(r) for r in runs) >= t["need"]:
             taken.add(next(w for w in order if w not in taken))
     return sorted(taken)
 
@@ -95,24 +137,27 @@ def _needed(library: list[dict]) -> list[str]:
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, licenses, n_notices) for every row: the licenses whose notices the text holds, joined by commas in order.
 
-    A notice is found where overlapping windows share a MinHash band with a template
-    and one of them holds CONTAINED of the template's shingles.  Windows without any
-    shingle of the library hold nothing of a template and are not formed, nor are those
-    of texts without a word that each template's share needs.  A null or
-    empty text has no license; repeated rows, null ids and other columns change nothing.
+    Overlapping windows of the text look their MinHash bands up in the index of the
+    templates' bands; a template that a window retrieves is verified by exact
+    containment of CONTAINED of its shingles.  A band of a window can only be in the
+    index if the shingle that gives its least hash gives a template's too, so only
+    windows around such shingles have bands computed, and only texts with a word that
+    each template's share needs have windows; both lose nothing.  The count is that of
+    different templates.  A null or empty text has no license; repeated rows, null ids
+    and other columns change nothing; an empty table gives no rows.
     """
     check_columns(docs, id_col, text_col)
     library = _library(docs.sparkSession)
-    known = sorted({s for t in library for s in t["shingles"]})
+    indexed = sorted({b["x"] for t in library for b in t["bands"]})
     rows = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
     worth = reduce(or_, [F.col("text").contains(w) for w in _needed(library)])
     rows = rows.select("id", F.when(worth, _tokens(F.col("text"))).otherwise(F.array().cast("array<string>")).alias("words"))
     rows = rows.select("id", _shingles("words").alias("sh"))
-    hits = F.expr(f"filter(transform(sh, (s, i) -> CASE WHEN s IN ({_longs(known)}) THEN i END), i -> i IS NOT NULL)")
+    hits = F.expr(f"filter(transform(sh, (s, i) -> CASE WHEN s IN ({_longs(indexed)}) THEN i END), i -> i IS NOT NULL)")
     rows = rows.withColumn("hits", F.when(F.size("sh") > 0, hits).otherwise(F.array().cast("array<int>")))
     rows = rows.withColumn("sh", F.when(F.size("hits") > 0, F.col("sh")).otherwise(F.array().cast("array<long>")))
-    found = F.array_distinct(F.concat(*[_found(w, [t for t in library if t["window"] == w]) for w in sorted({t["window"] for t in library})]))
-    rows = rows.withColumn("found", F.when(F.size("hits") > 0, found).otherwise(F.array().cast("array<int>")))
+    found = ", ".join(_found(b, [t for t in library if t["block"] == b]) for b in sorted({t["block"] for t in library}))
+    rows = rows.withColumn("found", F.when(F.size("hits") > 0, F.expr(f"array_distinct(concat({found}))")).otherwise(F.array().cast("array<int>")))
     names = F.expr("array(" + ", ".join(f"'{t['license']}'" for t in library) + ")")
     licenses = F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda i: F.get(names, i)))), ",")
     return rows.select(F.col("id").alias(id_col), licenses.alias("licenses"), F.size("found").cast("long").alias("n_notices"))
@@ -122,23 +167,14 @@ def _longs(values: list[int]) -> str:
     return ", ".join(f"{v}L" for v in values)
 
 
-def _found(width: int, templates: list[dict]) -> Column:
-    """Numbers of the templates of one window width that a text's windows hold."""
-    stride, shingles = width // 4, F.col("sh")
-    near = lambda p: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.greatest((F.floor(p / stride) - k).cast("int"), F.lit(0)) * stride)
-    starts = F.array_distinct(F.flatten(F.transform("hits", near)))
-
-    def held(start: Column) -> Column:
-        window = F.array_distinct(F.slice(shingles, start + 1, F.lit(width - WIDTH + 1)))
-        pair = F.transform(F.array(F.struct(window.alias("w"), _minhashes(window).alias("b"))), lambda x: F.array(*[_holds(x, t) for t in templates]))
-        return F.get(pair, 0)
-
-    return F.array_compact(F.array_distinct(F.flatten(F.transform(starts, held))))
-
-
-def _holds(window: Column, template: dict) -> Column:
-    """The template's number if the window (w, b) shares a band and then holds enough of it."""
-    shingles, bands = (F.expr(f"array({_longs(template[k])})") for k in ("shingles", "bands"))
-    retrieved = F.exists(F.zip_with(window["b"], bands, lambda a, b: a == b), lambda x: x)
-    enough = F.size(F.array_intersect(window["w"], shingles)) >= ceil(CONTAINED * len(template["shingles"]) - 1e-9)
-    return F.when(retrieved & enough, F.lit(template["template"]))
+def _found(block: int, templates: list[dict]) -> str:
+    """SQL: numbers of the templates of one block size that a text's windows retrieve and hold."""
+    index = ", ".join(f"named_struct('j', {j}, 'h', {b['h']}L, 't', {t})" for t, one in enumerate(templates) for j, b in enumerate(one["bands"]))
+    tables = ", ".join(f"array({_longs(t['shingles'])})" for t in templates)
+    need, numbers = (", ".join(str(t[k]) for t in templates) for k in ("need", "template"))
+    starts = f"array_distinct(flatten(transform(hits, p -> transform(sequence(0, {WINDOW - 1}), k -> greatest(CAST(p div {block} AS INT) - k, 0) * {block}))))"
+    windows = f"transform({starts}, s -> array_distinct(slice(sh, s + 1, {WINDOW * block})))"
+    with_bands = f"transform({windows}, w -> named_struct('w', w, 'b', {_bands('w')}))"
+    retrieved = f"array_distinct(transform(filter(array({index}), e -> get(x.b, e.j).h = e.h), e -> e.t))"
+    held = f"filter({retrieved}, t -> size(array_intersect(x.w, get(array({tables}), t))) >= get(array({need}), t))"
+    return f"transform(flatten(transform({with_bands}, x -> {held})), t -> get(array({numbers}), t))"
