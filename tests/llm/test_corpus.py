@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from formweave.llm import mixing, near_dedup, quality_rules, url_filter
+from formweave.llm import html_samples, html_text, licenses, mixing, near_dedup, pii, quality_rules, site_quality as quality, url_filter
 from formweave.llm.boosting import boost, score
 from formweave.llm.components import connected_components
 from formweave.llm.decontaminate import align, contaminated
@@ -228,6 +228,57 @@ def test_html_text_after_unclosed_elements():
     assert main_text(f"<article><p>{main} <button>no</button> and <svg><g/></svg>{main}</p><script>no") == f"{main} and {main}"
 
 
+def test_html_text_without_an_article_element():
+    """Unspaced scripts, frames whose class says something else, titles of any class; what is beside stays out."""
+    zh, th, word = "这是一个很长的段落，用来测试没有文章元素的网页。" * 6, "นี่คือข้อความภาษาไทยที่ยาวมาก" * 6, "word " * 50
+    ja = "これは記事の本文です。とても長い文章が続きます。" * 5
+    for text in (zh, th, ja):
+        assert main_text(f"<body><ul><li><a href=/>{text[:4]}</a></ul><div><p>{text}</p><p>{text}</p></div></body>") == f"{text} {text}"
+    for name in ("social science", "elementor-widget-text", "widget", "header-wrap"):
+        assert main_text(f'<body><div class="{name}"><h1>Head line</h1><p>{word}</p><p>{word}</p></div></body>') == f"Head line {word}{word}".strip()
+        assert main_text(f'<body><div class="{name}"><p>{word}</p><p>{word}</p></div></body>') == f"{word}{word}".strip()
+        assert main_text(f'<body><article><h1>Head line</h1><p>{word}</p></article><div class="{name}"><p>{word}</p></div></body>') == f"Head line {word}".strip()
+    assert main_text(f'<body><form id=all><h1 class="page-header">The Title</h1><p>Short one.</p><p>{word}</p></form></body>') == f"The Title Short one. {word}".strip()
+    assert main_text("<body>" + "<title>never closed " * 20000 + f"<p>{word}</p>").endswith(word.strip())
+    assert main_text("<p>" + "long " * 300_000 + "</p>") == ("long " * 300_000).strip()
+
+
+def test_html_tree_on_pages_held_out():
+    """Other pages of the layouts: nearly every word is judged right, also where no mark tells, and neighbours are asked."""
+    used = set()
+
+    def walk(node):
+        if isinstance(node, tuple):
+            used.add(html_text.FEATURES[node[0]])
+            walk(node[2])
+            walk(node[3])
+
+    tree = html_text.decision_tree()
+    walk(tree)
+    assert {"words", "links", "words_before", "words_after", "links_before", "links_after"} <= used
+    right = wrong = bare_right = bare_wrong = 0
+    for page in html_samples.labelled_pages(seed=77, n=300):
+        found = html_text.blocks(page)
+        for b, row in zip(found, html_text.block_features(found).tolist(), strict=True):
+            ok = html_text._is_main(tree, row) == html_text.is_labelled_main(b.text)
+            right, wrong = right + ok * b.words, wrong + (not ok) * b.words
+            if not (b.outside or b.inside or b.article):
+                bare_right, bare_wrong = bare_right + ok, bare_wrong + (not ok)
+    assert right / (right + wrong) > 0.99 and bare_right / (bare_right + bare_wrong) > 0.98
+
+
+def test_html_text_of_all_given_pages(spark):
+    """The article element of every page of the smallest table, its tags read by a plain regular expression."""
+    import html
+
+    table = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r.page_id: r.text for r in extract_html(table).collect()}
+    for r in table.collect():
+        inner = re.sub(r"</?b>", "", re.sub("<br>", " ", re.search("<article>(.*?)</article>", r.html, re.S)[1]))
+        assert got[r.page_id] == " ".join(html.unescape(re.sub("<[^>]+>", " ", inner)).split())
+    assert extract_html(table.where("false")).count() == 0
+
+
 def test_url_filter(spark):
     cases = {
         "https://A.Example.com/en/7?x": ("a.example.com", "/en/7", "example.com/en/7", "allow"), "http://x.com/en/1": ("x.com", "/en/1", "com/en/", "block"), "http://net/de/": ("net", "/de/", "net/de/", "allow"),
@@ -250,6 +301,58 @@ def test_site_quality(spark):
     assert site_quality(hard_rows(spark), labels).count() == 10 and site_quality(hard_rows(spark).where("false"), labels).count() == 0
 
 
+def test_site_posteriors_equal_plain_python(spark):
+    """Scores recomputed row by row from the trees' probabilities, with null and rare sites."""
+    import math
+
+    r = random.Random(21)
+    texts = {i: ". ".join(prose(i * 9 + k, 11) for k in range(5)) + "." if r.random() < 0.3 + 0.6 * (i % 4 > 0) else " ".join(f"%%{w}### {w}" for w in prose(i, 25).split()) for i in range(240)}
+    rows = [(i, t, [None, "en", "de"][i % 3], [None, "a", "b", f"rare{i}"][i % 4 if i % 40 else 3]) for i, t in texts.items()]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, int("%%" not in t)) for i, t in texts.items() if i % 2], "doc_id long, quality int")
+    got = {x.doc_id: x for x in site_quality(frame, labels).collect()}
+    site = {i: (host, path) for i, _, path, host in rows}
+    p = {i: got[i].text_score for i in got}
+    mean = sum(p.values()) / len(p)
+
+    def groups(key):
+        out = {}
+        for i in p:
+            out.setdefault(key(i), []).append(p[i])
+        return out
+
+    def prior_of(groups):
+        n = sum(map(len, groups.values()))
+        between = sum(len(g) * (sum(g) / len(g) - mean) ** 2 for g in groups.values()) / n
+        return quality.strength(mean, between, n / len(groups))
+
+    hosts, paths = groups(lambda i: site[i][0]), groups(lambda i: site[i])
+    strong, weak = prior_of(hosts), prior_of(paths)
+    for i in p:
+        host, path = hosts[site[i][0]], paths[site[i]]
+        above = (sum(host) - p[i] + strong * mean) / (len(host) - 1 + strong)
+        prior = min(max((sum(path) - p[i] + weak * above) / (len(path) - 1 + weak), 0.001), 0.999)
+        shift = max(-1.0, min(1.0, math.log(prior / (1 - prior)) - math.log(mean / (1 - mean))))
+        score = 1 / (1 + math.exp(-(math.log(p[i] / (1 - p[i])) + shift)))
+        assert got[i].site_prior == pytest.approx(prior, abs=1e-6) and got[i].score == pytest.approx(score, abs=1e-6) and got[i].kept == (got[i].score >= 0.5)
+    assert site_quality(frame.where("false"), labels).count() == 0
+
+
+def test_classifier_on_labels_held_out(spark):
+    """The given labels by halves of their ids: trees of one half rank the other."""
+    import numpy as np
+    import pyarrow as pa
+
+    folder = "/root/testdata/sf0.01"
+    table = spark.read.parquet(f"{folder}/documents.parquet").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").select("doc_id", "text", "quality").where("quality is not null").orderBy("doc_id").collect()
+    x, y = quality.text_features(pa.array([r.text for r in table])), np.array([r.quality for r in table], float)
+    fit = np.array([r.doc_id % 2 == 0 for r in table])
+    scores = score(quality.classifier(x[fit], y[fit]), x[~fit])
+    good, bad = scores[y[~fit] == 1], scores[y[~fit] == 0]
+    auc = (np.mean(good[:, None] > bad[None, :]) + np.mean(good[:, None] == bad[None, :]) / 2)
+    assert auc > 0.95, auc
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -293,6 +396,57 @@ def test_keys_of_any_length_are_redacted_whole(spark):
     assert got == [t.split(key)[0] + "[KEY] end" for t, key in ((t, t.split()[-2]) for t in texts)]
 
 
+def test_added_spans_are_whole_and_apart(spark):
+    texts = ["my ssn 078-05-1120 ok", "call 030 1234567 now", "mail " + "ab" * 80 + " (at) foo (dot) com", "IBAN DE89 3704 0044 0532 0130 00 end", "pages 123-145, 1998-2004, 12 345 678, commit " + "0a" * 20, "IBAN DE" + "12" * 400]
+    got = {x.doc_id: x.spans for x in personal_data(docs(spark, texts)).collect()}
+    assert [got[k].split(":")[1:] for k in (0, 1, 2, 3)] == [["7", "18"], ["5", "16"], ["5", "184"], ["5", "32"]] and got[4] == ""
+    r = random.Random(31)
+    bits = ["078-05-1120", "tel. 030 1234567", "password=abc123def456ghi7", "5551234567890", " ", "-", "/", "x", "a (at) b (dot) com", "IBAN DE89 3704 0044 0532 0130 00", "12"]
+    texts = ["".join(r.choices(bits, k=r.randint(2, 12))) for _ in range(200)]
+    for x in personal_data(docs(spark, texts)).where("spans <> ''").collect():
+        spans = sorted((int(a), int(b)) for _, a, b in (z.split(":") for z in x.spans.split(",")))
+        base = {tuple(map(int, z.split(":")[1:])) for z in brute_spans(texts[x.doc_id])}
+        own = [z for z in spans if z not in base]
+        assert all(a[1] <= b[0] for a, b in zip(own, own[1:])) and all(e <= a or s >= b for s, e in own for a, b in base)
+
+
+def test_candidates_of_forms_not_learned(spark):
+    judged = pii.judged_labels(spark, pii.held_out_table())
+    hit = sum(y and g for y, g in judged)
+    assert hit / sum(g for _, g in judged) >= 0.95 and hit / sum(y for y, _ in judged) >= 0.85
+
+
+def test_license_scan_equals_brute_containment(spark):
+    """Every block's window against every template, on edited and cut notices and on the smallest table."""
+    r, texts = random.Random(17), {}
+    library = licenses._library(spark)
+    for k, (_, t) in enumerate(licenses.TEMPLATES):
+        words = t.split()
+        for drop in (0, 1, 3):
+            kept = [w for w in words if r.random() > 0.06 * drop]
+            texts[len(texts)] = " ".join([prose(k, r.randint(0, 60)), *kept, prose(-k, r.randint(0, 40))])
+    texts |= {1000 + i: t.text for i, t in enumerate(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect())}
+    token = re.compile(licenses.TOKEN)
+
+    def shingles(text):
+        words = token.findall((text or "").lower())
+        return [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+
+    sets = [set(shingles(t)) for _, t in licenses.TEMPLATES]
+    got = {x.doc_id: (x.licenses, x.n_notices) for x in license_scan(docs(spark, texts)).collect()}
+    found = 0
+    for i, text in texts.items():
+        all_, want = shingles(text), []
+        for one, wanted in zip(library, sets, strict=True):
+            b = one["block"]
+            if len(wanted & set(all_)) >= one["need"] and any(len(wanted & set(all_[a : a + 4 * b])) >= one["need"] for a in range(0, max(1, len(all_)), b)):
+                want.append(one["license"])
+        found += len(want)
+        assert got[i] == (",".join(sorted(set(want))), len(want)), i
+    assert found > 150
+    assert license_scan(docs(spark, texts).where("false")).count() == 0
+
+
 def test_license_scan(spark):
     r = random.Random(7)
     texts = {}
