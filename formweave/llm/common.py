@@ -65,21 +65,22 @@ def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.withColumn(place, row_place()).join(gone.select(F.col("row").alias(place)), place, "left_anti").select(docs.columns)
 
 
-def hot_keys(lists: DataFrame, key: list[str], size: str, total: int) -> DataFrame:
-    """(key, parts) of the keys that have more than a SHARE-th of ``total`` rows: fewer than SHARE, and as many parts in all."""
-    hot = lists.where(F.col(size) * SHARE > total)
-    return hot.select(*key, F.ceil(F.col(size) * SHARE / max(total, 1)).cast("int").alias("parts"))
+def hot_keys(lists: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """(key, parts) of the values of a column of numbers that have more than a SHARE-th of ``total`` rows: fewer than SHARE, and about as many parts in all."""
+    hot = lists.groupBy(key).agg(F.sum(size).alias("_rows")).where(F.col("_rows") * SHARE > total)
+    return hot.select(key, F.ceil(F.col("_rows") * SHARE / max(total, 1)).cast("int").alias("parts"))
 
 
-def meet(rows: DataFrame, lists: DataFrame, key: list[str], spread_by: list[str], hot: DataFrame) -> DataFrame:
-    """rows joined with lists, which has one row for a key (or a few); the rows of a hot key are dealt over its parts.
+def meet(rows: DataFrame, lists: DataFrame, key: list[str], spread_by: str, hot: DataFrame) -> DataFrame:
+    """rows joined with lists, which has one row for a key (or a few); rows with a hot value are dealt over its parts.
 
-    Only the hot keys, of which there are fewer than SHARE, are broadcast.
+    Only the hot values, of which there are fewer than SHARE, are broadcast.
     """
+    at = hot.columns[0]
     hot = F.broadcast(hot)
-    rows = rows.join(hot, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("parts")), F.lit(0))).drop("parts")
+    rows = rows.join(hot, at, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("parts")), F.lit(0))).drop("parts")
     parts = F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("parts"), F.lit(1)).cast("long") - 1)
-    lists = lists.join(hot, key, "left").withColumn("_part", F.explode(parts)).drop("parts")
+    lists = lists.join(hot, at, "left").withColumn("_part", F.explode(parts)).drop("parts")
     return rows.join(lists, [*key, "_part"]).drop("_part")
 
 

@@ -11,14 +11,14 @@ def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Every larger neighbour of a node points to the node's least neighbour (or to the node itself)."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.count("*").alias("c"), F.least(F.min("b"), F.first("a")).alias("m"))
-    across = meet(both.where("b > a"), least, ["a"], ["b"], hot_keys(least, ["a"], "c", 2 * total))
+    across = meet(both.where("b > a"), least, ["a"], "b", hot_keys(least, "a", "c", 2 * total))
     return across.select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).where("a <> b")
 
 
 def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """The smaller neighbours of a node, and the node, point to the least of them."""
     least = edges.groupBy("a").agg(F.count("*").alias("c"), F.min("b").alias("m"))
-    across = meet(edges, least, ["a"], ["b"], hot_keys(least, ["a"], "c", total)).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    across = meet(edges, least, ["a"], "b", hot_keys(least, "a", "c", total)).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return across.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 

@@ -83,7 +83,7 @@ def _setter(width: int):
 def _verified(pairs: DataFrame, sets: DataFrame, sketch: DataFrame, k: int, percent: int, need: int) -> DataFrame:
     """Pairs (a, b) whose full sets are similar enough; the union sketch drops the rest early."""
     pairs = cut(pairs)
-    hot = hot_keys(pairs.groupBy("b").agg(F.count("*").alias("c")), ["b"], "c", pairs.count())
+    hot = hot_keys(pairs.groupBy("b").agg(F.count("*").alias("c")), "b", "c", pairs.count())
     left, right = (sketch.select(F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}")) for x in "ab")
     least = F.slice(F.array_sort(F.array_union("ka", "kb")), 1, k)
     shared = F.size(F.array_intersect(F.array_intersect("ka", "kb"), least))
@@ -92,10 +92,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, sketch: DataFrame, k: int, perc
         shared >= F.least(F.lit(need), F.ceil(F.least("na", "nb") * (percent / 100) - 1))
     )
     close = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & enough
-    pairs = meet(pairs.join(left, "a"), right, ["b"], ["a"], hot).where(close).select("a", "b", "na", "nb")
+    pairs = meet(pairs.join(left, "a"), right, ["b"], "a", hot).where(close).select("a", "b", "na", "nb")
     left, right = (sets.select(F.col("row").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
-    pairs = meet(pairs.join(left, "a"), right, ["b"], ["a"], hot)
+    pairs = meet(pairs.join(left, "a"), right, ["b"], "a", hot)
     return pairs.where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
@@ -106,7 +106,7 @@ def _rarest(sets: DataFrame, values: str, size, allowed) -> DataFrame:
     common = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     own = Window.partitionBy("row", "n")
     return (
-        meet(values, common, ["v"], ["row"], hot_keys(common, ["v"], "df", total))
+        meet(values, common, ["v"], "row", hot_keys(common, "v", "df", total))
         .withColumn("pos", F.row_number().over(own.orderBy("df", "v")))
         .withColumn("seen", F.count("*").over(own))
         .withColumn("weight", F.sum("df").over(own))
@@ -118,7 +118,7 @@ def _rarest(sets: DataFrame, values: str, size, allowed) -> DataFrame:
 def _with_hubs(members: DataFrame) -> DataFrame:
     """The members of lists of two or more, with the list's hub, its most widely shared member."""
     lists = members.groupBy("v").agg(F.count("*").alias("c"), F.max(F.struct("weight", (-F.col("row")).alias("minus"))).alias("hub")).where("c > 1")
-    found = meet(members, lists, ["v"], ["row"], hot_keys(lists, ["v"], "c", members.count()))
+    found = meet(members, lists, ["v"], "row", hot_keys(lists, "v", "c", members.count()))
     return found.select("v", "row", "n", (-F.col("hub.minus")).alias("hub"))
 
 
@@ -142,20 +142,20 @@ def _around_hubs(around: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a, b = 100 - percent, 100 + percent
     around = cut(around)
     sizes = cut(around.groupBy("hub").agg(F.count("*").alias("c")))
-    hot = hot_keys(sizes, ["hub"], "c", around.count())
+    hot = hot_keys(sizes, "hub", "c", around.count())
     own, hubs = sets.select("row", "set"), sets.select(F.col("row").alias("hub"), F.col("set").alias("hub_set"))
     hubs = hubs.join(sizes, "hub")
     d = F.concat(F.array_except("set", "hub_set"), F.array_except("hub_set", "set"))
-    held = meet(around.join(own, "row"), hubs, ["hub"], ["row"], hot).select("hub", "row", "n", F.size("hub_set").alias("m"), "c", d.alias("d"))
+    held = meet(around.join(own, "row"), hubs, ["hub"], "row", hot).select("hub", "row", "n", F.size("hub_set").alias("m"), "c", d.alias("d"))
     held = cut(held.withColumn("linked", a * (F.col("n") + F.col("m")) >= b * F.size("d")).drop("m"))
 
     # the middle is the hub's set but for what more than half of the members have otherwise
     turned = held.select("hub", "c", F.explode("d").alias("v")).groupBy("hub", "v").agg(F.count("*").alias("df"), F.first("c").alias("c")).where("2 * df > c")
     turned = sizes.join(turned.groupBy("hub").agg(F.collect_list("v").alias("turned")), "hub", "left").select("hub", F.coalesce("turned", F.array().cast("array<long>")).alias("turned"))
-    held = meet(held, turned, ["hub"], ["row"], hot).withColumn("d", F.concat(F.array_except("d", "turned"), F.array_except("turned", "d")))
+    held = meet(held, turned, ["hub"], "row", hot).withColumn("d", F.concat(F.array_except("d", "turned"), F.array_except("turned", "d")))
     held = cut(held.select("hub", "row", "n", "d", "linked", F.size("d").alias("size"), (b * F.size("d") - a * F.col("n")).alias("e")))
     best = held.groupBy("hub").agg(F.min(F.struct("e", "row", "linked")).alias("best"))
-    held = meet(held, best, ["hub"], ["row"], hot).withColumn("least", F.least(F.col("best.e"), F.lit(0)))
+    held = meet(held, best, ["hub"], "row", hot).withColumn("least", F.least(F.col("best.e"), F.lit(0)))
     attached = F.col("e") + F.col("least") <= 0
     side = F.when(F.col("linked"), 0).when(attached, F.when(F.col("best.linked"), 0).otherwise(1))
     need = F.when(attached, F.floor((F.col("e") - F.col("least")) / (2 * b)) + 1).otherwise(F.greatest(F.ceil((F.col("e") + F.col("least")) / (2 * b)), F.lit(1)))
@@ -166,12 +166,12 @@ def _around_hubs(around: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     common = values.groupBy("hub", "v").agg(F.count("*").alias("df")).where("df > 1")
     total = held.agg(F.sum("size")).first()[0] or 0
     each = Window.partitionBy("hub", "row")
-    shared = hot_keys(common, ["hub", "v"], "df", total)
-    prefix = meet(values, common, ["hub", "v"], ["row"], shared).withColumn("pos", F.row_number().over(each.orderBy("df", "v"))).withColumn("seen", F.count("*").over(each))
+    shared = hot_keys(common, "v", "df", total)
+    prefix = meet(values, common, ["hub", "v"], "row", shared).withColumn("pos", F.row_number().over(each.orderBy("df", "v"))).withColumn("seen", F.count("*").over(each))
     prefix = prefix.where("pos + size - seen <= size - need + 1").select("hub", "row", "v")
     rows = prefix.join(held.select("hub", "row", "d", "e", "attached", "side"), ["hub", "row"])
     x, y = (rows.select("hub", "v", *[F.col(c).alias(c + end) for c in ("row", "d", "e", "attached", "side")]) for end in "xy")
-    pairs = meet(y, x.where("not attachedx"), ["hub", "v"], ["rowy"], shared).where("attachedy or rowx < rowy").where("sidex <> sidey or sidex < 0")
+    pairs = meet(y, x.where("not attachedx"), ["hub", "v"], "rowy", shared).where("attachedy or rowx < rowy").where("sidex <> sidey or sidex < 0")
     pairs = pairs.where(F.col("ex") + F.col("ey") <= 2 * b * F.size(F.array_intersect("dx", "dy")))
     found = found.union(pairs.select("rowx", "rowy")).toDF("x", "y")
     return found.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
@@ -189,7 +189,7 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent
     rows = all_rows.where("n > 0")
     key, many = ["n", "s1", "s2"], rows.count()
     classes = rows.groupBy(*key).agg(F.min("row").alias("rep"), F.count("*").alias("c"))
-    classes = meet(rows, classes, key, ["row"], hot_keys(classes, key, "c", many))
+    classes = meet(rows, classes, key, "row", hot_keys(classes, "s1", "c", many))
     named = cut(classes.select("row", "id", "n", F.when(F.col("rep") == F.col("row"), F.col("sketch")).alias("sketch"), "rep", "c"))
     sketch = named.where("rep = row").select("row", "n", "sketch")
 
@@ -218,10 +218,10 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent
     # classes of one row without a link are groups of their own; the rows of the others learn their group's least id
     nodes = named.where("rep = row").select("rep", "c").join(parts, "rep", "left").where("c > 1 or component is not null")
     nodes = cut(nodes.select("rep", "c", F.coalesce("component", "rep").alias("group")))
-    crowd = meet(named.select("row", "id", "rep"), nodes, ["rep"], ["row"], hot_keys(nodes, ["rep"], "c", many)).select("row", "id", "group")
+    crowd = meet(named.select("row", "id", "rep"), nodes, ["rep"], "row", hot_keys(nodes, "rep", "c", many)).select("row", "id", "group")
     crowd = cut(crowd)
     heads = crowd.groupBy("group").agg(F.count("*").alias("c"), F.min("id").alias("component_id"), F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("head"))
-    crowd = meet(crowd, heads, ["group"], ["row"], hot_keys(heads, ["group"], "c", crowd.count())).select("row", "component_id", F.col("head.row").alias("first"))
+    crowd = meet(crowd, heads, ["group"], "row", hot_keys(heads, "group", "c", crowd.count())).select("row", "component_id", F.col("head.row").alias("first"))
     out = all_rows.select("row", "id", "n").join(crowd, "row", "left")
     return out.select("row", "id", "n", F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("first", "row").alias("first"))
 

@@ -84,10 +84,10 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host
     mean = min(max(s / n, 0.01), 0.99)
     spread = lambda frame, size, total: frame.agg(F.sum(F.col(size) * (F.col(total) / F.col(size) - mean) ** 2) / F.sum(size), F.sum(size) / F.count("*")).first()
     host_prior, path_prior = strength(mean, *spread(hosts, "hn", "hs")), strength(mean, *spread(paths, "n", "s"))
-    key = ["h", "h0", "q", "q0"]
-    named = [F.coalesce("host", F.lit("")).alias("h"), F.col("host").isNull().alias("h0"), F.coalesce("path", F.lit("")).alias("q"), F.col("path").isNull().alias("q0")]
+    key = ["site", "h", "h0", "q", "q0"]
+    named = [F.coalesce("host", F.lit("")).alias("h"), F.col("host").isNull().alias("h0"), F.coalesce("path", F.lit("")).alias("q"), F.col("path").isNull().alias("q0"), F.xxhash64("host", "path").alias("site")]
     sites = _with_hosts(paths, hosts).select(*named, "n", "s", "hn", "hs")
-    joined = meet(scored.select("row", "id", "odds", "p", *named), sites, key, ["row"], hot_keys(sites, key, "n", n))
+    joined = meet(scored.select("row", "id", "odds", "p", *named), sites, key, "row", hot_keys(sites, "site", "n", n))
     host_mean = (F.col("hs") - F.col("p") + host_prior * mean) / (F.col("hn") - 1 + host_prior)
     prior = (F.col("s") - F.col("p") + path_prior * host_mean) / (F.col("n") - 1 + path_prior)
     prior = F.least(F.greatest(prior, F.lit(0.001)), F.lit(0.999))
