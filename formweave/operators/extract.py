@@ -25,6 +25,8 @@ def records(rows: DataFrame, template: Template) -> DataFrame:
     The boundary are the fields of the first node in the first row that visits it;
     rows before belong to the first record, and a document without one is one record.
     """
+    if not template:
+        raise ValueError("a template needs a node")
     node = template[0]
     texts = "transform(cells, c -> c.text)"
     first = F.expr(f"CASE WHEN {_visits(node)} THEN array_intersect({texts}, {strings(node.fields)}) END")
@@ -48,8 +50,8 @@ def blocks(rows: DataFrame, template: Template) -> DataFrame:
     """Rows of blocks (doc_id, record_id, block_id, block_type, row_id, role, node, cells, header).
 
     A header row opens a table.  A value row goes to the lowest header above it that it is
-    aligned with and that is the nearest one or heads a table with an inner table; else it
-    is dropped.  Pair rows without a header row between them are one kv block.
+    aligned with and that is the nearest one or, of a node with an inner table, that node's
+    nearest one; else it is dropped.  Pair rows without a header row between them are one kv block.
     """
     own = Window.partitionBy("doc_id", "record_id").orderBy("row_id")
     outer = [k for k, n in enumerate(template) if n.child != LEAF]
@@ -58,9 +60,11 @@ def blocks(rows: DataFrame, template: Template) -> DataFrame:
     rows = rows.withColumn("_near", F.last("_header", ignorenulls=True).over(own))
     above = "filter(array(_near), h -> h IS NOT NULL)"
     if outer:
-        more = F.expr(f"CASE WHEN node IN ({', '.join(map(str, outer))}) THEN _header END")
-        rows = rows.withColumn("_outer", F.collect_list(more).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        above = "concat(filter(array(_near), h -> h IS NOT NULL), reverse(filter(_outer, h -> h.row < _near.row)))"
+        # of each node with an inner table the last header so far, the nearest first
+        for k in outer:
+            rows = rows.withColumn(f"_outer{k}", F.last(F.expr(f"CASE WHEN node = {k} THEN _header END"), ignorenulls=True).over(own))
+        held = ", ".join(f"_outer{k}" for k in outer)
+        above = f"concat(filter(array(_near), h -> h IS NOT NULL), filter(reverse(array_sort(filter(array({held}), h -> h IS NOT NULL))), h -> h.row < _near.row))"
     fits = F.expr(f"CASE WHEN label = 'V' THEN filter({above}, h -> {aligned('h.cells', 'cells')}) WHEN label = 'K' THEN array(_header) END")
     rows = rows.withColumn("_fit", fits)
     rows = rows.withColumn("header", F.get("_fit", F.lit(0))).where("label = 'KV' OR header IS NOT NULL")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from math import cos, exp, lgamma, pi, sqrt, tan
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from formweave.functions.sql import strings
-from formweave.operators.oracle import Oracle
+from formweave.operators.oracle import Oracle, RuleOracle
+from formweave.operators.replies import clean_reply, reply_flags
 
 VECTORS = "doc_id string, phrase string, vec array<int>, first_pos int, cluster_id int, leader string"
 
@@ -30,12 +32,26 @@ def matches(v1: Column, v2: Column, k: int = 1) -> Column:
     return F.when(F.size(v1) == F.size(v2), near).otherwise(False)
 
 
+def _ends(k: int, near: bool) -> Column:
+    """Join keys of a vector: its ends' rise and their sum, in buckets; with ``near`` the neighbouring buckets too."""
+    around = "array(-1, 0, 1)" if near else "array(0)"
+    first, last, width = "vec[0]", "element_at(vec, -1)", max(k, 1)
+    keys = [f"transform({around}, d -> named_struct('kind', '{c}', 'at', CAST(floor(({last} {c} {first}) / {width}) AS INT) + d))" for c in "-+"]
+    return F.explode(F.expr(f"concat({keys[0]}, {keys[1]})"))
+
+
 def matching_pairs(vectors: DataFrame, k: int = 1) -> DataFrame:
-    """(doc_id, p, q) of matching vectors with p first; the length is the join's key."""
-    keyed = vectors.withColumn("n", F.size("vec"))
-    a = keyed.select("doc_id", "n", F.col("phrase").alias("p"), F.col("vec").alias("pv"), F.col("first_pos").alias("pf"))
-    b = keyed.select("doc_id", "n", F.col("phrase").alias("q"), F.col("vec").alias("qv"), F.col("first_pos").alias("qf"))
-    return a.join(b, ["doc_id", "n"]).where((F.col("pf") < F.col("qf")) & matches(F.col("pv"), F.col("qv"), k)).select("doc_id", "p", "q")
+    """(doc_id, p, q) of matching vectors with p first.
+
+    The last positions of two matching vectors lie as far apart as the first ones, but
+    for k: on the same side, and then the vectors rise alike from first to last, or on the
+    other, and then first and last have the same sum.  Both, with the length, are the join's keys.
+    """
+    keyed = vectors.where(F.size("vec") > 0)
+    a = keyed.select("doc_id", F.size("vec").alias("n"), F.col("phrase").alias("p"), F.col("vec").alias("pv"), F.col("first_pos").alias("pf"), _ends(k, True).alias("key"))
+    b = keyed.select("doc_id", F.size("vec").alias("n"), F.col("phrase").alias("q"), F.col("vec").alias("qv"), F.col("first_pos").alias("qf"), _ends(k, False).alias("key"))
+    pairs = a.join(b, ["doc_id", "n", "key"]).where((F.col("pf") < F.col("qf")) & matches(F.col("pv"), F.col("qv"), k))
+    return pairs.select("doc_id", "p", "q").distinct()
 
 
 def leader_clusters(vectors: DataFrame, k: int = 1, least: int = 3) -> DataFrame:
@@ -48,19 +64,21 @@ def leader_clusters(vectors: DataFrame, k: int = 1, least: int = 3) -> DataFrame
     keyed = frequent(vectors, least).withColumn("n", F.size("vec"))
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("first_pos", kind="stable")
-        leaders: list[tuple[str, int, list[int]]] = []
-        rows = []
-        for doc, phrase, vec, first in zip(pdf["doc_id"], pdf["phrase"], pdf["vec"], pdf["first_pos"], strict=True):
-            for name, at, lead in leaders:
-                d = abs(int(lead[0]) - int(vec[0]))
-                if all(abs(abs(int(x) - int(y)) - d) <= k for x, y in zip(lead, vec, strict=True)):
-                    break
+        pdf = pdf.sort_values(["first_pos", "phrase"]).reset_index(drop=True)
+        vectors = np.array(pdf["vec"].tolist(), dtype=np.int64)
+        leads, of = [], np.zeros(len(vectors), np.int64)
+        table = np.empty_like(vectors)
+        for row, vector in enumerate(vectors):
+            gaps = np.abs(table[: len(leads)] - vector)
+            fits = (np.abs(gaps - gaps[:, :1]) <= k).all(axis=1)
+            if fits.any():
+                of[row] = int(fits.argmax())
             else:
-                name, at = phrase, first
-                leaders.append((phrase, first, list(vec)))
-            rows.append((doc, phrase, list(vec), first, at, name))
-        return pd.DataFrame(rows, columns=["doc_id", "phrase", "vec", "first_pos", "cluster_id", "leader"])
+                table[len(leads)] = vector
+                of[row] = len(leads)
+                leads.append(row)
+        owners = pdf.iloc[[leads[i] for i in of]]
+        return pdf[["doc_id", "phrase", "vec", "first_pos"]].assign(cluster_id=owners["first_pos"].to_numpy(), leader=owners["phrase"].to_numpy())
 
     found = keyed.groupBy("doc_id", "n").applyInPandas(group, VECTORS)
     number = (F.dense_rank().over(Window.partitionBy("doc_id").orderBy("cluster_id")) - 1).cast("int")
@@ -100,20 +118,6 @@ def confidence(frame: DataFrame, group: list[str], value: str, most: int = 200)
     return found.withColumn("half", F.when(F.col("n") > 1, F.col("_sd") / F.sqrt("n") * t)).drop("_sd")
 
 
-def clean_reply(reply: str, phrases: list[str]) -> list[str]:
-    """Parts of a reply split at ``|`` that are phrases, upper or lower case, as the reply spells them."""
-    known = {p.lower() for p in phrases}
-    return [p.strip() for p in reply.split("|") if p.strip().lower() in known]
-
-
-def reply_flags(reply: str, phrases: list[str]) -> list[int]:
-    """1 for each phrase that a reply names; digits never are, nor is anything in a reply that says no."""
-    if "|" not in reply and "no" in reply.lower():
-        return [0] * len(phrases)
-    named = {p.strip().lower() for p in reply.split("|")}
-    return [int(p.lower() in named and not p.isdigit()) for p in phrases]
-
-
 def is_subsequence(a: Column, b: Column, k: int = 1) -> Column:
     """Greedy two pointers: each element of a is met by a later element of b within k."""
     step = lambda i, x: F.when((i < F.size(a)) & (F.abs(F.get(a, i) - x) <= k), i + 1).otherwise(i)
@@ -154,16 +158,23 @@ def regrouped(clusters: DataFrame, accepted: DataFrame, k: int = 1) -> DataFrame
     members = clusters.withColumn("n", F.size("vec"))
     good = members.join(accepted.select("doc_id", "cluster_id"), ["doc_id", "cluster_id"], "left_semi")
     rest = members.join(accepted.select("doc_id", "cluster_id"), ["doc_id", "cluster_id"], "left_anti")
-    a = good.select("doc_id", F.col("vec").alias("gv"), F.col("n").alias("gn"))
+    # what counts of a vector is its course from its first position, which the members of a cluster mostly share
+    a = good.select("doc_id", F.expr("transform(vec, x -> x - vec[0])").alias("gv"), F.col("n").alias("gn")).distinct()
     pairs = rest.join(a, "doc_id").where((F.col("n") >= F.col("gn")) & partial_match(F.col("gv"), F.col("vec"), k))
     return pairs.select("doc_id", "cluster_id").distinct()
 
 
 def predict_field(phrases: DataFrame, oracle: Oracle, vision: list[str] = (), pages: int = 5, k: int = 1) -> DataFrame:
-    """(doc_id, field, position): predicted fields; a document of one page has the vision fields among its phrases."""
+    """(doc_id, field, position): predicted fields; a document of one page has the vision fields among its phrases.
+
+    A model oracle is asked about the phrases of all documents given, which should then be a sample.
+    """
     sample = phrases.where(F.col("page") <= pages)
     vectors = position_vectors(sample)
     clusters = leader_clusters(vectors, k)
+    if not isinstance(oracle, RuleOracle):  # a model is asked about the sample's clusters once
+        big = clusters.withColumn("_size", F.count("*").over(_cluster())).where("_size > 2")
+        oracle.prepare([r["phrase"] for r in big.select("phrase").distinct().collect()])
     accepted = accepted_clusters(clusters, oracle, vision)
     fields = accepted.select("doc_id", F.explode("fields").alias("field"))
     more = clusters.join(regrouped(clusters, accepted, k), ["doc_id", "cluster_id"], "left_semi").where(F.col("phrase").isin(list(vision)))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from formweave.functions.sql import string
-
 BOX = ("x0", "y0", "x1", "y1")
 #: A word over this size is a header.
 HEADER_SIZE = 12
@@ -20,28 +20,38 @@ def word_size(x0: str = "x0", x1: str = "x1", text: str = "text") -> Column:
     return (F.col(x1) - F.col(x0)) / F.length(text)
 
 
-def words_to_phrases(words: DataFrame, y_near: float = 4.0, gap: float | None = None) -> DataFrame:
+def words_to_phrases(words: DataFrame, y_near: float = 4.0, gap: float | None = None, parity: bool = False) -> DataFrame:
     """phrases from words (doc_id, word_idx, page, text, box): neighbours on a line become one phrase.
 
     A word continues the phrase if its gap to the last word is at most the mean of both
     sizes (or the fixed ``gap``), and its middle lies within ``y_near`` of the middle of
-    the phrase's first word; ``:`` is dropped and ends a phrase.  On lines whose words
-    share their middle the first word's middle is the last one's, so the fold is a
-    running sum over breaks.  The last phrase and the union of boxes are kept.
+    the phrase's first word; ``:`` is dropped and ends a phrase.  All but the middle is a
+    matter of neighbours, and so is a middle further than 2 ``y_near`` from the last
+    word's; the short runs between such breaks are folded for the rest.  The last phrase
+    and the union of boxes are kept, and phrases end with their page.  With ``parity`` the
+    last phrase of a document goes, pages do not count, and a box is the first word's but
+    for the last word's right end.
     """
-    size, middle = word_size(), (F.col("y0") + F.col("y1")) / 2
-    rows = words.withColumn("_size", size).withColumn("_mid", middle)
+    rows = words.withColumn("_size", word_size()).withColumn("_mid", (F.col("y0") + F.col("y1")) / 2)
     before = lambda c: F.lag(c).over(_reading())
     room = F.lit(gap) if gap is not None else (before("_size") + F.col("_size")) / 2
-    joins = (before("text") != ":") & (F.col("x0") - before("x1") <= room) & (F.abs(before("_mid") - F.col("_mid")) < y_near) & (before("page") == F.col("page"))
-    rows = rows.withColumn("_break", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1))
-    rows = rows.withColumn("_phrase", F.sum("_break").over(_reading())).where("text <> ':'")
-    ordered = F.array_sort(F.collect_list(F.struct("word_idx", "text")))
-    found = rows.groupBy("doc_id", "_phrase").agg(
-        F.min("word_idx").alias("_at"), F.min("page").alias("page"), ordered.alias("_w"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")
-    )
-    order = Window.partitionBy("doc_id").orderBy("_at")
-    return found.select("doc_id", (F.row_number().over(order) - 1).alias("phrase_idx"), "page", F.expr("array_join(transform(_w, w -> w.text), ' ')").alias("text"), *BOX)
+    joins = (before("text") != ":") & (F.col("x0") - before("x1") <= room) & (F.abs(before("_mid") - F.col("_mid")) < 2 * y_near)
+    if not parity:
+        joins = joins & (before("page") == F.col("page"))
+    rows = rows.withColumn("_run", F.sum(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).over(_reading())).where("text <> ':'")
+    word = F.struct("word_idx", "text", *BOX, "page", F.col("_mid").alias("mid"))
+    runs = rows.groupBy("doc_id", "_run").agg(F.array_sort(F.collect_list(word)).alias("w"))
+    fold = f"""aggregate(sequence(0, size(w) - 1), named_struct('starts', CAST(array() AS ARRAY<INT>), 'mid', CAST(NULL AS DOUBLE)), (s, i) ->
+        CASE WHEN abs(w[i].mid - s.mid) < {y_near!r}D THEN s ELSE named_struct('starts', array_append(s.starts, i), 'mid', w[i].mid) END, s -> s.starts)"""
+    runs = runs.withColumn("at", F.expr(fold))
+    found = runs.select("doc_id", F.explode(F.expr("transform(at, (a, k) -> slice(w, a + 1, coalesce(get(at, k + 1), size(w)) - a))")).alias("w"))
+    order = Window.partitionBy("doc_id").orderBy(F.expr("w[0].word_idx"))
+    box = ("w[0].x0", "w[0].y0", "element_at(w, -1).x1", "w[0].y1") if parity else tuple(f"array_{f}(transform(w, z -> z.{c}))" for f, c in (("min", "x0"), ("min", "y0"), ("max", "x1"), ("max", "y1")))
+    out = found.select("doc_id", (F.row_number().over(order) - 1).alias("phrase_idx"), F.expr("w[0].page").alias("page"), F.expr("array_join(transform(w, z -> z.text), ' ')").alias("text"), *[F.expr(e).alias(c) for e, c in zip(box, BOX, strict=True)])
+    if parity:
+        last = F.max("phrase_idx").over(Window.partitionBy("doc_id"))
+        out = out.withColumn("_last", last).where("phrase_idx < _last").drop("_last")
+    return out
 
 
 def line_phrases(words: DataFrame, gap: float = 3.0, pages: int | None = None) -> DataFrame:
@@ -97,25 +107,51 @@ def vertical_gap(a: str, b: str) -> str:
     return f"CASE WHEN {a}.y1 < {b}.y0 THEN {b}.y0 - {a}.y1 WHEN {b}.y1 < {a}.y0 THEN {a}.y0 - {b}.y1 ELSE 0 END"
 
 
-def _cells() -> Column:
-    return F.array_sort(F.collect_list(F.struct(F.col("phrase_idx").alias("idx"), "text", *BOX, "page")))
+def _overlapping(x0: np.ndarray, x1: np.ndarray, left: float, right: float, ratio: float = 0.2) -> np.ndarray:
+    """As ``overlaps``, of many boxes of a page with one."""
+    shared = np.minimum(x1, right) - np.maximum(x0, left)
+    return (shared > 0) & (shared >= ratio * np.minimum(x1 - x0, right - left))
 
 
 def next_overlaps(phrases: DataFrame) -> DataFrame:
-    """(doc_id, page, a, b, distance): each phrase with the first later one of its page that x-overlaps it."""
-    pages = phrases.groupBy("doc_id", "page").agg(_cells().alias("c"))
-    later = f"transform(c, (a, i) -> named_struct('a', a, 'b', get(filter(slice(c, i + 2, size(c)), b -> {overlaps('a', 'b')}), 0)))"
-    pairs = pages.select("doc_id", "page", F.expr(f"inline({later})")).where("b IS NOT NULL")
-    return pairs.select("doc_id", "page", F.col("a.idx").alias("a"), F.col("b.idx").alias("b"), F.col("a.text").alias("a_text"), F.col("b.text").alias("b_text"), F.expr(vertical_gap("a", "b")).alias("distance"))
+    """(doc_id, page, a, b, a_text, b_text, distance): each phrase with the first later one of its page that x-overlaps it.
+
+    A page is one group; a phrase is compared with the page's later ones at once.
+    """
+
+    def pairs(page: pd.DataFrame) -> pd.DataFrame:
+        page = page.sort_values("phrase_idx")
+        x0, x1, y0, y1 = (page[c].to_numpy() for c in ("x0", "x1", "y0", "y1"))
+        first, second = [], []
+        for i in range(len(page) - 1):
+            hit = _overlapping(x0[i + 1 :], x1[i + 1 :], x0[i], x1[i])
+            k = int(hit.argmax())
+            if hit[k]:
+                first.append(i)
+                second.append(i + 1 + k)
+        a, b = page.iloc[first], page.iloc[second]
+        gap = np.maximum(0.0, np.maximum(y0[second] - y1[first], y0[first] - y1[second]))
+        named = {"a": a["phrase_idx"].to_numpy(), "b": b["phrase_idx"].to_numpy(), "a_text": a["text"].to_numpy(), "b_text": b["text"].to_numpy(), "distance": gap}
+        return pd.DataFrame({"doc_id": a["doc_id"].to_numpy(), "page": a["page"].to_numpy()} | named)
+
+    return phrases.groupBy("doc_id", "page").applyInPandas(pairs, "doc_id string, page int, a int, b int, a_text string, b_text string, distance double")
+
 
+def ground_table(phrases: DataFrame, ground: DataFrame | list[str]) -> DataFrame:
+    """Ground phrases as a table with a column text, of a list or a table that has one."""
+    if isinstance(ground, DataFrame):
+        return ground.select("text").distinct()
+    return phrases.sparkSession.createDataFrame([(g,) for g in sorted(set(ground))], "text string")
 
-def labelled_pairs(phrases: DataFrame, ground: list[str]) -> DataFrame:
+
+def labelled_pairs(phrases: DataFrame, ground: DataFrame | list[str]) -> DataFrame:
     """next_overlaps with is_positive: the joined text is part of a ground phrase and the first one none itself."""
-    full = ", ".join(map(string, sorted(set(ground)))) or "NULL"
-    pairs = next_overlaps(phrases)
-    known = subphrases(phrases.sparkSession.range(1).select(F.expr(f"explode(array({full}))").alias("text")))
-    joined = pairs.join(F.broadcast(known.withColumn("_known", F.lit(True))), F.concat_ws(" ", "a_text", "b_text") == F.col("sub"), "left")
-    return joined.withColumn("is_positive", F.expr(f"NOT coalesce(a_text IN ({full}), false) AND coalesce(_known, false)")).drop("sub", "_known")
+    ground = ground_table(phrases, ground)
+    pairs = next_overlaps(phrases).withColumn("_both", F.concat_ws(" ", "a_text", "b_text"))
+    part = subphrases(ground).select(F.col("sub").alias("_both"), F.lit(True).alias("_known"))
+    whole = ground.select(F.col("text").alias("a_text"), F.lit(True).alias("_whole"))
+    joined = pairs.join(part, "_both", "left").join(whole, "a_text", "left")
+    return joined.select(*[c for c in pairs.columns if c != "_both"], (F.col("_whole").isNull() & F.col("_known").isNotNull()).alias("is_positive"))
 
 
 def distance_threshold(pairs: DataFrame) -> DataFrame:
@@ -126,23 +162,40 @@ def distance_threshold(pairs: DataFrame) -> DataFrame:
     return extremes.withColumn("threshold", F.expr("least(min_negative - 0.001D, (max_positive + min_negative) / 2)"))
 
 
-def _merge(phrases: DataFrame, cells: str, accept: str, stops: str) -> DataFrame:
-    """Greedy merging within a page: every unused phrase, in order, absorbs later x-overlapping ones.
+MERGED = "doc_id string, page int, k int, text string, x0 double, y0 double, x1 double, y1 double"
+
+
+def _merged(page: pd.DataFrame, accepts) -> pd.DataFrame:
+    """Greedy merging within a page, whose rows are in order: every unused phrase absorbs later unused x-overlapping ones.
 
-    ``accept`` and ``stops`` see the merged box m and the candidate c; the search of an
-    anchor ends at the first overlapping candidate that is not accepted.
+    ``accepts`` sees the merged phrase (text, x0, y0, x1, y1) and a candidate's place; the
+    search of a phrase ends at the first overlapping candidate that is not accepted.
     """
-    pages = phrases.groupBy("doc_id", "page").agg(F.expr(cells).alias("c"))
-    grown = "named_struct('idx', m.idx, 'text', concat(m.text, ' ', c.text), 'x0', least(m.x0, c.x0), 'y0', least(m.y0, c.y0), 'x1', greatest(m.x1, c.x1), 'y1', greatest(m.y1, c.y1), 'page', m.page)"
-    step = f"""CASE WHEN t.done OR array_contains(t.used, j) OR NOT {overlaps('t.m', 'c[j]')} THEN t
-        WHEN {accept.replace('m.', 't.m.').replace('c.', 'c[j].')} THEN named_struct('m', {grown.replace('m.', 't.m.').replace('c.', 'c[j].')}, 'used', array_append(t.used, j), 'done', false)
-        ELSE named_struct('m', t.m, 'used', t.used, 'done', {stops}) END"""
-    inner = f"aggregate(filter(sequence(0, size(c) - 1), j -> j > i), named_struct('m', c[i], 'used', s.used, 'done', false), (t, j) -> {step})"
-    fold = f"""aggregate(sequence(0, size(c) - 1), named_struct('out', filter(c, x -> false), 'used', CAST(array() AS ARRAY<INT>)),
-        (s, i) -> CASE WHEN array_contains(s.used, i) THEN s ELSE aggregate(array({inner}), s, (q, r) -> named_struct('out', array_append(q.out, r.m), 'used', r.used)) END, s -> s.out)"""
-    flat = pages.select("doc_id", F.expr(f"posexplode({fold})").alias("k", "x"), "page")
+    x0, y0, x1, y1, texts = (page[c].to_numpy() for c in ("x0", "y0", "x1", "y1", "text"))
+    free = np.ones(len(page), bool)
+    out = []
+    for i in range(len(page)):
+        if not free[i]:
+            continue
+        merged, at = (texts[i], x0[i], y0[i], x1[i], y1[i]), i + 1
+        while at < len(page):
+            hits = np.flatnonzero(free[at:] & _overlapping(x0[at:], x1[at:], merged[1], merged[3]))
+            if not len(hits):
+                break
+            j = at + int(hits[0])
+            if not accepts(merged, j):
+                break
+            free[j] = False
+            merged = (f"{merged[0]} {texts[j]}", min(merged[1], x0[j]), min(merged[2], y0[j]), max(merged[3], x1[j]), max(merged[4], y1[j]))
+            at = j + 1
+        out.append(merged)
+    found = pd.DataFrame(out, columns=["text", *BOX])
+    return found.assign(doc_id=page["doc_id"].iloc[0], page=page["page"].iloc[0], k=range(len(found)))[["doc_id", "page", "k", "text", *BOX]]
+
+
+def _numbered(merged: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("page", "k")
-    return flat.select("doc_id", (F.row_number().over(order) - 1).alias("phrase_idx"), "page", "x.text", *[F.col(f"x.{b}").alias(b) for b in BOX])
+    return merged.select("doc_id", (F.row_number().over(order) - 1).alias("phrase_idx"), "page", "text", *BOX)
 
 
 def merge_by_distance(phrases: DataFrame, threshold: float) -> DataFrame:
@@ -150,19 +203,39 @@ def merge_by_distance(phrases: DataFrame, threshold: float) -> DataFrame:
 
     Output is in order of page, top and left.
     """
-    cells = "transform(array_sort(collect_list(named_struct('y0', y0, 'x0', x0, 'idx', phrase_idx, 'text', text, 'x1', x1, 'y1', y1, 'page', page))), z -> named_struct('idx', z.idx, 'text', z.text, 'x0', z.x0, 'y0', z.y0, 'x1', z.x1, 'y1', z.y1, 'page', z.page))"
-    return _merge(phrases, cells, f"({vertical_gap('m', 'c')}) <= {threshold}", "true")
 
+    def merge(page: pd.DataFrame) -> pd.DataFrame:
+        page = page.sort_values(["y0", "x0", "phrase_idx"])
+        y0, y1 = page["y0"].to_numpy(), page["y1"].to_numpy()
+        return _merged(page, lambda m, j: max(0.0, y0[j] - m[4], m[2] - y1[j]) <= threshold)
+
+    return _numbered(phrases.groupBy("doc_id", "page").applyInPandas(merge, MERGED))
+
+
+def merge_by_ground(phrases: DataFrame, ground: DataFrame | list[str]) -> DataFrame:
+    """Lines of one cell become one phrase while the joined text is (part of) a ground phrase.
+
+    Ground phrases are a table.  A page meets those parts of them that begin with one of
+    its phrases: only such a part can be reached from there.
+    """
+    ground = ground_table(phrases, ground)
+    parts = subphrases(ground).union(ground).distinct().withColumnRenamed("sub", "part")
+    begin = parts.select("part", F.explode(F.expr("transform(sequence(1, size(split(part, ' '))), n -> array_join(slice(split(part, ' '), 1, n), ' '))")).alias("text"))
+    known = phrases.select("doc_id", "page", "text").distinct().join(begin.distinct(), "text")
+    known = known.groupBy(F.col("doc_id").alias("d"), F.col("page").alias("p")).agg(F.collect_set("part").alias("known"))
+
+    def merge(page: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        if page.empty:
+            return pd.DataFrame(columns=["doc_id", "page", "k", "text", *BOX])
+        reach = set(parts["known"].iloc[0]) if len(parts) else set()
+        page = page.sort_values("phrase_idx")
+        texts = page["text"].to_numpy()
+        return _merged(page, lambda m, j: f"{m[0]} {texts[j]}" in reach)
 
-def merge_by_ground(phrases: DataFrame, ground: list[str]) -> DataFrame:
-    """Lines of one cell become one phrase while the joined text is (part of) a ground phrase."""
-    parts = sorted({" ".join(t[i:j]) for g in ground for t in [g.split()] for i in range(len(t)) for j in range(i + 1, len(t) + 1)} | set(ground))
-    known = ", ".join(map(string, parts)) or "NULL"
-    cells = "array_sort(collect_list(named_struct('idx', phrase_idx, 'text', text, 'x0', x0, 'y0', y0, 'x1', x1, 'y1', y1, 'page', page)))"
-    return _merge(phrases, cells, f"coalesce(concat(m.text, ' ', c.text) IN ({known}), false)", "true")
+    return _numbered(phrases.groupBy("doc_id", "page").cogroup(known.groupBy("d", "p")).applyInPandas(merge, MERGED))
 
 
-def apply_rules(phrases: DataFrame, ground: list[str]) -> DataFrame:
+def apply_rules(phrases: DataFrame, ground: DataFrame | list[str]) -> DataFrame:
     """Learn the distance threshold from ground phrases, then merge by it where it separates, else by the ground phrases."""
     row = distance_threshold(labelled_pairs(phrases, ground)).first()
     if row["threshold"] >= 0 and row["threshold"] > row["max_positive"]:

@@ -12,18 +12,20 @@ PHRASES = "doc_id string, phrase_idx int, page int, text string, x0 double, y0 d
 def visual_rows(phrases: DataFrame, across_pages: bool = False) -> DataFrame:
     """(doc_id, row_id, page, cells): phrases in reading order join a row while they y-overlap all its members.
 
-    The members' state is their greatest y0 and least y1, so the fold over a page is one
-    pass.  With ``across_pages`` a row may go on over a page break (groups are documents).
+    The members' state is their greatest y0 and least y1, so one fold over a page finds
+    where rows start, and rows are slices.  With ``across_pages`` a row may go on over a
+    page break (groups are documents).  Phrases are dealt by document once, for this and
+    all later steps.
     """
     keys = ["doc_id"] if across_pages else ["doc_id", "page"]
     cell = F.struct(F.col("phrase_idx").alias("idx"), "text", "x0", "y0", "x1", "y1", "page")
-    pages = phrases.groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
-    fold = """aggregate(cells, named_struct('rows', CAST(array() AS ARRAY<INT>), 'row', -1, 'top', CAST(0 AS DOUBLE), 'bottom', CAST(0 AS DOUBLE)),
-        (s, c) -> CASE WHEN s.row >= 0 AND c.y0 <= s.bottom AND c.y1 >= s.top
-            THEN named_struct('rows', array_append(s.rows, s.row), 'row', s.row, 'top', greatest(s.top, c.y0), 'bottom', least(s.bottom, c.y1))
-            ELSE named_struct('rows', array_append(s.rows, s.row + 1), 'row', s.row + 1, 'top', c.y0, 'bottom', c.y1) END, s -> s.rows)"""
+    pages = phrases.repartition("doc_id").groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    fold = """aggregate(sequence(0, size(cells) - 1), named_struct('starts', CAST(array() AS ARRAY<INT>), 'top', CAST(NULL AS DOUBLE), 'bottom', CAST(NULL AS DOUBLE)),
+        (s, i) -> CASE WHEN cells[i].y0 <= s.bottom AND cells[i].y1 >= s.top
+            THEN named_struct('starts', s.starts, 'top', greatest(s.top, cells[i].y0), 'bottom', least(s.bottom, cells[i].y1))
+            ELSE named_struct('starts', array_append(s.starts, i), 'top', cells[i].y0, 'bottom', cells[i].y1) END, s -> s.starts)"""
     pages = pages.withColumn("at", F.expr(fold))
-    whole = "transform(sequence(0, array_max(at)), r -> named_struct('r', r, 'cells', filter(cells, (c, i) -> at[i] = r)))"
+    whole = "transform(at, (a, r) -> named_struct('r', r, 'cells', slice(cells, a + 1, coalesce(get(at, r + 1), size(cells)) - a)))"
     rows = pages.select(*keys, F.expr(f"inline({whole})"))
     order = Window.partitionBy("doc_id").orderBy("page", "r")
     rows = rows.withColumn("page", F.expr("cells[0].page"))

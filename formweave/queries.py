@@ -10,7 +10,7 @@ from formweave.api import Engine
 from formweave.functions import present as V
 from formweave.functions.tokens import token_counter
 from formweave.operators import edit as U, extract as X, fields as K, learn as L, phrases as P, rows as R
-from formweave.operators.oracle import RuleOracle, call_cost, metadata_strings as metadata_by_recurrence
+from formweave.operators.oracle import RuleOracle, answered, call_cost, metadata_strings as metadata_by_recurrence, total_cost as cost_in_sum
 from formweave.plans import template as T
 from formweave.plans.render import DUCK_SOURCE, KV_FIELDS, PER_PAGE, TABLE_FIELDS, forms
 from formweave.plans.template import LEAF, Node
@@ -174,69 +174,99 @@ _VECTORS = _PHRASES + ", v AS (SELECT doc_id, text, list(phrase_idx ORDER BY phr
 
 @query(
     _VECTORS
-    + """SELECT a.doc_id, a.text AS p, b.text AS q FROM v a JOIN v b ON a.doc_id = b.doc_id AND len(a.vec) = len(b.vec) AND a.vec[1] < b.vec[1]
-WHERE len(list_filter(list_zip(a.vec, b.vec), lambda z: abs(abs(z[1] - z[2]) - abs(a.vec[1] - b.vec[1])) > 1)) = 0"""
+    + """, j AS MATERIALIZED (SELECT a.doc_id, a.text AS p, b.text AS q, a.vec AS x, b.vec AS y FROM v a JOIN v b ON a.doc_id = b.doc_id AND len(a.vec) = len(b.vec))
+SELECT doc_id, p, q FROM j WHERE x[1] < y[1] AND len(list_filter(list_zip(x, y), lambda z: abs(abs(z[1] - z[2]) - abs(x[1] - y[1])) > 1)) = 0"""
 )
 def perfect_match_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.matching_pairs(K.frequent(K.position_vectors(forms(spark, sf_dir).where("page <= 5"))))
 
 
-@query()
+#: Greedy clusters: a step takes the first vector left of each document and length, and what matches it.
+_CLUSTERS = (
+    _VECTORS.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, g AS (SELECT doc_id, len(vec) AS n, list({'t': text, 'v': vec} ORDER BY vec[1], text) AS rem FROM v GROUP BY ALL),
+r AS (SELECT doc_id, n, rem FROM g UNION ALL SELECT doc_id, n, list_filter(rem, lambda x: len(list_filter(list_zip(rem[1].v, x.v), lambda z: abs(abs(z[1] - z[2]) - abs(rem[1].v[1] - x.v[1])) > 1)) > 0) FROM r WHERE len(rem) > 0),
+m AS (SELECT doc_id, rem[1].t AS leader, rem[1].v[1] AS place, unnest(list_filter(rem, lambda x: len(list_filter(list_zip(rem[1].v, x.v), lambda z: abs(abs(z[1] - z[2]) - abs(rem[1].v[1] - x.v[1])) > 1)) = 0)) AS x FROM r WHERE len(rem) > 0),
+k AS (SELECT doc_id, x.t AS phrase, x.v AS vec, (dense_rank() OVER (PARTITION BY doc_id ORDER BY place) - 1)::INT AS cluster_id, leader FROM m)
+"""
+)
+
+
+@query(_CLUSTERS + "SELECT doc_id, phrase, cluster_id, leader FROM k")
 def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = K.leader_clusters(K.position_vectors(forms(spark, sf_dir).where("page <= 5")))
     return found.select("doc_id", "phrase", "cluster_id", "leader")
 
 
-# 97.5 % quantiles of Student's t for 1 to 6 degrees of freedom.
-_QUANTILES = (12.706204736174694, 4.302652729749462, 3.1824463052837078, 2.7764451051977934, 2.5705818356363146, 2.4469118511449697)
+# 97.5 % quantiles of Student's t for 1 to 16 degrees of freedom, the most that an order of the given tables has.
+_QUANTILES = (
+    12.706204736174694, 4.302652729749462, 3.1824463052837078, 2.7764451051977934, 2.5705818356363146, 2.4469118511449697,
+    2.36462425159, 2.3060041352, 2.2621571628, 2.22813885199, 2.20098516009, 2.17881282967, 2.16036865646, 2.14478668792, 2.13144954556, 2.11990529922,
+)
 _T = ", ".join(f"({n}, {q!r})" for n, q in enumerate(_QUANTILES, 2))
 
 
 @query(
     f"""WITH t(n, q) AS (VALUES {_T}), g AS (SELECT l_orderkey, count(l_quantity) AS n, avg(l_quantity) AS mean, stddev_samp(l_quantity) AS sd FROM lineitem GROUP BY ALL)
-SELECT l_orderkey, g.n, round(mean, 9) AS mean, round(sd / sqrt(g.n) * q, 4) AS half FROM g JOIN t ON t.n = g.n"""
+SELECT l_orderkey, g.n, round(mean, 9) AS mean, round(sd / sqrt(g.n) * q, 4) AS half FROM g LEFT JOIN t ON t.n = g.n"""
 )
 def cluster_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of all orders, with a null half width where there is one line."""
     found = K.confidence(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_orderkey"], "l_quantity")
-    return found.where("n BETWEEN 2 AND 7").select("l_orderkey", "n", F.round("mean", 9).alias("mean"), F.round("half", 4).alias("half"))
-
-
-# The same quantiles for 7 to 16 degrees of freedom, the most that an order of the given tables has.
-_MORE_QUANTILES = (2.36462425159, 2.3060041352, 2.2621571628, 2.22813885199, 2.20098516009, 2.17881282967, 2.16036865646, 2.14478668792, 2.13144954556, 2.11990529922)
-_ALL_T = ", ".join(f"({n}, {q!r})" for n, q in enumerate((*_QUANTILES, *_MORE_QUANTILES), 2))
+    return found.select("l_orderkey", "n", F.round("mean", 9).alias("mean"), F.round("half", 4).alias("half"))
 
 
-@query(
-    f"""WITH t(n, q) AS (VALUES {_ALL_T}), g AS (SELECT l_orderkey, count(l_quantity) AS n, avg(l_quantity) AS mean, stddev_samp(l_quantity) AS sd FROM lineitem GROUP BY ALL)
-SELECT l_orderkey, g.n, round(mean, 9) AS mean, round(sd / sqrt(g.n) * q, 4) AS half FROM g LEFT JOIN t ON t.n = g.n"""
+#: Accepted clusters by the rule oracle: more than half keywords, and among several clusters an interval of less than a half.
+_T_ALL = ", ".join(f"({n}, {K.student_quantile(n - 1)!r})" for n in range(2, 80))
+_ACCEPTED = (
+    _CLUSTERS
+    + f""", t(n, q) AS (VALUES {_T_ALL}),
+s AS (SELECT doc_id, cluster_id, count(*) AS n, avg(key) AS mean, stddev_samp(key) AS sd FROM (SELECT *, regexp_matches(phrase, '^[A-Za-z][A-Za-z .#/()&''-]{{1,40}}$')::INT AS key FROM k) GROUP BY ALL HAVING count(*) > 2),
+a AS (SELECT doc_id, cluster_id FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS clusters FROM s LEFT JOIN t USING (n)) WHERE mean > 0.5 AND (clusters = 1 OR sd / sqrt(n) * q < 0.5))
+"""
 )
-def cluster_ci_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intervals of all orders, with a null half width where there is one line; cluster_ci has the orders of 2 to 7 lines only."""
-    found = K.confidence(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_orderkey"], "l_quantity")
-    return found.select("l_orderkey", "n", F.round("mean", 9).alias("mean"), F.round("half", 4).alias("half"))
+_FOUND = ", p AS (SELECT doc_id, phrase AS field, vec[1] AS position FROM k JOIN a USING (doc_id, cluster_id) WHERE regexp_matches(phrase, '^[A-Za-z][A-Za-z .#/()&''-]{1,40}$'))\n"
 
 
-@query()
+@query(_ACCEPTED + _FOUND + "SELECT doc_id, field, position FROM p JOIN (SELECT doc_id FROM f GROUP BY ALL HAVING max(page) > 1) USING (doc_id)")
 def predicted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of every document by positions and the rule oracle."""
     return K.predict_field(forms(spark, sf_dir), RuleOracle())
 
 
-@query()
+@query(_ACCEPTED + "SELECT doc_id, cluster_id, list_sort(list(phrase))::VARCHAR AS phrases FROM k JOIN a USING (doc_id, cluster_id) GROUP BY ALL")
+def accepted_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword clusters with all their phrases."""
+    clusters = K.leader_clusters(K.position_vectors(forms(spark, sf_dir).where("page <= 5")))
+    kept = clusters.join(K.accepted_clusters(clusters, RuleOracle()).select("doc_id", "cluster_id"), ["doc_id", "cluster_id"])
+    return kept.groupBy("doc_id", "cluster_id").agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("phrase")), ", "), F.lit("]")).alias("phrases"))
+
+
+#: How far a vector a, moved to the start of b, goes along b: two pointers as a running fold.
+_ALONG = "list_reduce(list_prepend(0, {b}), lambda i, x: CASE WHEN i < len({a}) AND abs({a}[i + 1] + {b}[1] - {a}[1] - x) <= 1 THEN i + 1 ELSE i END)"
+
+
+@query(
+    _ACCEPTED
+    + f""", j AS MATERIALIZED (SELECT r.doc_id, r.cluster_id, r.vec AS b, g.vec AS a FROM (SELECT * FROM k ANTI JOIN a USING (doc_id, cluster_id)) r
+    JOIN (SELECT * FROM k JOIN a USING (doc_id, cluster_id)) g ON r.doc_id = g.doc_id)
+SELECT DISTINCT doc_id, cluster_id FROM j WHERE len(b) >= len(a) AND {_ALONG.format(a="a", b="b")} = len(a)"""
+)
 def reclustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     clusters = K.leader_clusters(K.position_vectors(forms(spark, sf_dir).where("page <= 5")))
     return K.regrouped(clusters, K.accepted_clusters(clusters, RuleOracle()))
 
 
 @query(
-    """WITH w AS (SELECT list_filter(regexp_split_to_array(split_part(text, chr(10), 1), '\\s+'), lambda x: x <> '') AS t FROM documents WHERE len(regexp_split_to_array(split_part(text, chr(10), 1), '\\s+')) <= 60),
-i AS (SELECT t, unnest(range(1, len(t) + 1)) AS i FROM w), j AS (SELECT t, i, unnest(range(i, len(t) + 1)) AS j FROM i)
-SELECT DISTINCT array_to_string(t[i:j], ' ') AS sub FROM j"""
+    f"""WITH o AS (SELECT l_orderkey, list(l_partkey % 40 ORDER BY l_partkey % 40, l_linenumber) AS a FROM lineitem GROUP BY ALL), n AS (SELECT l_orderkey, a, lead(a) OVER (ORDER BY l_orderkey) AS b FROM o)
+SELECT l_orderkey, list_reduce(list_prepend(0::BIGINT, b), lambda i, x: CASE WHEN i < len(a) AND abs(a[i + 1] - x) <= 1 THEN i + 1 ELSE i END) = len(a) AS follows, {_ALONG.format(a="a", b="b").replace("(0,", "(0::BIGINT,")} = len(a) AS matches FROM n WHERE b IS NOT NULL"""
 )
-def subphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of tokens of first lines of up to 60 tokens, as its SQL has them; subphrases_ground takes whole texts."""
-    first = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.expr("split(text, '\\n')[0]").alias("text"))
-    return P.subphrases(first.where("size(split(text, '\\\\s+')) <= 60"))
+def partial_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the part numbers of an order follow in those of the next, in place and moved to their start."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", (F.col("l_partkey") % 40).cast("int").alias("part"))
+    orders = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("part")).alias("a"))
+    near = orders.withColumn("b", F.lead("a").over(Window.orderBy("l_orderkey"))).where("b IS NOT NULL")
+    return near.select("l_orderkey", K.is_subsequence(F.col("a"), F.col("b")).alias("follows"), K.partial_match(F.col("a"), F.col("b")).alias("matches"))
 
 
 @query(
@@ -245,7 +275,7 @@ def subphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 i AS (SELECT t, unnest(range(1, len(t) + 1)) AS i FROM w), j AS (SELECT t, i, unnest(range(i, len(t) + 1)) AS j FROM i)
 SELECT DISTINCT array_to_string(t[i:j], ' ') AS sub FROM j"""
 )
-def subphrases_ground(spark: SparkSession, sf_dir: str) -> DataFrame:
+def subphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of tokens of every different phrase of the forms, all pages, whole."""
     return P.subphrases(forms(spark, sf_dir).select("text").distinct())
 
@@ -292,10 +322,53 @@ def _words(phrases: DataFrame) -> DataFrame:
 @query(_PHRASES + "SELECT doc_id, phrase_idx, page, text, round(x0, 6) AS x0, y0, round(x1, 6) AS x1, y1 FROM f")
 def words_to_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases cut into words grow together again."""
-    found = P.words_to_phrases(_words(forms(spark, sf_dir)))
+    return _rounded(P.words_to_phrases(_words(forms(spark, sf_dir))))
+
+
+def _rounded(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "phrase_idx", "page", "text", F.round("x0", 6).alias("x0"), "y0", F.round("x1", 6).alias("x1"), "y1")
 
 
+@query(_PHRASES + "SELECT doc_id, phrase_idx, page, text, round(x0, 6) AS x0, y0, round(x1, 6) AS x1, y1 FROM (SELECT *, max(phrase_idx) OVER (PARTITION BY doc_id) AS last FROM f) WHERE phrase_idx < last")
+def words_to_phrases_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the last phrase of a document left out, as usual elsewhere."""
+    return _rounded(P.words_to_phrases(_words(forms(spark, sf_dir)), parity=True))
+
+
+@query(_PHRASES + "SELECT doc_id, phrase_idx, page, text, round(x0, 6) AS x0, y0, round(x1, 6) AS x1, y1 FROM f")
+def words_to_phrases_fixed_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(P.words_to_phrases(_words(forms(spark, sf_dir)), gap=7.0))
+
+
+@query(_PHRASES + "SELECT doc_id, phrase_idx, page, text, round(x0, 6) AS x0, y0, round(x1, 6) AS x1, y1 FROM f")
+def line_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older rule on the same words; none is as large as a header's."""
+    return _rounded(P.line_phrases(_words(forms(spark, sf_dir)), gap=7.0))
+
+
+@query(_PHRASES + "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY page, y0, x0) - 1)::INT AS phrase_idx, page, text, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1 FROM f")
+def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases as lines of an OCR service, in shares of the page, and back; other blocks are ignored."""
+    share = [((F.col(c)) / n).alias(name) for c, n, name in (("x0", 612, "left"), ("y0", 792, "top"))]
+    lines = forms(spark, sf_dir).select("doc_id", "page", F.lit("LINE").alias("block_type"), "text", *share, ((F.col("x1") - F.col("x0")) / 612).alias("w"), ((F.col("y1") - F.col("y0")) / 792).alias("h"))
+    blocks = lines.union(lines.withColumn("block_type", F.lit("WORD")))
+    found = S.ocr_lines(blocks, 612, 792)
+    return found.select("doc_id", "phrase_idx", "page", "text", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+@query(_PHRASES + """SELECT doc_id, phrase_idx, '{"text":"' || text || '","bbox":{"x0":' || x0 || ',"y0":' || y0 || ',"x1":' || x1 || ',"y1":' || y1 || ',"page":' || page || '}}' AS json FROM f""")
+def phrase_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.phrases_json(forms(spark, sf_dir))
+
+
+@query(_PHRASES + "SELECT doc_id, phrase_idx, page, text, x0, y0, x1, y1 FROM f")
+def parsed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as an array of objects, and back."""
+    objects = S.phrases_json(forms(spark, sf_dir)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("phrase_idx", "json"))).alias("o"))
+    whole = objects.select("doc_id", F.concat(F.lit("["), F.expr("array_join(transform(o, x -> x.json), ',')"), F.lit("]")).alias("payload"))
+    return S.parse_boxes(whole, "doc_id", "payload")
+
+
 def _wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as cells of two lines: 'Customer' over the key, 40 to a page."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
@@ -317,9 +390,26 @@ def merge_lines_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_CARDS)
 def merge_lines_ground(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cards = _wrapped(spark, sf_dir)
-    n = spark.read.parquet(f"{sf_dir}/customer.parquet").agg(F.max("c_custkey")).first()[0]
-    return P.merge_by_ground(cards, [f"Customer No {k}" for k in range(n + 1)]).select("doc_id", "text", "y0", "y1")
+    return P.merge_by_ground(_wrapped(spark, sf_dir), _card_texts(spark, sf_dir)).select("doc_id", "text", "y0", "y1")
+
+
+def _card_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("Customer No "), "c_custkey").alias("text"))
+
+
+@query(_CARDS)
+def merge_lines_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distance threshold is learned from all customers' texts, then applied."""
+    return P.apply_rules(_wrapped(spark, sf_dir), _card_texts(spark, sf_dir)).select("doc_id", "text", "y0", "y1")
+
+
+@query("SELECT s_suppkey, s_name || ' ' || s_nationkey || ' ' || s_suppkey AS text, (s_suppkey % 7)::DOUBLE AS x0, 0.0::DOUBLE AS y0, (s_suppkey % 7 + 25)::DOUBLE AS x1, 34.0::DOUBLE AS y1, 1 AS page FROM supplier")
+def joined_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three phrases as one."""
+    at = F.col("s_suppkey") % 7
+    part = lambda k, t: F.struct(t.cast("string").alias("text"), (at + 10.0 * k).alias("x0"), F.lit(12.0 * k).alias("y0"), (at + 10.0 * k + 5).alias("x1"), F.lit(12.0 * k + 10).alias("y1"), F.lit(1).alias("page"))
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return rows.select("s_suppkey", P.join_three(part(0, F.col("s_name")), part(1, F.col("s_nationkey")), part(2, F.col("s_suppkey"))).alias("j")).select("s_suppkey", "j.*")
 
 
 @query(
@@ -384,16 +474,25 @@ def column_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.groupBy("doc_id", "record_id", "col_no").agg(F.max(F.least(F.lit(80.0), 6.0 * F.length("value"))).alias("width"))
 
 
-@query(f"SELECT * FROM (VALUES (0, 'kv', '{'|'.join(KV_FIELDS)}', -1), (1, 'table', '{'|'.join(TABLE_FIELDS)}', -1)) t(node_id, type, fields, child)")
-def template_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields and template of the first document, learned from its phrases."""
-    phrases = forms(spark, sf_dir)
-    phrases = phrases.where(F.col("doc_id") == phrases.agg(F.min("doc_id")).first()[0])
+def _learned(spark: SparkSession, sf_dir: str, variant: str = "") -> DataFrame:
+    """Nodes of the template that is learned from the first documents, fields and all."""
+    phrases = forms(spark, sf_dir, variant)
     engine = Engine(metadata=METADATA, metadata_rows=[["Order Report", f"Sheet {p}"] for p in range(1, 26)])
     found = engine.predict_template(phrases, engine.predict_field(phrases))
     return spark.createDataFrame([(n.node_id, n.type, "|".join(n.fields), n.child) for n in found], "node_id int, type string, fields string, child int")
 
 
+@query(f"SELECT * FROM (VALUES (0, 'kv', '{'|'.join(KV_FIELDS)}', -1), (1, 'table', '{'|'.join(TABLE_FIELDS)}', -1)) t(node_id, type, fields, child)")
+def template_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _learned(spark, sf_dir)
+
+
+@query(f"SELECT * FROM (VALUES (0, 'kv', '{'|'.join(KV_FIELDS)}', -1), (1, 'table', '{'|'.join(TABLE_FIELDS)}', -1), (2, 'table', 'Mode|Flag', -1)) t(node_id, type, fields, child)")
+def template_learned_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sure header heads no row beyond the next sure one: the inner table is a node, but not known as a child."""
+    return _learned(spark, sf_dir, "nested")
+
+
 @query(_PHRASES + "SELECT DISTINCT doc_id, unnest(['Order Key', 'Customer', 'status']) AS field FROM f")
 def edit_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Add 'status' (a phrase in another case) and 'Nowhere' (no phrase), remove 'Quantity'."""
@@ -445,17 +544,83 @@ def render_value_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", V.value_class(value).alias("class"))
 
 
-@query()
+@query(
+    """WITH t AS (SELECT page_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(html, ''), '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', ' ', 'g'), '<[^>]*>'), lambda x: trim(x)), lambda x: x <> '') AS t FROM pages)
+SELECT page_id::VARCHAR AS doc_id, (unnest(range(len(t))))::INT AS word_idx, 1 AS page, unnest(t) AS text FROM t"""
+)
 def page_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts between the tags of web pages."""
     return S.html_words(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-@query(_COUNTS + "SELECT doc_id, count(*) AS strings FROM (SELECT doc_id, unnest(['Order Report', NULL]) AS s FROM p WHERE pages >= 3) WHERE s IS NOT NULL GROUP BY ALL")
+@query(
+    _PHRASES
+    + """, r AS (SELECT doc_id, page, y0, string_agg(regexp_replace(text, '[0-9]+', '#', 'g'), '|' ORDER BY phrase_idx) AS shape, list(text) AS texts FROM f GROUP BY ALL),
+n AS (SELECT doc_id, count(DISTINCT page) AS pages FROM f GROUP BY ALL), s AS (SELECT doc_id, shape, y0, count(DISTINCT page) AS n, flatten(list(texts)) AS texts FROM r GROUP BY ALL)
+SELECT DISTINCT s.doc_id, unnest(texts) AS text FROM s JOIN n ON s.doc_id = n.doc_id WHERE s.n >= 0.5 * pages AND s.n >= 3"""
+)
 def metadata_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headers found by recurrence, without a model."""
-    found = metadata_by_recurrence(R.visual_rows(forms(spark, sf_dir)))
-    return found.where("text = 'Order Report'").groupBy("doc_id").agg(F.count("*").alias("strings"))
+    """Texts of rows that recur on half of a document's pages at one height, digits apart."""
+    return metadata_by_recurrence(R.visual_rows(forms(spark, sf_dir)))
+
+
+@query(_COUNTS + "SELECT doc_id, (4 * records + n + pages - 1)::BIGINT AS n_rows FROM p")
+def rows_without_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.without_last_row(R.visual_rows(forms(spark, sf_dir))).groupBy("doc_id").agg(F.count("*").alias("n_rows"))
+
+
+@query("SELECT conv_id, round(sum(CASE turn % 3 WHEN 0 THEN (length(text) * 5 + 100 * 20) / 1e6 WHEN 1 THEN (length(text) * 0.3 + 100 * 2.4) / 1e6 ELSE (2 * 1105 * 0.3 + 100 * 2.4) / 1e6 END), 9) AS cost FROM conversations GROUP BY ALL")
+def total_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs of a conversation in sum."""
+    return cost_in_sum(llm_cost(spark, sf_dir), ["conv_id"]).select("conv_id", F.round("cost", 9).alias("cost"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice::DECIMAL(18,2)::VARCHAR AS price, '0.00' AS absent FROM lineitem")
+def two_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return rows.select("l_orderkey", "l_linenumber", V.two_decimals(F.col("l_extendedprice").cast("decimal(18,2)")).alias("price"), V.two_decimals(F.lit(None).cast("double")).alias("absent"))
+
+
+@query("SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_nationkey % 2, n_name) AS phrases FROM nation GROUP BY ALL")
+def flattened_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two groups of names of a region as one list."""
+    half = lambda k: F.sort_array(F.collect_list(F.when(F.col("n_nationkey") % 2 == k, F.col("n_name"))))
+    groups = spark.read.parquet(f"{sf_dir}/nation.parquet").groupBy("n_regionkey").agg(F.create_map(F.lit("even"), half(0), F.lit("odd"), half(1)).alias("g"))
+    return groups.select("n_regionkey", F.array_join(V.flatten_groups(F.col("g")), "|").alias("phrases"))
+
+
+@query("""SELECT c_custkey, '{"segment":"' || c_mktsegment || '","name":"' || c_name || '","key":"' || c_custkey || '"}' AS json FROM customer""")
+def ordered_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Given keys first, absent ones left out, others after them."""
+    record = F.create_map(F.lit("name"), F.col("c_name"), F.lit("key"), F.col("c_custkey").cast("string"), F.lit("segment"), F.col("c_mktsegment"))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", V.ordered_json(record, ["segment", "absent", "name"]).alias("json"))
+
+
+@query(source(f""" SELECT DISTINCT doc_id, record_id::INT AS id, 1 AS block_no, '{"|".join(TABLE_FIELDS)}' AS columns FROM lines"""))
+def table_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table_columns(X.nest(_cells(spark, sf_dir))).select("doc_id", "id", "block_no", F.array_join("columns", "|").alias("columns"))
+
+
+_JSON_KV = " || ',' || ".join(f"""'{{"{k}":"' || v{c} || '"}}'""" for c, k in enumerate(KV_FIELDS))
+_JSON_ROW = " || ',' || ".join(f"""'"{k}":"' || coalesce(v{c}, 'missing') || '"'""" for c, k in enumerate(TABLE_FIELDS))
+
+
+@query(
+    source(f""", t AS (SELECT doc_id, record_id, string_agg('{{' || {_JSON_ROW} || '}}', ',' ORDER BY row_no) AS rows FROM lines GROUP BY ALL)
+SELECT doc_id, record_id::INT AS id, '[{{"type":"kv","content":[' || {_JSON_KV} || ']}},{{"type":"table","content":[' || rows || ']}}]' AS content FROM heads JOIN t USING (doc_id, record_id)""")
+)
+def downloaded_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole nested records as JSON text."""
+    nested = X.nest(_cells(spark, sf_dir))
+    return V.download(nested.select("*", F.struct("doc_id", "id").alias("at")).drop("doc_id").withColumnRenamed("at", "doc_id")).select("doc_id.doc_id", "doc_id.id", "content")
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn < 2 THEN 'reply ' || turn END AS reply FROM conversations")
+def answered_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded replies met by prompt; others have none."""
+    prompts = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.concat(F.lit("turn "), "turn").alias("prompt"))
+    answers = spark.createDataFrame([("turn 0", "reply 0"), ("turn 1", "reply 1"), ("turn 1", "reply 1"), ("turn x", "?")], "prompt string, reply string")
+    return answered(prompts, answers).select("conv_id", "turn", "reply")
 
 
 @query(_PHRASES + "SELECT 'merged' AS doc_id, count(*) AS phrases, (SELECT sum(p) FROM (SELECT max(page) AS p FROM f GROUP BY doc_id))::INT AS pages, (count(*) - 1)::INT AS last FROM f")

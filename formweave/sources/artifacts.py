@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from formweave.plans.template import Template, from_json, to_json
 
+#: Scripts, styles and comments, in a form that Java and RE2 read alike.
+HIDDEN_HTML = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
 PHRASE_CSV = "text string, x0 double, y0 double, x1 double, y1 double, page double"
 
 
@@ -37,7 +39,11 @@ def write_phrases(phrases: DataFrame, path: str) -> None:
 
 
 def merge_documents(phrases: DataFrame, name: str = "merged") -> DataFrame:
-    """All documents as one, in order of doc_id: pages and phrases go on from document to document."""
+    """All documents as one, in order of doc_id: pages and phrases go on from document to document.
+
+    What lies ahead of a document is counted over one row for each document; the phrases
+    only look it up.  Operators that work by document take the result as a single one.
+    """
     sizes = phrases.groupBy("doc_id").agg(F.max("page").alias("pages"), (F.max("phrase_idx") + 1).alias("n"))
     ahead = Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("doc_id", F.coalesce(F.sum("pages").over(ahead), F.lit(0)).alias("p"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("k"))
@@ -55,7 +61,10 @@ def ground_phrases(spark: SparkSession, path: str) -> DataFrame:
     return read_lines(spark, path).where("text <> ''").select("text").distinct()
 
 
-def write_lines(frame: DataFrame, path: str, column: str = "text") -> None:
+def write_lines(frame: DataFrame, path: str, column: str = "text", order: str | None = None) -> None:
+    """One text a line; with an order column in its order, over the files in order of their names."""
+    if order:
+        frame = frame.orderBy(order)
     frame.select(F.col(column).cast("string").alias("value")).write.text(path)
 
 
@@ -66,8 +75,81 @@ def read_metadata(spark: SparkSession, path: str) -> list[str]:
     return [p.strip() for p in text.split("|") if p.strip()]
 
 
-def metadata_rows_frame(spark: SparkSession, rows: list[list[str]]) -> DataFrame:
-    return spark.createDataFrame([(r,) for r in rows], "texts array<string>")
+def read_metadata_rows(spark: SparkSession, path: str) -> list[list[str]]:
+    """The registered metadata rows of a run."""
+    return [list(r["texts"]) for r in spark.read.schema("place long, texts array<string>").json(path).orderBy("place").collect()]
+
+
+def write_metadata_rows(spark: SparkSession, rows: list[list[str]], path: str) -> None:
+    spark.createDataFrame(list(enumerate(rows)), "place long, texts array<string>").coalesce(1).write.json(path)
+
+
+def write_string(spark: SparkSession, text: str, path: str) -> None:
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+
+
+def write_records(frame: DataFrame, path: str) -> None:
+    """One JSON object a line, fields in the order of the columns."""
+    frame.write.json(path)
+
+
+#: Names of what a run keeps of a document (or of several as one), by kind.
+ARTIFACTS = {
+    "phrases": "_phrases.csv", "fields": "_fields.txt", "boxes": "_boxes.json", "template": "_template.json", "metadata": "_metadata.txt", "metadata_rows": "_metadata_rows.json",
+    "extracted": "_extracted.json", "image": "_page.jpg", "ground": "_ground_phrases.txt",
+}
+
+
+def artifact_path(folder: str, paths: list[str], kind: str) -> str:
+    """Where a run over files keeps an artifact."""
+    name = merged_name(paths)
+    return f"{folder.rstrip('/')}/{name}/{name}{ARTIFACTS[kind]}"
+
+
+def delete_artifact(spark: SparkSession, path: str) -> bool:
+    """Whether there was something to delete, in any file system that Spark can write."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def phrases_json(phrases: DataFrame) -> DataFrame:
+    """(doc_id, phrase_idx, json): each phrase as an object of its text and its box."""
+    box = F.struct("x0", "y0", "x1", "y1", "page")
+    return phrases.select("doc_id", "phrase_idx", F.to_json(F.struct("text", box.alias("bbox"))).alias("json"))
+
+
+_BOXED = "text string, x0 double, y0 double, x1 double, y1 double, page double, bbox struct<x0:double,y0:double,x1:double,y1:double,page:double>"
+
+
+def parse_boxes(payloads: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, phrase_idx, page, text, box) of payloads that are an array of JSON objects, one object, or CSV lines with quotes.
+
+    Objects hold a box beside the text or under ``bbox``.  CSV may start with the line of
+    names.  A number that is absent or no number is 0, a page 1; lines without a text go.
+    """
+    text = F.trim(F.coalesce(F.col(text_col), F.lit("")))
+    named = F.struct(F.col("o.text").alias("text"), *[F.coalesce(F.col(f"o.{c}"), F.col(f"o.bbox.{c}")).alias(c) for c in ("x0", "y0", "x1", "y1", "page")])
+    kind = F.when(text.startswith("["), "array").when(text.startswith("{"), "object").otherwise("csv")
+    rows = payloads.select(F.col(id_col).alias("id"), text.alias("text"), kind.alias("kind"))
+    arrays = rows.where("kind = 'array'").select("id", F.posexplode(F.from_json("text", f"array<struct<{_json_types(_BOXED)}>>")).alias("k", "o"))
+    objects = rows.where("kind = 'object'").select("id", F.lit(0).alias("k"), F.from_json("text", _BOXED).alias("o"))
+    lines = rows.where("kind = 'csv'").select("id", F.posexplode(F.split("text", r"\r?\n")).alias("k", "line")).where("trim(line) <> '' AND NOT line LIKE 'text,%'")
+    csv = lines.select("id", "k", F.from_csv("line", PHRASE_CSV, {"quote": '"', "escape": '"'}).alias("o"))
+    flat = arrays.select("id", "k", named.alias("b")).union(objects.select("id", "k", named.alias("b"))).union(csv.select("id", "k", "o"))
+    order = Window.partitionBy("id").orderBy("k")
+    flat = flat.where("trim(b.text) <> ''")
+    sides = [F.coalesce(F.col(f"b.{c}"), F.lit(0.0)).alias(c) for c in ("x0", "y0", "x1", "y1")]
+    return flat.select(F.col("id").alias(id_col), (F.row_number().over(order) - 1).alias("phrase_idx"), F.coalesce(F.col("b.page"), F.lit(1)).cast("int").alias("page"), F.trim("b.text").alias("text"), *sides)
+
+
+def _json_types(ddl: str) -> str:
+    """A list of columns as the fields of a struct type."""
+    return ", ".join(part.replace(" ", ":", 1) for part in ddl.split(", ") if part)
+
+
+def read_words(spark: SparkSession, path: str) -> DataFrame:
+    """words of CSV files with the header text,x0,y0,x1,y1,page, a file or folder of files: what a PDF reader wrote."""
+    return read_phrases(spark, path).withColumnRenamed("phrase_idx", "word_idx")
 
 
 def write_template(spark: SparkSession, template: Template, path: str) -> None:
@@ -99,6 +181,6 @@ def read_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> Data
 
 def html_words(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """words (doc_id, word_idx, page, text): the texts between a page's tags, in order."""
-    bare = F.regexp_replace(F.coalesce(html_col, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
+    bare = F.regexp_replace(F.coalesce(html_col, F.lit("")), HIDDEN_HTML, " ")
     parts = F.filter(F.transform(F.split(bare, r"<[^>]*>"), lambda t: F.trim(t)), lambda t: t != "")
     return pages.select(F.col(id_col).cast("string").alias("doc_id"), F.posexplode(parts).alias("word_idx", "text")).select("doc_id", "word_idx", F.lit(1).alias("page"), "text")
