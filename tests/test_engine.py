@@ -274,6 +274,43 @@ def test_model_over_http(tmp_path):
     service.shutdown()
 
 
+def test_service_runs_stages_edits_and_files(spark, tmp_path):
+    import json
+    import threading
+    import urllib.request
+
+    from formweave.service import Service, serve
+
+    rows = ["text,x0,y0,x1,y1,page"]
+    for k in range(8):
+        lines = [["Name", f"n{k}a", "City", f"c{k}b"], ["Aa", "Bb", "Cc"], *[[f"{k}{i}1", f"{k}{i}2", f"{k}{i}3"] for i in range(k % 3 + 1)]]
+        for r, line in enumerate(lines):
+            rows += [f"{t},{c * 100},{(k % 4) * 100 + r * 20},{c * 100 + 20},{(k % 4) * 100 + r * 20 + 10},{k // 4 + 1}" for c, t in enumerate(line)]
+    (tmp_path / "words").mkdir()
+    (tmp_path / "words" / "doc.csv").write_text("\n".join(rows))
+    run = Service(spark, str(tmp_path / "run"))
+    ask = lambda route, **body: run.handle("POST", route, body)
+    assert run.handle("GET", "/nowhere")[0] == 404 and ask("/process/fields")[0] == 404 and ask("/process/phrase")[0] == 400
+    assert ask("/process/phrase", path=str(tmp_path / "words"))[1]["documents"] == [{"doc_id": "doc", "phrases": len(rows) - 1, "pages": 2}]
+    assert set(ask("/process/fields")[1]["fields"]) == {"Name", "City", "Aa", "Bb", "Cc"}
+    assert ask("/api/remove_fields", fields=["City", "Zip"])[1]["not_found"] == ["Zip"]
+    assert "City" in ask("/api/add_fields", fields=["City"])[1]["fields"]
+    template = ask("/process/template")[1]["template"]
+    assert [n["type"] for n in template] == ["kv", "table"]
+    whole = ask("/process/extract")[1]
+    assert whole["count"] == 8 and whole["records"][0]["content"][1]["content"][0] == {"Aa": "001", "Bb": "002", "Cc": "003"}
+    assert ask("/api/modify_template_node", node_id=1, type="table", fields=["A", "B"])[1]["template"][1]["fields"] == ("A", "B")
+    assert len(ask("/api/remove_template_node", node_ids=[1])[1]["template"]) == 1 and len(ask("/save/template", template=template)[1]["template"]) == 2
+    assert run.handle("GET", "/files")[1]["files"] == ["phrases", "fields", "template", "extracted"]
+    server = serve(run)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    with urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/files/bounding-box?doc_id=doc&page=1") as answer:
+        assert json.load(answer)["phrases"][0] == {"text": "Name", "bbox": {"x0": 0.0, "y0": 0.0, "x1": 20.0, "y1": 10.0, "page": 1}}
+    server.shutdown()
+    assert json.loads(run.handle("GET", "/file/read", {"name": "template"})[1]["content"])[0]["type"] == "kv" and run.handle("GET", "/file/read", {"name": "phrases"})[0] == 400
+    assert ask("/cleanup")[1]["deleted"] == ["phrases", "fields", "template", "extracted"] and run.handle("GET", "/files")[1]["files"] == []
+
+
 def test_pdf_files_through_an_opener(spark, tmp_path):
     """Pages and words of an opener's making; without a library the message says what is missing."""
     from formweave.sources.pdf import page_images, pdf_words, plumber
