@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import SPACES, check_columns, words_of
@@ -9,9 +12,12 @@ from .common import SPACES, check_columns, words_of
 # Patterns that Java and RE2 read alike.
 #: Marks that end a sentence, a clause or a list's head, of every script that has some.
 MARKS = ".!?:;…‼⁇⁈⁉。．！？：；｡؟؛۔।॥։׃።፧፨።។៕၊။།༎᠃᙮꓿"
-#: Such a mark, then closing brackets and quotes by their Unicode classes.
-END = rf"""[{MARKS}][\p{{Pe}}\p{{Pf}}\p{{Pi}}"']*[\x20\x09-\x0D]*$"""
-STOP = rf"[,،、，{MARKS}]"
+#: Closing brackets and quotes by their Unicode classes, and white space.
+CLOSERS, BLANKS = r"""[\p{Pe}\p{Pf}\p{Pi}"']*""", r"[\x20\x09-\x0D]*"
+END = f"[{MARKS}]{CLOSERS}{BLANKS}$"
+#: The same of a line read backwards, which only looks at its end.
+REVERSED_END = f"^{BLANKS}{CLOSERS}[{MARKS}]"
+STOP, COMMON_STOP = f"[,،、，{MARKS}]", "[.!?,;:]"
 #: Scripts that end sentences with a space (Thai, Lao, Tibetan, Myanmar, Khmer): the punctuation rule does not judge their lines.
 UNMARKED = "[\u0e00-\u109f\u1780-\u17ff]"
 SYMBOL = r"[#*$%&|<>]"
@@ -25,6 +31,12 @@ BOILERPLATE = (
     r"|tous droits r[éÉ]serv[éÉ]s|politique de (cookies|confidentialit[éÉ])|mentions l[éÉ]gales|conditions d['’]utilisation|cliquez ici|abonnez-vous [àÀ] notre|aller au contenu"
     r"|todos los derechos reservados|pol[íÍ]tica de (cookies|privacidad)|aviso legal|condiciones de uso|haga clic aqu[íÍ]|suscr[íÍ]bete a nuestr|saltar al contenido"
 )
+#: Of each phrase a part in lower case: a text without any of them has no such line.
+NEEDLES = (
+    "rights reserved", "cookie", "privacy policy", "terms of", "enable javascript", "in to", "subscribe to", "click here", "lorem ipsum", "powered by", "skip to",
+    "rechte vorbehalten", "datenschutzerkl", "nutzungsbedingungen", "klicken sie", "newsletter abonnieren", "zum inhalt", "tous droits", "politique de", "mentions l",
+    "conditions d", "cliquez ici", "abonnez-vous", "aller au contenu", "derechos reservados", "tica de", "aviso legal", "condiciones de uso", "haga clic", "bete a nuestr", "saltar al contenido",
+)
 #: A line of fewer words needs an end mark, a longer one any punctuation.
 SHORT = 10
 #: Most symbols of a line, percent of its characters.
@@ -34,12 +46,20 @@ LOST = 40
 
 
 def _fails(line: Column) -> Column:
-    """Whether a line breaks the punctuation, the navigation or the boilerplate rule."""
+    """Whether a line breaks the punctuation or the navigation rule."""
     n = F.size(F.split(F.btrim(line, F.lit(SPACES)), r"[\x20\x09-\x0D]+"))
-    unpunctuated = ~line.rlike(END) & ((n < SHORT) | ~line.rlike(STOP)) & ~line.rlike(UNMARKED)
+    stopped = line.rlike(COMMON_STOP) | line.rlike(STOP)
+    unpunctuated = ~F.reverse(line).rlike(REVERSED_END) & ((n < SHORT) | ~stopped) & ~line.rlike(UNMARKED)
     symbols = F.length(F.regexp_replace(line, NOT_SYMBOLS, "")) * 100 > F.length(line) * SYMBOLS
     navigation = F.size(F.split(line, SEPARATOR)) > 3
-    return unpunctuated | symbols | navigation | line.rlike(BOILERPLATE)
+    return unpunctuated | symbols | navigation
+
+
+def _all_fail(text: Column, lines: Column) -> Column:
+    """For each line whether it breaks a rule; the boilerplate rule is asked where the text has a part of such a phrase."""
+    low = F.lower(text)
+    some = reduce(or_, [low.contains(needle) for needle in NEEDLES])
+    return F.when(some, F.transform(lines, lambda x: _fails(x) | x.rlike(BOILERPLATE))).otherwise(F.transform(lines, _fails))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -59,7 +79,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     window = lambda i: F.struct(F.xxhash64(F.get("h", i), F.get("h", i + 1), F.get("h", i + 2)).alias("w"), i.alias("i"))
     windows = F.when(F.col("n") >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.col("n") - 3), window)))
     rows = rows.select(
-        "id", "text", "lines", "n", F.length(F.array_join("words", "")).alias("word_chars"), windows.alias("windows"), F.transform("lines", _fails).alias("fails")
+        "id", "text", "lines", "n", F.length(F.array_join("words", "")).alias("word_chars"), windows.alias("windows"), _all_fail(F.col("text"), F.col("lines")).alias("fails")
     )
     again = lambda x, k: F.coalesce(x["w"] == F.get("windows", k - 1)["w"], F.lit(False)) | F.coalesce(x["w"] == F.get("windows", k + 1)["w"], F.lit(False))
     found = F.sort_array(F.transform(F.filter("windows", again), lambda x: x["i"]))

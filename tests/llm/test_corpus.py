@@ -193,6 +193,20 @@ def test_quality_rules_equal_brute_force(spark):
     assert quality_rules.quality_rules(hard_rows(spark)).count() == 10
 
 
+def spelled(pattern):
+    """All texts of a pattern of plain letters, groups, classes and question marks."""
+    for found, options in ((re.search(r"\(([^()]*)\)(\??)", pattern), None), (re.search(r"\[([^\]]*)\]", pattern), list), (re.search(r"(.)\?", pattern), None)):
+        if found:
+            some = options(found[1]) if options else found[1].split("|") + [""] * found[0].endswith("?")
+            return [x for o in some for x in spelled(pattern[: found.start()] + o + pattern[found.end() :])]
+    return [pattern]
+
+
+def test_boilerplate_is_asked_for_wherever_it_may_stand():
+    phrases = [x for p in re.split(r"\|(?![^(]*\))", quality_rules.BOILERPLATE.removeprefix("(?i)")) for x in spelled(p)]
+    assert len(phrases) > 40 and all(re.search(quality_rules.BOILERPLATE, x) and any(n in x.lower() for n in quality_rules.NEEDLES) for x in phrases)
+
+
 def test_html_text(spark):
     page = """<html><head><title>T</title><script>if (a<b) document.write("<p>no</p>")</script></head><body><header><h1>Site</h1></header><nav><a href=x>Home</a></nav>
     <div class="cookie-notice">We use cookies on this site, please accept them all now.</div><main><article><h1>A &amp; B</h1><p>Short.<p>Second  par<b>agraph</b> with&nbsp;words
