@@ -46,12 +46,20 @@ def label_rows(rows: DataFrame, template: Template, metadata: list[str] = (), me
     return rows.withColumn("label", F.expr(f"CASE WHEN _m THEN 'M' WHEN node IS NULL THEN 'V' ELSE {kinds}[node] END")).drop("_m")
 
 
+def _one_to_one(k: str, v: str) -> str:
+    """SQL: whether each value stands under its own header and touches no other: then the row is aligned, and nothing is to be chosen."""
+    own = f"{v}[i].x0 <= {k}[i].x1 AND {k}[i].x0 <= {v}[i].x1"
+    apart = f"{v}[i].x0 > {k}[i - 1].x1 AND {k}[i].x0 > {v}[i - 1].x1"
+    return f"(size({k}) = size({v}) AND forall(sequence(0, size({v}) - 1), i -> {own} AND CASE WHEN i > 0 THEN {apart} ELSE true END))"
+
+
 def blocks(rows: DataFrame, template: Template) -> DataFrame:
-    """Rows of blocks (doc_id, record_id, block_id, block_type, row_id, role, node, cells, header).
+    """Rows of blocks (doc_id, record_id, block_id, block_type, row_id, role, node, cells, header, plain).
 
     A header row opens a table.  A value row goes to the lowest header above it that it is
     aligned with and that is the nearest one or, of a node with an inner table, that node's
     nearest one; else it is dropped.  Pair rows without a header row between them are one kv block.
+    ``plain`` rows have one value under each header.
     """
     own = Window.partitionBy("doc_id", "record_id").orderBy("row_id")
     outer = [k for k, n in enumerate(template) if n.child != LEAF]
@@ -65,29 +73,27 @@ def blocks(rows: DataFrame, template: Template) -> DataFrame:
             rows = rows.withColumn(f"_outer{k}", F.last(F.expr(f"CASE WHEN node = {k} THEN _header END"), ignorenulls=True).over(own))
         held = ", ".join(f"_outer{k}" for k in outer)
         above = f"concat(filter(array(_near), h -> h IS NOT NULL), filter(reverse(array_sort(filter(array({held}), h -> h IS NOT NULL))), h -> h.row < _near.row))"
-    fits = F.expr(f"CASE WHEN label = 'V' THEN filter({above}, h -> {aligned('h.cells', 'cells')}) WHEN label = 'K' THEN array(_header) END")
-    rows = rows.withColumn("_fit", fits)
-    rows = rows.withColumn("header", F.get("_fit", F.lit(0))).where("label = 'KV' OR header IS NOT NULL")
+    rows = rows.withColumn("plain", F.expr(f"label = 'V' AND _near IS NOT NULL AND {_one_to_one('_near.cells', 'cells')}"))
+    fits = F.expr(f"CASE WHEN label = 'K' THEN _header WHEN plain THEN _near WHEN label = 'V' THEN get(filter({above}, h -> {aligned('h.cells', 'cells')}), 0) END")
+    rows = rows.withColumn("header", fits).where("label = 'KV' OR header IS NOT NULL")
     place = F.expr("CASE WHEN label = 'KV' THEN 2 * _k ELSE 2 * header.number - 1 END")
     rows = rows.withColumn("_place", place)
     number = (F.dense_rank().over(Window.partitionBy("doc_id", "record_id").orderBy("_place")) - 1).cast("int")
     kind = F.expr("CASE WHEN label = 'KV' THEN 'kv' ELSE 'table' END")
     role = F.expr("CASE label WHEN 'KV' THEN 'kv' WHEN 'K' THEN 'header' ELSE 'value' END")
-    return rows.select("doc_id", "record_id", number.alias("block_id"), kind.alias("block_type"), "row_id", role.alias("role"), "node", "cells", "header")
+    return rows.select("doc_id", "record_id", number.alias("block_id"), kind.alias("block_type"), "row_id", role.alias("role"), "node", "cells", "header", "plain")
 
 
-def table_cells(block_rows: DataFrame) -> DataFrame:
-    """Cells (doc_id, record_id, block_id, row_no, col_no, key, value) of table blocks, value null if missing.
+def _chosen(block_rows: DataFrame) -> DataFrame:
+    """block_rows with ``taken``, for each header of a value row the place of its value, and ``free``, the values that none took.
 
     1. Each key takes the x-overlapping value with the nearest centre, the first on ties; keys may share one.
     2. Keys still missing take, left to right, the nearest free value strictly between their neighbours' values,
        if the neighbours were found in step 1.
-    3. Keys still missing take the last free value that lies wholly in the column, which reaches over the cells
-       found so far in the block.
     """
-    rows = block_rows.where("role = 'value'").withColumn("k", F.expr("header.cells")).withColumnRenamed("cells", "v")
+    rows = block_rows.withColumn("k", F.expr("header.cells")).withColumnRenamed("cells", "v")
     near = f"transform(k, a -> array_min(filter(transform(v, (b, j) -> CASE WHEN {x_overlap('a', 'b')} THEN named_struct('d', {center_distance('a', 'b')}, 'j', j) END), z -> z IS NOT NULL)).j)"
-    rows = rows.withColumn("first", F.expr(near))
+    rows = rows.withColumn("first", F.expr(f"CASE WHEN role = 'value' THEN CASE WHEN plain THEN sequence(0, size(v) - 1) ELSE {near} END END"))
     # the span of values open to a missing key, from the first step's neighbours
     low = "CASE WHEN p = 0 THEN -1 ELSE get(first, p - 1) END"
     high = "CASE WHEN p = size(k) - 1 THEN size(v) ELSE get(first, p + 1) END"
@@ -95,39 +101,50 @@ def table_cells(block_rows: DataFrame) -> DataFrame:
     fold = f"""aggregate(sequence(0, size(k) - 1), named_struct('out', CAST(array() AS ARRAY<INT>), 'used', filter(first, j -> j IS NOT NULL)),
         (s, p) -> CASE WHEN get(first, p) IS NOT NULL THEN named_struct('out', array_append(s.out, get(first, p)), 'used', s.used)
             ELSE aggregate(array({choice}), s, (q, j) -> named_struct('out', array_append(q.out, j), 'used', CASE WHEN j IS NULL THEN q.used ELSE array_append(q.used, j) END)) END)"""
-    complete = "NOT exists(first, j -> j IS NULL)"
-    plain = "named_struct('out', first, 'used', first)"
-    rows = rows.withColumn("taken", F.expr(f"CASE WHEN {complete} THEN {plain} ELSE {fold} END"))
-    free = "CASE WHEN exists(taken.out, j -> j IS NULL) THEN filter(transform(v, (b, j) -> CASE WHEN NOT array_contains(taken.used, j) THEN b END), b -> b IS NOT NULL) END"
-    flat = rows.select(
-        "doc_id", "record_id", "block_id", "row_id", F.expr(free).alias("free"),
-        F.expr("posexplode(transform(k, (a, p) -> named_struct('key', a.text, 'cell', get(v, get(taken.out, p)))))").alias("col_no", "x"),
-    )
-    column = Window.partitionBy("doc_id", "record_id", "block_id", "col_no")
-    flat = flat.withColumn("low", F.min("x.cell.x0").over(column)).withColumn("high", F.max("x.cell.x1").over(column))
-    last = F.expr("element_at(filter(free, b -> b.x0 >= low AND b.x1 <= high), -1).text")
-    value = F.coalesce(F.col("x.cell.text"), F.when(F.col("x.cell").isNull() & (F.size(F.expr("filter(free, b -> b.x0 >= low AND b.x1 <= high)")) > 0), last))
-    number = F.dense_rank().over(Window.partitionBy("doc_id", "record_id", "block_id").orderBy("row_id"))
-    return flat.select("doc_id", "record_id", "block_id", F.lit("table").alias("block_type"), number.cast("int").alias("row_no"), "col_no", F.col("x.key").alias("key"), value.alias("value"))
-
-
-def kv_cells(block_rows: DataFrame, template: Template) -> DataFrame:
-    """Cells of kv blocks: a label followed by a phrase that is no label is its key, otherwise its value is null."""
+    rows = rows.withColumn("chosen", F.expr(f"CASE WHEN role = 'value' AND NOT plain AND exists(first, j -> j IS NULL) THEN {fold} END"))
+    rows = rows.withColumn("taken", F.expr("coalesce(chosen.out, first)"))
+    free = "CASE WHEN exists(chosen.out, j -> j IS NULL) THEN filter(v, (b, j) -> NOT array_contains(chosen.used, j)) END"
+    return rows.withColumn("free", F.expr(free)).drop("first", "chosen")
+
+
+def block_cells(block_rows: DataFrame, template: Template) -> DataFrame:
+    """Cells (doc_id, record_id, block_id, block_type, row_no, col_no, key, value) of all blocks, value null if missing.
+
+    Tables: a key that took no value (``_chosen``) takes the last free value that lies wholly
+    in its column, which reaches over the cells found so far in the block; columns are as many
+    as the largest table node has fields.  Pairs: a label followed by a phrase of its block
+    that is no label is its key, otherwise its value is null.  One sort by block serves
+    all of it, and every row is taken apart once.
+    """
     labels = strings(f for n in template for f in n.fields)
-    flat = block_rows.where("role = 'kv'").select("doc_id", "record_id", "block_id", F.expr("inline(cells)"))
-    block = Window.partitionBy("doc_id", "record_id", "block_id").orderBy("idx")
-    flat = flat.withColumn("is_label", F.expr(f"array_contains({labels}, text)")).withColumn("next", F.lead("text").over(block)).withColumn("next_label", F.lead("is_label").over(block))
-    value = F.expr("CASE WHEN next_label = false THEN next END")
-    flat = flat.withColumn("value", value).where("is_label")
-    number = (F.row_number().over(block) - 1).cast("int")
-    return flat.select("doc_id", "record_id", "block_id", F.lit("kv").alias("block_type"), F.lit(1).alias("row_no"), number.alias("col_no"), F.col("text").alias("key"), "value")
+    rows = _chosen(block_rows).withColumn("marks", F.expr(f"CASE WHEN role = 'kv' THEN transform(v, c -> array_contains({labels}, c.text)) END"))
+    rows = rows.withColumn("n_labels", F.expr("size(filter(marks, m -> m))"))
+    block = Window.partitionBy("doc_id", "record_id", "block_id")
+    order = block.orderBy("row_id")
+    rows = rows.withColumn("row_no", F.sum(F.expr("CASE WHEN role = 'value' THEN 1 ELSE 0 END")).over(order).cast("int"))
+    rows = rows.withColumn("ahead", F.sum("n_labels").over(order).cast("int") - F.col("n_labels"))
+    rows = rows.withColumn("next", F.lead(F.expr("named_struct('text', v[0].text, 'is_label', marks[0])")).over(order))
+    columns = max((len(n.fields) for n in template if n.type == "table"), default=0)
+    cell = "get(v, get(taken, {c}))"
+    for c in range(columns):
+        for side, of, f in (("low", "x0", F.min), ("high", "x1", F.max)):
+            rows = rows.withColumn(f"{side}{c}", f(F.expr(f"CASE WHEN role = 'value' THEN {cell.format(c=c)}.{of} END")).over(block))
+    bounds = f"array({', '.join(f'named_struct({chr(39)}low{chr(39)}, low{c}, {chr(39)}high{chr(39)}, high{c})' for c in range(columns))})" if columns else "array(named_struct('low', CAST(NULL AS DOUBLE), 'high', CAST(NULL AS DOUBLE)))"
+    inside = f"element_at(filter(free, b -> b.x0 >= get({bounds}, p).low AND b.x1 <= get({bounds}, p).high), -1)"
+    found = f"CASE WHEN get(taken, p) IS NOT NULL THEN get(v, get(taken, p)).text WHEN size(free) > 0 AND size(filter(free, b -> b.x0 >= get({bounds}, p).low AND b.x1 <= get({bounds}, p).high)) > 0 THEN {inside}.text END"
+    table = f"transform(k, (a, p) -> named_struct('col_no', p, 'key', a.text, 'value', {found}))"
+    after = "CASE WHEN i < size(v) - 1 THEN CASE WHEN NOT marks[i + 1] THEN v[i + 1].text END WHEN NOT next.is_label THEN next.text END"
+    numbered = "transform(v, (c, i) -> named_struct('i', i, 'is_label', marks[i]))"
+    pairs = f"transform(transform(filter({numbered}, z -> z.is_label), z -> z.i), (i, p) -> named_struct('col_no', ahead + p, 'key', v[i].text, 'value', {after}))"
+    rows = rows.where("role <> 'header'")
+    flat = rows.select("doc_id", "record_id", "block_id", "block_type", F.expr("CASE WHEN role = 'kv' THEN 1 ELSE row_no END").alias("row_no"), F.expr(f"inline(CASE WHEN role = 'kv' THEN {pairs} ELSE {table} END)"))
+    return flat
 
 
 def extract_cells(phrases: DataFrame, template: Template, metadata: list[str] = (), metadata_rows: list[list[str]] = ()) -> DataFrame:
-    """All cells of all documents in long form; one shuffle by page, one by document."""
+    """All cells of all documents in long form; phrases are dealt once, by document."""
     rows = label_rows(records(visual_rows(phrases), template), template, metadata, metadata_rows)
-    found = blocks(rows, template)
-    return table_cells(found).unionByName(kv_cells(found, template))
+    return block_cells(blocks(rows, template), template)
 
 
 def nest(cells: DataFrame, missing: str = MISSING) -> DataFrame:
