@@ -50,6 +50,8 @@ def words_of(text) -> object:
 
 #: A key is hot if it has more than this share of all rows.
 SHARE = 1024
+#: Rows of a hot key's part at least, so that what they meet is copied for so many rows once.
+LEAST_PART = 256
 
 
 def row_place() -> Column:
@@ -68,7 +70,8 @@ def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
 def hot_keys(lists: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """(key, parts) of the values of a column of numbers that have more than a SHARE-th of ``total`` rows: fewer than SHARE, and about as many parts in all."""
     hot = lists.groupBy(key).agg(F.sum(size).alias("_rows")).where(F.col("_rows") * SHARE > total)
-    return hot.select(key, F.ceil(F.col("_rows") * SHARE / max(total, 1)).cast("int").alias("parts"))
+    parts = F.least(F.ceil(F.col("_rows") * SHARE / max(total, 1)), F.ceil(F.col("_rows") / LEAST_PART))
+    return hot.select(key, parts.cast("int").alias("parts")).where("parts > 1")
 
 
 def meet(rows: DataFrame, lists: DataFrame, key: list[str], spread_by: str, hot: DataFrame) -> DataFrame:
