@@ -206,7 +206,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     however common its words are (below a threshold of 0.5, if it has a pair of
     the item's neighbouring words).  Null texts and ids on either side, and items
     of fewer than SEED words, match nothing; items that share an id are one row, with
-    the best score; so are repeated documents.  The benchmark is taken in blocks of
+    the best score; so are repeated documents.  A score of exactly the threshold counts; of
+    several copies of an item each counts as a passage.  Empty tables find nothing.  The benchmark is taken in blocks of
     about BLOCK_WORDS words, each sent to the executors; documents are never capped.
     """
     check_columns(docs, id_col, text_col)

@@ -355,13 +355,18 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     A text without spans, also null, stays as it is.
     """
-    rows, text = find_spans(docs, text_col), F.col(text_col)
-    tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(a: Column, x: Column) -> Column:
-        tail = F.concat(a["out"], F.substring(text, a["at"] + 1, x["s"] - a["at"]), F.get(tags, x["k"]))
-        return F.when(x["s"] >= a["at"], F.struct(tail.alias("out"), x["e"].alias("at"))).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], x["e"]).alias("at")))
-
-    clean = F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return rows.withColumn(text_col, F.when(F.size("_spans") > 0, clean).otherwise(text)).select(docs.columns)
+    names = [f"_{c}" for c in ("text", "runs", "parts")]
+    if clash := {*names, "_base", "_spans"} & set(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} are in use")
+    rows = find_spans(docs, text_col).withColumn("_text", F.col(text_col).cast("string"))
+    apart = "transform(_spans, x -> named_struct('s', x.s, 'e', x.e, 'k', x.k, 'p', 0))"
+    rows = rows.withColumn("_runs", F.expr(apart)).withColumn("_runs", F.expr(_APART.format(a="_runs")))
+    # runs of spans, each with its stretch of the text, so that no span is looked for from the text's start
+    parts = f"transform(sequence(0, (size(_runs) - 1) div {BLOCK}), b -> named_struct('f', coalesce(get(_runs, CAST(b * {BLOCK} - 1 AS INT)).e, 0), 'x', slice(_runs, CAST(b * {BLOCK} + 1 AS INT), {BLOCK})))"
+    cut = "transform(_parts, p -> named_struct('f', p.f, 'x', p.x, 't', substring(_text, p.f + 1, element_at(p.x, -1).e - p.f)))"
+    rows = rows.withColumn("_parts", F.expr(f"CASE WHEN size(_runs) > 0 THEN {parts} END")).withColumn("_parts", F.expr(cut))
+    tags = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
+    before = "coalesce(get(p.x, j - 1).e, p.f)"
+    joined = f"array_join(transform(_parts, p -> array_join(transform(p.x, (x, j) -> concat(substring(p.t, {before} - p.f + 1, x.s - {before}), get({tags}, x.k))), '')), '')"
+    clean = F.concat(F.expr(joined), F.expr("substring(_text, element_at(_runs, -1).e + 1, length(_text))"))
+    return rows.withColumn(text_col, F.when(F.size("_runs") > 0, clean).otherwise(F.col(text_col))).select(docs.columns)

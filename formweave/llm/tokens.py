@@ -154,7 +154,8 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The vocabulary is read on the driver and sent with the tasks (its size is the
     model's, not the data's).  Rows are counted alone, so repeated rows, null ids
-    and other columns change nothing; memory is a text and REMEMBERED words.
+    and other columns change nothing; an empty table gives no rows.  Of paths of one
+    score the earliest start of a piece counts.  Memory is a text and REMEMBERED units.
     """
     check_columns(docs, id_col, text_col)
     vocabulary = load_vocabulary(model)

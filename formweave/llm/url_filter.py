@@ -19,6 +19,7 @@ RULES: tuple[tuple[str, str], ...] = (
     ("block", "example.net/de/8"),
     ("block", "org/es/"),
 )
+#: The default vocabulary was written for this operator from what such hosts commonly call themselves; it is a parameter.
 #: One of these rejects a URL.
 STRICT = ("porn", "porno", "xxx", "adult", "sex", "casino", "viagra", "cialis", "escort", "warez", "hentai", "milf", "onlyfans", "darknet")
 #: Terms that count by weight; two different ones of total weight REJECT reject a URL.
@@ -91,8 +92,10 @@ def filter_urls(
 ) -> DataFrame:
     """(id_col, host, path, rule, verdict, strict_hits, soft_hits, soft_weight) for every row.
 
-    A null url has empty parts, no rule and is allowed.  Rows are judged alone:
-    repeated rows, null ids and other columns change nothing.
+    A null or empty url has empty parts, no rule and is allowed.  Of rules of one length
+    that fit, the first counts; a term that occurs twice is one different term.  Rows are
+    judged alone: repeated rows, null ids and other columns change nothing.  An empty
+    table gives no rows; a url of any length is read whole.
     """
     check_columns(pages, id_col, url_col)
     soft = SOFT if soft is None else soft
