@@ -7,10 +7,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from formweave.llm import html_samples, html_text, licenses, mixing, near_dedup, pii, quality_rules, site_quality as quality, url_filter
+from formweave.llm import common, html_samples, html_text, licenses, mixing, near_dedup, pii, quality_rules, site_quality as quality, url_filter
 from formweave.llm.boosting import boost, score
 from formweave.llm.components import connected_components
-from formweave.llm.decontaminate import align, contaminated
+from formweave.llm.decontaminate import align, contaminated, without_contaminated
 from formweave.llm.html_text import extract_html, main_text
 from formweave.llm.licenses import TEMPLATES, license_scan
 from formweave.llm.near_dedup import near_duplicates, required_overlap, without_copies
@@ -61,7 +61,10 @@ def brute_components(texts, percent=85):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-def test_near_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize("rows", [1, 256])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, rows):
+    """With hot keys dealt over as many parts as they have rows, and as in production."""
+    monkeypatch.setattr(common, "LEAST_PART", rows)
     r, texts = random.Random(1), {}
     for family in range(12):
         base = prose(family, r.choice([3, 5, 8, 30, 90, 200])).split()
@@ -604,3 +607,51 @@ def test_boosted_trees_separate():
     x = np.array([[i % 7, i % 3] for i in range(200)], float)
     y = ((x[:, 0] > 3) ^ (x[:, 1] > 1)).astype(float)
     assert ((score(boost(x, y), x) > 0) == (y > 0)).all()
+
+
+def test_empty_tables(spark):
+    none, labels = hard_rows(spark).where("false"), spark.createDataFrame([], "doc_id long, quality int")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    bench = spark.createDataFrame([(1, prose(5, 30))], "item_id long, text string")
+    for found in (
+        near_duplicates(none), without_copies(none), mixing.mix_sources(none), mixing.mixed_documents(none), quality_rules.quality_rules(none), extract_html(pages), url_filter.filter_urls(pages),
+        site_quality(none, labels), quality.without_rejected(none, labels), personal_data(none), redact(none), license_scan(none), count_tokens(none), contaminated(none, bench), without_contaminated(none, bench),
+    ):
+        assert found.count() == 0
+
+
+def test_very_long_texts(spark):
+    """Three megabytes in one text, as words, as one run, and as marks that match: every operator reads it whole."""
+    words = prose(1, 400_000)
+    item = prose(9001, 40, 5000)
+    texts = {0: words + " " + item + " a.b@c.org Released under the MIT License.", 1: words + " other", 2: "x" * 3_000_000, 3: "q@r.st 10.0.0.1 " * 20_000, 4: "1" * 1_000_000}
+    frame = docs(spark, texts)
+    got = {r.doc_id: r.component_id for r in near_duplicates(frame).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
+    assert {r.doc_id: r.size for r in mixing.mix_sources(frame).collect()}[0] == len(texts[0].split())
+    assert {r.doc_id: r.n_words for r in quality_rules.quality_rules(frame).collect()}[3] == 40_000
+    found = {r.doc_id: r for r in personal_data(frame).collect()}
+    assert (found[0].n_email, found[3].n_email, found[3].n_ip) == (1, 20_000, 20_000)
+    assert {r.doc_id: r.licenses for r in license_scan(frame).collect()}[0] == "MIT"
+    assert all(r.n_tokens > 100_000 for r in count_tokens(frame).collect())
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [(r.doc_id, r.score) for r in contaminated(frame, bench).collect()] == [(0, 1.0)]
+    labels = spark.createDataFrame([(0, 1), (2, 0)], "doc_id long, quality int")
+    assert site_quality(frame, labels).count() == 5
+    pages = spark.createDataFrame([(1, "http://x.org/" + "casino/" * 100_000, "<article><p>" + words + "</p></article>")], "page_id long, url string, html string")
+    assert extract_html(pages).first().text == words and url_filter.filter_urls(pages).first().strict_hits == 100_000
+
+
+def test_ties(spark):
+    """Thresholds are kept, equal rows count each, the first of equals wins."""
+    edge = " ".join(f"w{k}" for k in range(60))
+    lines = ". ".join([prose(1, 30)]) + ".\n" + prose(2, 20)  # 20 of 50 words in a failing line: as much as may go
+    got = quality_rules.quality_rules(docs(spark, [lines, edge + "."])).orderBy("doc_id").collect()
+    assert got[0].lost_words == 20 and got[0].kept and got[1].kept
+    a = " ".join(f"a{k}" for k in range(104))  # 100 shingles
+    b = " ".join([f"a{k}" for k in range(96)] + [f"b{k}" for k in range(8)])
+    want = brute_components({0: a, 1: b})
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(spark, [a, b])).collect()} == want
+    assert sorted(r.taken for r in mixing.mix_sources(docs(spark, ["one two"] * 4, {i: "s" for i in range(4)})).collect()) == [2, 2, 2, 2]
+    twice = "10.0.0.1 10.0.0.1"
+    assert personal_data(docs(spark, [twice, twice])).select("base_sha256").distinct().count() == 1
