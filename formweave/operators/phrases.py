@@ -76,11 +76,39 @@ def is_number(text: Column) -> Column:
     return F.coalesce(text.try_cast("double").isNotNull(), F.lit(False))
 
 
+# Headers that run together in one family of reports, and their parts.
+RUN_TOGETHER = {
+    "Date AssignedRacialCategory / Type": ("Date Assigned", "Racial", "Category / Type"),
+    "Disposition Completed Recorded On Camera": ("Disposition", "Completed", "Recorded On Camera"),
+    "F/PAction": ("F/P", "Action"),
+}
+COURTESY, ACTION, DATE = "Courtesy:", "Action", "Date"
+
+
 def split_colons(text: Column) -> Column:
-    """Array of the parts of a phrase with one colon, if it is no time; else the phrase alone."""
-    one = (F.regexp_count(text, F.lit(":")) == 1) & ~is_time(text) & ~text.contains("Courtesy:")
-    parts = F.filter(F.transform(F.split(text, ":"), lambda p: F.trim(p)), lambda p: p != "")
-    return F.when(one, parts).otherwise(F.array(text))
+    """Array of the trimmed parts of a phrase that are not empty.
+
+    A phrase with one colon that is no time and no courtesy line has two, one of the
+    headers that run together has the header's, and two colons around an action after
+    a date make four; any other phrase stays whole.
+    """
+    colons = F.regexp_count(text, F.lit(":"))
+    two = F.split(text, ":")
+    found = F.when((colons == 1) & ~is_time(text) & ~text.contains(COURTESY), two)
+    for header, parts in RUN_TOGETHER.items():
+        found = found.when((colons == 0) & text.contains(header), F.array(*map(F.lit, parts)))
+    action = F.split(text, f"{ACTION}:", 2)
+    four = F.concat(F.split(F.get(action, F.lit(0)), ":"), F.array(F.lit(ACTION), F.get(action, F.lit(1))))
+    found = found.when((colons == 2) & text.contains(f"{ACTION}:") & text.contains(DATE), four)
+    cleaned = F.filter(F.transform(found, lambda p: F.trim(p)), lambda p: p != "")
+    return F.when(found.isNotNull(), cleaned).otherwise(F.array(text))
+
+
+def legacy_phrases(words: DataFrame, gap: float = 3.0, pages: int | None = None) -> DataFrame:
+    """The older rule as a whole: lines' phrases, split at colons; parts keep their phrase's box, empty ones go."""
+    parts = line_phrases(words, gap, pages).select("doc_id", "phrase_idx", "page", F.posexplode(split_colons(F.col("text"))).alias("k", "text"), *BOX).where("text <> ''")
+    order = Window.partitionBy("doc_id").orderBy("phrase_idx", "k")
+    return parts.select("doc_id", (F.row_number().over(order) - 1).alias("n"), "page", "text", *BOX).withColumnRenamed("n", "phrase_idx")
 
 
 def phrase_boxes(phrases: DataFrame) -> DataFrame:

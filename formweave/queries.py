@@ -413,14 +413,28 @@ def joined_three(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type ELSE event_type || ' | ' || user_id END AS parts, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 2 END AS n FROM events"""
+    """SELECT event_id, CASE event_id % 7 WHEN 0 THEN event_type WHEN 1 THEN '9:30AM' WHEN 2 THEN 'Courtesy: ' || user_id WHEN 3 THEN 'Date | ' || user_id || ' | Action | ' || event_type
+  WHEN 4 THEN 'F/P | Action' WHEN 5 THEN 'a:b:' || user_id ELSE event_type || ' | ' || user_id END AS parts, CASE event_id % 7 WHEN 3 THEN 4 WHEN 4 THEN 2 WHEN 6 THEN 2 ELSE 1 END AS n FROM events"""
 )
 def colon_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.expr("CASE WHEN event_id % 3 = 0 THEN event_type ELSE concat(event_type, ': ', user_id) END")
+    """Phrases without a colon, times, courtesy lines, an action after a date, a header that runs together, two colons, one colon."""
+    text = F.expr("""CASE event_id % 7 WHEN 0 THEN event_type WHEN 1 THEN '9:30AM' WHEN 2 THEN concat('Courtesy: ', user_id) WHEN 3 THEN concat('Date: ', user_id, ' Action: ', event_type)
+        WHEN 4 THEN concat('F/PAction ', user_id) WHEN 5 THEN concat('a:b:', user_id) ELSE concat(event_type, ': ', user_id) END""")
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", P.split_colons(text).alias("p"))
     return rows.select("event_id", F.array_join("p", " | ").alias("parts"), F.size("p").alias("n"))
 
 
+@query(
+    _PHRASES
+    + """SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY phrase_idx, k) - 1)::INT AS phrase_idx, page, text FROM (
+  SELECT doc_id, phrase_idx, page, 0 AS k, text FROM f WHERE text NOT LIKE 'Sheet %' UNION ALL SELECT doc_id, phrase_idx, page, unnest([0, 1]), unnest(['Sheet', page::VARCHAR]) FROM f WHERE text LIKE 'Sheet %')"""
+)
+def legacy_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older rule as a whole, where page labels hold a colon."""
+    phrases = forms(spark, sf_dir).withColumn("text", F.regexp_replace("text", "^Sheet ", "Sheet: "))
+    return P.legacy_phrases(_words(phrases), gap=7.0).select("doc_id", "phrase_idx", "page", "text")
+
+
 @query(
     """WITH t AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN (event_id % 12 + 1) || ':' || lpad((event_id % 60)::VARCHAR, 2, '0') || 'AM' WHEN 1 THEN '13:30PM' WHEN 2 THEN value::VARCHAR ELSE props END AS text FROM events)
 SELECT event_id, coalesce(regexp_full_match(text, '(1[0-2]|0?[1-9]):[0-5][0-9](AM|PM|am|pm)'), false) AS is_time, try_cast(text AS DOUBLE) IS NOT NULL AS is_number FROM t"""

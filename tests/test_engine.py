@@ -170,6 +170,11 @@ def test_labelling_of_many_rows():
     assert all((t != "K" or labels[i + 1] == "V") and (t != "V" or labels[i - 1] == "K") for i, t in enumerate(labels))
 
 
+def test_scores_of_a_row():
+    judge = RuleOracle(frozenset({"Name", "City"}))
+    assert L.row_scores(["Name", "Ann", "City", "Rome"], judge) == {"K": 0.5, "V": 0.5, "KV": 1.0} and L.row_scores([], judge) == {"K": 0.0, "V": 0.0, "KV": 0.0}
+
+
 def test_ties_fall_to_the_label_that_rows_bear_out():
     box = lambda *texts: [(t, 100.0 * k, 100.0 * k + 50) for k, t in enumerate(texts)]
     rows = [box("A", "B", "x"), box("1", "2", "3"), box("A", "q", "B")]
@@ -344,6 +349,7 @@ def test_pdf_files_through_an_opener(spark, tmp_path):
     words = pdf_words(spark, str(tmp_path), opener=opener).orderBy("word_idx").collect()
     assert [(w.doc_id, w.word_idx, w.page, w.text, w.y1) for w in words] == [("two", 0, 1, "alpha", 15.0), ("two", 1, 1, "beta", 15.0), ("two", 2, 2, "gamma", 15.0)]
     assert [r.text for r in P.words_to_phrases(pdf_words(spark, str(tmp_path), 1, opener)).collect()] == ["alpha beta"]
+    assert [r.text for r in Engine().extract_folder(spark, str(tmp_path), opener=opener).orderBy("phrase_idx").collect()] == ["alpha beta", "gamma"]
     assert [bytes(r.content) for r in page_images(spark, str(tmp_path), 1, opener=opener).collect()] == [b"JPEG alpha beta"]
     try:
         import pdfplumber  # noqa: F401
