@@ -282,3 +282,13 @@ def extract_html(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     check_columns(pages, id_col, url_col, html_col)
     plain = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return plain.mapInArrow(_extractor(decision_tree()), "page long, url string, text string, n_chars long").withColumnRenamed("page", id_col)
+
+
+#: The texts of the given tables in DuckDB: their pages all have one article element, with plain tags and few references in it.
+ORACLE = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS inner_html FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(inner_html, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS bare FROM a),
+c AS (SELECT page_id, url, regexp_replace(replace(replace(replace(bare, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') AS decoded FROM b),
+d AS (SELECT page_id, url, trim(regexp_replace(decoded, '\s+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d
+"""

@@ -178,3 +178,22 @@ def _found(block: int, templates: list[dict]) -> str:
     retrieved = f"array_distinct(transform(filter(array({index}), e -> get(x.b, e.j).h = e.h), e -> e.t))"
     held = f"filter({retrieved}, t -> size(array_intersect(x.w, get(array({tables}), t))) >= get(array({need}), t))"
     return f"transform(flatten(transform({with_bands}, x -> {held})), t -> get(array({numbers}), t))"
+
+
+def oracle() -> str:
+    """The same licenses in DuckDB: every block's window against every template, by containment alone."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    rows = ", ".join(f"({i}, {quoted(name)}, {quoted(text)})" for i, (name, text) in enumerate(TEMPLATES))
+    runs = f"list_transform(range(1, len(w) - {WIDTH - 2}), lambda i: array_to_string(w[i:i + {WIDTH - 1}], ' '))"
+    return f"""
+WITH t(template, license, text) AS (VALUES {rows}),
+tw AS (SELECT template, license, regexp_extract_all(lower(text), '{TOKEN}') AS w FROM t),
+ts AS (SELECT DISTINCT template, license, unnest({runs}) AS shingle FROM tw),
+tn AS (SELECT template, count(*) AS m, ceil({CONTAINED} * count(*) - 1e-9) AS need, (2 ** greatest(0, ceil(log2((count(*) - 1) / {WINDOW - 1}))))::BIGINT AS block FROM ts GROUP BY ALL),
+dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{TOKEN}') AS w FROM documents),
+ds AS (SELECT doc_id, unnest({runs}) AS shingle, unnest(range(greatest(len(w) - {WIDTH - 1}, 0))) AS place FROM dw),
+hit AS (SELECT doc_id, ts.template, license, shingle, place // block AS at_block, need FROM ds JOIN ts USING (shingle) JOIN tn ON tn.template = ts.template),
+held AS (SELECT doc_id, template, license, at_block - k AS start FROM hit, (SELECT unnest(range({WINDOW})) AS k) WHERE at_block - k >= 0 GROUP BY ALL HAVING count(DISTINCT shingle) >= any_value(need)),
+found AS (SELECT DISTINCT doc_id, template, license FROM held)
+SELECT d.doc_id, coalesce(string_agg(DISTINCT license, ',' ORDER BY license), '') AS licenses, count(DISTINCT template) AS n_notices FROM documents d LEFT JOIN found f ON f.doc_id = d.doc_id GROUP BY d.doc_id
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, quality_rules, url_filter
+from . import html_text, licenses, mixing, near_dedup, quality_rules, url_filter
 from .common import documents
 from .decontaminate import contaminated
 from .html_text import extract_html
@@ -66,5 +66,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-#: The other operators train, iterate or align; tests hold them against plain Python.
-ORACLES: dict[str, str] = {"op2_mix_sources": mixing.ORACLE, "op3_quality_rules": quality_rules.ORACLE, "op5_url_filter": url_filter.ORACLE}
+#: The other operators train, draw on a tokenizer or align; tests hold them against plain Python.
+ORACLES: dict[str, str] = {
+    "op1_near_duplicates": near_dedup.ORACLE,
+    "op2_mix_sources": mixing.ORACLE,
+    "op3_quality_rules": quality_rules.ORACLE,
+    "op4_html_text": html_text.ORACLE,
+    "op5_url_filter": url_filter.ORACLE,
+    "op8_license_scan": licenses.oracle(),
+}
