@@ -32,6 +32,11 @@ def visual_rows(phrases: DataFrame, across_pages: bool = False) -> DataFrame:
     return rows.select("doc_id", (F.row_number().over(order) - 1).alias("row_id"), "page", "cells")
 
 
+def row_texts(rows: DataFrame, between: str = " | ") -> DataFrame:
+    """(doc_id, row_id, page, text): rows as lines of text, to look at."""
+    return rows.select("doc_id", "row_id", "page", F.array_join(F.transform("cells", lambda c: c["text"]), between).alias("text"))
+
+
 def without_last_row(rows: DataFrame) -> DataFrame:
     """A learning sample ends in a row that may be cut off; it goes."""
     last = F.max("row_id").over(Window.partitionBy("doc_id"))

@@ -578,6 +578,11 @@ def metadata_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata_by_recurrence(R.visual_rows(forms(spark, sf_dir)))
 
 
+@query(_PHRASES + "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY page, y0) - 1)::INT AS row_id, page, string_agg(text, ' | ' ORDER BY phrase_idx) AS text FROM f GROUP BY doc_id, page, y0")
+def row_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.row_texts(R.visual_rows(forms(spark, sf_dir)))
+
+
 @query(_COUNTS + "SELECT doc_id, (4 * records + n + pages - 1)::BIGINT AS n_rows FROM p")
 def rows_without_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.without_last_row(R.visual_rows(forms(spark, sf_dir))).groupBy("doc_id").agg(F.count("*").alias("n_rows"))

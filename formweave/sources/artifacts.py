@@ -41,8 +41,9 @@ def write_phrases(phrases: DataFrame, path: str) -> None:
 def merge_documents(phrases: DataFrame, name: str = "merged") -> DataFrame:
     """All documents as one, in order of doc_id: pages and phrases go on from document to document.
 
-    What lies ahead of a document is counted over one row for each document; the phrases
-    only look it up.  Operators that work by document take the result as a single one.
+    For the files of one run, or the sample of a learner; extraction needs no merging.
+    What lies ahead of a document is counted in one task over one row for each document;
+    the phrases only look it up.  Operators that work by document take the result as a single one.
     """
     sizes = phrases.groupBy("doc_id").agg(F.max("page").alias("pages"), (F.max("phrase_idx") + 1).alias("n"))
     ahead = Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
