@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import html_text, licenses, mixing, near_dedup, quality_rules, url_filter
+from . import html_text, licenses, mixing, near_dedup, quality_rules, url_filter, vector_codes
+from .bpe import encode_texts
 from .common import documents
 from .decontaminate import contaminated
 from .html_text import extract_html
@@ -58,11 +59,21 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_bpe_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode_texts(documents(spark, sf_dir))
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_near_duplicates, op2_mix_sources, op3_quality_rules, op4_html_text, op5_url_filter,
         op6_quality_classifier, op7_personal_data, op8_license_scan, op9_token_counts, op10_decontaminate,
+        op12_vector_codes, op13_bpe_codes,
     )
 }
 
@@ -74,4 +85,5 @@ ORACLES: dict[str, str] = {
     "op4_html_text": html_text.ORACLE,
     "op5_url_filter": url_filter.ORACLE,
     "op8_license_scan": licenses.oracle(),
+    "op12_vector_codes": vector_codes.oracle(),
 }
