@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import html_text, licenses, mixing, near_dedup, quality_rules, url_filter, vector_codes
+from . import conversations, html_text, licenses, mixing, near_dedup, quality_rules, url_filter, vector_codes
 from .bpe import encode_texts
 from .common import documents
 from .decontaminate import contaminated
@@ -59,6 +59,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversations.damaged_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversations.conversation_report(conversations.repaired_conversations(damaged, times_col="times"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -73,7 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_near_duplicates, op2_mix_sources, op3_quality_rules, op4_html_text, op5_url_filter,
         op6_quality_classifier, op7_personal_data, op8_license_scan, op9_token_counts, op10_decontaminate,
-        op12_vector_codes, op13_bpe_codes,
+        op11_conversation_repair, op12_vector_codes, op13_bpe_codes,
     )
 }
 
@@ -85,5 +90,6 @@ ORACLES: dict[str, str] = {
     "op4_html_text": html_text.ORACLE,
     "op5_url_filter": url_filter.ORACLE,
     "op8_license_scan": licenses.oracle(),
+    "op11_conversation_repair": conversations.ORACLE,
     "op12_vector_codes": vector_codes.oracle(),
 }
