@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Words of every contract: runs of characters other than ASCII white space.
@@ -55,16 +56,47 @@ LEAST_PART = 256
 
 
 def row_place() -> Column:
-    """The place of a row in its table: the same whenever a stored table is read again in a session."""
+    """A number for each row of one read; another read may number the rows otherwise (see ``placed``)."""
     return F.monotonically_increasing_id()
 
 
-def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose places are in the column ``row`` of gone."""
-    place = "_row"
-    while place in docs.columns:
-        place += "_"
-    return docs.withColumn(place, row_place()).join(gone.select(F.col("row").alias(place)), place, "left_anti").select(docs.columns)
+#: Files of a table at most whose numbers are sent to all tasks.
+FILES = 10_000
+
+
+def fresh(frame: DataFrame, name: str) -> str:
+    """The name, longer where a column has it already."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def placed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column of places, and its name: every read gives a row the same place, however the cluster deals the files.
+
+    A row of a Parquet table is known by its file, numbered by name, and its index in the file.
+    Any other frame, and a table of more than FILES files, is written once in the shared folder with the places.
+    """
+    name, path, index = (fresh(docs, c) for c in ("_row", "_row_path", "_row_index"))
+    files: list[str] = []
+    try:
+        origin = docs.metadataColumn("_metadata")
+        rows = docs.select("*", origin["file_path"].alias(path), origin["row_index"].alias(index))
+        files = sorted(r[0] for r in rows.select(path).distinct().limit(FILES + 1).collect())
+    except AnalysisException:  # not the rows of a Parquet table
+        pass
+    if not 0 < len(files) <= FILES:
+        return cut(docs.withColumn(name, row_place())), name
+    numbers = docs.sparkSession.createDataFrame(list(zip(files, range(len(files)), strict=True)), f"{path} string, {name} long")
+    rows = rows.join(F.broadcast(numbers), path, "left")
+    number = F.coalesce(name, F.raise_error(F.concat(F.lit("a file came after the others were listed: "), path)))
+    return rows.withColumn(name, F.shiftleft(number, 40) + F.col(index)).drop(path, index), name
+
+
+def without_rows(rows: DataFrame, place: str, gone: DataFrame) -> DataFrame:
+    """rows, a table with places, without those whose places are in the column ``row`` of gone; the places go too."""
+    return rows.join(gone.select(F.col("row").alias(place)), place, "left_anti").drop(place)
 
 
 def hot_keys(lists: DataFrame, key: str, size: str, total: int) -> DataFrame:

@@ -15,10 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WORD, check_columns, row_place, without_rows
+from .common import WORD, check_columns, placed, without_rows
 from .textarrays import chunks, mix, text_bytes, word_hashes, word_spans
 
-#: Least words of an item.
+#: Least words of an item that is aligned; a shorter one is looked for as it stands.
 SEED = 4
 #: Words of benchmark items that one pass over the documents takes; more items take more passes.
 BLOCK_WORDS = 1_000_000
@@ -41,6 +41,15 @@ def _pairs(words: np.ndarray, apart: int) -> np.ndarray:
     return mix(total ^ words[apart:])
 
 
+def _run_hashes(words: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of all runs of ``length`` words."""
+    n = max(len(words) - length + 1, 0)
+    total = np.zeros(n, np.uint64)
+    for j in range(length):
+        total = mix(total ^ words[j : j + n]) + np.uint64(j)
+    return total
+
+
 def _least_score(m: int, threshold: float) -> int:
     return int(np.ceil(MATCH * m * threshold - 1e-9))
 
@@ -87,6 +96,13 @@ class Items:
         self.seeds, first = np.unique(np.array([s for s, _, _ in found], np.uint64), return_index=True)
         self.first = np.append(first, len(found)).astype(np.int64)
         self.item, self.place = (np.array([x[c] for x in found], np.int64) for c in (1, 2))
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for length in range(1, SEED):
+            few = np.flatnonzero(self.size == length)
+            if len(few):
+                runs = np.array([_run_hashes(self.words[k], length)[0] for k in few], np.uint64)
+                order = np.argsort(runs)
+                self.short[length] = runs[order], few[order]
         self.bits = np.zeros(1 << _BITS, bool)
         self.bits[(self.seeds & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = True
 
@@ -105,8 +121,21 @@ class Items:
         position, item, place = (np.concatenate(c) for c in zip(*out, strict=True))
         return position, item, place
 
+    def runs(self, words: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(last word's position, item) of every place where the words of an item of fewer than SEED words stand."""
+        for length, (hashes, items) in self.short.items():
+            found = _run_hashes(words, length)
+            low, high = (np.searchsorted(hashes, found, side) for side in ("left", "right"))
+            at = np.flatnonzero(high > low)
+            at = at[doc[at] == doc[at + length - 1]]
+            n = (high - low)[at]
+            each = np.arange(n.sum()) + np.repeat(low[at] - np.cumsum(n) + n, n)
+            yield np.repeat(at + length - 1, n), items[each]
+
     def passages(self, words: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray, int, int]]:
         """(document, item, first word, words, own part's start and end) wherever enough pairs lie within an alignment's reach; overlapping own parts of an item are one."""
+        if not len(self.seeds):
+            return
         position, item, place = self.hits(words, doc)
         group = doc[position] * len(self.ids) + item
         order = np.lexsort((position, group))
@@ -167,9 +196,14 @@ def _finder(shared):
         for batch in batches:
             ids, raw, offsets = batch.column(0), *text_bytes(batch.column(1))
             out: list[list] = [[], [], [], []]
-            for first, _, part, at in chunks(raw, offsets) if len(items.seeds) else ():
+            for first, _, part, at in chunks(raw, offsets) if len(items.seeds) or items.short else ():
                 starts, ends, doc = word_spans(part, at)
                 words = word_hashes(part, starts, ends)
+                for position, found in items.runs(words, doc):
+                    out[0] += ids.take(pa.array(doc[position] + first)).to_pylist()
+                    out[1] += [items.ids[k] for k in found.tolist()]
+                    out[2] += (position - np.searchsorted(doc, doc[position])).tolist()
+                    out[3] += [1.0] * len(found)
                 for d, k, start, passage, a, b in items.passages(words, doc):
                     item = items.words[k]
                     # a match takes a word of the item that the passage has
@@ -204,8 +238,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Words are lower-cased (A-Z).  The score is the best local alignment of a passage,
     1 for a verbatim copy.  Every passage that can score the threshold is aligned,
     however common its words are (below a threshold of 0.5, if it has a pair of
-    the item's neighbouring words).  Null texts and ids on either side, and items
-    of fewer than SEED words, match nothing; items that share an id are one row, with
+    the item's neighbouring words).  An item of fewer than SEED words is found wherever its
+    words stand side by side, with the score 1.  Null texts and ids on either side, and items
+    without words, match nothing; items that share an id are one row, with
     the best score; so are repeated documents.  A score of exactly the threshold counts; of
     several copies of an item each counts as a passage.  Empty tables find nothing.  The benchmark is taken in blocks of
     about BLOCK_WORDS words, each sent to the executors; documents are never capped.
@@ -233,11 +268,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows that hold a copy of an item, by their places: null and repeated ids are rows like others.
+    """docs without the rows that hold a copy of an item, by their places (``common.placed``): null and repeated ids are rows like others.
 
-    docs is read once more for the result and must give its rows in the same order, as stored tables do.
+    Null texts hold nothing and stay; so does an empty table.  A score of exactly the threshold counts.
     """
     check_columns(docs, text_col)
-    rows = docs.select(row_place().alias("row"), F.col(text_col).alias("text"))
+    table, place = placed(docs)
+    rows = table.select(F.col(place).alias("row"), F.col(text_col).alias("text"))
     tests = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text"))
-    return without_rows(docs, contaminated(rows, tests, "row", "text", "item", threshold).select("row").distinct())
+    return without_rows(table, place, contaminated(rows, tests, "row", "text", "item", threshold).select("row").distinct())

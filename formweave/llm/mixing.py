@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WORD, check_columns, cut, row_place
+from .common import WORD, check_columns, cut, fresh, placed, row_place
 
 #: Salts of one size class of a source; ids are scattered over them by a multiplication modulo a prime.
 SALTS, PRIME, FACTOR = 61, 1_000_003, 618_041
@@ -48,10 +48,10 @@ def _class(size: Column) -> Column:
     return size - size % step
 
 
-def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], most: int, seed: int) -> DataFrame:
+def _mixed(docs: DataFrame, place: Column, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], most: int, seed: int) -> DataFrame:
     """(row, id, size, source_size, target, copies, source) for every row of docs; row is its place."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = cut(docs.select(row_place().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), size.alias("size")))
+    rows = cut(docs.select(place.alias("row"), F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), size.alias("size")))
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(totals, tuple(weights), most)
     salt = F.coalesce(F.pmod(F.pmod("id", F.lit(PRIME)) * FACTOR, F.lit(PRIME)) % SALTS, F.lit(SALTS))
@@ -90,25 +90,24 @@ def mix_sources(
     class, salt) and never sorts a source in one task.  Ties go by id, then place.
     """
     check_columns(docs, id_col, text_col, source_col)
-    rows = _mixed(docs, id_col, text_col, source_col, weights, most, seed)
+    rows = _mixed(docs, row_place(), id_col, text_col, source_col, weights, most, seed)
     return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source")
 
 
 def mixed_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 20240301
 ) -> DataFrame:
-    """The rows of docs, each as many times as the mix takes it, by its place: null and repeated ids are rows like others.
+    """The rows of docs, each as many times as the mix takes it, by its place (``common.placed``): null and repeated ids are rows like others.
 
-    docs is read twice and must give its rows in the same order, as stored tables do.
+    Null and blank texts have size 0 and stay as often as a crossing says; of documents of one source
+    and size the one with the lesser id stands first.  An empty table stays empty.
     """
     check_columns(docs, id_col, text_col, source_col)
-    place = "_row"
-    while place in docs.columns:
-        place += "_"
-    taken = _mixed(docs, id_col, text_col, source_col, weights, most, seed).where("copies > 0")
-    taken = taken.select(F.col("row").alias(place), F.sequence(F.lit(1).cast("long"), "copies").alias("_copies"))
-    joined = docs.withColumn(place, row_place()).join(taken, place)
-    return joined.withColumn("_copies", F.explode("_copies")).select(docs.columns)
+    table, place = placed(docs)
+    copies = fresh(table, "_copies")
+    taken = _mixed(table, F.col(place), id_col, text_col, source_col, weights, most, seed).where("copies > 0")
+    taken = taken.select(F.col("row").alias(place), F.sequence(F.lit(1).cast("long"), "copies").alias(copies))
+    return table.join(taken, place).withColumn(copies, F.explode(copies)).drop(place, copies)
 
 
 #: The same mix in DuckDB.

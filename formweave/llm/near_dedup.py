@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import check_columns, cut, hot_keys, meet, row_place, without_rows
+from .common import check_columns, cut, hot_keys, meet, placed, without_rows
 from .components import connected_components
 from .textarrays import mix, shingle_sets
 
@@ -177,14 +177,14 @@ def _around_hubs(around: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, k: int) -> DataFrame:
-    """(row, id, n, component_id, first) for every row of docs, numbered as by ``common.numbered``.
+def near_groups(docs: DataFrame, place: str, id_col: str, text_col: str, width: int, percent: int, k: int) -> DataFrame:
+    """(row, id, n, component_id, first) for every row of docs, a table with places.
 
     component_id is the least id that a row's links reach, first the row that stands for
     the group: the one with the least id, nulls last.
     """
     need = required_overlap(k, k, percent)
-    plain = docs.select(row_place().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    plain = docs.select(F.col(place).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     all_rows = cut(plain.mapInArrow(_sketcher(width, k), "row long, id long, n long, s1 long, s2 long, sketch array<long>"))
     rows = all_rows.where("n > 0")
     key, many = ["n", "s1", "s2"], rows.count()
@@ -200,8 +200,6 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent
     wanted = members.select("row").distinct()
     texts = plain.select("row", "text").join(wanted, "row", "left_semi")
     sets = cut(texts.mapInArrow(_setter(width), "row long, set array<long>"))
-    if sets.count() != wanted.count():
-        raise RuntimeError("docs gave other rows when read again; pass a stored table")
     pairs = members.where("row <> hub").select(F.col("row").alias("a"), F.col("hub").alias("b")).distinct()
     links = cut(_verified(pairs, sets, sketch.join(wanted, "row", "left_semi"), k, percent, need))
 
@@ -236,11 +234,11 @@ def near_duplicates(
     share a component.  Rows that share an id are judged by their own texts.  A row
     whose id is null links others like any row; it is not kept, and its component is
     null if no linked row has an id.  An empty table gives no rows.  Other columns of
-    docs are ignored.  docs is read twice and must give its rows in the same order,
-    as stored tables do; else the operator fails.
+    docs are ignored.  docs is read twice; rows are known by their places (``common.placed``).
     """
     check_columns(docs, id_col, text_col)
-    found = near_groups(docs, id_col, text_col, width, percent, k)
+    table, place = placed(docs)
+    found = near_groups(table, place, id_col, text_col, width, percent, k)
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
@@ -251,8 +249,9 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     and null texts are no copies of each other.
     """
     check_columns(docs, id_col, text_col)
-    gone = near_groups(docs, id_col, text_col, width, percent, k).where("row <> first")
-    return without_rows(docs, gone)
+    table, place = placed(docs)
+    gone = near_groups(table, place, id_col, text_col, width, percent, k).where("row <> first")
+    return without_rows(table, place, gone)
 
 
 #: The same components in DuckDB: all pairs that share a shingle, and the closure of the links among them.

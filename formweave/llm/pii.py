@@ -353,12 +353,13 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span of the text replaced by its kind in brackets; overlapping spans take the first one's.
 
-    A text without spans, also null, stays as it is.
+    A text without spans, also null, stays as it is, and so do all other columns, whatever
+    their names; repeated rows are redacted alike; an empty table stays empty.
     """
-    names = [f"_{c}" for c in ("text", "runs", "parts")]
-    if clash := {*names, "_base", "_spans"} & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} are in use")
-    rows = find_spans(docs, text_col).withColumn("_text", F.col(text_col).cast("string"))
+    # the other columns travel in one, so that none of their names matters
+    others = F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text_col))
+    bare = docs.select(others.alias("_others"), F.col(text_col).alias("_whole"))
+    rows = find_spans(bare, "_whole").withColumn("_text", F.col("_whole").cast("string"))
     apart = "transform(_spans, x -> named_struct('s', x.s, 'e', x.e, 'k', x.k, 'p', 0))"
     rows = rows.withColumn("_runs", F.expr(apart)).withColumn("_runs", F.expr(_APART.format(a="_runs")))
     # runs of spans, each with its stretch of the text, so that no span is looked for from the text's start
@@ -369,4 +370,5 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     before = "coalesce(get(p.x, j - 1).e, p.f)"
     joined = f"array_join(transform(_parts, p -> array_join(transform(p.x, (x, j) -> concat(substring(p.t, {before} - p.f + 1, x.s - {before}), get({tags}, x.k))), '')), '')"
     clean = F.concat(F.expr(joined), F.expr("substring(_text, element_at(_runs, -1).e + 1, length(_text))"))
-    return rows.withColumn(text_col, F.when(F.size("_runs") > 0, clean).otherwise(F.col(text_col))).select(docs.columns)
+    clean = F.when(F.size("_runs") > 0, clean).otherwise(F.col("_whole"))
+    return rows.select(*((clean if c == text_col else F.col("_others").getField(f"c{k}")).alias(c) for k, c in enumerate(docs.columns)))

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .boosting import boost, tree_column
-from .common import check_columns, cut, hot_keys, meet, row_place, without_rows
+from .common import check_columns, cut, hot_keys, meet, placed, row_place, without_rows
 from .textarrays import chunks, distinct_sets, shingle_hashes, text_bytes, word_hashes, word_spans
 
 #: Labelled rows that train the classifier at most: those with the least hashes of their ids.
@@ -63,10 +63,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], *[pa.array(np.ascontiguousarray(x[:, j])) for j in range(len(FEATURES))]], names=["row", "id", "host", "path", *FEATURES])
 
 
-def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host_col: str, path_col: str, label_col: str) -> DataFrame:
+def _judged(docs: DataFrame, place: Column, labels: DataFrame, id_col: str, text_col: str, host_col: str, path_col: str, label_col: str) -> DataFrame:
     """(row, id, text_score, site_prior, score, kept) for every row of docs; row is its place."""
     plain = docs.select(
-        row_place().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text")
+        place.alias("row"), F.col(id_col).cast("long").alias("id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text")
     )
     kinds = ", ".join(f"{n} double" for n in FEATURES)
     rows = cut(plain.mapInArrow(_features, f"row long, id long, host string, path string, {kinds}"))
@@ -141,16 +141,17 @@ def site_quality(
     """
     check_columns(docs, id_col, text_col, host_col, path_col)
     check_columns(labels, id_col, label_col)
-    return _judged(docs, labels, id_col, text_col, host_col, path_col, label_col).drop("row").withColumnRenamed("id", id_col)
+    return _judged(docs, row_place(), labels, id_col, text_col, host_col, path_col, label_col).drop("row").withColumnRenamed("id", id_col)
 
 
 def without_rejected(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality"
 ) -> DataFrame:
-    """docs without the rows that ``site_quality`` rejects, by their places: rows that share an id go or stay alone.
+    """docs without the rows that ``site_quality`` rejects, by their places (``common.placed``): rows that share an id, or have none, go or stay alone.
 
-    docs is read twice and must give its rows in the same order, as stored tables do.
+    Null and empty texts are judged by their zero features; a score of exactly one half stays; an empty table stays empty.
     """
     check_columns(docs, id_col, text_col, host_col, path_col)
     check_columns(labels, id_col, label_col)
-    return without_rows(docs, _judged(docs, labels, id_col, text_col, host_col, path_col, label_col).where("not kept"))
+    table, place = placed(docs)
+    return without_rows(table, place, _judged(table, F.col(place), labels, id_col, text_col, host_col, path_col, label_col).where("not kept"))
