@@ -45,5 +45,9 @@ def aligned(k: str, v: str) -> str:
     value, left = f"{v}[s.j]", f"{v}[s.j - 1]"
     first = walk(1, 0, f"{x_overlap(value, key)} AND {x_overlap(value, before)}")
     second = walk(0, 1, f"{x_overlap(key, left)} AND {x_overlap(key, value)}")
-    outside = f"size(filter({v}, b -> b.x0 > array_max(transform({k}, a -> a.x1)) OR b.x1 < array_min(transform({k}, a -> a.x0)))) * 2 > size({v})"
-    return f"(NOT {first} AND NOT {second} AND NOT ({outside}))"
+    return f"(NOT {first} AND NOT {second} AND NOT ({outside(k, v)} * 2 > size({v})))"
+
+
+def outside(k: str, v: str) -> str:
+    """How many values lie wholly beside the range of the keys."""
+    return f"size(filter({v}, b -> b.x0 > array_max(transform({k}, a -> a.x1)) OR b.x1 < array_min(transform({k}, a -> a.x0))))"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from formweave.functions.sql import aligned, center_distance, strings, x_overlap
+from formweave.functions.sql import aligned, center_distance, outside, strings, x_overlap
 from formweave.operators.rows import known_row, metadata_share, visual_rows
 from formweave.plans.template import LEAF, Template
 
@@ -56,9 +56,10 @@ def _one_to_one(k: str, v: str) -> str:
 def blocks(rows: DataFrame, template: Template) -> DataFrame:
     """Rows of blocks (doc_id, record_id, block_id, block_type, row_id, role, node, cells, header, plain).
 
-    A header row opens a table.  A value row goes to the lowest header above it that it is
-    aligned with and that is the nearest one or, of a node with an inner table, that node's
-    nearest one; else it is dropped.  Pair rows without a header row between them are one kv block.
+    A header row opens a table.  A value row goes to one of the headers above it that it is
+    aligned with: the nearest one or, of each node with an inner table, that node's nearest one.
+    Of these it takes the one that fewest of its values lie beside, and of equals the lowest, so that
+    a row of an outer table is no row of a narrower one within it.  Without one it is dropped.  Pair rows without a header row between them are one kv block.
     ``plain`` rows have one value under each header.
     """
     own = Window.partitionBy("doc_id", "record_id").orderBy("row_id")
@@ -66,15 +67,17 @@ def blocks(rows: DataFrame, template: Template) -> DataFrame:
     header = F.expr("CASE WHEN label = 'K' THEN named_struct('row', row_id, 'number', _k, 'cells', cells, 'node', node) END")
     rows = rows.withColumn("_k", F.sum(F.expr("CASE WHEN label = 'K' THEN 1 ELSE 0 END")).over(own)).withColumn("_header", header)
     rows = rows.withColumn("_near", F.last("_header", ignorenulls=True).over(own))
-    above = "filter(array(_near), h -> h IS NOT NULL)"
+    chosen = f"CASE WHEN {aligned('_near.cells', 'cells')} THEN _near END"
     if outer:
         # of each node with an inner table the last header so far, the nearest first
         for k in outer:
             rows = rows.withColumn(f"_outer{k}", F.last(F.expr(f"CASE WHEN node = {k} THEN _header END"), ignorenulls=True).over(own))
         held = ", ".join(f"_outer{k}" for k in outer)
         above = f"concat(filter(array(_near), h -> h IS NOT NULL), filter(reverse(array_sort(filter(array({held}), h -> h IS NOT NULL))), h -> h.row < _near.row))"
+        ranked = f"transform(filter({above}, h -> {aligned('h.cells', 'cells')}), (h, i) -> named_struct('beside', {outside('h.cells', 'cells')}, 'i', i, 'h', h))"
+        chosen = f"array_min({ranked}).h"
     rows = rows.withColumn("plain", F.expr(f"label = 'V' AND _near IS NOT NULL AND {_one_to_one('_near.cells', 'cells')}"))
-    fits = F.expr(f"CASE WHEN label = 'K' THEN _header WHEN plain THEN _near WHEN label = 'V' THEN get(filter({above}, h -> {aligned('h.cells', 'cells')}), 0) END")
+    fits = F.expr(f"CASE WHEN label = 'K' THEN _header WHEN plain THEN _near WHEN label = 'V' THEN {chosen} END")
     rows = rows.withColumn("header", fits).where("label = 'KV' OR header IS NOT NULL")
     place = F.expr("CASE WHEN label = 'KV' THEN 2 * _k ELSE 2 * header.number - 1 END")
     rows = rows.withColumn("_place", place)

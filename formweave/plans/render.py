@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 KV_FIELDS = ("Order Key", "Customer", "Status", "Order Date", "Priority", "Total Price")
 TABLE_FIELDS = ("Line", "Part", "Supplier", "Quantity", "Price", "Discount", "Ship Date")
+#: Columns of the inner tables of deep forms.
+DEEP_FIELDS = (("Mode", "Flag", "Tax", "Batch"), ("Grade", "Lot"))
 #: Orders of one document, records of one page, rows kept for a record.
 SPAN, PER_PAGE, RECORD_ROWS = 50, 2, 24
 
@@ -28,8 +30,10 @@ def forms(spark: SparkSession, sf_dir: str, variant: str = "") -> DataFrame:
     """phrases (doc_id, phrase_idx, page, text, x0, y0, x1, y1); cells without a discount are left out.
 
     Variants: ``shifted`` moves every third line's quantity beside its header but within
-    its column; ``nested`` puts a sub-table after each first line.
+    its column; ``nested`` puts a sub-table after each first line, ``deep`` one of four columns that
+    has a table of two of them between its two rows.
     """
+    inserted, height = {"nested": 2, "deep": 5}.get(variant, 0), 30 if variant == "deep" else RECORD_ROWS
     orders, lines = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
     money = lambda c: F.col(c).cast("decimal(18,2)").cast("string")
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
@@ -37,7 +41,7 @@ def forms(spark: SparkSession, sf_dir: str, variant: str = "") -> DataFrame:
     own = Window.partitionBy("d").orderBy("o_orderkey")
     orders = orders.join(lines.select(F.col("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey", "left_semi")
     orders = orders.withColumn("d", F.floor(F.col("o_orderkey") / SPAN)).withColumn("rk", F.row_number().over(own) - 1)
-    orders = orders.withColumn("page", (F.floor(F.col("rk") / PER_PAGE) + 1).cast("int")).withColumn("top", (F.col("rk") % PER_PAGE) * RECORD_ROWS)
+    orders = orders.withColumn("page", (F.floor(F.col("rk") / PER_PAGE) + 1).cast("int")).withColumn("top", (F.col("rk") % PER_PAGE) * height)
 
     def cells(row, values: list) -> F.Column:
         return F.array(*[F.struct(row.cast("int").alias("r"), F.lit(c).alias("c"), v.alias("text")) for c, v in enumerate(values)])
@@ -52,14 +56,25 @@ def forms(spark: SparkSession, sf_dir: str, variant: str = "") -> DataFrame:
     )
     heads = orders.select("d", "page", F.explode(head).alias("x"))
     discount = F.when(F.col("l_discount") != 0, money("l_discount"))
-    step = 2 if variant == "nested" else 1
-    at = F.col("top") + 4 + (F.col("n") if step == 1 else F.when(F.col("n") == 1, 1).otherwise(F.col("n") + 2))
+    at = F.col("top") + 4 + F.col("n") + F.when(F.col("n") == 1, 0).otherwise(inserted)
     body = cells(at, [F.col("n").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), money("l_quantity"), money("l_extendedprice"), discount, day("l_shipdate")])
     joined = lines.join(orders.select("o_orderkey", "d", "page", "top"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = joined.select("d", "page", F.explode(body).alias("x"), "n")
-    if variant == "nested":
-        inner = F.concat(cells(F.col("top") + 6, [F.lit(None).cast("string"), F.lit("Mode"), F.lit("Flag")]), cells(F.col("top") + 7, [F.lit(None).cast("string"), F.concat(F.lit("mode "), F.col("l_linestatus")), F.concat(F.lit("flag "), F.col("l_returnflag"))]))
-        rows = rows.drop("n").union(joined.where("n = 1").select("d", "page", F.explode(inner).alias("x"))).withColumn("n", F.lit(1))
+    if inserted:
+        none = F.lit(None).cast("string")
+        said = lambda word, c="": F.concat(F.lit(f"{word} "), F.col(c)) if c else F.lit(word)
+        if variant == "nested":
+            inner = [[said("Mode"), said("Flag")], [said("mode", "l_linestatus"), said("flag", "l_returnflag")]]
+        else:
+            inner = [
+                [said(f) for f in DEEP_FIELDS[0]],
+                [said("mode", "l_suppkey"), said("flag", "l_partkey"), said("tax", "l_suppkey"), said("batch", "l_partkey")],
+                [none, *(said(f) for f in DEEP_FIELDS[1])],
+                [none, said("grade", "l_suppkey"), said("lot", "l_partkey")],
+                [said("again", "l_suppkey"), said("more", "l_partkey"), said("rate", "l_suppkey"), said("last", "l_partkey")],
+            ]
+        parts = F.concat(*(cells(F.col("top") + 6 + k, [none, *line]) for k, line in enumerate(inner)))
+        rows = rows.drop("n").union(joined.where("n = 1").select("d", "page", F.explode(parts).alias("x"))).withColumn("n", F.lit(1))
     shift = F.when((F.col("x.c") == 3) & (F.col("n") % 3 == 0), F.lit(50.0)).otherwise(0.0) if variant == "shifted" else F.lit(0.0)
     flat = heads.select("d", "page", "x.*", F.lit(0.0).alias("dx")).union(rows.select("d", "page", "x.*", shift.alias("dx"))).where("text is not null")
     x0, y0 = 40.0 + 90 * F.col("c") + F.col("dx"), 40.0 + 14 * F.col("r")

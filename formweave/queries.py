@@ -12,7 +12,7 @@ from formweave.functions.tokens import token_counter
 from formweave.operators import edit as U, extract as X, fields as K, learn as L, phrases as P, rows as R
 from formweave.operators.oracle import RuleOracle, answered, call_cost, metadata_strings as metadata_by_recurrence, total_cost as cost_in_sum
 from formweave.plans import template as T
-from formweave.plans.render import DUCK_SOURCE, KV_FIELDS, PER_PAGE, TABLE_FIELDS, forms
+from formweave.plans.render import DEEP_FIELDS, DUCK_SOURCE, KV_FIELDS, PER_PAGE, TABLE_FIELDS, forms
 from formweave.plans.template import LEAF, Node
 from formweave.sources import artifacts as S
 
@@ -488,25 +488,73 @@ def column_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.groupBy("doc_id", "record_id", "col_no").agg(F.max(F.least(F.lit(80.0), 6.0 * F.length("value"))).alias("width"))
 
 
+def _engine() -> Engine:
+    return Engine(metadata=METADATA, metadata_rows=[["Order Report", f"Sheet {p}"] for p in range(1, 26)])
+
+
 def _learned(spark: SparkSession, sf_dir: str, variant: str = "") -> DataFrame:
     """Nodes of the template that is learned from the first documents, fields and all."""
-    phrases = forms(spark, sf_dir, variant)
-    engine = Engine(metadata=METADATA, metadata_rows=[["Order Report", f"Sheet {p}"] for p in range(1, 26)])
+    phrases, engine = forms(spark, sf_dir, variant), _engine()
     found = engine.predict_template(phrases, engine.predict_field(phrases))
     return spark.createDataFrame([(n.node_id, n.type, "|".join(n.fields), n.child) for n in found], "node_id int, type string, fields string, child int")
 
 
-@query(f"SELECT * FROM (VALUES (0, 'kv', '{'|'.join(KV_FIELDS)}', -1), (1, 'table', '{'|'.join(TABLE_FIELDS)}', -1)) t(node_id, type, fields, child)")
+def _extracted(spark: SparkSession, sf_dir: str, variant: str) -> DataFrame:
+    """All cells by the template that is learned from the same forms."""
+    phrases, engine = forms(spark, sf_dir, variant), _engine()
+    cells = engine.extract_data(phrases, engine.predict_template(phrases, engine.predict_field(phrases)))
+    return cells.select("doc_id", "record_id", "block_id", "block_type", "row_no", "col_no", "key", F.coalesce("value", F.lit(X.MISSING)).alias("value"))
+
+
+def _nodes(*nodes: tuple) -> str:
+    values = ", ".join(f"({k}, '{kind}', '{'|'.join(fields)}', {child})" for k, (kind, fields, child) in enumerate(nodes))
+    return f"SELECT * FROM (VALUES {values}) t(node_id, type, fields, child)"
+
+
+@query(_nodes(("kv", KV_FIELDS, -1), ("table", TABLE_FIELDS, -1)))
 def template_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _learned(spark, sf_dir)
 
 
-@query(f"SELECT * FROM (VALUES (0, 'kv', '{'|'.join(KV_FIELDS)}', -1), (1, 'table', '{'|'.join(TABLE_FIELDS)}', -1), (2, 'table', 'Mode|Flag', -1)) t(node_id, type, fields, child)")
+@query(_nodes(("kv", KV_FIELDS, -1), ("table", TABLE_FIELDS, 2), ("table", ("Mode", "Flag"), -1)))
 def template_learned_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sure header heads no row beyond the next sure one: the inner table is a node, but not known as a child."""
+    """The inner table leaves the outer one open and is its child."""
     return _learned(spark, sf_dir, "nested")
 
 
+@query(_nodes(("kv", KV_FIELDS, -1), ("table", TABLE_FIELDS, 3), ("table", DEEP_FIELDS[0], 3), ("table", DEEP_FIELDS[1], -1)))
+def template_learned_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table within a table within a table."""
+    return _learned(spark, sf_dir, "deep")
+
+
+@query(_NESTED)
+def form_extract_learned_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nothing is given but the phrases: fields, the nested template and all cells."""
+    return _extracted(spark, sf_dir, "nested")
+
+
+def _deep_rows(block: int, row: str, keys: tuple, values: list[str], where: str = "n = 1") -> str:
+    pairs = ", ".join(f"{{'c': {c}, 'k': '{k}', 'v': {v}}}" for c, (k, v) in enumerate(zip(keys, values, strict=True)))
+    return f"SELECT 'forms_' || d AS doc_id, rk AS record_id, {block} AS block_id, 'table' AS block_type, {row} AS row_no, unnest([{pairs}]) AS x FROM o JOIN l ON l_orderkey = o_orderkey WHERE {where}"
+
+
+_DEEP = source(
+    f""", h AS (SELECT doc_id, record_id, unnest([{', '.join(f"{{'c': {c}, 'k': '{k}', 'v': v{c}}}" for c, k in enumerate(KV_FIELDS))}]) AS x FROM heads),
+  t AS (SELECT doc_id, record_id, row_no, unnest([{', '.join(f"{{'c': {c}, 'k': '{k}', 'v': v{c}}}" for c, k in enumerate(TABLE_FIELDS))}]) AS x FROM lines),
+  u AS (SELECT doc_id, record_id, 0 AS block_id, 'kv' AS block_type, 1 AS row_no, x FROM h UNION ALL SELECT doc_id, record_id, 1, 'table', row_no, x FROM t
+    UNION ALL {_deep_rows(2, '1', DEEP_FIELDS[0], ["'mode ' || l_suppkey", "'flag ' || l_partkey", "'tax ' || l_suppkey", "'batch ' || l_partkey"])}
+    UNION ALL {_deep_rows(2, '2', DEEP_FIELDS[0], ["'again ' || l_suppkey", "'more ' || l_partkey", "'rate ' || l_suppkey", "'last ' || l_partkey"])}
+    UNION ALL {_deep_rows(3, '1', DEEP_FIELDS[1], ["'grade ' || l_suppkey", "'lot ' || l_partkey"])})
+SELECT doc_id, record_id::INT AS record_id, block_id, block_type, row_no::INT AS row_no, x.c::INT AS col_no, x.k AS key, coalesce(x.v, 'missing') AS value FROM u"""
+)
+
+
+@query(_DEEP)
+def form_extract_learned_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(spark, sf_dir, "deep")
+
+
 @query(_PHRASES + "SELECT DISTINCT doc_id, unnest(['Order Key', 'Customer', 'status']) AS field FROM f")
 def edit_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Add 'status' (a phrase in another case) and 'Nowhere' (no phrase), remove 'Quantity'."""

@@ -147,27 +147,16 @@ def test_labelling_is_optimal():
 
 
 def test_labelling_of_many_rows():
-    """Two thousand rows that one header holds together: proven where few rows tie, stated where the search gives up."""
+    """Two thousand rows that one header holds together, and sixty that tie in a chain."""
     import time
-    import warnings
 
-    def rows(n, tie):
-        p = [{"K": 0.9, "V": 0.001, "KV": 0.05, "M": 0.001}]
-        for k in range(1, n):
-            p.append({"K": 0.001, "V": 0.6, "KV": 0.6 if tie else 0.3, "M": 0.001} if k % 7 else {"K": 0.5, "V": 0.4, "KV": 0.1, "M": 0.001})
-        return p
-
-    n = 2000
-    pairs = {(0, j) for j in range(1, n)}
+    p = [{"K": 0.9, "V": 0.001, "KV": 0.05, "M": 0.001}]
+    p += [{"K": 0.001, "V": 0.6, "KV": 0.3, "M": 0.001} if k % 7 else {"K": 0.5, "V": 0.4, "KV": 0.1, "M": 0.001} for k in range(1, 2000)]
     start = time.time()
-    with warnings.catch_warnings():
-        warnings.simplefilter("error")
-        labels = L.best_labels(rows(n, False), pairs)
+    labels = L.best_labels(p, {(0, j) for j in range(1, 2000)})
     assert labels[0] == "K" and set(labels[1:]) == {"V"} and time.time() - start < 20
-    hard = [{"K": 0.5, "V": 0.499, "KV": 0.498, "M": 0.001} for _ in range(60)]
-    with pytest.warns(UserWarning, match="not proven"):
-        labels = L.best_labels(hard, {(i, i + 1) for i in range(59)}, steps=2000)
-    assert all((t != "K" or labels[i + 1] == "V") and (t != "V" or labels[i - 1] == "K") for i, t in enumerate(labels))
+    labels = L.best_labels([{"K": 0.5, "V": 0.499, "KV": 0.498, "M": 0.001} for _ in range(60)], {(i, i + 1) for i in range(59)})
+    assert labels == ["K", "V"] * 30
 
 
 def test_scores_of_a_row():
