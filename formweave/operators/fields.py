@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from formweave.functions.lineage import materialised
 from formweave.functions.sql import strings
 from formweave.operators.oracle import Oracle, RuleOracle
 from formweave.operators.replies import clean_reply, reply_flags
@@ -154,14 +155,38 @@ def _cluster():
 
 
 def regrouped(clusters: DataFrame, accepted: DataFrame, k: int = 1) -> DataFrame:
-    """(doc_id, cluster_id): further clusters with vectors as long as an accepted one's, one of which partly matches it."""
-    members = clusters.withColumn("n", F.size("vec"))
-    good = members.join(accepted.select("doc_id", "cluster_id"), ["doc_id", "cluster_id"], "left_semi")
+    """(doc_id, cluster_id): further clusters with vectors as long as an accepted one's, one of which partly matches it.
+
+    What counts of a vector is its course from its first position.  A course that follows another
+    has a place within k of each of the other's, so it has one near the place of the other that
+    fewest courses have: lists of courses by place are the only join, and each accepted course
+    looks into its shortest list alone.
+    """
+    course = F.expr("transform(vec, x -> x - vec[0])")
+    members = clusters.select("doc_id", "cluster_id", course.alias("course"))
+    good = members.join(accepted.select("doc_id", "cluster_id"), ["doc_id", "cluster_id"], "left_semi").select("doc_id", F.col("course").alias("ours")).distinct()
     rest = members.join(accepted.select("doc_id", "cluster_id"), ["doc_id", "cluster_id"], "left_anti")
-    # what counts of a vector is its course from its first position, which the members of a cluster mostly share
-    a = good.select("doc_id", F.expr("transform(vec, x -> x - vec[0])").alias("gv"), F.col("n").alias("gn")).distinct()
-    pairs = rest.join(a, "doc_id").where((F.col("n") >= F.col("gn")) & partial_match(F.col("gv"), F.col("vec"), k))
-    return pairs.select("doc_id", "cluster_id").distinct()
+    found = following_courses(good, rest.select("doc_id", "course").distinct(), k)
+    return rest.join(found.select("doc_id", "course").distinct(), ["doc_id", "course"], "left_semi").select("doc_id", "cluster_id").distinct()
+
+
+def course_candidates(good: DataFrame, rest: DataFrame, k: int = 1) -> DataFrame:
+    """(doc_id, ours, course): what the shortest list of each course of good (doc_id, ours) holds of rest (doc_id, course), at least as long."""
+    width = max(k, 1)
+    place = lambda c: F.floor(c / width).cast("int")
+    lists = rest.select("doc_id", "course", F.explode(F.array_distinct(F.transform("course", place))).alias("at"))
+    sizes = lists.groupBy("doc_id", "at").agg(F.count("*").alias("n"))
+    near = lambda c: F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: place(c) + d)).alias("at")
+    asked = good.select("doc_id", "ours", F.explode(F.array_distinct("ours")).alias("x")).select("doc_id", "ours", "x", near(F.col("x")))
+    lengths = asked.join(sizes, ["doc_id", "at"], "left").groupBy("doc_id", "ours", "x").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    shortest = lengths.groupBy("doc_id", "ours").agg(F.min(F.struct("n", "x")).alias("m")).where("m.n > 0")
+    met = shortest.select("doc_id", "ours", near(F.col("m.x"))).join(lists, ["doc_id", "at"]).where(F.size("course") >= F.size("ours"))
+    return met.select("doc_id", "ours", "course").distinct()
+
+
+def following_courses(good: DataFrame, rest: DataFrame, k: int = 1) -> DataFrame:
+    """(doc_id, ours, course): courses of rest that follow one of good, as ``partial_match`` says."""
+    return course_candidates(good, rest, k).where(partial_match(F.col("ours"), F.col("course"), k))
 
 
 def predict_field(phrases: DataFrame, oracle: Oracle, vision: list[str] = (), pages: int = 5, k: int = 1) -> DataFrame:
@@ -171,7 +196,7 @@ def predict_field(phrases: DataFrame, oracle: Oracle, vision: list[str] = (), pa
     """
     sample = phrases.where(F.col("page") <= pages)
     vectors = position_vectors(sample)
-    clusters = leader_clusters(vectors, k)
+    clusters = materialised(leader_clusters(vectors, k))
     if not isinstance(oracle, RuleOracle):  # a model is asked about the sample's clusters once
         big = clusters.withColumn("_size", F.count("*").over(_cluster())).where("_size > 2")
         oracle.prepare([r["phrase"] for r in big.select("phrase").distinct().collect()])

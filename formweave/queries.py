@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from formweave.api import Engine
 from formweave.functions import present as V
+from formweave.functions.lineage import materialised
+from formweave.functions.scans import prefix_sums, with_next
 from formweave.functions.tokens import token_counter
 from formweave.operators import edit as U, extract as X, fields as K, learn as L, phrases as P, rows as R
 from formweave.operators.oracle import RuleOracle, answered, call_cost, metadata_strings as metadata_by_recurrence, total_cost as cost_in_sum
@@ -237,7 +239,7 @@ def predicted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_ACCEPTED + "SELECT doc_id, cluster_id, list_sort(list(phrase))::VARCHAR AS phrases FROM k JOIN a USING (doc_id, cluster_id) GROUP BY ALL")
 def accepted_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword clusters with all their phrases."""
-    clusters = K.leader_clusters(K.position_vectors(forms(spark, sf_dir).where("page <= 5")))
+    clusters = materialised(K.leader_clusters(K.position_vectors(forms(spark, sf_dir).where("page <= 5"))))
     kept = clusters.join(K.accepted_clusters(clusters, RuleOracle()).select("doc_id", "cluster_id"), ["doc_id", "cluster_id"])
     return kept.groupBy("doc_id", "cluster_id").agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("phrase")), ", "), F.lit("]")).alias("phrases"))
 
@@ -253,7 +255,7 @@ _ALONG = "list_reduce(list_prepend(0, {b}), lambda i, x: CASE WHEN i < len({a})
 SELECT DISTINCT doc_id, cluster_id FROM j WHERE len(b) >= len(a) AND {_ALONG.format(a="a", b="b")} = len(a)"""
 )
 def reclustered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clusters = K.leader_clusters(K.position_vectors(forms(spark, sf_dir).where("page <= 5")))
+    clusters = materialised(K.leader_clusters(K.position_vectors(forms(spark, sf_dir).where("page <= 5"))))
     return K.regrouped(clusters, K.accepted_clusters(clusters, RuleOracle()))
 
 
@@ -265,7 +267,7 @@ def partial_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the part numbers of an order follow in those of the next, in place and moved to their start."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", (F.col("l_partkey") % 40).cast("int").alias("part"))
     orders = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("part")).alias("a"))
-    near = orders.withColumn("b", F.lead("a").over(Window.orderBy("l_orderkey"))).where("b IS NOT NULL")
+    near = with_next(orders, ["l_orderkey"], {"b": "a"}).where("b IS NOT NULL")
     return near.select("l_orderkey", K.is_subsequence(F.col("a"), F.col("b")).alias("follows"), K.partial_match(F.col("a"), F.col("b")).alias("matches"))
 
 
@@ -695,6 +697,14 @@ def merged_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.merge_documents(forms(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("phrases"), F.count_distinct("page").cast("int").alias("pages"), F.max("phrase_idx").alias("last"))
 
 
+@query("SELECT o_orderkey, (row_number() OVER w - 1)::BIGINT AS place, coalesce(sum((o_totalprice * 100)::BIGINT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS cents, coalesce(lead(o_orderkey) OVER w, -1)::BIGINT AS following FROM orders WINDOW w AS (ORDER BY o_orderdate, o_orderkey)")
+def ordered_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers, running sums and next rows of all orders by date, no task of which sees all."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate", F.round(F.col("o_totalprice") * 100).cast("long").alias("c"), F.lit(1).cast("long").alias("one"))
+    summed = prefix_sums(orders, ["o_orderdate", "o_orderkey"], {"place": "one", "cents": "c"})
+    return with_next(summed, ["o_orderdate", "o_orderkey"], {"following": "o_orderkey"}).select("o_orderkey", "place", "cents", F.coalesce("following", F.lit(-1)).alias("following"))
+
+
 @query(_PHRASES + "SELECT doc_id, phrase_idx, row_number() OVER (PARTITION BY doc_id, text ORDER BY phrase_idx)::INT AS nth FROM f")
 def phrase_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.occurrences(forms(spark, sf_dir)).select("doc_id", "phrase_idx", "nth")

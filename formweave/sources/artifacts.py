@@ -6,6 +6,7 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from formweave.functions.scans import prefix_sums
 from formweave.plans.template import Template, from_json, to_json
 
 #: Scripts, styles and comments, in a form that Java and RE2 read alike.
@@ -42,12 +43,12 @@ def merge_documents(phrases: DataFrame, name: str = "merged") -> DataFrame:
     """All documents as one, in order of doc_id: pages and phrases go on from document to document.
 
     For the files of one run, or the sample of a learner; extraction needs no merging.
-    What lies ahead of a document is counted in one task over one row for each document;
-    the phrases only look it up.  Operators that work by document take the result as a single one.
+    What lies ahead of a document are running sums over one row for each document, which no
+    single task sees all of; the phrases look them up.  Operators that work by document take the
+    result as a single one.
     """
     sizes = phrases.groupBy("doc_id").agg(F.max("page").alias("pages"), (F.max("phrase_idx") + 1).alias("n"))
-    ahead = Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("doc_id", F.coalesce(F.sum("pages").over(ahead), F.lit(0)).alias("p"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("k"))
+    sizes = prefix_sums(sizes, ["doc_id"], {"p": "pages", "k": "n"}).select("doc_id", "p", "k")
     joined = phrases.join(sizes, "doc_id")
     return joined.select(F.lit(name).alias("doc_id"), (F.col("phrase_idx") + F.col("k")).cast("int").alias("phrase_idx"), (F.col("page") + F.col("p")).cast("int").alias("page"), "text", "x0", "y0", "x1", "y1")
 
