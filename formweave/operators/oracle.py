@@ -26,6 +26,8 @@ class Oracle(Protocol):
 
     def prepare(self, phrases: list[str]) -> None: ...
 
+    def expect(self, prompts: list[str]) -> None: ...
+
     def is_keyword(self, text: Column) -> Column: ...
 
     def is_metadata_row(self, texts: list[str]) -> bool: ...
@@ -45,6 +47,9 @@ class RuleOracle:
     def prepare(self, phrases: list[str]) -> None:
         """Nothing to ask."""
 
+    def expect(self, prompts: list[str]) -> None:
+        """Nothing to ask."""
+
     def is_keyword(self, text: Column) -> Column:
         return text.rlike(r"^[A-Za-z][A-Za-z .#/()&'-]{1,40}$")
 
@@ -78,6 +83,9 @@ class ModelOracle:
         if self.model not in PRICES:
             raise ValueError(f"no model {self.model!r}; known are {sorted(PRICES)}")
 
+    def expect(self, prompts: list[str]) -> None:
+        """What will be asked soon; here each question is asked when it comes."""
+
     def reply(self, prompt: str, image: str | None = None) -> str:
         key = (prompt, image)
         if key not in self.known:
@@ -155,6 +163,10 @@ def pair_prompt(key: str, value: str) -> str:
     return f"Is the second phrase a value of the field that the first one names? Answer yes or no. Phrases: {key}|{value}"
 
 
+def header_prompt(rows: list[str]) -> str:
+    return "These are the rows of a document's first page. Which of their texts are its header or footer? Answer with them separated by |. Rows: " + "|".join(rows)
+
+
 def _yes(reply: str) -> bool:
     return "yes" in reply.lower()
 

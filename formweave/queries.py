@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from formweave.api import Engine
 from formweave.functions import present as V
-from formweave.functions.lineage import materialised
+from formweave.functions.lineage import materialised, shared_folder
 from formweave.functions.scans import prefix_sums, with_next
 from formweave.functions.tokens import token_counter
-from formweave.operators import edit as U, extract as X, fields as K, learn as L, phrases as P, rows as R
+from formweave.operators import edit as U, extract as X, fields as K, learn as L, phrases as P, questions as Q, rows as R
 from formweave.operators.oracle import RuleOracle, answered, call_cost, metadata_strings as metadata_by_recurrence, total_cost as cost_in_sum
 from formweave.plans import template as T
 from formweave.plans.render import DEEP_FIELDS, DUCK_SOURCE, KV_FIELDS, PER_PAGE, TABLE_FIELDS, forms
@@ -692,6 +694,103 @@ def answered_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answered(prompts, answers).select("conv_id", "turn", "reply")
 
 
+_KEYWORD = "^[A-Za-z][A-Za-z .#/()&'-]{1,40}$"
+
+
+def recorded_model(prompt: str, image: str | None = None) -> str:
+    """What a model said of the forms: keywords in its own spelling, yes or no, the first row's texts as the header."""
+    asked, _, listed = prompt.rpartition(": ")
+    texts = listed.split("|")
+    if asked.startswith("Which of these phrases"):
+        return " | ".join(t.upper() for t in texts if re.match(_KEYWORD, t)) or "NO"
+    if asked.startswith("Is this row"):
+        return "Yes." if texts[0] == "Order Report" else "No."
+    if asked.startswith("Is the second phrase"):
+        fields = {*KV_FIELDS, *TABLE_FIELDS}
+        return "yes" if texts[0] in fields and texts[1] not in fields else "no"
+    return f"{texts[0]} | {texts[1]} |"
+
+
+def _asked(questions: DataFrame, memo: str | None = None) -> DataFrame:
+    return Q.answer_all(questions, memo or f"{shared_folder(questions.sparkSession)}/memo-{uuid.uuid4().hex}", recorded_model)
+
+
+def _keyword_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.keyword_questions(K.frequent(K.position_vectors(forms(spark, sf_dir))), ["doc_id"], ["first_pos", "phrase"])
+
+
+@query(_PHRASES + "SELECT doc_id, text AS phrase FROM f WHERE regexp_matches(text, '^[A-Za-z][A-Za-z .#/()&''-]{1,40}$') GROUP BY ALL HAVING count(*) > 3")
+def asked_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases that a model calls keywords, a hundred to a question."""
+    return _asked(_keyword_questions(spark, sf_dir)).select("doc_id", F.explode(Q.named(F.col("reply"), F.col("phrases"))).alias("phrase"))
+
+
+@query(_PHRASES + "SELECT doc_id, upper(text) AS spelled FROM f WHERE regexp_matches(text, '^[A-Za-z][A-Za-z .#/()&''-]{1,40}$') GROUP BY doc_id, text HAVING count(*) > 3")
+def asked_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as the replies spell them."""
+    return _asked(_keyword_questions(spark, sf_dir)).select("doc_id", F.explode(Q.cleaned(F.col("reply"), F.col("phrases"))).alias("spelled"))
+
+
+@query(_PHRASES + "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY page, y0) - 1)::INT AS row_id, min_by(text, phrase_idx) = 'Order Report' AS is_metadata FROM f GROUP BY doc_id, page, y0")
+def asked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a model calls a row a header or a footer, for every row."""
+    return _asked(Q.row_questions(R.visual_rows(forms(spark, sf_dir)))).select("doc_id", "row_id", Q.says_yes(F.col("reply")).alias("is_metadata"))
+
+
+_SIDES = "transform(filter(sequence(0, size(cells) - 1), i -> i % 2 = 0 AND i < size(cells) - 1), i -> named_struct('key', cells[i].text, 'value', cells[i + 1].text))"
+
+
+def _pair_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.pair_questions(R.visual_rows(forms(spark, sf_dir)).select("doc_id", "row_id", F.expr(f"inline({_SIDES})")))
+
+
+@query(
+    _PHRASES
+    + f""", r AS (SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY page, y0) - 1 AS row_id, text, lead(text) OVER w AS after, row_number() OVER w AS k FROM f WINDOW w AS (PARTITION BY doc_id, page, y0 ORDER BY phrase_idx))
+SELECT doc_id, row_id::INT AS row_id, avg((text IN ({_FIELDS}) AND after NOT IN ({_FIELDS}))::INT) AS share FROM r WHERE k % 2 = 1 AND after IS NOT NULL GROUP BY ALL"""
+)
+def asked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of a row's neighbours that a model calls a field and its value, for every row."""
+    judged = _asked(_pair_questions(spark, sf_dir)).withColumn("yes", Q.says_yes(F.col("reply")).cast("int"))
+    return judged.groupBy("doc_id", "row_id").agg(F.avg("yes").alias("share"))
+
+
+@query(_PHRASES + "SELECT DISTINCT doc_id, unnest(['Order Report', 'Sheet 1']) AS text FROM f")
+def asked_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The header's strings of every document's first page, as a model lists them."""
+    replies = _asked(Q.header_questions(R.visual_rows(forms(spark, sf_dir))))
+    return replies.select("doc_id", F.explode(F.array_distinct(F.filter(Q.reply_parts(F.col("reply")), lambda x: x != ""))).alias("text"))
+
+
+@query(
+    _PHRASES
+    + f""", r AS (SELECT doc_id, page, y0, string_agg(text, '|' ORDER BY phrase_idx) AS t FROM f GROUP BY ALL),
+p AS (SELECT text, lead(text) OVER w AS after, row_number() OVER w AS k FROM f WINDOW w AS (PARTITION BY doc_id, page, y0 ORDER BY phrase_idx))
+SELECT 'pairs' AS kind, count(DISTINCT text || '|' || after) AS prompts, count(DISTINCT text || '|' || after) AS calls, 0::BIGINT AS again FROM p WHERE k % 2 = 1 AND after IS NOT NULL
+UNION ALL SELECT 'rows', count(DISTINCT t), count(DISTINCT t), 0 FROM r"""
+)
+def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different prompts, calls that were made for all rows, and calls of a second run over the same memo."""
+    found = []
+    for kind, questions in (("rows", Q.row_questions(R.visual_rows(forms(spark, sf_dir)))), ("pairs", _pair_questions(spark, sf_dir))):
+        memo = f"{shared_folder(spark)}/memo-{uuid.uuid4().hex}"
+        calls = []
+        for _ in range(2):
+            _asked(questions, memo)
+            calls.append(spark.read.schema(Q.MEMO).parquet(memo).agg(F.coalesce(F.sum("attempts"), F.lit(0))).first()[0])
+        found.append(questions.agg(F.lit(kind).alias("kind"), F.count_distinct("prompt").alias("prompts"), F.lit(calls[0]).cast("long").alias("calls"), F.lit(calls[1] - calls[0]).cast("long").alias("again")))
+    return found[0].union(found[1])
+
+
+@query(_nodes(("kv", KV_FIELDS, -1), ("table", TABLE_FIELDS, -1)))
+def template_learned_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A template that is learned with a model's replies, asked as tables."""
+    oracle = Q.TableOracle(recorded_model, memo=f"{shared_folder(spark)}/memo-{uuid.uuid4().hex}", spark=spark)
+    phrases, engine = forms(spark, sf_dir), Engine(oracle, METADATA, [["Order Report", f"Sheet {p}"] for p in range(1, 26)])
+    found = engine.predict_template(phrases, engine.predict_field(phrases))
+    return spark.createDataFrame([(n.node_id, n.type, "|".join(n.fields), n.child) for n in found], "node_id int, type string, fields string, child int")
+
+
 @query(_PHRASES + "SELECT 'merged' AS doc_id, count(*) AS phrases, (SELECT sum(p) FROM (SELECT max(page) AS p FROM f GROUP BY doc_id))::INT AS pages, (count(*) - 1)::INT AS last FROM f")
 def merged_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.merge_documents(forms(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("phrases"), F.count_distinct("page").cast("int").alias("pages"), F.max("phrase_idx").alias("last"))
