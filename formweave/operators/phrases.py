@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 BOX = ("x0", "y0", "x1", "y1")
+#: Vertical strips of a page at most.
+STRIPS = 64
 #: A word over this size is a header.
 HEADER_SIZE = 12
 
@@ -135,28 +141,67 @@ def vertical_gap(a: str, b: str) -> str:
     return f"CASE WHEN {a}.y1 < {b}.y0 THEN {b}.y0 - {a}.y1 WHEN {b}.y1 < {a}.y0 THEN {a}.y0 - {b}.y1 ELSE 0 END"
 
 
-def _overlapping(x0: np.ndarray, x1: np.ndarray, left: float, right: float, ratio: float = 0.2) -> np.ndarray:
-    """As ``overlaps``, of many boxes of a page with one."""
-    shared = np.minimum(x1, right) - np.maximum(x0, left)
-    return (shared > 0) & (shared >= ratio * np.minimum(x1 - x0, right - left))
+def _overlap(a0: float, a1: float, b0: float, b1: float, ratio: float = 0.2) -> bool:
+    """As ``overlaps``, of two boxes of a page."""
+    shared = min(a1, b1) - max(a0, b0)
+    return shared > 0 and shared >= ratio * min(a1 - a0, b1 - b0)
+
+
+class Strips:
+    """The boxes of a page by vertical strips of about equally many edges: later boxes over a stretch of x, in order.
+
+    A box is listed in the strips that it touches, so a walk meets neighbours in x only.
+    """
+
+    def __init__(self, x0: np.ndarray, x1: np.ndarray):
+        edges = np.sort(np.concatenate([x0, x1]))
+        count = min(STRIPS, max(1, len(x0) // 4))
+        self.marks = np.unique(edges[np.arange(1, count) * len(edges) // count]) if len(edges) else edges
+        self.lists: list[list[int]] = [[] for _ in range(len(self.marks) + 1)]
+        low, high = np.searchsorted(self.marks, x0, "right"), np.searchsorted(self.marks, x1, "right")
+        for i, (a, b) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
+            for s in range(a, b + 1):
+                self.lists[s].append(i)
+
+    def after(self, at: int, left: float, right: float) -> Iterator[int]:
+        """Places of at and later, ascending, whose boxes share a strip with the stretch."""
+        a, b = (int(np.searchsorted(self.marks, x, "right")) for x in (left, right))
+        heap = []
+        for s in range(a, b + 1):
+            k = bisect_left(self.lists[s], at)
+            if k < len(self.lists[s]):
+                heap.append((self.lists[s][k], s, k))
+        heapq.heapify(heap)
+        last = -1
+        while heap:
+            i, s, k = heap[0]
+            if k + 1 < len(self.lists[s]):
+                heapq.heapreplace(heap, (self.lists[s][k + 1], s, k + 1))
+            else:
+                heapq.heappop(heap)
+            if i != last:
+                last = i
+                yield i
+
+
+def first_later(x0: np.ndarray, x1: np.ndarray) -> list[int]:
+    """For each box of a page the first later one that it overlaps, or -1."""
+    strips, left, right = Strips(x0, x1), x0.tolist(), x1.tolist()
+    return [next((j for j in strips.after(i + 1, left[i], right[i]) if _overlap(left[i], right[i], left[j], right[j])), -1) for i in range(len(left))]
 
 
 def next_overlaps(phrases: DataFrame) -> DataFrame:
     """(doc_id, page, a, b, a_text, b_text, distance): each phrase with the first later one of its page that x-overlaps it.
 
-    A page is one group; a phrase is compared with the page's later ones at once.
+    A page is one group; a phrase meets the later ones of its strips until one overlaps.
     """
 
     def pairs(page: pd.DataFrame) -> pd.DataFrame:
         page = page.sort_values("phrase_idx")
         x0, x1, y0, y1 = (page[c].to_numpy() for c in ("x0", "x1", "y0", "y1"))
-        first, second = [], []
-        for i in range(len(page) - 1):
-            hit = _overlapping(x0[i + 1 :], x1[i + 1 :], x0[i], x1[i])
-            k = int(hit.argmax())
-            if hit[k]:
-                first.append(i)
-                second.append(i + 1 + k)
+        second = np.array(first_later(x0, x1), np.int64)
+        first = np.flatnonzero(second >= 0)
+        second = second[first]
         a, b = page.iloc[first], page.iloc[second]
         gap = np.maximum(0.0, np.maximum(y0[second] - y1[first], y0[first] - y1[second]))
         named = {"a": a["phrase_idx"].to_numpy(), "b": b["phrase_idx"].to_numpy(), "a_text": a["text"].to_numpy(), "b_text": b["text"].to_numpy(), "distance": gap}
@@ -172,14 +217,28 @@ def ground_table(phrases: DataFrame, ground: DataFrame | list[str]) -> DataFrame
     return phrases.sparkSession.createDataFrame([(g,) for g in sorted(set(ground))], "text string")
 
 
+def _tokens(column: str) -> Column:
+    return F.filter(F.split(column, r"\s+"), lambda x: x != "")
+
+
+def _seams(ground: DataFrame) -> DataFrame:
+    """(t, u, padded): neighbouring tokens of each ground phrase, with its tokens between single spaces: as many rows as tokens."""
+    rows = ground.select(_tokens("text").alias("w")).where("size(w) > 1").select("w", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("padded"))
+    near = F.expr("array_distinct(zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> named_struct('t', a, 'u', b)))")
+    return rows.select("padded", F.inline(near)).select("t", "u", "padded")
+
+
 def labelled_pairs(phrases: DataFrame, ground: DataFrame | list[str]) -> DataFrame:
     """next_overlaps with is_positive: the joined text is part of a ground phrase and the first one none itself."""
     ground = ground_table(phrases, ground)
-    pairs = next_overlaps(phrases).withColumn("_both", F.concat_ws(" ", "a_text", "b_text"))
-    part = subphrases(ground).select(F.col("sub").alias("_both"), F.lit(True).alias("_known"))
+    pairs = next_overlaps(phrases)
+    texts = pairs.select("a_text", "b_text").distinct()
+    seam = texts.select("a_text", "b_text", F.element_at(_tokens("a_text"), -1).alias("t"), F.get(_tokens("b_text"), F.lit(0)).alias("u"))
+    met = seam.join(_seams(ground), ["t", "u"]).where(F.col("padded").contains(F.concat(F.lit(" "), "a_text", F.lit(" "), "b_text", F.lit(" "))))
+    part = met.select("a_text", "b_text", F.lit(True).alias("_known")).distinct()
     whole = ground.select(F.col("text").alias("a_text"), F.lit(True).alias("_whole"))
-    joined = pairs.join(part, "_both", "left").join(whole, "a_text", "left")
-    return joined.select(*[c for c in pairs.columns if c != "_both"], (F.col("_whole").isNull() & F.col("_known").isNotNull()).alias("is_positive"))
+    joined = pairs.join(part, ["a_text", "b_text"], "left").join(whole, "a_text", "left")
+    return joined.select(*pairs.columns, (F.col("_whole").isNull() & F.col("_known").isNotNull()).alias("is_positive"))
 
 
 def distance_threshold(pairs: DataFrame) -> DataFrame:
@@ -199,23 +258,21 @@ def _merged(page: pd.DataFrame, accepts) -> pd.DataFrame:
     ``accepts`` sees the merged phrase (text, x0, y0, x1, y1) and a candidate's place; the
     search of a phrase ends at the first overlapping candidate that is not accepted.
     """
-    x0, y0, x1, y1, texts = (page[c].to_numpy() for c in ("x0", "y0", "x1", "y1", "text"))
-    free = np.ones(len(page), bool)
+    x0, y0, x1, y1, texts = (page[c].tolist() for c in ("x0", "y0", "x1", "y1", "text"))
+    strips = Strips(page["x0"].to_numpy(), page["x1"].to_numpy())
+    free = [True] * len(texts)
     out = []
-    for i in range(len(page)):
+    for i in range(len(texts)):
         if not free[i]:
             continue
         merged, at = (texts[i], x0[i], y0[i], x1[i], y1[i]), i + 1
-        while at < len(page):
-            hits = np.flatnonzero(free[at:] & _overlapping(x0[at:], x1[at:], merged[1], merged[3]))
-            if not len(hits):
-                break
-            j = at + int(hits[0])
-            if not accepts(merged, j):
-                break
-            free[j] = False
-            merged = (f"{merged[0]} {texts[j]}", min(merged[1], x0[j]), min(merged[2], y0[j]), max(merged[3], x1[j]), max(merged[4], y1[j]))
-            at = j + 1
+        while at:
+            left, right = merged[1], merged[3]
+            j = next((j for j in strips.after(at, left, right) if free[j] and _overlap(x0[j], x1[j], left, right)), 0)
+            at = j + 1 if j and accepts(merged, j) else 0
+            if at:
+                free[j] = False
+                merged = (f"{merged[0]} {texts[j]}", min(left, x0[j]), min(merged[2], y0[j]), max(right, x1[j]), max(merged[4], y1[j]))
         out.append(merged)
     found = pd.DataFrame(out, columns=["text", *BOX])
     return found.assign(doc_id=page["doc_id"].iloc[0], page=page["page"].iloc[0], k=range(len(found)))[["doc_id", "page", "k", "text", *BOX]]
@@ -243,22 +300,24 @@ def merge_by_distance(phrases: DataFrame, threshold: float) -> DataFrame:
 def merge_by_ground(phrases: DataFrame, ground: DataFrame | list[str]) -> DataFrame:
     """Lines of one cell become one phrase while the joined text is (part of) a ground phrase.
 
-    Ground phrases are a table.  A page meets those parts of them that begin with one of
-    its phrases: only such a part can be reached from there.
+    Ground phrases are a table.  Where two phrases join, the last token of one and the first of
+    the other are neighbours in a ground phrase: a page meets those ground phrases that have such
+    neighbours among its phrases' ends, and looks its joined texts up in them.
     """
     ground = ground_table(phrases, ground)
-    parts = subphrases(ground).union(ground).distinct().withColumnRenamed("sub", "part")
-    begin = parts.select("part", F.explode(F.expr("transform(sequence(1, size(split(part, ' '))), n -> array_join(slice(split(part, ' '), 1, n), ' '))")).alias("text"))
-    known = phrases.select("doc_id", "page", "text").distinct().join(begin.distinct(), "text")
-    known = known.groupBy(F.col("doc_id").alias("d"), F.col("page").alias("p")).agg(F.collect_set("part").alias("known"))
+    ends = phrases.select("doc_id", "page", _tokens("text").alias("w")).where("size(w) > 0")
+    last = ends.select("doc_id", "page", F.element_at("w", -1).alias("t")).distinct()
+    first = ends.select("doc_id", "page", F.get("w", F.lit(0)).alias("u")).distinct()
+    known = last.join(_seams(ground), "t").join(first, ["doc_id", "page", "u"], "left_semi")
+    known = known.groupBy(F.col("doc_id").alias("d"), F.col("page").alias("p")).agg(F.collect_set("padded").alias("known"))
 
     def merge(page: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
         if page.empty:
             return pd.DataFrame(columns=["doc_id", "page", "k", "text", *BOX])
-        reach = set(parts["known"].iloc[0]) if len(parts) else set()
+        whole = "\n".join(parts["known"].iloc[0]) if len(parts) else ""
         page = page.sort_values("phrase_idx")
         texts = page["text"].to_numpy()
-        return _merged(page, lambda m, j: f"{m[0]} {texts[j]}" in reach)
+        return _merged(page, lambda m, j: f" {m[0]} {texts[j]} " in whole)
 
     return _numbered(phrases.groupBy("doc_id", "page").cogroup(known.groupBy("d", "p")).applyInPandas(merge, MERGED))
 
