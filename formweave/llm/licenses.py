@@ -33,6 +33,7 @@ TEXTS: tuple[tuple[str, str], ...] = (
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software'),
     ("MIT", 'The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
     ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
     ("Apache-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'),
@@ -70,8 +71,13 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     *TEXTS,
     *((f"CC-{k}-4.0", f"Licensed under CC {k} 4.0.") for k in COMMONS),
     *((f"CC-{k}-4.0", f"This work is licensed under a Creative Commons {name} 4.0 International License.") for k, name in COMMONS.items()),
-    *((name, f"SPDX-License-Identifier: {name}") for name in IDENTIFIERS),
+    ("SPDX", "SPDX-License-Identifier:"),
 )
+#: The template after which an expression is read: licenses with AND and OR between them, in parentheses or not, and exceptions after WITH.
+SPDX = len(TEMPLATES) - 1
+_ID = r"[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?"
+EXPRESSION = rf"(?:SPDX|spdx)-(?:License|license)-(?:Identifier|identifier):[ \t]*([( \t]*{_ID}[) \t]*(?:(?:AND|OR|WITH)[( \t]+{_ID}[) \t]*)*)"
+EXCEPTION = rf"WITH[ \t]+{_ID}"
 #: Words: letters with digits and inner dots, lower case.
 TOKEN = r"[a-z0-9]+(?:\.[a-z0-9]+)*"
 #: Words of a shingle; notices may have as few.
@@ -115,7 +121,22 @@ def _library(spark: SparkSession) -> list[dict]:
     rows = [F.struct(F.lit(i).alias("template"), F.lit(name).alias("license"), F.lit(text).alias("text")) for i, (name, text) in enumerate(TEMPLATES)]
     table = spark.range(1).select(F.inline(F.array(*rows))).withColumn("words", _tokens(F.col("text")))
     table = table.withColumn("shingles", F.array_distinct(_shingles("words"))).withColumn("bands", F.expr(_bands("shingles")))
-    return [r.asDict() | {"block": block_of(len(r.shingles)), "need": ceil(CONTAINED * len(r.shingles) - 1e-9)} for r in table.orderBy("template").collect()]
+    found = [r.asDict() | {"block": block_of(len(r.shingles)), "need": ceil(CONTAINED * len(r.shingles) - 1e-9)} for r in table.orderBy("template").collect()]
+    for t, (differs, inside) in zip(found, near_templates([(t["license"], t["shingles"]) for t in found]), strict=True):
+        t["differs"], t["inside"] = differs, inside
+    return found
+
+
+def near_templates(templates: list[tuple[str, list]]) -> list[tuple[list[list], list[int]]]:
+    """For each template, of the templates of other licenses whose text holds enough of its shingles to be taken for it:
+    the shingles that each of them lacks, and the numbers of those that lack none."""
+    out = []
+    for name, own in templates:
+        need = ceil(CONTAINED * len(own) - 1e-9)
+        near = [(u, [x for x in own if x not in set(other)]) for u, (license, other) in enumerate(templates) if license != name and len(set(own) & set(other)) >= need]
+        differs = {tuple(d): d for _, d in near if d}
+        out.append((list(differs.values()), [u for u, d in near if not d]))
+    return out
 
 
 def _needed(library: list[dict]) -> list[str]:
@@ -142,27 +163,49 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     containment of CONTAINED of its shingles.  A band of a window can only be in the
     index if the shingle that gives its least hash gives a template's too, so only
     windows around such shingles have bands computed, and only texts with a word that
-    each template's share needs have windows; both lose nothing.  The count is that of
-    different templates.  A null or empty text has no license; repeated rows, null ids
+    each template's share needs have windows; both lose nothing.
+
+    Versions and relatives are told apart by what they do not share: where another license's
+    text would hold enough of a template, its window must also hold more than half of the shingles that
+    the other lacks; a template that another one's text holds whole counts only where
+    that one is not found.  What follows an SPDX tag is read by the grammar of its
+    expressions: each license of it counts, exceptions do not, ``+`` means or later.
+
+    The count is that of different templates.  A null or empty text has no license; repeated rows, null ids
     and other columns change nothing; an empty table gives no rows.
     """
     check_columns(docs, id_col, text_col)
     library = _library(docs.sparkSession)
     indexed = sorted({b["x"] for t in library for b in t["bands"]})
-    rows = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("whole")).withColumn("text", F.lower("whole"))
     worth = reduce(or_, [F.col("text").contains(w) for w in _needed(library)])
-    rows = rows.select("id", F.when(worth, _tokens(F.col("text"))).otherwise(F.array().cast("array<string>")).alias("words"))
-    rows = rows.select("id", _shingles("words").alias("sh"))
+    rows = rows.select("id", F.when(worth, F.col("whole")).alias("whole"), F.when(worth, _tokens(F.col("text"))).otherwise(F.array().cast("array<string>")).alias("words"))
+    rows = rows.select("id", "whole", _shingles("words").alias("sh"))
     hits = F.expr(f"filter(transform(sh, (s, i) -> CASE WHEN s IN ({_longs(indexed)}) THEN i END), i -> i IS NOT NULL)")
     rows = rows.withColumn("hits", F.when(F.size("sh") > 0, hits).otherwise(F.array().cast("array<int>")))
     rows = rows.withColumn("sh", F.when(F.size("hits") > 0, F.col("sh")).otherwise(F.array().cast("array<long>")))
     found = ", ".join(_found(b, [t for t in library if t["block"] == b]) for b in sorted({t["block"] for t in library}))
     rows = rows.withColumn("found", F.when(F.size("hits") > 0, F.expr(f"array_distinct(concat({found}))")).otherwise(F.array().cast("array<int>")))
+    inside = {t["template"]: t["inside"] for t in library if t["inside"]}
+    if inside:
+        held = " ".join(f"WHEN {t} THEN arrays_overlap(found, array({', '.join(map(str, u))}))" for t, u in inside.items())
+        rows = rows.withColumn("found", F.expr(f"filter(found, t -> NOT CASE t {held} ELSE false END)"))
     names = F.expr("array(" + ", ".join(f"'{t['license']}'" for t in library) + ")")
-    licenses = F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda i: F.get(names, i)))), ",")
+    noticed = F.transform(F.filter("found", lambda i: i != SPDX), lambda i: F.get(names, i))
+    tagged = F.when(F.array_contains("found", SPDX), expression_licenses(F.col("whole"))).otherwise(F.array().cast("array<string>"))
+    licenses = F.array_join(F.array_sort(F.array_distinct(F.concat(noticed, tagged))), ",")
     return rows.select(F.col("id").alias(id_col), licenses.alias("licenses"), F.size("found").cast("long").alias("n_notices"))
 
 
+def expression_licenses(text: Column) -> Column:
+    """The licenses of all SPDX expressions of a text, known ones by their own spelling."""
+    known = {name.lower(): name for name, _ in TEMPLATES if name != "SPDX"} | {name.lower(): name for name in IDENTIFIERS}
+    spelled = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+    parts = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(EXPRESSION), F.lit(1)), lambda e: F.split(F.regexp_replace(e, EXCEPTION, ""), r"[() \t]+")))
+    named = F.transform(F.filter(parts, lambda x: ~x.isin("", "AND", "OR")), lambda x: F.regexp_replace(x, r"\+$", "-or-later"))
+    return F.transform(named, lambda x: F.coalesce(F.element_at(spelled, F.lower(x)), x))
+
+
 def _longs(values: list[int]) -> str:
     return ", ".join(f"{v}L" for v in values)
 
@@ -176,7 +219,9 @@ def _found(block: int, templates: list[dict]) -> str:
     windows = f"transform({starts}, s -> array_distinct(slice(sh, s + 1, {WINDOW * block})))"
     with_bands = f"transform({windows}, w -> named_struct('w', w, 'b', {_bands('w')}))"
     retrieved = f"array_distinct(transform(filter(array({index}), e -> get(x.b, e.j).h = e.h), e -> e.t))"
-    held = f"filter({retrieved}, t -> size(array_intersect(x.w, get(array({tables}), t))) >= get(array({need}), t))"
+    differs = ", ".join("CAST(array(" + ", ".join(f"array({_longs(d)})" for d in t["differs"]) + ") AS ARRAY<ARRAY<BIGINT>>)" for t in templates)
+    apart = f"forall(get(array({differs}), t), d -> 2 * size(array_intersect(x.w, d)) > size(d))" if any(t["differs"] for t in templates) else "true"
+    held = f"filter({retrieved}, t -> size(array_intersect(x.w, get(array({tables}), t))) >= get(array({need}), t) AND {apart})"
     return f"transform(flatten(transform({with_bands}, x -> {held})), t -> get(array({numbers}), t))"
 
 
@@ -185,15 +230,31 @@ def oracle() -> str:
     quoted = lambda t: "'" + t.replace("'", "''") + "'"
     rows = ", ".join(f"({i}, {quoted(name)}, {quoted(text)})" for i, (name, text) in enumerate(TEMPLATES))
     runs = f"list_transform(range(1, len(w) - {WIDTH - 2}), lambda i: array_to_string(w[i:i + {WIDTH - 1}], ' '))"
+    known = {name.lower(): name for name, _ in TEMPLATES if name != "SPDX"} | {name.lower(): name for name in IDENTIFIERS}
+    spelled = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in known.items())
     return f"""
 WITH t(template, license, text) AS (VALUES {rows}),
 tw AS (SELECT template, license, regexp_extract_all(lower(text), '{TOKEN}') AS w FROM t),
 ts AS (SELECT DISTINCT template, license, unnest({runs}) AS shingle FROM tw),
 tn AS (SELECT template, count(*) AS m, ceil({CONTAINED} * count(*) - 1e-9) AS need, (2 ** greatest(0, ceil(log2((count(*) - 1) / {WINDOW - 1}))))::BIGINT AS block FROM ts GROUP BY ALL),
+near AS (SELECT a.template, b.template AS other FROM ts a JOIN ts b ON a.shingle = b.shingle AND a.license <> b.license JOIN tn ON tn.template = a.template GROUP BY ALL HAVING count(*) >= any_value(need)),
+differs AS (SELECT near.template, other, a.shingle FROM near JOIN ts a ON a.template = near.template ANTI JOIN ts b ON b.template = near.other AND b.shingle = a.shingle),
+least AS (SELECT template, other, count(*) AS n FROM differs GROUP BY ALL),
+inside AS (SELECT * FROM near ANTI JOIN differs USING (template, other)),
 dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{TOKEN}') AS w FROM documents),
 ds AS (SELECT doc_id, unnest({runs}) AS shingle, unnest(range(greatest(len(w) - {WIDTH - 1}, 0))) AS place FROM dw),
 hit AS (SELECT doc_id, ts.template, license, shingle, place // block AS at_block, need FROM ds JOIN ts USING (shingle) JOIN tn ON tn.template = ts.template),
-held AS (SELECT doc_id, template, license, at_block - k AS start FROM hit, (SELECT unnest(range({WINDOW})) AS k) WHERE at_block - k >= 0 GROUP BY ALL HAVING count(DISTINCT shingle) >= any_value(need)),
-found AS (SELECT DISTINCT doc_id, template, license FROM held)
-SELECT d.doc_id, coalesce(string_agg(DISTINCT license, ',' ORDER BY license), '') AS licenses, count(DISTINCT template) AS n_notices FROM documents d LEFT JOIN found f ON f.doc_id = d.doc_id GROUP BY d.doc_id
+spread AS (SELECT DISTINCT doc_id, template, license, shingle, need, at_block - k AS start FROM hit, (SELECT unnest(range({WINDOW})) AS k) WHERE at_block - k >= 0),
+held AS (SELECT doc_id, template, license, start FROM spread GROUP BY ALL HAVING count(*) >= any_value(need)),
+told AS (SELECT h.doc_id, h.template, h.start, l.other FROM held h JOIN least l USING (template) JOIN differs d ON d.template = l.template AND d.other = l.other
+  JOIN spread s ON s.doc_id = h.doc_id AND s.template = h.template AND s.start = h.start AND s.shingle = d.shingle GROUP BY ALL HAVING 2 * count(*) > any_value(l.n)),
+apart AS (SELECT DISTINCT h.doc_id, h.template, h.license FROM held h WHERE (SELECT count(*) FROM least l WHERE l.template = h.template)
+  = (SELECT count(*) FROM told t WHERE t.doc_id = h.doc_id AND t.template = h.template AND t.start = h.start)),
+found AS (SELECT * FROM apart a WHERE NOT EXISTS (SELECT 1 FROM inside i JOIN apart b ON b.template = i.other WHERE i.template = a.template AND b.doc_id = a.doc_id)),
+e AS (SELECT doc_id, unnest(regexp_extract_all(text, '{EXPRESSION}', 1)) AS e FROM documents SEMI JOIN (SELECT doc_id FROM found WHERE template = {SPDX}) USING (doc_id)),
+x AS (SELECT doc_id, regexp_replace(unnest(list_filter(regexp_split_to_array(regexp_replace(e, '{EXCEPTION}', '', 'g'), '[() \\t]+'), lambda x: x NOT IN ('', 'AND', 'OR'))), '\\+$', '-or-later') AS x FROM e),
+known(low, name) AS (VALUES {spelled}),
+all_names AS (SELECT doc_id, license FROM found WHERE template <> {SPDX} UNION ALL SELECT doc_id, coalesce(name, x) FROM x LEFT JOIN known ON low = lower(x)),
+n AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM all_names GROUP BY ALL), c AS (SELECT doc_id, count(DISTINCT template) AS n FROM found GROUP BY ALL)
+SELECT d.doc_id, coalesce(licenses, '') AS licenses, coalesce(c.n, 0)::BIGINT AS n_notices FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
