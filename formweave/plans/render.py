@@ -84,3 +84,22 @@ def forms(spark: SparkSession, sf_dir: str, variant: str = "") -> DataFrame:
         (F.row_number().over(order) - 1).alias("phrase_idx"),
         "page", "text", x0.alias("x0"), y0.alias("y0"), (x0 + F.least(F.lit(80.0), 6.0 * F.length("text"))).alias("x1"), (y0 + 10).alias("y1"),
     )
+
+
+#: The other layout: what its fields are called, and which columns of the table it has.
+BILL_FIELDS = ("Invoice", "Buyer", "State", "Invoice Date", "Urgency", "Amount Due")
+BILL_COLUMNS = {0: "Item", 1: "Article", 3: "Units", 4: "Sum", 6: "Sent On"}
+
+
+def two_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forms of even documents, and those of odd ones as bills: other names, fewer columns."""
+    phrases = forms(spark, sf_dir)
+    odd = F.regexp_extract("doc_id", "([0-9]+)$", 1).cast("long") % 2 == 1
+    names = dict(zip(KV_FIELDS, BILL_FIELDS, strict=True)) | {TABLE_FIELDS[c]: name for c, name in BILL_COLUMNS.items()} | {"Order Report": "Bill Report"}
+    renamed = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    column = F.round((F.col("x0") - 40) / 90).cast("int")
+    first_rows = F.expr(f"(CAST(round((y0 - 40) / 14) AS INT) - 1) % {RECORD_ROWS} < 3 OR y0 = 40")  # the header and the pairs
+    bills = phrases.where(odd).where(first_rows | column.isin(*BILL_COLUMNS)).withColumn("text", F.coalesce(F.element_at(renamed, F.col("text")), F.col("text")))
+    bills = bills.withColumn("doc_id", F.regexp_replace("doc_id", "^forms", "bills"))
+    again = F.row_number().over(Window.partitionBy("doc_id").orderBy("phrase_idx")) - 1
+    return phrases.where(~odd).union(bills.withColumn("phrase_idx", again).select(phrases.columns))

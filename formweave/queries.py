@@ -13,10 +13,10 @@ from formweave.functions import present as V
 from formweave.functions.lineage import materialised, shared_folder
 from formweave.functions.scans import prefix_sums, with_next
 from formweave.functions.tokens import token_counter
-from formweave.operators import edit as U, extract as X, fields as K, learn as L, phrases as P, questions as Q, rows as R
+from formweave.operators import edit as U, extract as X, fields as K, layouts as Y, learn as L, phrases as P, questions as Q, rows as R
 from formweave.operators.oracle import RuleOracle, answered, call_cost, metadata_strings as metadata_by_recurrence, total_cost as cost_in_sum
 from formweave.plans import template as T
-from formweave.plans.render import DEEP_FIELDS, DUCK_SOURCE, KV_FIELDS, PER_PAGE, TABLE_FIELDS, forms
+from formweave.plans.render import BILL_COLUMNS, BILL_FIELDS, DEEP_FIELDS, DUCK_SOURCE, KV_FIELDS, PER_PAGE, TABLE_FIELDS, forms, two_layouts
 from formweave.plans.template import LEAF, Node
 from formweave.sources import artifacts as S
 
@@ -559,6 +559,42 @@ def form_extract_learned_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extracted(spark, sf_dir, "deep")
 
 
+def _bill_engine() -> Engine:
+    rows = [[name, f"Sheet {p}"] for name in ("Order Report", "Bill Report") for p in range(1, 26)]
+    return Engine(metadata=[*METADATA, "Bill Report"], metadata_rows=rows)
+
+
+@query(
+    _PHRASES
+    + """SELECT doc_id, CASE WHEN regexp_extract(doc_id, '[0-9]+$')::INT % 2 = 0 THEN 'forms' ELSE 'bills' END AS layout FROM (
+  SELECT DISTINCT CASE WHEN d % 2 = 0 THEN 'forms_' ELSE 'bills_' END || d AS doc_id FROM h)"""
+)
+def document_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two interleaved layouts, told apart by what recurs; a layout is named by its least document."""
+    return Y.group_layouts(two_layouts(spark, sf_dir)).select("doc_id", F.split("layout", "_")[0].alias("layout"))
+
+
+_BILL_KV = ", ".join(f"{{'c': {c}, 'k': '{k}', 'v': v{c}}}" for c, k in enumerate(BILL_FIELDS))
+_BILL_TABLE = ", ".join(f"{{'c': {c}, 'k': '{k}', 'v': v{o}}}" for c, (o, k) in enumerate(BILL_COLUMNS.items()))
+_FORM_KV = ", ".join(f"{{'c': {c}, 'k': '{k}', 'v': v{c}}}" for c, k in enumerate(KV_FIELDS))
+_FORM_TABLE = ", ".join(f"{{'c': {c}, 'k': '{k}', 'v': v{c}}}" for c, k in enumerate(TABLE_FIELDS))
+
+
+@query(
+    source(
+        f""", h AS (SELECT *, split_part(doc_id, '_', 2)::INT AS d FROM heads), t AS (SELECT *, split_part(doc_id, '_', 2)::INT AS d FROM lines),
+u AS (SELECT doc_id, record_id, 0 AS block_id, 1 AS row_no, unnest([{_FORM_KV}]) AS x FROM h WHERE d % 2 = 0 UNION ALL SELECT 'bills_' || d, record_id, 0, 1, unnest([{_BILL_KV}]) FROM h WHERE d % 2 = 1
+  UNION ALL SELECT doc_id, record_id, 1, row_no, unnest([{_FORM_TABLE}]) FROM t WHERE d % 2 = 0 UNION ALL SELECT 'bills_' || d, record_id, 1, row_no, unnest([{_BILL_TABLE}]) FROM t WHERE d % 2 = 1)
+SELECT doc_id, record_id::INT AS record_id, block_id, row_no::INT AS row_no, x.c::INT AS col_no, x.k AS key, coalesce(x.v, 'missing') AS value FROM u"""
+    )
+)
+def extract_two_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layouts, a template for each and all cells, from the phrases alone."""
+    phrases, engine = materialised(two_layouts(spark, sf_dir)), _bill_engine()
+    cells = engine.extract_layouts(phrases, *engine.predict_layouts(phrases))
+    return cells.select("doc_id", "record_id", "block_id", "row_no", "col_no", "key", F.coalesce("value", F.lit(X.MISSING)).alias("value"))
+
+
 @query(_PHRASES + "SELECT DISTINCT doc_id, unnest(['Order Key', 'Customer', 'status']) AS field FROM f")
 def edit_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Add 'status' (a phrase in another case) and 'Nowhere' (no phrase), remove 'Quantity'."""
