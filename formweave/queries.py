@@ -19,6 +19,8 @@ from formweave.plans import template as T
 from formweave.plans.render import BILL_COLUMNS, BILL_FIELDS, DEEP_FIELDS, DUCK_SOURCE, KV_FIELDS, PER_PAGE, TABLE_FIELDS, forms, two_layouts
 from formweave.plans.template import LEAF, Node
 from formweave.sources import artifacts as S
+from formweave.sources.folder import PUSHDOWN, PhraseFolder
+from formweave.streaming.pages import extract_page_stream, read_page_stream
 
 FORM = (Node("kv", KV_FIELDS, 0), Node("table", TABLE_FIELDS, 1))
 NESTED = (Node("kv", KV_FIELDS, 0), Node("table", TABLE_FIELDS, 1, child=2), Node("table", ("Mode", "Flag"), 2, child=LEAF))
@@ -629,6 +631,32 @@ def llm_token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.withColumn("cost", F.round(call_cost(F.lit("gpt-4o-mini"), F.col("tokens_in"), F.col("tokens_out"), F.lit(0)), 12))
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@query(_TABLE)
+def form_extract_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every table cell again, from a stream of files over which the pages of all documents are scattered."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    phrases = forms(spark, sf_dir)
+    sizes = phrases.groupBy("doc_id").agg(F.max("page").alias("pages"))
+    scattered = F.pmod(F.xxhash64("doc_id", "page"), F.lit(12))
+    phrases.join(sizes, "doc_id").repartition(12, scattered).write.parquet(f"{folder}/in")
+    kept = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKS)
+    try:
+        pages = [["Order Report", f"Sheet {p}"] for p in range(1, 26)]
+        run = extract_page_stream(read_page_stream(spark, f"{folder}/in", files=4), FORM, f"{folder}/out", f"{folder}/checkpoint", METADATA, pages)
+        run.awaitTermination()
+    finally:
+        if kept is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, kept)
+    return _table(spark.read.parquet(f"{folder}/out"))
+
+
 @query(source(" SELECT doc_id, record_id::INT AS record_id, row_no::INT AS row_no, " + ", ".join(f"coalesce(v{c}, 'missing') AS \"{k}\"" for c, k in enumerate(TABLE_FIELDS)) + " FROM lines"))
 def table_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table_pivot(_cells(spark, sf_dir), list(TABLE_FIELDS)).drop("block_id")
@@ -827,6 +855,43 @@ def template_learned_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n.node_id, n.type, "|".join(n.fields), n.child) for n in found], "node_id int, type string, fields string, child int")
 
 
+@query(_PHRASES + "SELECT doc_id, phrase_idx, page, text, x0, y0, x1, y1 FROM f WHERE page <= 3 AND doc_id <> 'forms_1'")
+def exchange_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All phrases written as files of a run and read back through the data source, which skips pages itself."""
+    folder = f"{shared_folder(spark)}/exchange-{uuid.uuid4().hex}"
+    S.write_phrases(forms(spark, sf_dir), folder)
+    spark.conf.set(PUSHDOWN, "true")
+    spark.dataSource.register(PhraseFolder)
+    return spark.read.format("phrase_folder").load(folder).where("page <= 3 AND doc_id <> 'forms_1'")
+
+
+@query(_PHRASES + "SELECT doc_id, phrase_idx AS word_idx, page, text, x0, y0, x1, y1 FROM f")
+def exchange_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files as a word table, by Spark's own reader; a folder names its document."""
+    folder = f"{shared_folder(spark)}/exchange-{uuid.uuid4().hex}"
+    S.write_phrases(forms(spark, sf_dir), folder)
+    return S.read_words(spark, f"{folder}/*/*.csv")
+
+
+@query(_PHRASES + "SELECT DISTINCT text FROM f")
+def exchange_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases as a file of lines, and the different ones of it as ground phrases."""
+    folder = f"{shared_folder(spark)}/exchange-{uuid.uuid4().hex}"
+    S.write_lines(forms(spark, sf_dir), folder, order="phrase_idx")
+    return S.ground_phrases(spark, folder)
+
+
+@query(_KV.replace("0 AS block_id, x.c::INT AS col_no, ", "").replace("record_id::INT AS record_id", "record_id::INT AS id"))
+def exchange_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested records written as JSON by document, with the template beside them, and read again."""
+    folder = f"{shared_folder(spark)}/exchange-{uuid.uuid4().hex}"
+    S.write_template(spark, FORM, f"{folder}/template")
+    nested = X.nest(_cells(spark, sf_dir, template=S.read_template(spark, f"{folder}/template")).where("block_type = 'kv'"))
+    S.write_nested(nested, f"{folder}/records")
+    back = spark.read.schema(nested.schema).json(f"{folder}/records")
+    return V.explode_pairs(back.select(nested.columns))
+
+
 @query(_PHRASES + "SELECT 'merged' AS doc_id, count(*) AS phrases, (SELECT sum(p) FROM (SELECT max(page) AS p FROM f GROUP BY doc_id))::INT AS pages, (count(*) - 1)::INT AS last FROM f")
 def merged_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.merge_documents(forms(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("phrases"), F.count_distinct("page").cast("int").alias("pages"), F.max("phrase_idx").alias("last"))

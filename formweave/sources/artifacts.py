@@ -25,11 +25,17 @@ def merged_name(paths: list[str]) -> str:
 
 
 def read_phrases(spark: SparkSession, path: str) -> DataFrame:
-    """phrases of CSV files with the header text,x0,y0,x1,y1,page; a file is a document, its line order the reading order."""
+    """phrases of CSV files with the header text,x0,y0,x1,y1,page; a file is a document, its line order the reading order.
+
+    A file in a folder ``doc_id=<name>`` belongs to that document, as ``write_phrases`` leaves it.
+    """
     raw = spark.read.csv(path, header=True, schema=PHRASE_CSV, quote='"', escape='"').select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("o"))
     order = Window.partitionBy("path").orderBy("b", "o")
+    folder = F.nullif(F.regexp_extract("path", r"/doc_id=([^/]+)/[^/]*$", 1), F.lit(""))
+    for _ in range(2):  # the folder's own escapes, and those of a file's address
+        folder = F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))
     return raw.select(
-        doc_name(F.col("path")).alias("doc_id"), (F.row_number().over(order) - 1).alias("phrase_idx"), F.col("page").cast("int").alias("page"), F.trim("text").alias("text"), "x0", "y0", "x1", "y1"
+        F.coalesce(folder, doc_name(F.col("path"))).alias("doc_id"), (F.row_number().over(order) - 1).alias("phrase_idx"), F.col("page").cast("int").alias("page"), F.trim("text").alias("text"), "x0", "y0", "x1", "y1"
     )
 
 
