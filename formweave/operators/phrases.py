@@ -26,6 +26,18 @@ def word_size(x0: str = "x0", x1: str = "x1", text: str = "text") -> Column:
     return (F.col(x1) - F.col(x0)) / F.length(text)
 
 
+def split_words(words: DataFrame, mark: str = ":") -> DataFrame:
+    """words cut at a punctuation mark, which is a word of its own; a part's box is its characters' share of the word's."""
+    parts = F.regexp_extract_all("text", F.lit(f"[{mark}]|[^{mark}]+"), F.lit(0))
+    rows = words.select("*", F.length("text").alias("_n"), parts.alias("_parts")).select("*", F.posexplode("_parts").alias("_k", "_t"))
+    ahead = F.length(F.array_join(F.slice("_parts", F.lit(1), F.col("_k")), ""))
+    at = lambda n: F.col("x0") + (F.col("x1") - F.col("x0")) * n / F.col("_n")
+    rows = rows.select("*", at(ahead).alias("_a"), at(ahead + F.length("_t")).alias("_z"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("word_idx", "_k")) - 1
+    changed = {"word_idx": place, "text": F.col("_t"), "x0": F.col("_a"), "x1": F.col("_z")}
+    return rows.select(*(changed.get(c, F.col(c)).alias(c) for c in words.columns))
+
+
 def words_to_phrases(words: DataFrame, y_near: float = 4.0, gap: float | None = None, parity: bool = False) -> DataFrame:
     """phrases from words (doc_id, word_idx, page, text, box): neighbours on a line become one phrase.
 

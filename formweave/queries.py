@@ -331,6 +331,34 @@ def words_to_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(P.words_to_phrases(_words(forms(spark, sf_dir))))
 
 
+_IS_PAIR = f"text IN ({', '.join(repr(k) for k in KV_FIELDS)})"
+
+
+@query(
+    _PHRASES
+    + f""", n AS (SELECT *, length(split_part(text, ' ', -1)) AS last, (x1 - x0) / (length(text) + 1) AS unit FROM f),
+a AS (SELECT *, x0 + (length(text) - last) * unit - CASE WHEN length(text) > last THEN 0.01 ELSE 0 END AS a FROM n)
+SELECT doc_id, phrase_idx, page, text, round(x0, 6) AS x0, y0, round(CASE WHEN {_IS_PAIR} THEN a + (x1 - a) * last / (last + 1) ELSE x1 END, 6) AS x1, y1 FROM a"""
+)
+def words_split_at_colons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Field names with a colon at their last word, which is cut off and ends the phrase."""
+    marked = forms(spark, sf_dir).withColumn("text", F.when(F.col("text").isin(*KV_FIELDS), F.concat("text", F.lit(":"))).otherwise(F.col("text")))
+    return _rounded(P.words_to_phrases(P.split_words(_words(marked))))
+
+
+@query(_PHRASES + "SELECT doc_id, phrase_idx, page, text, round(x0, 6) AS x0, y0, round(x1, 6) AS x1, y1 FROM (SELECT * REPLACE ((row_number() OVER (PARTITION BY doc_id ORDER BY phrase_idx) - 1)::INT AS phrase_idx) FROM f WHERE text <> 'Order Report')")
+def line_phrases_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older rule where each page's title is of a header's size, three times as wide, and goes."""
+    wide = forms(spark, sf_dir).withColumn("x1", F.when(F.col("text") == "Order Report", F.col("x0") + 14.0 * F.length("text")).otherwise(F.col("x1")))
+    return _rounded(P.line_phrases(_words(wide), gap=7.0))
+
+
+@query(_PHRASES + "SELECT doc_id, text AS field, min(phrase_idx) AS position FROM f WHERE page = 1 AND text IN ('Order Key', 'Customer', 'Mode') GROUP BY ALL")
+def single_page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document of one page has the fields that its image names, as far as they are among its phrases."""
+    return K.predict_field(forms(spark, sf_dir).where("page = 1"), RuleOracle(), vision=["Order Key", "Customer", "Mode"])
+
+
 def _rounded(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "phrase_idx", "page", "text", F.round("x0", 6).alias("x0"), "y0", F.round("x1", 6).alias("x1"), "y1")
 
@@ -608,7 +636,10 @@ def edit_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT * FROM (VALUES (0, 'table', 'A|B', -1), (2, 'kv', 'Mode|Flag', -1)) t(node_id, type, fields, child)")
 def edit_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = T.modify_node(T.remove_nodes(T.toggle_type(NESTED, 2), [1]), 0, "table", ["A", "B"])
+    """Edits of the template that is learned from nested forms: a type turned, a node removed, another rewritten."""
+    phrases, engine = forms(spark, sf_dir, "nested"), _engine()
+    learned = engine.predict_template(phrases, engine.predict_field(phrases))
+    found = T.modify_node(T.remove_nodes(T.toggle_type(learned, 2), [1]), 0, "table", ["A", "B"])
     return spark.createDataFrame([(n.node_id, n.type, "|".join(n.fields), n.child) for n in found], "node_id int, type string, fields string, child int")
 
 
