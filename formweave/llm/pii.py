@@ -336,24 +336,30 @@ def judged_labels(spark: SparkSession, labelled: list[tuple[str, str, int]]) ->
     return [(y, int(good[i == n].any())) for n, (_, _, y) in enumerate(labelled)]
 
 
-def _judged(g: int, found: str, text: str, trees: list, thresholds: dict[int, float]) -> Column:
-    """Spans (s, e, k, p) of a generator's candidates in a column that the trees accept; p is their score.
+def _candidates(g: int, found: str, text: str) -> str:
+    """SQL: a generator's candidates as structs of their span, whether they need no judgement, and their features.
 
-    Numbers that a checksum or their shape proves, and blocks of private keys, need no judgement and prevail.
+    Numbers that a checksum or their shape proves, and blocks of private keys, need none.
     """
     kind = GENERATORS[g][0]
     k = KINDS.index(kind)
     if g == BLOCKS:
-        return F.expr(f"transform({found}, x -> named_struct('s', x.s, 'e', x.e, 'k', {k}, 'p', {CERTAIN}D))")
+        none = ", ".join(f"'{n}', {float(k) if n == 'kind' else 0.0}D" for n in FEATURES)
+        return f"transform({found}, x -> named_struct('s', x.s, 'e', x.e, 'sure', true, {none}))"
     before = f"substring({text}, greatest(x.s - {CONTEXT}, 0) + 1, least(x.s, {CONTEXT}))"
     if g in BEHIND:
         behind = BEHIND[g].replace("'", "\\x27")
         found = f"filter({found}, x -> {before} RLIKE r'{behind}')"
-    described = f"transform({found}, x -> {_described(k, 'x.m', before, "'s', x.s", "'e', x.e", "'m', x.m")})"
-    judged = tree_sql(trees, [f'f.{n}' for n in FEATURES])
-    proven = f"CASE WHEN {_certain('f.m')} THEN {CERTAIN}D ELSE {judged} END" if kind == "number" else judged
-    scored = f"transform({described}, f -> named_struct('s', f.s, 'e', f.e, 'k', {k}, 'p', {proven}))"
-    return F.expr(f"filter({scored}, f -> f.p >= {thresholds.get(k, 0.0)!r}D)")
+    sure = _certain("x.m") if kind == "number" else "false"
+    return f"transform({found}, x -> {_described(k, 'x.m', before, "'s', x.s", "'e', x.e", f"'sure', {sure}")})"
+
+
+def _judged(candidates: str, trees: list, thresholds: dict[int, float]) -> Column:
+    """Spans (s, e, k, p) of the candidates in a column that the trees accept; p is their score.  The trees stand in the plan once."""
+    score_of = f"CASE WHEN f.sure THEN {CERTAIN}D ELSE {tree_sql(trees, [f'f.{n}' for n in FEATURES])} END"
+    scored = f"transform({candidates}, f -> named_struct('s', f.s, 'e', f.e, 'k', CAST(f.kind AS INT), 'p', {score_of}))"
+    least = " ".join(f"WHEN {k} THEN {t!r}D" for k, t in thresholds.items())
+    return F.expr(f"filter({scored}, f -> f.p >= CASE f.k {least} ELSE 0.0D END)")
 
 
 #: Spans (s, e, k, p) in order of start; those that overlap become one, of the best-scored kind.
@@ -379,8 +385,9 @@ def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     for kind in PATTERNS:  # a projection for each, else the expression would grow by powers
         rows = rows.withColumn("_text", F.when(F.size("_base") > 0, _blanked(F.col("_text"), kind)).otherwise(F.col("_text")))
     rows = _with_matches(rows, "_text", [(f"_g{i}", sign, p) for i, (_, sign, p) in enumerate(GENERATORS)])
-    more = F.concat(*[_judged(i, f"_g{i}", "_text", trees, thresholds) for i in range(len(GENERATORS))])
-    rows = rows.withColumn("_spans", F.sort_array(more))
+    candidates = ", ".join(_candidates(i, f"_g{i}", "_text") for i in range(len(GENERATORS)))
+    rows = rows.select(*names, "_base", F.expr(f"concat({candidates})").alias("_found"))
+    rows = rows.select(*names, "_base", F.sort_array(_judged("_found", trees, thresholds)).alias("_spans"))
     rows = rows.withColumn("_spans", F.expr(f"transform({_APART.format(a='_spans')}, x -> named_struct('s', x.s, 'k', x.k, 'e', x.e))"))
     # the place is no constant: a filter on the result is not pushed down, where it would repeat all of the above by powers
     rows = rows.withColumn("_spans", F.when((F.size("_spans") == 0) & (row_place() >= 0), F.col("_base")).otherwise(F.sort_array(F.concat("_base", "_spans"))))
