@@ -7,9 +7,10 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from formweave.functions.groups import fold_groups
+
 BOX = ("x0", "y0", "x1", "y1")
 #: Vertical strips of a page at most.
 STRIPS = 64
@@ -202,24 +203,25 @@ def first_later(x0: np.ndarray, x1: np.ndarray) -> list[int]:
     return [next((j for j in strips.after(i + 1, left[i], right[i]) if _overlap(left[i], right[i], left[j], right[j])), -1) for i in range(len(left))]
 
 
-def next_overlaps(phrases: DataFrame) -> DataFrame:
+OVERLAPS = "doc_id string, page int, a int, b int, a_text string, b_text string, distance double"
+
+
+def next_overlaps(phrases: DataFrame, dealt: bool = False) -> DataFrame:
     """(doc_id, page, a, b, a_text, b_text, distance): each phrase with the first later one of its page that x-overlaps it.
 
-    A page is one group; a phrase meets the later ones of its strips until one overlaps.
+    A page is one group; a phrase meets the later ones of its strips until one overlaps.  ``dealt`` phrases lie by document already.
     """
 
-    def pairs(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("phrase_idx")
-        x0, x1, y0, y1 = (page[c].to_numpy() for c in ("x0", "x1", "y0", "y1"))
-        second = np.array(first_later(x0, x1), np.int64)
-        first = np.flatnonzero(second >= 0)
-        second = second[first]
-        a, b = page.iloc[first], page.iloc[second]
-        gap = np.maximum(0.0, np.maximum(y0[second] - y1[first], y0[first] - y1[second]))
-        named = {"a": a["phrase_idx"].to_numpy(), "b": b["phrase_idx"].to_numpy(), "a_text": a["text"].to_numpy(), "b_text": b["text"].to_numpy(), "distance": gap}
-        return pd.DataFrame({"doc_id": a["doc_id"].to_numpy(), "page": a["page"].to_numpy()} | named)
+    def pairs(page: dict[str, list]) -> dict[str, list]:
+        second = first_later(np.array(page["x0"]), np.array(page["x1"]))
+        met = [(i, j) for i, j in enumerate(second) if j >= 0]
+        at, text, y0, y1 = (page[c] for c in ("phrase_idx", "text", "y0", "y1"))
+        return {
+            "doc_id": page["doc_id"][:1] * len(met), "page": page["page"][:1] * len(met), "a": [at[i] for i, _ in met], "b": [at[j] for _, j in met],
+            "a_text": [text[i] for i, _ in met], "b_text": [text[j] for _, j in met], "distance": [max(0.0, y0[j] - y1[i], y0[i] - y1[j]) for i, j in met],
+        }
 
-    return phrases.groupBy("doc_id", "page").applyInPandas(pairs, "doc_id string, page int, a int, b int, a_text string, b_text string, distance double")
+    return fold_groups(phrases.select("doc_id", "page", "phrase_idx", "text", *BOX), ["doc_id", "page"], ["phrase_idx"], pairs, OVERLAPS, dealt)
 
 
 def ground_table(phrases: DataFrame, ground: DataFrame | list[str]) -> DataFrame:
@@ -236,17 +238,33 @@ def _tokens(column: str) -> Column:
 def _seams(ground: DataFrame) -> DataFrame:
     """(t, u, padded): neighbouring tokens of each ground phrase, with its tokens between single spaces: as many rows as tokens."""
     rows = ground.select(_tokens("text").alias("w")).where("size(w) > 1").select("w", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("padded"))
-    near = F.expr("array_distinct(zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> named_struct('t', a, 'u', b)))")
-    return rows.select("padded", F.inline(near)).select("t", "u", "padded")
+    return rows.select("padded", F.inline(F.array_distinct(_neighbours("w")))).select("t", "u", "padded")
+
+
+def _neighbours(w: str) -> Column:
+    return F.expr(f"zip_with(slice({w}, 1, size({w}) - 1), slice({w}, 2, size({w}) - 1), (a, b) -> named_struct('t', a, 'u', b))")
+
 
+def _lists(ground: DataFrame) -> DataFrame:
+    """(token, padded): ground phrases by each of their tokens."""
+    return _seams(ground).select(F.explode(F.array("t", "u")).alias("token"), "padded").distinct()
 
-def labelled_pairs(phrases: DataFrame, ground: DataFrame | list[str]) -> DataFrame:
+
+def _met(texts: DataFrame, columns: list[str], lists: DataFrame) -> DataFrame:
+    """texts with the ground phrases that have their tokens' rarest one; a text with a token that no ground phrase has meets none."""
+    rows = texts.select(*columns, F.array_distinct(_tokens(columns[0]) if len(columns) == 1 else F.concat(*map(_tokens, columns))).alias("w")).where("size(w) > 0")
+    counts = lists.groupBy("token").agg(F.count("*").alias("n"))
+    found = rows.select(*columns, F.size("w").alias("all"), F.explode("w").alias("token")).join(counts, "token")
+    rare = found.groupBy(*columns, "all").agg(F.min(F.struct("n", "token")).alias("m"), F.count("*").alias("here")).where("here = all")
+    return rare.select(*columns, F.col("m.token").alias("token")).join(lists, "token")
+
+
+def labelled_pairs(phrases: DataFrame, ground: DataFrame | list[str], dealt: bool = False) -> DataFrame:
     """next_overlaps with is_positive: the joined text is part of a ground phrase and the first one none itself."""
     ground = ground_table(phrases, ground)
-    pairs = next_overlaps(phrases)
-    texts = pairs.select("a_text", "b_text").distinct()
-    seam = texts.select("a_text", "b_text", F.element_at(_tokens("a_text"), -1).alias("t"), F.get(_tokens("b_text"), F.lit(0)).alias("u"))
-    met = seam.join(_seams(ground), ["t", "u"]).where(F.col("padded").contains(F.concat(F.lit(" "), "a_text", F.lit(" "), "b_text", F.lit(" "))))
+    pairs = next_overlaps(phrases, dealt)
+    met = _met(pairs.select("a_text", "b_text").distinct(), ["a_text", "b_text"], _lists(ground))
+    met = met.where(F.col("padded").contains(F.concat(F.lit(" "), "a_text", F.lit(" "), "b_text", F.lit(" "))))
     part = met.select("a_text", "b_text", F.lit(True).alias("_known")).distinct()
     whole = ground.select(F.col("text").alias("a_text"), F.lit(True).alias("_whole"))
     joined = pairs.join(part, ["a_text", "b_text"], "left").join(whole, "a_text", "left")
@@ -264,14 +282,14 @@ def distance_threshold(pairs: DataFrame) -> DataFrame:
 MERGED = "doc_id string, page int, k int, text string, x0 double, y0 double, x1 double, y1 double"
 
 
-def _merged(page: pd.DataFrame, accepts) -> pd.DataFrame:
+def _merged(page: dict[str, list], accepts) -> list[tuple]:
     """Greedy merging within a page, whose rows are in order: every unused phrase absorbs later unused x-overlapping ones.
 
     ``accepts`` sees the merged phrase (text, x0, y0, x1, y1) and a candidate's place; the
     search of a phrase ends at the first overlapping candidate that is not accepted.
     """
-    x0, y0, x1, y1, texts = (page[c].tolist() for c in ("x0", "y0", "x1", "y1", "text"))
-    strips = Strips(page["x0"].to_numpy(), page["x1"].to_numpy())
+    x0, y0, x1, y1, texts = (list(page[c]) for c in ("x0", "y0", "x1", "y1", "text"))
+    strips = Strips(np.array(x0), np.array(x1))
     free = [True] * len(texts)
     out = []
     for i in range(len(texts)):
@@ -286,8 +304,12 @@ def _merged(page: pd.DataFrame, accepts) -> pd.DataFrame:
                 free[j] = False
                 merged = (f"{merged[0]} {texts[j]}", min(left, x0[j]), min(merged[2], y0[j]), max(right, x1[j]), max(merged[4], y1[j]))
         out.append(merged)
-    found = pd.DataFrame(out, columns=["text", *BOX])
-    return found.assign(doc_id=page["doc_id"].iloc[0], page=page["page"].iloc[0], k=range(len(found)))[["doc_id", "page", "k", "text", *BOX]]
+    return out
+
+
+def _columns(page: dict[str, list], merged: list[tuple]) -> dict[str, list]:
+    found = dict(zip(("text", *BOX), map(list, zip(*merged, strict=True)), strict=True))
+    return {"doc_id": page["doc_id"][:1] * len(merged), "page": page["page"][:1] * len(merged), "k": list(range(len(merged)))} | found
 
 
 def _numbered(merged: DataFrame) -> DataFrame:
@@ -301,37 +323,38 @@ def merge_by_distance(phrases: DataFrame, threshold: float) -> DataFrame:
     Output is in order of page, top and left.
     """
 
-    def merge(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y0", "x0", "phrase_idx"])
-        y0, y1 = page["y0"].to_numpy(), page["y1"].to_numpy()
-        return _merged(page, lambda m, j: max(0.0, y0[j] - m[4], m[2] - y1[j]) <= threshold)
+    def merge(page: dict[str, list]) -> dict[str, list]:
+        y0, y1 = page["y0"], page["y1"]
+        return _columns(page, _merged(page, lambda m, j: max(0.0, y0[j] - m[4], m[2] - y1[j]) <= threshold))
 
-    return _numbered(phrases.groupBy("doc_id", "page").applyInPandas(merge, MERGED))
+    rows = phrases.select("doc_id", "page", "phrase_idx", "text", *BOX)
+    return _numbered(fold_groups(rows, ["doc_id", "page"], ["y0", "x0", "phrase_idx"], merge, MERGED))
 
 
 def merge_by_ground(phrases: DataFrame, ground: DataFrame | list[str]) -> DataFrame:
     """Lines of one cell become one phrase while the joined text is (part of) a ground phrase.
 
-    Ground phrases are a table.  Where two phrases join, the last token of one and the first of
-    the other are neighbours in a ground phrase: a page meets those ground phrases that have such
-    neighbours among its phrases' ends, and looks its joined texts up in them.
+    Ground phrases are a table.  A phrase that is joined to another stands in a ground phrase behind
+    the other's last token: by its rarest token it meets the ground phrases that hold it, and a page
+    gets those of its phrases where the token before is the end of one of its phrases.
     """
     ground = ground_table(phrases, ground)
-    ends = phrases.select("doc_id", "page", _tokens("text").alias("w")).where("size(w) > 0")
-    last = ends.select("doc_id", "page", F.element_at("w", -1).alias("t")).distinct()
-    first = ends.select("doc_id", "page", F.get("w", F.lit(0)).alias("u")).distinct()
-    known = last.join(_seams(ground), "t").join(first, ["doc_id", "page", "u"], "left_semi")
-    known = known.groupBy(F.col("doc_id").alias("d"), F.col("page").alias("p")).agg(F.collect_set("padded").alias("known"))
-
-    def merge(page: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
-        if page.empty:
-            return pd.DataFrame(columns=["doc_id", "page", "k", "text", *BOX])
-        whole = "\n".join(parts["known"].iloc[0]) if len(parts) else ""
-        page = page.sort_values("phrase_idx")
-        texts = page["text"].to_numpy()
-        return _merged(page, lambda m, j: f" {m[0]} {texts[j]} " in whole)
-
-    return _numbered(phrases.groupBy("doc_id", "page").cogroup(known.groupBy("d", "p")).applyInPandas(merge, MERGED))
+    behind = _met(phrases.select("text").distinct(), ["text"], _lists(ground)).withColumn("u", F.get(_tokens("text"), F.lit(0)))
+    behind = behind.where(F.col("padded").contains(F.concat(F.lit(" "), "text", F.lit(" ")))).withColumn("w", _tokens("padded"))
+    before = F.filter(_neighbours("w"), lambda z: (z["u"] == F.col("u")) & F.col("padded").contains(F.concat(F.lit(" "), z["t"], F.lit(" "), "text", F.lit(" "))))
+    behind = behind.select("text", "padded", F.explode(before).alias("z")).select("text", "padded", F.col("z.t").alias("t"))
+    last = phrases.select("doc_id", "page", F.element_at(_tokens("text"), -1).alias("t")).where("t IS NOT NULL").distinct()
+    known = phrases.select("doc_id", "page", "text").distinct().join(behind, "text").join(last, ["doc_id", "page", "t"], "left_semi")
+    known = known.groupBy("doc_id", "page").agg(F.collect_set("padded").alias("known"))
+    rows = phrases.select("doc_id", "page", "phrase_idx", "text", *BOX).withColumn("last", F.lit(0)).unionByName(known.withColumn("last", F.lit(1)), allowMissingColumns=True)
+
+    def merge(page: dict[str, list]) -> dict[str, list]:
+        whole = "\n".join(page["known"][-1] or ())
+        own = {c: v[: page["last"].count(0)] for c, v in page.items()}
+        texts = own["text"]
+        return _columns(own, _merged(own, lambda m, j: f" {m[0]} {texts[j]} " in whole))
+
+    return _numbered(fold_groups(rows, ["doc_id", "page"], ["last", "phrase_idx"], merge, MERGED))
 
 
 def apply_rules(phrases: DataFrame, ground: DataFrame | list[str]) -> DataFrame:
