@@ -1,10 +1,14 @@
 """Rendered forms: long orders, and how often their phrases are moved."""
 
+from random import Random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from formweave.operators.rows import PHRASES, visual_rows
 from formweave.queries import ORACLES, QUERIES
+from formweave.streaming.pages import row_starts
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -30,3 +34,30 @@ def test_orders_and_lines_are_moved_once(spark, name):
     """Phrases, of which a line has seven, are not."""
     plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Exchange ") == 1
+
+
+@pytest.mark.parametrize("name", ["form_extract_lines", "form_extract_nested"])
+def test_rows_are_copied_by_few_windows(spark, name):
+    """A window copies all rows: columns of a block share one, however many there are."""
+    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert 0 < plan.count("Window [") <= 9
+
+
+def test_rows_of_boxes_that_neither_stand_level_nor_apart(spark):
+    """Pages with and without a fold have the rows of a plain walk, in one document too, with boxes upside down and without a height."""
+    draw, found = Random(3), []
+    for page in range(1, 41):
+        step = draw.choice([1, 4, 12])  # so that some pages' rows are all level or apart
+        boxes = [(y := draw.randrange(0, 60, step), y + draw.choice([-2, 0, 3, 10])) if page % 4 else (12 * (k // 3), 12 * (k // 3) + 10) for k in range(draw.randrange(1, 30))]
+        found += [("a" if page % 2 else "b", len(found) + k, page, "t", 10.0 * k, float(a), 10.0 * k + 5, float(z)) for k, (a, z) in enumerate(boxes)]
+    rows = [r for r in visual_rows(spark.createDataFrame(found, PHRASES)).collect()]
+    want = {}
+    for doc in "ab":
+        for page in sorted({p[2] for p in found if p[0] == doc}):
+            cells = [p[1:] for p in found if p[0] == doc and p[2] == page]
+            starts = row_starts(cells)
+            for s, e in zip(starts, [*starts[1:], len(cells)]):
+                own = want.setdefault(doc, [])
+                own.append((len(own), page, [c[0] for c in cells[s:e]]))
+    for doc in "ab":
+        assert sorted((r.row_id, r.page, [c.idx for c in r.cells]) for r in rows if r.doc_id == doc) == want[doc]
