@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from formweave.api import Engine
 from formweave.operators.rows import PHRASES, visual_rows
 from formweave.queries import ORACLES, QUERIES
 from formweave.streaming.pages import row_starts
@@ -61,3 +62,17 @@ def test_rows_of_boxes_that_neither_stand_level_nor_apart(spark):
                 own.append((len(own), page, [c[0] for c in cells[s:e]]))
     for doc in "ab":
         assert sorted((r.row_id, r.page, [c.idx for c in r.cells]) for r in rows if r.doc_id == doc) == want[doc]
+
+
+@pytest.mark.parametrize("name", ["template_learned", "edit_template", "template_learned_asked", "form_extract_learned_nested"])
+def test_only_the_sample_is_rendered_to_learn_from(spark, monkeypatch, name):
+    seen, predict = [], Engine.predict_field
+
+    def predicted(self, phrases, *args, **more):
+        seen.append(sorted(r.doc_id for r in phrases.select("doc_id").distinct().collect()))
+        return predict(self, phrases, *args, **more)
+
+    monkeypatch.setattr(Engine, "predict_field", predicted)
+    QUERIES[name](spark, FOLDER)
+    every = sorted(r.doc_id for r in QUERIES["rendered_phrases"](spark, FOLDER).select("doc_id").distinct().collect())
+    assert seen == [every[:5]] and len(every) > 5
