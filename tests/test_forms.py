@@ -1,5 +1,6 @@
 """Rendered forms: long orders, and how often their phrases are moved."""
 
+from pathlib import Path
 from random import Random
 
 import duckdb
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from formweave.api import Engine
 from formweave.operators.rows import PHRASES, visual_rows
 from formweave.queries import ORACLES, QUERIES
+from formweave.sources import artifacts as S
 from formweave.streaming.pages import row_starts
 
 FOLDER = "/root/testdata/sf0.001"
@@ -76,3 +78,21 @@ def test_only_the_sample_is_rendered_to_learn_from(spark, monkeypatch, name):
     QUERIES[name](spark, FOLDER)
     every = sorted(r.doc_id for r in QUERIES["rendered_phrases"](spark, FOLDER).select("doc_id").distinct().collect())
     assert seen == [every[:5]] and len(every) > 5
+
+
+@pytest.mark.parametrize("name", ["exchange_phrases", "exchange_words"])
+def test_phrases_are_written_where_they_lie(spark, monkeypatch, name):
+    """A document's phrases are in one part already, and are not dealt again to be written; each document is one file."""
+    moved, deal = [], type(spark.range(0)).repartition
+
+    def dealt(self, *args):
+        moved.append(set(self.columns))
+        return deal(self, *args)
+
+    written = []
+    monkeypatch.setattr(type(spark.range(0)), "repartition", dealt)
+    monkeypatch.setattr(S, "write_phrases", lambda phrases, path, *args, write=S.write_phrases, **more: (written.append(path), write(phrases, path, *args, **more)))
+    QUERIES[name](spark, FOLDER)
+    assert moved and not any("phrase_idx" in columns for columns in moved)
+    files = [len(list(folder.glob("*.csv"))) for folder in Path(written[0].removeprefix("file:")).glob("doc_id=*")]
+    assert len(files) == 30 and set(files) == {1}
