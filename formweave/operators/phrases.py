@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 import heapq
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from formweave.functions.groups import fold_groups
+from formweave.functions.groups import fold_groups, map_groups
 
 BOX = ("x0", "y0", "x1", "y1")
 #: Vertical strips of a page at most.
 STRIPS = 64
+#: Later phrases that each phrase is compared with all at once, before it looks into its strips.
+NEAR = 256
+#: Ground phrases of a list that are compared as part of the plan; more of them are a table.
+LISTED = 64
 #: A word over this size is a header.
 HEADER_SIZE = 12
 
@@ -197,10 +205,36 @@ class Strips:
                 yield i
 
 
+def later_overlaps(x0: np.ndarray, x1: np.ndarray, starts: np.ndarray, ratio: float = 0.2) -> np.ndarray:
+    """For each box the place of the first later one of its page that it overlaps, or -1; ``starts`` are the places where pages start.
+
+    All boxes meet the next one, then those still alone the one after it, NEAR times; what is left of long pages looks into its page's strips.
+    """
+    ends = np.append(starts, len(x0))[1:]
+    end, width = np.repeat(ends, ends - starts), x1 - x0
+    found, alone = np.full(len(x0), -1), np.arange(len(x0))
+    for ahead in range(1, NEAR + 1):
+        alone = alone[alone + ahead < end[alone]]
+        if not len(alone):
+            return found
+        later = alone + ahead
+        shared = np.minimum(x1[alone], x1[later]) - np.maximum(x0[alone], x0[later])
+        met = (shared > 0) & (shared >= ratio * np.minimum(width[alone], width[later]))
+        found[alone[met]] = later[met]
+        alone = alone[~met]
+    at = np.searchsorted(starts, alone, "right") - 1
+    for page in np.unique(at).tolist():
+        a, z = int(starts[page]), int(ends[page])
+        strips, left, right = Strips(x0[a:z], x1[a:z]), x0[a:z].tolist(), x1[a:z].tolist()
+        for i in (alone[at == page] - a).tolist():
+            j = next((j for j in strips.after(i + NEAR + 1, left[i], right[i]) if _overlap(left[i], right[i], left[j], right[j], ratio)), -1)
+            found[a + i] = a + j if j >= 0 else -1
+    return found
+
+
 def first_later(x0: np.ndarray, x1: np.ndarray) -> list[int]:
     """For each box of a page the first later one that it overlaps, or -1."""
-    strips, left, right = Strips(x0, x1), x0.tolist(), x1.tolist()
-    return [next((j for j in strips.after(i + 1, left[i], right[i]) if _overlap(left[i], right[i], left[j], right[j])), -1) for i in range(len(left))]
+    return later_overlaps(x0, x1, np.zeros(min(len(x0), 1), int)).tolist()
 
 
 OVERLAPS = "doc_id string, page int, a int, b int, a_text string, b_text string, distance double"
@@ -209,19 +243,20 @@ OVERLAPS = "doc_id string, page int, a int, b int, a_text string, b_text string,
 def next_overlaps(phrases: DataFrame, dealt: bool = False) -> DataFrame:
     """(doc_id, page, a, b, a_text, b_text, distance): each phrase with the first later one of its page that x-overlaps it.
 
-    A page is one group; a phrase meets the later ones of its strips until one overlaps.  ``dealt`` phrases lie by document already.
+    The pages of a batch are compared at once, as columns.  ``dealt`` phrases lie by document already.
     """
 
-    def pairs(page: dict[str, list]) -> dict[str, list]:
-        second = first_later(np.array(page["x0"]), np.array(page["x1"]))
-        met = [(i, j) for i, j in enumerate(second) if j >= 0]
-        at, text, y0, y1 = (page[c] for c in ("phrase_idx", "text", "y0", "y1"))
-        return {
-            "doc_id": page["doc_id"][:1] * len(met), "page": page["page"][:1] * len(met), "a": [at[i] for i, _ in met], "b": [at[j] for _, j in met],
-            "a_text": [text[i] for i, _ in met], "b_text": [text[j] for _, j in met], "distance": [max(0.0, y0[j] - y1[i], y0[i] - y1[j]) for i, j in met],
-        }
+    def pairs(pages: pa.Table, starts: np.ndarray) -> pa.Table:
+        x0, y0, x1, y1 = (pages.column(c).to_numpy() for c in BOX)
+        second = later_overlaps(x0, x1, starts)
+        i = np.flatnonzero(second >= 0)
+        j = second[i]
+        a, b = pages.take(pa.array(i)), pages.select(["phrase_idx", "text"]).take(pa.array(j))
+        distance = np.fmax(0.0, np.fmax(y0[j] - y1[i], y0[i] - y1[j]))
+        found = {"doc_id": a["doc_id"], "page": a["page"], "a": a["phrase_idx"], "b": b["phrase_idx"], "a_text": a["text"], "b_text": b["text"], "distance": pa.array(distance)}
+        return pa.table(found)
 
-    return fold_groups(phrases.select("doc_id", "page", "phrase_idx", "text", *BOX), ["doc_id", "page"], ["phrase_idx"], pairs, OVERLAPS, dealt)
+    return map_groups(phrases.select("doc_id", "page", "phrase_idx", "text", *BOX), ["doc_id", "page"], ["phrase_idx"], pairs, OVERLAPS, dealt)
 
 
 def ground_table(phrases: DataFrame, ground: DataFrame | list[str]) -> DataFrame:
@@ -260,9 +295,18 @@ def _met(texts: DataFrame, columns: list[str], lists: DataFrame) -> DataFrame:
 
 
 def labelled_pairs(phrases: DataFrame, ground: DataFrame | list[str], dealt: bool = False) -> DataFrame:
-    """next_overlaps with is_positive: the joined text is part of a ground phrase and the first one none itself."""
-    ground = ground_table(phrases, ground)
+    """next_overlaps with is_positive: the joined text is part of a ground phrase and the first one none itself.
+
+    A short list of ground phrases is looked through for each pair, in the one pass that finds the pairs; of a table or a long list
+    the different pairs meet the phrases that hold their rarest token.
+    """
     pairs = next_overlaps(phrases, dealt)
+    if not isinstance(ground, DataFrame) and len(set(ground)) <= LISTED:
+        joined = F.concat(F.lit(" "), "a_text", F.lit(" "), "b_text", F.lit(" "))
+        padded = [" ".join(["", *filter(None, re.split(r"[ \t\n\x0B\f\r]+", g)), ""]) for g in sorted(set(ground))]
+        part = reduce(or_, (F.lit(p).contains(joined) for p in padded), F.lit(False))
+        return pairs.withColumn("is_positive", F.coalesce(part & ~F.col("a_text").isin(sorted(set(ground))), F.lit(False)))
+    ground = ground_table(phrases, ground)
     met = _met(pairs.select("a_text", "b_text").distinct(), ["a_text", "b_text"], _lists(ground))
     met = met.where(F.col("padded").contains(F.concat(F.lit(" "), "a_text", F.lit(" "), "b_text", F.lit(" "))))
     part = met.select("a_text", "b_text", F.lit(True).alias("_known")).distinct()

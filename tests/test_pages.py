@@ -96,3 +96,39 @@ def test_a_ground_text_of_five_thousand_words(spark):
     ground = P.ground_table(frame, [" ".join(words)])
     assert P._seams(ground).count() == 4999  # a row for each seam of tokens
     assert [r["text"] for r in P.merge_by_ground(frame, ground).collect()] == [" ".join(words)]
+
+
+@pytest.mark.parametrize("near", [1, 3, 256])
+def test_overlaps_of_many_pages_at_once(spark, monkeypatch, near):
+    """Pages that cross batches, and pages longer than what is compared at once, against plain loops."""
+    monkeypatch.setattr(P, "NEAR", near)
+    r = random.Random(near)
+    pages = {(f"d{k % 3}", k): boxes(r, r.choice([1, 2, 40]), kind) for k, kind in enumerate(["columns", "wide", "points"] * 6)}
+    want = {(p, i, j) for (_, p), own in pages.items() for i, a in enumerate(own) if (j := next((j for j in range(i + 1, len(own)) if plain_overlap(a, own[j])), -1)) >= 0}
+    flat = [x for own in pages.values() for x in own]
+    starts = np.cumsum([0, *map(len, pages.values())])[:-1]
+    found = P.later_overlaps(np.array([a for a, _ in flat], float), np.array([b for _, b in flat], float), starts)
+    at = [(p, int(s)) for (_, p), s in zip(pages, starts, strict=True)]
+    assert {(p, i, int(found[s + i]) - s) for (p, s), own in zip(at, pages.values(), strict=True) for i in range(len(own)) if found[s + i] >= 0} == want
+    rows = [(d, p, i, f"t{i}", a, 14.0 * i, b, 14.0 * i + 10) for (d, p), own in pages.items() for i, (a, b) in enumerate(own)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = P.next_overlaps(spark.createDataFrame(rows, "doc_id string, page int, phrase_idx int, text string, x0 double, y0 double, x1 double, y1 double")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(x.page, x.a, x.b) for x in got} == want
+    assert all((x.a_text, x.b_text, x.distance) == (f"t{x.a}", f"t{x.b}", 14.0 * (x.b - x.a) - 10) for x in got)
+
+
+def test_a_short_list_of_ground_phrases_needs_no_join(spark):
+    """The pairs are found once, in one pass; what is positive is what the joins say of the same phrases as a table."""
+    texts = ["Order", "Key", "Order Key", "net", "sum\t of", "", " ", "Line", "1", "x", "net", "sum"]
+    rows = [("d", 1, k, t, 40.0, 14.0 * k, 90.0, 14.0 * k + 10) for k, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id string, page int, phrase_idx int, text string, x0 double, y0 double, x1 double, y1 double")
+    ground = ["Order Key", " net \t sum ", "Line 1", "Order", "x"]
+    found = P.labelled_pairs(frame, ground)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    table = P.labelled_pairs(frame, P.ground_table(frame, ground))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, table.collect()))
+    assert {x.a_text for x in found.where("is_positive").collect()} == {"net", "Line"}
