@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from formweave.functions.lineage import shared_folder
 from formweave.queries import ORACLES, QUERIES
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -60,3 +61,12 @@ def test_template_of_the_first_document_there_is(spark, tmp_path):
         (rows.where(f"{key} >= 50") if key else rows.limit(0)).write.parquet(str(tmp_path / path.name))
     same = duckdb.sql(ORACLES["template_learned"]).fetchall()
     assert sorted(map(tuple, QUERIES["template_learned"](spark, str(tmp_path)).collect())) == sorted(same)
+
+
+def test_counted_calls_leave_no_prompts_behind(spark):
+    """The prompts of both kinds are rendered once each, and these and the memos are gone when the calls are counted."""
+    shared = Path(shared_folder(spark))
+    before = {f for f in shared.rglob("*") if f.is_file()}
+    found = {r.kind: r for r in QUERIES["model_calls"](spark, FOLDER).collect()}
+    assert {f for f in shared.rglob("*") if f.is_file()} == before
+    assert all(r.prompts == r.calls > 1000 and r.again == 0 for r in found.values()) and set(found) == {"rows", "pairs"}
