@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from formweave.operators import extract as X
-from formweave.operators.rows import visual_rows
+from formweave.operators.rows import PHRASES, visual_rows
 from formweave.plans.render import forms
 from formweave.plans.template import Node
 from formweave.queries import FORM, METADATA, ROCKS, STATE_STORE
@@ -95,3 +95,20 @@ def test_a_run_s_folder_as_a_source(spark, tmp_path):
     assert {r["doc_id"] for r in found.where("doc_id IN ('a b', 'g+h', 'none')").collect()} == {"a b", "g+h"}
     words = S.read_words(spark, f"{folder}/*/*.csv")
     assert {r["doc_id"] for r in words.collect()} == {"a b", "c:d", "e%f", "g+h"}
+
+
+def test_lines_are_numbered_where_they_are_read(spark, tmp_path):
+    """Lines keep their places over batches, and none is moved; where Spark cuts files, a document's pieces meet."""
+    rows = [(f"d+{k % 3} %", k // 3, 1, f"t{k}\u00e9, \"q\"", float(k), 0.0, 1.0, 2.0) for k in range(60)]
+    S.write_phrases(spark.createDataFrame(rows, PHRASES).repartition(5, "phrase_idx"), str(tmp_path / "w"))
+    moved = lambda frame: "Exchange" in frame._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        words = S.read_words(spark, str(tmp_path / "w/*/*.csv"), in_place=True)
+        assert sorted(map(tuple, words.collect())) == sorted(rows) and not moved(words)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100b")
+        words = S.read_words(spark, str(tmp_path / "w/*/*.csv"), in_place=True)
+        assert sorted(map(tuple, words.collect())) == sorted(rows) and moved(words)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
