@@ -112,3 +112,17 @@ def test_lines_are_numbered_where_they_are_read(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_many_files_are_few_parts(spark, tmp_path, monkeypatch):
+    """Parts do not grow with the files without end; every file is read."""
+    from formweave.sources import folder as D
+
+    monkeypatch.setattr(D, "PARTS", 3)
+    rows = [(f"d{k % 10}", k // 10, 1 + k // 20, f"t{k}", 0.0, 0.0, 1.0, 2.0) for k in range(40)]
+    S.write_phrases(spark.createDataFrame(rows, PHRASES), str(tmp_path / "w"))
+    reader = D.PhraseReader(str(tmp_path / "w"))
+    parts = reader.partitions()
+    assert len(parts) == 3 and sum(len(p.files) for p in parts) == 10
+    got = [tuple(r.values()) for p in parts for batch in reader.read(p) for r in batch.to_pylist()]
+    assert sorted(got) == sorted(rows)
